@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, chat_format, quality_rules, url_filter, warc
+from folioforge.llm import bpe, chat_format, decontaminate, licence_scan, quality_rules, suffix_merge, suffix_tree, url_filter, warc
 
 #: Vocabulary file of the BPE queries; a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -30,6 +30,32 @@ def tokenizer_file(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_tree.remove_repeated_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), pos AS (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) AS k FROM w
+), win AS (
+  SELECT doc_id, k, array_to_string(w[k:k+19], ' ') AS t FROM pos
+), later AS (
+  SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY t ORDER BY doc_id, k) AS n FROM win) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(k, k + 20)) AS i FROM later
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w
+), kept AS (
+  SELECT a.doc_id, count(g.i) AS n_removed, coalesce(string_agg(CASE WHEN g.i IS NULL THEN word END, ' ' ORDER BY a.i), '') AS kept
+  FROM words a LEFT JOIN gone g ON a.doc_id = g.doc_id AND a.i = g.i GROUP BY a.doc_id
+)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -52,6 +78,52 @@ SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.v, 'allow') AS verdict FROM
 """
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source, thousand and hundred of the id as directories; the first of each hundred is its LICENSE."""
+    i = F.col("doc_id")
+    name = F.when(i % 100 == 0, F.lit("LICENSE")).otherwise(F.concat(i.cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", "source", F.floor(i / 1000).cast("string"), F.floor(i / 100).cast("string"), name)
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return licence_scan.scan_licences(files).select("doc_id", "path", "own_licence", "licence", "licence_from")
+
+
+OP4_SQL = r"""
+WITH tpl(name, txt) AS (
+  VALUES ('Apache-2.0', 'Licensed under the Apache License, Version 2.0.'), ('CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
+    ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'), ('MIT', 'Released under the MIT License.')
+), terms AS (SELECT name, unnest(regexp_extract_all(lower(txt), '[a-z0-9]+')) AS t FROM tpl
+), tf AS (SELECT name, t, count(*) AS n FROM terms GROUP BY ALL
+), files AS (
+  SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, doc_id // 1000, doc_id // 100, CASE WHEN doc_id % 100 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END) AS path FROM documents
+), total AS (SELECT count(*) AS n FROM files
+), docterms AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM files
+), idf AS (
+  SELECT v.t, ln((1 + any_value(total.n)) / (1 + count(d.doc_id))) + 1 AS idf FROM (SELECT DISTINCT t FROM tf) v CROSS JOIN total LEFT JOIN docterms d ON d.t = v.t GROUP BY v.t
+), tw AS (SELECT name, tf.t, tf.n * idf AS w, idf FROM tf JOIN idf USING (t)
+), tn AS (SELECT name, sqrt(sum(w * w)) AS norm FROM tw GROUP BY name
+), raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM files
+), lines AS (SELECT doc_id, row_number() OVER () AS line_id, line FROM raw
+), tokens AS (SELECT doc_id, line_id, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS t FROM lines
+), lt AS (SELECT doc_id, line_id, t, count(*) AS n FROM tokens GROUP BY ALL
+), lw AS (SELECT l.doc_id, line_id, l.t, l.n, l.n * coalesce(idf, ln(1 + total.n) + 1) AS w FROM lt l CROSS JOIN total LEFT JOIN idf ON idf.t = l.t
+), ln2 AS (SELECT line_id, sqrt(sum(w * w)) AS norm FROM lw GROUP BY line_id
+), dots AS (SELECT lw.doc_id, line_id, tw.name, sum(lw.n * tw.idf * tw.w) AS dot FROM lw JOIN tw ON lw.t = tw.t GROUP BY ALL
+), cos AS (SELECT doc_id, line_id, name, round(dot / tn.norm / ln2.norm, 9) AS c FROM dots JOIN tn USING (name) JOIN ln2 USING (line_id)
+), best AS (SELECT doc_id, line_id, name FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY c DESC, name) AS k FROM cos) WHERE k = 1 AND c >= 0.8
+), votes AS (SELECT doc_id, name, count(*) AS n FROM best GROUP BY doc_id, name
+), own AS (SELECT doc_id, name FROM (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, name) AS k FROM votes) WHERE k = 1
+), f AS (SELECT f.doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, own.name AS own_licence FROM files f LEFT JOIN own USING (doc_id)
+), dirs AS (SELECT dir, own_licence AS name, count(*) AS n FROM f WHERE own_licence IS NOT NULL AND path LIKE '%/LICENSE' GROUP BY dir, own_licence
+), given AS (SELECT dir, name FROM (SELECT dir, name, row_number() OVER (PARTITION BY dir ORDER BY n DESC, name) AS k FROM dirs) WHERE k = 1
+), near AS (SELECT doc_id, g.dir, g.name, row_number() OVER (PARTITION BY doc_id ORDER BY length(g.dir) DESC) AS k FROM f JOIN given g ON f.dir = g.dir OR starts_with(f.dir, g.dir || '/') WHERE own_licence IS NULL)
+SELECT f.doc_id, path, own_licence, coalesce(own_licence, near.name) AS licence, near.dir AS licence_from FROM f LEFT JOIN near ON f.doc_id = near.doc_id AND k = 1
+"""
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, _ = warc.archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     out = warc.read_warc(spark, folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -103,9 +175,14 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_merge.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op5_warc": OP5_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op4_licence_scan": OP4_SQL, "op2_url_filter": OP2_SQL, "op5_warc": OP5_SQL}
