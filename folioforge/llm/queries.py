@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, chat_format, decontaminate, licence_scan, quality_rules, suffix_merge, suffix_tree, url_filter, warc
+from folioforge.llm import bpe, chat_format, decontaminate, licence_scan, minhash, quality_rules, suffix_merge, suffix_tree, url_filter, warc
 
 #: Vocabulary file of the BPE queries; a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -175,6 +175,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_merge.remove_repeated_bytes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
