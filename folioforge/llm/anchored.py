@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from folioforge.llm.common import mix, text_bytes
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 _LOW = np.uint64((1 << 21) - 1)
 
 RUN = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
@@ -83,7 +83,8 @@ def find_anchors(s: Symbols, length: int, gram: int) -> Found:
         new = np.ones(len(starts), bool)
         new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
         k = np.flatnonzero(new)
-        parts.append(Found(at[k] + lo, starts[k] + lo, starts[np.append(k[1:], len(starts)) - 1] + lo, h[at[k]]))
+        # anchors have the least hashes: mixed again, they fill the whole range
+        parts.append(Found(at[k] + lo, starts[k] + lo, starts[np.append(k[1:], len(starts)) - 1] + lo, mix(h[at[k]])))
     if not parts:
         z = np.zeros(0, np.int64)
         return Found(z, z, z, np.zeros(0, np.uint64))
@@ -231,22 +232,25 @@ def _least_place(place, doc, of, pick):
     return out
 
 
-def earlier(lcp: np.ndarray, before: list[np.ndarray], low: np.ndarray, high: np.ndarray, rank: np.ndarray, length: int, gram: int) -> np.ndarray:
+def earlier(lcp: np.ndarray, before: Callable[[int], np.ndarray], low: np.ndarray, high: np.ndarray, rank: np.ndarray, length: int, gram: int) -> np.ndarray:
     """For each suffix, in sorted order, a bit for each offset: an earlier one has the same window.
 
-    lcp[i]: symbols that i shares with i - 1. before[o - 1]: hash of the o symbols before each. low, high: its
-    offsets. rank: order of the places. Suffixes that share ``length - o`` symbols are the leaves below one node of
+    lcp[i]: symbols that i shares with i - 1. before(o): the symbol o + 1 places before each. low, high: its offsets. rank: order of the places. Suffixes that share ``length - o`` symbols are the leaves below one node of
     the suffix tree at that depth; those that also agree on the o symbols before are places of one window.
     """
     bits = np.zeros(len(lcp), np.uint64)
     near = lcp >= gram
     some = near | np.append(near[1:], False)
+    left = np.zeros(len(lcp), np.uint64)  # hash of the o symbols before
     for o in range(length - gram + 1):
+        if o:
+            left = (left ^ (before(o - 1).astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+            left ^= left >> np.uint64(29)
         rows = np.flatnonzero(some & (low <= o) & (o <= high))
         if len(rows) < 2:
             continue
         node = np.cumsum(lcp < length - o)[rows].astype(np.uint64)
-        key = mix(node + before[o - 1][rows]) if o else node
+        key = mix(node + left[rows]) if o else node
         order = np.argsort(key, kind="stable")
         k = key[order]
         start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))

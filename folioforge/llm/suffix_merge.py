@@ -55,11 +55,12 @@ def byte_symbols(texts: list[str], ids: list[int], gram: int) -> Symbols:
 def key_matrix(s: Symbols, key: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, zero-padded and followed by their length; lengths)."""
     size = last + length - at
-    columns = np.arange(length)
-    body = s.codes[np.minimum(at[:, None] + columns, max(0, len(s.codes) - 1))]
-    body = np.where(columns < size[:, None], body, np.uint8(0))
-    head = key.astype(">u8").view(np.uint8).reshape(-1, 8)
-    return np.concatenate((head, body, (size + 8).astype(np.uint8)[:, None]), axis=1), size + 8
+    m = np.empty((len(at), length + 9), np.uint8)
+    m[:, :8] = key.astype(">u8").view(np.uint8).reshape(-1, 8)
+    m[:, -1] = size + 8
+    for j in range(length):
+        m[:, j + 8] = np.where(j < size, s.codes[np.minimum(at + j, len(s.codes) - 1)], 0)
+    return m, size + 8
 
 
 def sort_keys(s: Symbols, key, at, first, last, length: int) -> np.ndarray:
@@ -78,14 +79,17 @@ def front_coded_runs(block: int, s: Symbols, e: Entries, buckets: int, length: i
     width = m.shape[1] - 1
     b = anchored.bucket_of(e.key, buckets)
     cut = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-    differ = m[1:, :width] != m[:-1, :width]
+    differ = np.ones((n - 1, width + 1), bool)  # the last column ends every row
+    np.not_equal(m[1:, :width], m[:-1, :width], out=differ[:, :width])
     lcp = np.zeros(n, np.int64)
-    lcp[1:] = np.minimum(np.where(differ.any(1), differ.argmax(1), width), np.minimum(size[1:], size[:-1]))
+    lcp[1:] = np.minimum(differ.argmax(1), np.minimum(size[1:], size[:-1]))
     lcp[cut] = 0
     before = e.at - e.first
     columns = np.arange(width)
     most = int(before.max()) if n else 0
-    left = s.codes[np.maximum(e.at[:, None] - 1 - np.arange(most), 0)] if most else np.zeros((n, 0), np.uint8)
+    left = np.empty((n, most), np.uint8)
+    for j in range(most):
+        left[:, j] = s.codes[np.maximum(e.at - 1 - j, 0)]
     rows = []
     for i, j in zip(cut, np.append(cut[1:], n), strict=True):
         keep = (columns >= lcp[i:j, None]) & (columns < size[i:j, None])
@@ -199,14 +203,10 @@ def merge_bucket(data: list[bytes], length: int, gram: int) -> list[np.ndarray]:
     most = length - gram
     left = np.zeros((len(row), most), np.uint8)
     left[np.arange(most) < before[:, None]] = np.concatenate([r.left for r in runs])
-    left, hashes, h = left[row], [], np.zeros(len(row), np.uint64)
-    for o in range(most):
-        h = (h ^ (left[:, o].astype(np.uint64) + np.uint64(1))) * _C1
-        h ^= h >> np.uint64(29)
-        hashes.append(h)
+    left = left[row]
     lcp = np.maximum(np.array(lcps, np.int64) - 8, 0)
     bits = np.empty(len(row), np.uint64)
-    bits[row] = anchored.earlier(lcp, hashes, length - (size[row] - 8), before[row], anchored.dense_rank(doc[row]), length, gram)
+    bits[row] = anchored.earlier(lcp, lambda o: left[:, o], length - (size[row] - 8), before[row], anchored.dense_rank(doc[row]), length, gram)
     return [bits[i:j] for i, j in zip(base[:-1], base[1:], strict=True)]
 
 
@@ -229,7 +229,7 @@ def _finish(table: pa.Table, s: Symbols, gone: np.ndarray) -> pa.Table:
     return anchored.to_table(rows, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", span), ("kept", pa.binary())]))
 
 
-def remove_repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", length: int = 50, gram: int = 24, block_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, hot_runs: int = 512) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", length: int = 50, gram: int = 24, block_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20, hot_runs: int = 512) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept) of every document; spans count bytes.
 
     ``gram`` is a multiple of 8 below ``length``, and ``length - gram`` at most 31. A gram in more than ``hot_runs``

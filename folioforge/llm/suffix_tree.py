@@ -126,16 +126,9 @@ def build_bucket(data: list[bytes], length: int, gram: int) -> list[np.ndarray]:
     right = flat[np.minimum((start + before)[:, None] + columns, len(flat) - 1)]
     right[columns >= after[:, None]] = -1
     order, depth = subtrees(right)
-    most = length - gram
-    hashes, h = [], np.zeros(len(order), np.uint64)
     first = (start + before)[order]
-    for o in range(most):
-        c = flat[np.maximum(first - 1 - o, 0)].astype(np.uint64) + np.uint64(1)
-        h = (h ^ c) * _C1
-        h ^= h >> np.uint64(29)
-        hashes.append(h)
     bits = np.empty(len(order), np.uint64)
-    bits[order] = anchored.earlier(depth, hashes, length - after[order], before[order], anchored.dense_rank(doc[order], place[order]), length, gram)
+    bits[order] = anchored.earlier(depth, lambda o: flat[np.maximum(first - 1 - o, 0)], length - after[order], before[order], anchored.dense_rank(doc[order], place[order]), length, gram)
     base = np.append(0, np.cumsum(sizes))
     return [bits[i:j] for i, j in zip(base[:-1], base[1:], strict=True)]
 
@@ -171,7 +164,7 @@ def _finish(extra: pa.Schema, layout: bool):
 OUT = "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept string"
 
 
-def remove_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", length: int = 20, gram: int = 8, block_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, hot_runs: int = 512, layout: bool = False, extra: list[str] = ()) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", length: int = 20, gram: int = 8, block_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20, hot_runs: int = 512, layout: bool = False, extra: list[str] = ()) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept) of every document; spans count words.
 
     ``kept``: the words that stay, joined by one blank; with ``layout``, as the text has them (a text that loses
