@@ -16,7 +16,8 @@ Jaccard similarity of their sets is at least ``percent`` hundredths; components
    different components are compared. In a larger one, two members a and b of the star of pivot p can be linked
    only if they share a shingle that p lacks, or if ``m = min(|a & p|, |b & p|)`` is large enough against their sizes
    (their common part is then within p). The first case makes new, smaller buckets (p, shingle), for which steps 3
-   and 4 are repeated until every bucket lies in one component; the second is an equi-join on (p, size).
+   and 4 are repeated until every bucket lies in one component, ``levels`` times at most; what is left then is
+   compared as in a small bucket. The second case is an equi-join on (p, size).
 
 Edge cases: null and blank texts have an empty set, no links and their own id; fewer than five words are one
 shingle; a document id that occurs with several texts is one node; a null id is left out of groups (its component is
@@ -181,7 +182,7 @@ def _linked(percent: int):
     return 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", percent: int = 85, side: int = 10, rows: int = 2, small: int = 24, max_levels: int = 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", percent: int = 85, side: int = 10, rows: int = 2, small: int = 24, levels: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document; kept where it is its component's smallest id."""
     signed = written(signatures(docs, id_col, text, side, rows), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
@@ -189,7 +190,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(classes.select("id"), "id", "left_semi")
     buckets = tensor_buckets(classes.select("id", "keys"), side)
     edges, component = None, None
-    for level in range(max_levels):
+    for level in range(levels + 1):
+        # the last level leaves nothing: members of different components are compared in every bucket
+        small = small if level < levels else 1 << 40
         sized = written(_with_size(buckets.distinct()), "buckets")
         if component is not None:  # only buckets that lie in several components are left to do
             sized = written(_unsettled(sized, component), "buckets")
@@ -220,8 +223,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
             edges = _more(edges, again.where(_linked(percent)).select("a", "b"))
             component = written(connected_components(edges), "components")
         buckets = wide.select(F.col("id"), F.explode("new").alias("shingle"), "pivot").select("id", F.xxhash64(F.lit(level), "pivot", "shingle").alias("bucket"))
-    else:
-        raise RuntimeError(f"buckets were not settled in {max_levels} levels")
     out = signed.join(classes.select("class", "id"), "class", "left")
     if component is not None:
         out = out.join(component, "id", "left").withColumn("component_id", F.coalesce("component", "id"))

@@ -1,0 +1,81 @@
+"""Text to sentences, phrases with ordered boundary reasons, and groups bounded in words.
+
+Sentences follow a rule of this library: a break after ``.``, ``!``, ``?`` or ``…`` with closing quotes and white
+space, and after line feeds. Phrases are cut before ``(`` and after ``, `` ``; `` ``: `` ``" `` ``” `` ``–`` ``—`` ``)``.
+Pieces without a letter or digit join the one before.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from folioforge.functions.text import clean_line_ends, trailing_line_breaks, vocalizable, words_with_space
+
+#: Boundary reasons by level.
+REASONS = ("undefined", "w", "isqe", "is", "s", "p", "x", "xx")
+_CUT = "\u0001"
+
+
+def level(reason: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, REASONS)), reason).cast("int") - 1
+
+
+def _pieces(marked: Column) -> Column:
+    """Split at the marks; what can't be spoken joins the piece before."""
+    parts = F.filter(F.split(marked, _CUT), lambda x: x != "")
+    return F.split(F.ltrim(F.array_join(F.transform(parts, lambda x, i: F.concat(F.when((i > 0) & vocalizable(x), _CUT).otherwise(""), x)), ""), F.lit(_CUT)), _CUT)
+
+
+def sentences(text: Column) -> Column:
+    return _pieces(F.regexp_replace(clean_line_ends(text), r"([.!?…][\"”’)]*[ \t\n\r\f]+|\n[ \t\n\r\f]*)", "$1" + _CUT))
+
+
+def phrase_texts(sentence: Column) -> Column:
+    return _pieces(F.regexp_replace(F.regexp_replace(sentence, r"([\"”,;:] |[–—)])", "$1" + _CUT), r"\(", _CUT + "("))
+
+
+def phrases(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, sentence_index, phrase_index in the sentence, text, reason, n_words) of every phrase."""
+    s = docs.where(F.col(text) != "").select(id_col, F.posexplode(sentences(F.col(text))).alias("sentence_index", "sentence"))
+    p = s.select(id_col, "sentence_index", F.size(phrase_texts(F.col("sentence"))).alias("n"), F.posexplode(phrase_texts(F.col("sentence"))).alias("phrase_index", "text"))
+    lf = trailing_line_breaks(F.col("text"))
+    reason = F.when(F.col("phrase_index") < F.col("n") - 1, "is").when(lf == 0, "s").when(lf < 3, "p").otherwise("x")
+    return p.select(id_col, "sentence_index", "phrase_index", "text", reason.alias("reason"), F.size(words_with_space(F.col("text"))).alias("n_words"))
+
+
+def group_by_reason(phrase_rows: DataFrame, threshold: str, id_col: str = "doc_id") -> DataFrame:
+    """Adds group_index: a group closes after a phrase of at least the threshold's level."""
+    order = Window.partitionBy(id_col).orderBy("sentence_index", "phrase_index").rowsBetween(Window.unboundedPreceding, -1)
+    closed = (level(F.col("reason")) >= REASONS.index(threshold)).cast("int")
+    return phrase_rows.withColumn("group_index", F.coalesce(F.sum(closed).over(order), F.lit(0)))
+
+
+def pack_words(phrase_rows: DataFrame, max_words: int, id_col: str = "doc_id") -> DataFrame:
+    """(id, groups array<int>): words of each group when phrases fill groups of at most ``max_words``; a longer phrase stands alone."""
+    ordered = phrase_rows.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("sentence_index", "phrase_index", "n_words"))), lambda x: x["n_words"]).alias("w"))
+    fold = F.aggregate(
+        "w",
+        F.struct(F.array().cast("array<int>").alias("done"), F.lit(0).alias("cur")),
+        lambda a, w: F.when((a["cur"] > 0) & (a["cur"] + w > max_words), F.struct(F.concat(a["done"], F.array(a["cur"])).alias("done"), w.alias("cur"))).otherwise(F.struct(a["done"].alias("done"), (a["cur"] + w).alias("cur"))),
+        lambda a: F.when(a["cur"] > 0, F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]),
+    )
+    return ordered.select(id_col, fold.alias("groups"))
+
+
+def split_long(phrase_rows: DataFrame, max_words: int) -> DataFrame:
+    """Phrases over ``max_words`` in equal strides; all parts but the last have reason ``w``."""
+    w = phrase_rows.withColumn("words", words_with_space(F.col("text")))
+    k = F.greatest(F.ceil(F.col("n_words") / max_words), F.lit(1)).cast("int")
+    stride = F.greatest(F.ceil(F.col("n_words") / k), F.lit(1)).cast("int")
+    w = w.withColumn("k", k).withColumn("stride", stride)
+    parts = w.withColumn("part_index", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    piece = F.slice("words", F.col("part_index") * F.col("stride") + 1, F.col("stride"))
+    return parts.withColumns({"text": F.array_join(piece, ""), "n_words": F.size(piece), "reason": F.when(F.col("part_index") < F.col("k") - 1, "w").otherwise(F.col("reason"))}).drop("words", "k", "stride")
+
+
+def downgrade_repeated_breaks(phrase_rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """An ``x`` right after an ``x`` becomes ``p`` (judged on the reasons as given)."""
+    order = Window.partitionBy(id_col).orderBy("sentence_index", "phrase_index")
+    return phrase_rows.withColumn("reason", F.when((F.col("reason") == "x") & (F.lag("reason").over(order) == "x"), "p").otherwise(F.col("reason")))
