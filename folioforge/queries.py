@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query; ``sql`` is DuckDB SQL that gives the same rows."""
-
-    def keep(f: Query) -> Query:
-        _queries[name] = f
-        if sql is not None:
-            _sql[name] = sql
-        return f
-
-    return keep
+from folioforge.plans import catalog_queries, text_queries, timeline_queries  # noqa: F401  they register themselves
+from folioforge.registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return dict(SQL)
