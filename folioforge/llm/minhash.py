@@ -13,11 +13,13 @@ Jaccard similarity of their sets is at least ``percent`` hundredths; components
    buckets (in a group of copies that is the original); pairs within a bucket are not formed. Links are confirmed on
    the full sets.
 4. *The rest, exactly.* What pivots did not join is finished: in a bucket of up to ``small`` nodes, members of
-   different components are compared. In a larger one, two members a and b of the star of pivot p can be linked
-   only if they share a shingle that p lacks, or if ``m = min(|a & p|, |b & p|)`` is large enough against their sizes
-   (their common part is then within p). The first case makes new, smaller buckets (p, shingle), for which steps 3
-   and 4 are repeated until every bucket lies in one component, ``levels`` times at most; what is left then is
-   compared as in a small bucket. The second case is an equi-join on (p, size).
+   different components are compared. In a larger one that lies in several components, members that the triangle
+   inequality lets reach another component stay (``_reachable``). Two of them, a and b of the star of pivot p, can be
+   linked only if they share a shingle that p lacks, or if ``m = min(|a & p|, |b & p|)`` is large enough against their
+   sizes (their common part is then within p). The first case makes new, smaller buckets (p, shingle), from as many
+   shingles as the prefix filter needs, for which steps 3 and 4 are repeated until every bucket lies in one component,
+   ``levels`` times at most; what is left then is compared as in a small bucket. The second case is an equi-join on
+   (p, size).
 
 Edge cases: null and blank texts have an empty set, no links and their own id; fewer than five words are one
 shingle; a document id that occurs with several texts is one node; a null id is left out of groups (its component is
@@ -148,9 +150,11 @@ def _stars(sized: DataFrame) -> DataFrame:
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("common", pa.int64()), ("new", pa.list_(pa.int64()))])
 
 
-def compare(pairs: DataFrame, texts: DataFrame, with_new: bool) -> DataFrame:
-    """(a, b, n_a, n_b, common, new) of distinct (a, b): sizes, and the shingles of b that a lacks where ``with_new``.
+def compare(pairs: DataFrame, texts: DataFrame, percent: int | None = None) -> DataFrame:
+    """(a, b, n_a, n_b, common, new) of distinct (a, b): sizes, and with ``percent`` the first shingles of b that a lacks.
 
+    In the order "what a lacks first, then by hash", two sets of n shingles or more with a similarity of ``percent`` share
+    their first common shingle among the first ``n - ceil(percent * n / 100) + 1``; ``new`` goes no further.
     texts: (id, text) of at least all nodes in pairs. The first text of a pair is held from row to row, as rows are sorted by it.
     """
     t = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
@@ -162,20 +166,19 @@ def compare(pairs: DataFrame, texts: DataFrame, with_new: bool) -> DataFrame:
             for lo in range(0, len(batch), 100):
                 part = batch.slice(lo, 100)
                 a_ids, b_ids, b_texts = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist()
-                want = part.column(4).to_pylist()
                 theirs, _ = shingle_sets(b_texts)
                 rows = []
-                for k, (a, b, s, new) in enumerate(zip(a_ids, b_ids, theirs, want, strict=True)):
+                for k, (a, b, s) in enumerate(zip(a_ids, b_ids, theirs, strict=True)):
                     text = part.column(2)[k]
                     if a != at or mine[0] != text:
                         at, mine = a, (text, shingle_sets([text.as_py()])[0][0])
                     place = np.searchsorted(mine[1], s)
                     inside = mine[1][np.minimum(place, len(mine[1]) - 1)] == s if len(mine[1]) else np.zeros(len(s), bool)
-                    rows.append((a, b, len(mine[1]), len(s), int(inside.sum()), s[~inside].view(np.int64).tolist() if new else None))
+                    new = None if percent is None else s[~inside][: len(s) - (percent * len(s) + 99) // 100 + 1].view(np.int64).tolist()
+                    rows.append((a, b, len(mine[1]), len(s), int(inside.sum()), new))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PAIR, strict=True)], schema=PAIR)
 
-    two = two.select("a", "b", "text_a", "text_b", F.col("wanted") if with_new else F.lit(False).alias("wanted"))
-    return two.mapInArrow(work, "a long, b long, n_a long, n_b long, common long, new array<long>")
+    return two.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long, n_a long, n_b long, common long, new array<long>")
 
 
 def _linked(percent: int):
@@ -199,29 +202,33 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         if sized.isEmpty():
             break
         stars = written(_stars(sized), "stars")
-        pairs = stars.where("id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg((F.max("size") > small).alias("wanted"))
-        done = written(compare(pairs, texts, True), "compared")
+        pairs = stars.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        done = written(compare(pairs, texts), "compared")
         edges = _more(edges, done.where(_linked(percent)).select("a", "b"))
         component = written(connected_components(edges), "components")
         # small buckets: members of different components
-        named = _named(stars.where(F.col("size") <= small), component)
-        open_ = named.join(_split(named), "bucket", "left_semi").where("id <> pivot")
+        open_ = _open(stars.where(F.col("size") <= small), component)
         other = open_.select("bucket", F.col("id").alias("b"), F.col("component").alias("component_b"))
         rest = open_.select("bucket", F.col("id").alias("a"), "component").join(other, "bucket").where("a < b and component <> component_b").select("a", "b").distinct()
         # large ones: the common part is within the pivot (an equi-join on the size), or they share a shingle that the pivot lacks
-        wide = done.where("new is not null")
-        wide = wide.select(F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("n_b").alias("n"), "common", "n_a", "new").join(component.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-        unlinked = wide.where(100 * F.col("common") < percent * (F.col("n_a") + F.col("n") - F.col("common")))
-        lo, hi = F.ceil(F.col("n") * percent / 100), F.floor((100 + percent) * F.col("common") / percent) - F.col("n")
-        reach = unlinked.where(hi >= lo).select("pivot", F.col("id").alias("a"), F.col("n").alias("n_1"), F.col("common").alias("common_1"), F.col("c").alias("c_1"), F.explode(F.sequence(lo, hi)).alias("n"))
-        m = F.least("common", "common_1")
-        inside = reach.join(wide.drop("new", "n_a"), ["pivot", "n"]).where((F.col("a") != F.col("id")) & (F.col("c") != F.col("c_1")) & (100 * m >= percent * (F.col("n") + F.col("n_1") - m)))
-        rest = rest.unionByName(inside.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))).distinct()
+        left = written(_reachable(_open(stars.where(F.col("size") > small), component), done, percent), "reachable")
+        more = not left.isEmpty()
+        if more:
+            wide = written(compare(left, texts, percent), "compared")
+            wide = wide.select(F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("n_b").alias("n"), "common", "n_a", "new").join(component.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+            unlinked = wide.where(100 * F.col("common") < percent * (F.col("n_a") + F.col("n") - F.col("common")))
+            lo, hi = F.ceil(F.col("n") * percent / 100), F.floor((100 + percent) * F.col("common") / percent) - F.col("n")
+            reach = unlinked.where(hi >= lo).select("pivot", F.col("id").alias("a"), F.col("n").alias("n_1"), F.col("common").alias("common_1"), F.col("c").alias("c_1"), F.explode(F.sequence(lo, hi)).alias("n"))
+            m = F.least("common", "common_1")
+            inside = reach.join(wide.drop("new", "n_a"), ["pivot", "n"]).where((F.col("a") != F.col("id")) & (F.col("c") != F.col("c_1")) & (100 * m >= percent * (F.col("n") + F.col("n_1") - m)))
+            rest = rest.unionByName(inside.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))).distinct()
         rest = written(rest, "rest")
         if not rest.isEmpty():
-            again = written(compare(rest, texts, False), "compared")
+            again = written(compare(rest, texts), "compared")
             edges = _more(edges, again.where(_linked(percent)).select("a", "b"))
             component = written(connected_components(edges), "components")
+        if not more:
+            break
         buckets = wide.select(F.col("id"), F.explode("new").alias("shingle"), "pivot").select("id", F.xxhash64(F.lit(level), "pivot", "shingle").alias("bucket"))
     out = signed.join(classes.select("class", "id"), "class", "left")
     if component is not None:
@@ -241,6 +248,25 @@ def _split(named: DataFrame) -> DataFrame:
     return named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
 
 
+def _open(stars: DataFrame, component: DataFrame) -> DataFrame:
+    """The members, without pivots, of buckets that lie in more than one component."""
+    named = _named(stars, component)
+    return named.join(_split(named), "bucket", "left_semi").where("id <> pivot")
+
+
+def _reachable(open_: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the members b of open large buckets that may still have a link which their pivot a doesn't explain.
+
+    Of two linked members one at least isn't linked to the pivot, else both are in its component. Jaccard distance is a
+    metric: a member within the threshold t of the pivot can reach one that isn't only if it is at least as far from the
+    pivot as the nearest of those, less t.
+    """
+    pairs = open_.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct().join(done.select("a", "b", "n_a", "n_b", "common"), ["a", "b"])
+    d = pairs.select("a", "b", (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("d"), _linked(percent).alias("linked"))
+    nearest = d.where("not linked").groupBy("a").agg(F.min("d").alias("nearest"))
+    return d.join(nearest, "a").where(~F.col("linked") | (F.col("d") >= F.col("nearest") - (1 - percent / 100) - 1e-9)).select("a", "b")
+
+
 def _unsettled(sized: DataFrame, component: DataFrame) -> DataFrame:
     named = _named(sized, component)
     return named.join(_split(named), "bucket", "left_semi").select("bucket", "id", "size")
