@@ -190,9 +190,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     signed = written(signatures(docs, id_col, text, side, rows), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = written(full.groupBy("class").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys")), "classes")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(classes.select("id"), "id", "left_semi")
     buckets = tensor_buckets(classes.select("id", "keys"), side)
-    edges, component = None, None
+    texts, edges, component = None, None, None
     for level in range(levels + 1):
         # the last level leaves nothing: members of different components are compared in every bucket
         small = small if level < levels else 1 << 40
@@ -201,6 +200,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
             sized = written(_unsettled(sized, component), "buckets")
         if sized.isEmpty():
             break
+        if texts is None:  # whole texts are dealt once; later comparisons read those of nodes with company
+            texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+            texts = written(texts.join(sized.select("id").distinct(), "id", "left_semi"), "texts")
         stars = written(_stars(sized), "stars")
         pairs = stars.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
         done = written(compare(pairs, texts), "compared")
