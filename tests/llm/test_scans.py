@@ -83,3 +83,27 @@ def test_licences(spark):
         6: (None, "GPL-3.0", ""), 7: ("MIT", "MIT", None), 8: (None, None, None), 9: ("GPL-3.0", "GPL-3.0", None), 10: (None, "MIT", "r"),
     }
     assert licence_scan.scan_licences(df.drop("near").limit(0)).count() == 0
+
+
+def test_licences_of_wrapped_embedded_and_full_texts(spark):
+    texts = dict(licence_scan.full_texts())
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    rows = [
+        (1, "a/x.c", "Copyright (c) 2020 Jane Doe. Released under the MIT License."),
+        (2, "a/y.py", "# Licensed under the Apache License,\n# Version 2.0.\nimport os"),
+        (3, "a/z.js", "// This work is licensed under the GNU General\n// Public License, version 3."),
+        (4, "a/w.txt", "Released under the MIT License.\nOne part\nis licensed under CC\nBY-NC 4.0. Another: licensed under CC BY-NC 4.0."),
+        (5, "m/LICENSE", "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + wrap(texts["MIT"], 9)),
+        (6, "m/src/x.c", "int x;"),
+        (7, "g/COPYING", wrap(texts["GPL-3.0"], 7)),
+        (8, "p/LICENSE", wrap(texts["Apache-2.0"], 5)),
+        (9, "q/plain.txt", texts["MIT"]),  # not a licence file: full texts do not count
+        (10, "q/LICENSE", "All rights reserved. No license under any public version is given. " * 20),
+        (11, "q/n.txt", None),
+    ]
+    rows += [(100 + i, f"n/{i}.txt", f"plain words {i} of a document that names no terms of use") for i in range(300)]
+    got = {r.doc_id: (r.own_licence, r.licence) for r in licence_scan.scan_licences(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert len(got) == len(rows)
+    want = {1: "MIT", 2: "Apache-2.0", 3: "GPL-3.0", 4: "CC-BY-NC-4.0", 5: "MIT", 7: "GPL-3.0", 8: "Apache-2.0"}
+    assert {k: v[0] for k, v in got.items() if v[0]} == want
+    assert got[6] == (None, "MIT") and got[11] == (None, None)
