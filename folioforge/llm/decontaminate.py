@@ -6,11 +6,17 @@ in bands of 2 (k + 1) diagonals that overlap by half, so that some band holds al
 bound are verified by banded alignment of the item against its region, and regions within the budget are leaks.
 
 Both sides are lower-cased and runs of white space count as one blank; positions in the result are those of the
-original text. The budget is ``k = floor(edit_rate * m)``, or less where the bound would fall below 1. Items with
-fewer than ``min_chars`` characters are no evidence and are not searched (a documented parameter).
+original text. The budget is ``k = floor(edit_rate * m)``, or less where the bound would fall below 1.
+
+Items with fewer than ``min_chars`` (or q) characters are searched exactly, by the hash of the whole item, and count
+where they begin and end at word borders. Items with more than ``window_chars`` are searched whole and as windows of
+``window_chars`` that overlap by half, each with a budget of its own, so that an excerpt of one and a half windows is
+found wherever it is cut. Windows of an item that meet in a document are one region, whose distance is the least of
+theirs; it is left out where it meets a place of the whole item.
 
 Scale: the documents are read once and not shuffled. The items' q-gram index is broadcast in blocks of items of at
-most ``block_chars`` characters, a stated query set against all rows: a benchmark of any size makes more blocks.
+most ``block_chars`` characters (three times as many for items that have windows), a stated query set against all
+rows: a benchmark of any size makes more blocks.
 A very long text is searched in segments that overlap by more than the longest region.
 
 Edge cases: null and empty texts have no leaks; null items are left out; items that repeat an id or a text are each
@@ -75,23 +81,39 @@ def gram_hashes(a: np.ndarray, q: int) -> np.ndarray:
 class Items:
     """The q-gram index of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, edit_rate: float, min_chars: int):
+    def __init__(self, items: list[tuple[int, str]], q: int, edit_rate: float, min_chars: int, window: int):
         self.q, self.ids, self.text, self.k, self.need = q, [], [], [], []
+        self.item, self.whole = [], []  # of each indexed text: the item's number, and whether it is all of it
         hashes, owners, places = [], [], []
-        for item_id, text in items:
+        short: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+        for number, (item_id, text) in enumerate(items):
             a, _ = normalise(text.strip())
-            m = len(a)
-            if m < max(min_chars, q):
+            if 0 < len(a) < max(min_chars, q):
+                short.setdefault(len(a), []).append((number, item_id, a))
+            if len(a) < max(min_chars, q):
                 continue
-            k = min(int(edit_rate * m), m // q - 1)
-            h = gram_hashes(a, q)
-            hashes.append(h)
-            owners.append(np.full(len(h), len(self.ids)))
-            places.append(np.arange(len(h)))
-            self.ids.append(item_id)
-            self.text.append(a)
-            self.k.append(k)
-            self.need.append(m + 1 - q * (k + 1))
+            cuts = [(0, len(a))]
+            if len(a) > window >= q:
+                starts = sorted({*range(0, len(a) - window, max(1, window // 2)), len(a) - window})
+                cuts += [(s, s + window) for s in starts]
+            for s, e in cuts:
+                m = e - s
+                k = min(int(edit_rate * m), m // q - 1)
+                h = gram_hashes(a[s:e], q)
+                hashes.append(h)
+                owners.append(np.full(len(h), len(self.ids)))
+                places.append(np.arange(len(h)))
+                self.ids.append(item_id)
+                self.item.append(number)
+                self.whole.append(m == len(a))
+                self.text.append(a[s:e])
+                self.k.append(k)
+                self.need.append(m + 1 - q * (k + 1))
+        self.short = []  # by length: sorted hashes and their items
+        for n, found in sorted(short.items()):
+            h = np.concatenate([gram_hashes(a, n) for _, _, a in found])
+            order = np.argsort(h, kind="stable")
+            self.short.append((n, h[order], [found[i] for i in order]))
         self.k, self.need = np.array(self.k, np.int64), np.array(self.need, np.int64)
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
@@ -142,6 +164,29 @@ class Items:
         return found
 
 
+    def search_short(self, a: np.ndarray, lo: int, hi: int) -> list[tuple[int, int, int, int]]:
+        """(item number, item id, start, end) of each exact place of a short item that starts in a[lo:hi]."""
+        out = []
+        for n, hashes, items in self.short:
+            h = gram_hashes(a[lo : hi + n - 1], n)
+            first = np.searchsorted(hashes, h, "left")
+            at = np.flatnonzero(hashes[np.minimum(first, len(hashes) - 1)] == h)
+            for i, f in zip(at.tolist(), first[at].tolist(), strict=True):
+                s, e = lo + i, lo + i + n
+                if _border(a, s) and _border(a, e):
+                    while f < len(hashes) and hashes[f] == h[i]:
+                        number, item_id, item = items[f]
+                        if np.array_equal(item, a[s:e]):
+                            out.append((number, item_id, s, e))
+                        f += 1
+        return out
+
+
+def _border(a: np.ndarray, i: int) -> bool:
+    """Whether no word of letters and digits goes on across position i."""
+    return i == 0 or i == len(a) or not (chr(a[i - 1]).isalnum() and chr(a[i]).isalnum())
+
+
 def align(item: np.ndarray, region: np.ndarray, k: int) -> tuple[int, int, int] | None:
     """(start, end, distance) of the best place of an item in a region, if within k edits."""
     at = region.tobytes().find(item.tobytes())
@@ -185,19 +230,38 @@ def search_text(items: list[Items], text: str, segment: int) -> list[tuple[int,
         for (o, s, e), dist in sorted(found.items(), key=lambda x: (x[0][0], x[1], x[0][1])):
             if not any(x[0] == o and x[1] < e and s < x[2] for x in taken):
                 taken.append((o, s, e, dist))
-        out += [(block.ids[o], int(at[s]), int(at[e - 1]) + 1, dist) for o, s, e, dist in taken]
+        out += [(block.ids[o], int(at[s]), int(at[e - 1]) + 1, dist) for o, s, e, dist in _regions(block, taken)]
+        last: dict = {}
+        for lo in range(0, len(a), segment):
+            for number, item_id, s, e in block.search_short(a, lo, min(len(a), lo + segment)):
+                if s >= last.get(number, 0):
+                    last[number] = e
+                    out.append((item_id, int(at[s]), int(at[e - 1]) + 1, 0))
     return out
 
 
-def _index(benchmark: DataFrame, item_id: str, text: str, q: int, edit_rate: float, min_chars: int, block_chars: int):
+def _regions(block: Items, taken: list) -> list:
+    """The places of whole items, and the windows that meet none of them, joined where those of an item meet."""
+    whole = [x for x in taken if block.whole[x[0]]]
+    out: list = []
+    for o, s, e, dist in sorted((x for x in taken if not block.whole[x[0]]), key=lambda x: (block.item[x[0]], x[1], x[2])):
+        before = out[-1] if out and block.item[out[-1][0]] == block.item[o] else None
+        if before and s < before[2]:
+            out[-1] = (before[0], before[1], max(e, before[2]), min(dist, before[3]))
+        else:
+            out.append((o, s, e, dist))
+    return whole + [x for x in out if not any(block.item[w[0]] == block.item[x[0]] and w[1] < x[2] and x[1] < w[2] for w in whole)]
+
+
+def _index(benchmark: DataFrame, item_id: str, text: str, q: int, edit_rate: float, min_chars: int, window_chars: int, block_chars: int):
     """Broadcast q-gram indexes, one for each block of items."""
     rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("text is not null")
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    total = rows.agg(F.sum(F.length("text") * F.when(F.length("text") > window_chars, 3).otherwise(1))).first()[0] or 0
     n = max(1, -(-total // block_chars))
     out = []
     for k in range(n):  # one block of items on the driver at a time
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in part], q, edit_rate, min_chars)))
+        out.append(benchmark.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in part], q, edit_rate, min_chars, window_chars)))
     return out
 
 
@@ -205,9 +269,9 @@ def _searcher(blocks, segment: int):
     return lambda text: search_text([b.value for b in blocks], text, segment) if text else []
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 12, edit_rate: float = 0.06, min_chars: int = 40, block_chars: int = 8 << 20, segment: int = 1 << 18) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 12, edit_rate: float = 0.06, min_chars: int = 40, window_chars: int = 160, block_chars: int = 8 << 20, segment: int = 1 << 18) -> DataFrame:
     """(doc_id, item_id, start, end, distance) of every region of a document within the edit budget of an item."""
-    blocks = _index(benchmark, item_id, item_text, q, edit_rate, min_chars, block_chars)
+    blocks = _index(benchmark, item_id, item_text, q, edit_rate, min_chars, window_chars, block_chars)
     search = _searcher(blocks, segment)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int64())])
 
@@ -219,9 +283,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(find, LEAKS)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 12, edit_rate: float = 0.06, min_chars: int = 40, block_chars: int = 8 << 20, segment: int = 1 << 18) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 12, edit_rate: float = 0.06, min_chars: int = 40, window_chars: int = 160, block_chars: int = 8 << 20, segment: int = 1 << 18) -> DataFrame:
     """The documents without those that have a leak, all columns as they are."""
-    blocks = _index(benchmark, item_id, item_text, q, edit_rate, min_chars, block_chars)
+    blocks = _index(benchmark, item_id, item_text, q, edit_rate, min_chars, window_chars, block_chars)
     search = _searcher(blocks, segment)
 
     def keep(batches):

@@ -64,6 +64,26 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_short_items_and_excerpts_of_long_ones_are_found(spark):
+    rng = random.Random(9)
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n)).strip()
+    long = " ".join(f"word{i}" for i in range(100, 200))
+    items = [(1, "What is  2+2?"), (2, "cat"), (3, long), (4, "Ünder x"), (5, "cat"), (6, prose(39) + "zz")]
+    docs = [
+        (1, "so: what is 2+2? Four."), (2, "concatenate cats"), (3, "a CAT, a cat"), (4, prose(300) + long[85:640] + prose(300)), (5, long[300:420]),
+        (6, "\n".join([prose(90), edited(rng, long[100:345], 6), prose(90)])), (7, f"x {long} y {long[:400]}"), (8, "ünder\n x"), (9, "ünder xy, what is 2+22?"), (10, "x" * 299 + " cat"),
+    ]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for extra in ({}, {"segment": 300}, {"block_chars": 50}):
+        got = decontaminate.find_leaks(df, bench, **extra).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (3, 2), (3, 5), (4, 3), (6, 3), (7, 3), (8, 4), (10, 2), (10, 5)}
+        assert sorted((r.start, r.end) for r in got if r.doc_id == 3 and r.item_id == 2) == [(2, 5), (9, 12)]
+        text = dict(docs)
+        assert [(text[4][r.start : r.end] in long, r.distance) for r in got if r.doc_id == 4] == [(True, 0)]
+        assert len([r for r in got if r.doc_id == 7]) == 2 and all(r.distance == 0 for r in got if r.doc_id != 6)
+    assert {r.doc_id for r in decontaminate.without_leaks(df, bench).collect()} == {2, 5, 9}
+
+
 def test_verbatim_items_are_found(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     want = {(d.doc_id, b.item_id) for d in docs.collect() for b in bench.collect() if norm(b.text) in norm(d.text)}
