@@ -64,10 +64,10 @@ def ellipsize(c: Column, length: int) -> Column:
 
 
 def clock(seconds: Column) -> Column:
-    """h:mm:ss, or m:ss below an hour."""
+    """h:mm:ss, or m:ss below an hour; null for null."""
     s = F.floor(seconds).cast("long")
     h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
-    return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, r)).otherwise(F.format_string("%d:%02d", m, r))
+    return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, r)).when(s.isNotNull(), F.format_string("%d:%02d", m, r))
 
 
 def language(c: Column) -> Column:

@@ -154,6 +154,11 @@ def stem_family_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy(F.substring(F.col("word"), F.lit(1), F.col("k")).alias("stem")).agg(F.count("*").alias("n")).where("n >= 2")
 
 
+def previews(d: DataFrame) -> DataFrame:
+    """Shortened texts and their length (a character a second) as a clock; a null length has no clock."""
+    return d.select("doc_id", tx.language(F.col("lang")).alias("language"), tx.ellipsize(tx.collapse_space(F.coalesce("text", F.lit(""))), 60).alias("preview"), tx.clock(F.col("n_chars")).alias("length_clock"))
+
+
 @register("text_previews", r"""
 SELECT doc_id, lower(trim(lang)) AS language, CASE WHEN len(t) > 60 THEN rtrim(t[1:57]) || '...' ELSE t END AS preview,
   CAST(n_chars // 3600 AS VARCHAR) || ':' || lpad(CAST(n_chars % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(n_chars % 60 AS VARCHAR), 2, '0') AS length_clock
@@ -161,8 +166,17 @@ FROM (SELECT *, trim(regexp_replace(coalesce(text, ''), '[\s ]+', ' ', 'g')) AS
 """)
 def text_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortened texts of the long documents, and their length (a character a second) as a clock."""
-    d = documents(spark, sf_dir).where("n_chars >= 3600")
-    return d.select("doc_id", tx.language(F.col("lang")).alias("language"), tx.ellipsize(tx.collapse_space(F.coalesce("text", F.lit(""))), 60).alias("preview"), tx.clock(F.col("n_chars")).alias("length_clock"))
+    return previews(documents(spark, sf_dir).where("n_chars >= 3600"))
+
+
+@register("text_previews_all", r"""
+SELECT doc_id, split_part(lower(trim(lang)), '-', 1) AS language, CASE WHEN len(t) > 60 THEN rtrim(t[1:57]) || '...' ELSE t END AS preview,
+  CASE WHEN n_chars >= 3600 THEN CAST(n_chars // 3600 AS VARCHAR) || ':' || lpad(CAST(n_chars % 3600 // 60 AS VARCHAR), 2, '0') ELSE CAST(n_chars // 60 AS VARCHAR) END || ':' || lpad(CAST(n_chars % 60 AS VARCHAR), 2, '0') AS length_clock
+FROM (SELECT *, trim(regexp_replace(coalesce(text, ''), '[\s ]+', ' ', 'g')) AS t FROM documents)
+""")
+def text_previews_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Previews and clocks of every document, those below an hour and without a length too."""
+    return previews(documents(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- pages

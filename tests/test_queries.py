@@ -105,3 +105,14 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["doc_id", "reason", "n", "words"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_previews_of_all_documents(spark):
+    from folioforge.plans import text_queries
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert queries.queries()["text_previews_all"](spark, SF).count() == docs.count()
+    rows = [(1, "en-US", "short", 59), (2, "DE ", "x" * 60, 60), (3, "en", "y " * 40, 3599), (4, "en", None, 3600), (5, "en", "", 0), (6, None, "a\n b", None)]
+    got = {r.doc_id: (r.language, r.preview, r.length_clock) for r in text_queries.previews(spark.createDataFrame(rows, "doc_id long, lang string, text string, n_chars long")).collect()}
+    assert {k: v[2] for k, v in got.items()} == {1: "0:59", 2: "1:00", 3: "59:59", 4: "1:00:00", 5: "0:00", 6: None}
+    assert got[1][:2] == ("en", "short") and got[2][:2] == ("de", "x" * 60) and got[3][1] == ("y " * 29).strip()[:57].rstrip() + "..." and got[6][1] == "a b"
