@@ -5,9 +5,12 @@ found twice or more: window hashes and positions are packed into one long (the p
 the text's length needs), sorted, and neighbours with equal hashes count once their words are equal too.
 
 The list is learned by sequential covering. A rule grows by the threshold condition with the best information
-gain over binned statistics, counted by Spark per (feature, bin) on the growing rows; it is pruned to the prefix
+gain over binned statistics, counted by Spark per (feature, bin) on the growing rows. The cuts between bins are taken
+anew at each step from the rows that are left: quantiles of all of them and of the bad ones, and the ends of both
+classes, so that bad rows of any share can be parted from clean ones. A rule is pruned to the prefix
 of its conditions with the best ``(p - n) / (p + n)`` on held-out rows, and taken if its held-out precision and
-support are enough; the rows it covers are then set aside and the next rule grows. All labelled rows count; what
+support are enough; the rows it covers are then set aside and the next rule grows. Where a rule fails, the next one
+begins with another feature or side, until all have failed. All labelled rows count; what
 reaches the driver is one row per feature and bin. The list is an ordered chain of ``CASE WHEN`` conditions.
 
 Edge cases: null and blank texts have no words, zero statistics and fail the base rule; ratios with a zero
@@ -126,26 +129,30 @@ def learn_rules(labelled: DataFrame, *, target: str = "bad", bins: int = 24, max
     """
     names = list(FEATURES)
     rows = labelled.select(F.col(target).cast("int").alias("y"), "fold", *[feature(n).alias(n) for n in names]).where("y is not null")
-    q = [k / bins for k in range(1, bins)]
-    cut = rows.agg(*[F.percentile_approx(n, q, 10000).alias(n) for n in names], F.count("*").alias("n")).first()
-    if not cut["n"]:
-        return []
-    cuts = {n: sorted(set(cut[n])) for n in names}
-    binned = rows.select("y", "fold", *[sum((F.when(F.col(n) > c, 1).otherwise(0) for c in cuts[n]), F.lit(0)).alias(n) for n in names])
-    left = written(binned, "quality-bins")
+    left = written(rows, "quality-features")
     rules: list[Rule] = []
+    q = [k / bins for k in range(1, bins)]
 
-    def counts(df: DataFrame) -> dict[str, dict[int, tuple[int, int]]]:
+    def cuts_of(df: DataFrame) -> dict[str, list[float]]:
+        """Thresholds of each feature: quantiles of all and of bad rows, and the ends of both classes."""
+        cols = []
+        for n in names:
+            bad, clean = F.when(F.col("y") == 1, F.col(n)), F.when(F.col("y") == 0, F.col(n))
+            cols += [F.percentile_approx(n, q, 10000).alias(f"{n}_all"), F.percentile_approx(bad, q, 10000).alias(f"{n}_bad"), F.array(F.min(bad), F.max(bad), F.min(clean), F.max(clean)).alias(f"{n}_ends")]
+        r = df.agg(*cols).first()
+        return {n: sorted({x for k in ("all", "bad", "ends") for x in r[f"{n}_{k}"] or [] if x is not None}) for n in names}
+
+    def counts(df: DataFrame, cuts: dict[str, list[float]]) -> dict[str, dict[int, tuple[int, int]]]:
         """Per feature and bin: positives and negatives."""
-        long = df.select("y", F.explode(F.array(*[F.struct(F.lit(n).alias("f"), F.col(n).alias("b")) for n in names])).alias("x"))
+        binned = df.select("y", *[_below(n, cuts[n]).alias(n) for n in names])
+        long = binned.select("y", F.explode(F.array(*[F.struct(F.lit(n).alias("f"), F.col(n).alias("b")) for n in names])).alias("x"))
         out: dict = {n: {} for n in names}
         for r in long.groupBy("x.f", "x.b").agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect():  # one row a feature and bin
             out[r["f"]][r["b"]] = (r["p"], r["n"] - r["p"])
         return out
 
     def fits(c: Condition) -> Column:
-        k = cuts[c.feature].index(c.threshold)  # x > cuts[k] exactly where the bin is above k
-        return F.col(c.feature) > k if c.op == ">" else F.col(c.feature) <= k
+        return F.col(c.feature) > c.threshold if c.op == ">" else F.col(c.feature) <= c.threshold
 
     def held_out(df: DataFrame, conditions: list[Condition]) -> list[tuple[int, int]]:
         """(positives, negatives) of each prefix of the conditions on the held-out rows."""
@@ -156,10 +163,18 @@ def learn_rules(labelled: DataFrame, *, target: str = "bad", bins: int = 24, max
         r = df.where("not fold").agg(*cols).first()
         return [(r[f"p{k}"] or 0, r[f"n{k}"] or 0) for k in range(len(conditions))]
 
+    failed: set[tuple[str, str]] = set()  # (feature, side) of the first conditions that led to no rule
+    first = None  # cuts and counts of all growing rows that are left
     while len(rules) < max_rules:
         grow, conditions = left.where("fold"), []
         while len(conditions) < max_conditions:
-            best = _best_condition(counts(grow), cuts, conditions)
+            if conditions or first is None:
+                cuts = cuts_of(grow)
+                found = cuts, counts(grow, cuts)
+                first = found if not conditions else first
+            else:
+                found = first
+            best = _best_condition(found[1], found[0], conditions, failed if not conditions else set())
             if best is None:
                 break
             conditions.append(best[0])
@@ -173,7 +188,9 @@ def learn_rules(labelled: DataFrame, *, target: str = "bad", bins: int = 24, max
         k = max(range(len(value)), key=lambda i: (value[i], -i))
         p, n = scores[k]
         if p < min_support or p < min_precision * (p + n):
-            break
+            failed.add(conditions[0][:2])
+            continue
+        failed, first = set(), None
         rules.append(Rule(tuple(conditions[: k + 1]), p, n))
         cond = F.lit(True)
         for c in conditions[: k + 1]:
@@ -182,7 +199,13 @@ def learn_rules(labelled: DataFrame, *, target: str = "bad", bins: int = 24, max
     return rules
 
 
-def _best_condition(counts: dict, cuts: dict, taken: list[Condition]) -> tuple[Condition, int, int] | None:
+def _below(name: str, cuts: list[float]) -> Column:
+    """How many cuts are below a feature's value: its bin."""
+    values = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
+    return F.size(F.filter(values, lambda c: c < F.col(name)))
+
+
+def _best_condition(counts: dict, cuts: dict, taken: list[Condition], failed: set[tuple[str, str]]) -> tuple[Condition, int, int] | None:
     """The condition with the best FOIL gain over binned counts, with the positives and negatives that it keeps."""
     best = None
     for name, by_bin in counts.items():
@@ -195,7 +218,7 @@ def _best_condition(counts: dict, cuts: dict, taken: list[Condition]) -> tuple[C
             p_low, n_low = p_low + p, n_low + n
             for op, p, n in (("<=", p_low, n_low), (">", p_all - p_low, n_all - n_low)):
                 cond = Condition(name, op, c)
-                if p == 0 or n == n_all or cond in taken:
+                if p == 0 or n == n_all or cond in taken or (name, op) in failed:
                     continue
                 gain = p * (math.log2(p / (p + n)) - math.log2(p_all / (p_all + n_all)))
                 if gain > 0 and (best is None or gain > best[0]):

@@ -135,6 +135,21 @@ def test_rules_reject_bad_documents_and_keep_clean_ones(spark):
     assert n.get((0, False), 0) >= 0.8 * (n.get((0, True), 0) + n.get((0, False), 0))
 
 
+def test_rules_part_a_small_share_of_junk(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(6000):
+        bad = i % 50 == 0  # 2 %, with the longest words or the most capitals: less than a 24th of all rows
+        long, upper = (bad and i % 100 == 0), (bad and i % 100 != 0)
+        chars = int(100 * (rng.uniform(9.2, 12) if long else rng.uniform(3, 9)))
+        capitals = int(chars * (rng.uniform(0.5, 0.9) if upper else rng.uniform(0, 0.3)))
+        rows.append((100, chars, 0, 0, 0, 10, capitals, int(bad), i % 3 != rng.randrange(3)))
+    df = spark.createDataFrame(rows, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, bad int, fold boolean")
+    rules = quality_rules.learn_rules(df)
+    n = {(r.bad, r.hit): r["count"] for r in df.groupBy("bad", (quality_rules.rejected_by(rules) > 0).alias("hit")).count().collect()}
+    assert n.get((1, True), 0) >= 0.95 * 120 and n.get((0, True), 0) <= 0.002 * 5880
+
+
 def test_rules_without_labels_or_documents(spark):
     docs = spark.createDataFrame([(1, None), (2, "w " * 60)], "doc_id long, text string")
     labels = spark.createDataFrame([(7, None)], "doc_id long, quality int")
