@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import written
+from folioforge.llm.common import dropped, written
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -21,12 +21,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large star: neighbours above a node go to the least of its neighbourhood
         both = e.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(e.select(F.col("u").alias("x"), F.col("v").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        e = both.where("y > x").join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("u <> v")
+        large = both.where("y > x").join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("u <> v")
         # small star: a node and its neighbours below go to the least of these
-        least = e.groupBy(F.col("v").alias("x")).agg(F.min("u").alias("m"))
-        down = e.select(F.col("v").alias("x"), F.col("u").alias("y")).join(least, "x")
-        e = down.select(F.col("y").alias("v"), F.col("m").alias("u")).unionByName(least.select(F.col("x").alias("v"), F.col("m").alias("u"))).where("u <> v").distinct()
-        e = written(e, "edges")
+        least = large.groupBy(F.col("v").alias("x")).agg(F.min("u").alias("m"))
+        down = large.select(F.col("v").alias("x"), F.col("u").alias("y")).join(least, "x")
+        small = down.select(F.col("y").alias("v"), F.col("m").alias("u")).unionByName(least.select(F.col("x").alias("v"), F.col("m").alias("u"))).where("u <> v").distinct()
+        before, e = e, written(small, "edges")
+        dropped(before)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct()

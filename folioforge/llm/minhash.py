@@ -12,19 +12,20 @@ Jaccard similarity of their sets is at least ``percent`` hundredths; components
 3. *Stars.* In each bucket every member is compared with one pivot, the member with the most company in all its
    buckets (in a group of copies that is the original); pairs within a bucket are not formed. Links are confirmed on
    the full sets.
-4. *The rest, exactly.* What pivots did not join is finished: in a bucket of up to ``small`` nodes, members of
-   different components are compared. In a larger one that lies in several components, members that the triangle
-   inequality lets reach another component stay (``_reachable``). Two of them, a and b of the star of pivot p, can be
-   linked only if they share a shingle that p lacks, or if ``m = min(|a & p|, |b & p|)`` is large enough against their
-   sizes (their common part is then within p). The first case makes new, smaller buckets (p, shingle), from as many
-   shingles as the prefix filter needs, for which steps 3 and 4 are repeated until every bucket lies in one component,
-   ``levels`` times at most; what is left then is compared as in a small bucket. The second case is an equi-join on
-   (p, size).
+4. *The rest, exactly.* Two members of a bucket are members of its pivot's star, so what is left are links between
+   members of one star. If both are linked to the pivot they are in one component. Else, with D(x) the shingles that
+   exactly one of x and the pivot p has, the sets' difference is ``|D(x)| + |D(y)| - 2 |D(x) & D(y)|``, and a linked
+   pair must share a shingle of D; for sets closer to the pivot than to nothing these overlaps are counted by an
+   inverted index of the D's. The others are searched by the prefix filter on their full sets, rarest shingles in the
+   star first. Members linked to the pivot stay only if the triangle inequality lets an unlinked one reach them. A star
+   gives a forest of links, not its pairs; one over ``star_shingles`` is split by a hash of the members into blocks,
+   and each two blocks meet once, so a task holds two blocks at most.
 
 Edge cases: null and blank texts have an empty set, no links and their own id; fewer than five words are one
 shingle; a document id that occurs with several texts is one node; a null id is left out of groups (its component is
 null); input columns beside id and text are passed over; an empty table gives an empty result.
-Memory: a batch of texts; nothing is collected but counts.
+Jobs run while the frame is built: signatures, classes, comparisons and rounds of components are written tables.
+Memory: a batch of texts, or two blocks of a star; nothing is collected but counts.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import mix, written
+from folioforge.llm.common import dropped, mix, written
 from folioforge.llm.components import connected_components
 from folioforge.llm.suffix_tree import word_symbols
 
@@ -120,164 +121,183 @@ def _pieces(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterator
             yield ids, texts
 
 
-# ---------------------------------------------------------------- buckets
+# ---------------------------------------------------------------- buckets and stars
 
 
-def tensor_buckets(nodes: DataFrame, side: int) -> DataFrame:
-    """(bucket, id): the tables' buckets with more than one node; nodes: (id, keys)."""
+def tensor_stars(nodes: DataFrame, side: int) -> DataFrame:
+    """(a, b, size) of distinct pivots a and members b of the tables' buckets, size that of their largest; nodes: (id, keys)."""
     keys = nodes.select("id", F.posexplode("keys").alias("k", "key"))
-    shared = keys.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    kept = keys.join(shared, ["k", "key"]).groupBy("id").agg(F.collect_list(F.struct("k", "key")).alias("keys"))  # 2 * side keys at most
+    shared = keys.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1")
+    kept = keys.join(shared, ["k", "key"]).groupBy("id").agg(F.collect_list(F.struct("k", "key")).alias("keys"), F.sum("n").alias("company"))  # 2 * side keys at most
     first, second = F.filter("keys", lambda x: x["k"] < side), F.filter("keys", lambda x: x["k"] >= side)
-    pairs = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.xxhash64(a["k"], b["k"], a["key"], b["key"]))))
-    return kept.select("id", F.explode(pairs).alias("bucket"))
+    tables = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.xxhash64(a["k"], b["k"], a["key"], b["key"]))))
+    rows = kept.select("id", "company", F.explode(tables).alias("bucket"))
+    pivots = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct((-F.col("company")).alias("c"), "id"))["id"].alias("pivot")).where("size > 1")
+    return rows.join(pivots, "bucket").where("id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.max("size").alias("size"))
 
 
-def _with_size(buckets: DataFrame) -> DataFrame:
-    """(bucket, id, size) of buckets with more than one node."""
-    size = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    return buckets.join(size, "bucket")
+MEMBER = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("common", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
-def _stars(sized: DataFrame) -> DataFrame:
-    """(bucket, id, size, pivot): the pivot is the member with the most company (then the least id)."""
-    weight = sized.groupBy("id").agg(F.sum("size").alias("weight"))
-    w = sized.join(weight, "id")
-    pivot = w.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id"))["id"].alias("pivot"))
-    return sized.join(pivot, "bucket")
+def compare(stars: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, common, shingles) of each (a, b, size): sizes of the sets and of their common part.
 
-
-PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("common", pa.int64()), ("new", pa.list_(pa.int64()))])
-
-
-def compare(pairs: DataFrame, texts: DataFrame, percent: int | None = None) -> DataFrame:
-    """(a, b, n_a, n_b, common, new) of distinct (a, b): sizes, and with ``percent`` the first shingles of b that a lacks.
-
-    In the order "what a lacks first, then by hash", two sets of n shingles or more with a similarity of ``percent`` share
-    their first common shingle among the first ``n - ceil(percent * n / 100) + 1``; ``new`` goes no further.
-    texts: (id, text) of at least all nodes in pairs. The first text of a pair is held from row to row, as rows are sorted by it.
+    Where other members share a bucket (size over 2) the shingles of b follow, and once a task a row (a, a) those of a.
+    docs: (id, text). They are dealt by their id once, for both sides. Rows come sorted by a, whose set is held.
     """
-    t = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
-    two = pairs.join(t.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(t.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    b = stars.join(docs.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    a = docs.join(stars.select(F.col("a").alias("id")).distinct(), "id").select(F.col("id").alias("a"), F.col("text").alias("text_a"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, mine = None, None
+        at, mine, told = None, None, None
         for batch in batches:
             for lo in range(0, len(batch), 100):
                 part = batch.slice(lo, 100)
-                a_ids, b_ids, b_texts = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist()
-                theirs, _ = shingle_sets(b_texts)
+                theirs, _ = shingle_sets(part.column(4).to_pylist())
                 rows = []
-                for k, (a, b, s) in enumerate(zip(a_ids, b_ids, theirs, strict=True)):
-                    text = part.column(2)[k]
-                    if a != at or mine[0] != text:
-                        at, mine = a, (text, shingle_sets([text.as_py()])[0][0])
-                    place = np.searchsorted(mine[1], s)
-                    inside = mine[1][np.minimum(place, len(mine[1]) - 1)] == s if len(mine[1]) else np.zeros(len(s), bool)
-                    new = None if percent is None else s[~inside][: len(s) - (percent * len(s) + 99) // 100 + 1].view(np.int64).tolist()
-                    rows.append((a, b, len(mine[1]), len(s), int(inside.sum()), new))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PAIR, strict=True)], schema=PAIR)
+                for k, (x, y, size, s) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), theirs, strict=True)):
+                    text = part.column(3)[k]
+                    if x != at or mine[0] != text:
+                        at, mine = x, (text, shingle_sets([text.as_py()])[0][0])
+                    if size > 2 and told != x:
+                        told = x
+                        rows.append((x, x, len(mine[1]), len(mine[1]), len(mine[1]), mine[1].view(np.int64)))
+                    rows.append((x, y, len(mine[1]), len(s), len(np.intersect1d(mine[1], s, True)), s.view(np.int64) if size > 2 else None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), MEMBER, strict=True)], schema=MEMBER)
 
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long, n_a long, n_b long, common long, new array<long>")
+    return b.join(a, "a").select("a", "b", "size", "text_a", "text_b").mapInArrow(work, "a long, b long, n_a long, n_b long, common long, shingles array<long>")
 
 
 def _linked(percent: int):
     return 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", percent: int = 85, side: int = 10, rows: int = 2, small: int = 24, levels: int = 3) -> DataFrame:
+class _Postings:
+    """For each token the rows that have it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        self.tokens, inverse, self.count = np.unique(flat, return_inverse=True, return_counts=True)
+        self.rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[np.argsort(inverse, kind="stable")]
+        self.start = np.append(0, np.cumsum(self.count))
+
+    def find(self, tokens: np.ndarray) -> np.ndarray:
+        """The places of tokens, all known."""
+        return np.searchsorted(self.tokens, tokens)
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        """The rows of several tokens, one after the other."""
+        n = self.count[places]
+        return self.rows[np.repeat(self.start[places] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())] if len(places) else self.rows[:0]
+
+
+def star_links(ids: np.ndarray, sets: list[np.ndarray], linked: np.ndarray, side: np.ndarray, pivot: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A forest of the links between members of a star; with two sides, of those between the sides."""
+    m, size = len(ids), np.array([len(s) for s in sets])
+    both, parent = side.min() != side.max(), list(range(m))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out, hub = [], None
+    for k in np.flatnonzero(linked).tolist():  # these are one component already
+        hub = k if hub is None else hub
+        parent[k] = hub
+
+    def join(x: int, y: int) -> None:
+        a, b = root(x), root(y)
+        if a != b:
+            parent[b] = a
+            out.append((int(ids[x]), int(ids[y])))
+
+    deltas = [np.setxor1d(s, pivot, True) for s in sets]
+    d = np.array([len(x) for x in deltas])
+    near = d <= size
+    # both near the pivot: overlaps of D by counting
+    at = np.flatnonzero(near)
+    postings = _Postings([deltas[k] for k in at.tolist()])
+    for k, x in enumerate(at.tolist()):
+        if linked[x]:
+            continue
+        places = postings.find(deltas[x])
+        shared = np.bincount(postings.of(places[postings.count[places] > 1]), minlength=len(at))
+        common = (size[x] + size[at] - (d[x] + d[at] - 2 * shared)) // 2
+        fit = (100 * common >= percent * (size[x] + size[at] - common)) & (np.arange(len(at)) != k)
+        if both:
+            fit &= side[at] != side[x]
+        for y in at[fit].tolist():
+            join(x, y)
+    # one far from it: a common token among the rarest, then the full sets
+    far = np.flatnonzero(~near)
+    if len(far) and m > 1:
+        whole = _Postings(sets)
+        prefixes = []
+        for s in sets:
+            places = whole.find(s)
+            prefixes.append(places[np.lexsort((places, whole.count[places]))][: len(s) - (percent * len(s) + 99) // 100 + 1])
+        begins = _Postings(prefixes)
+        for x in far.tolist():
+            places = begins.find(prefixes[x])
+            fit = np.unique(begins.of(places[begins.count[places] > 1]))
+            fit = fit[(fit != x) & (100 * np.minimum(size[fit], size[x]) >= percent * np.maximum(size[fit], size[x]))]
+            if both:
+                fit = fit[side[fit] != side[x]]
+            for y in fit.tolist():
+                if root(x) != root(y):
+                    common = len(np.intersect1d(sets[x], sets[y], True))
+                    if 100 * common >= percent * (size[x] + size[y] - common):
+                        join(x, y)
+    return out
+
+
+def rest_of_stars(done: DataFrame, percent: int, star_shingles: int) -> DataFrame:
+    """(a, b): a forest of the links between members of each star that do not both have one to its pivot."""
+    d = done.where("shingles is not null").select("a", "b", "n_b", "shingles", (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("d"), _linked(percent).alias("linked"))
+    star = d.where("a <> b").groupBy("a").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("nearest"), F.count("*").alias("m"), F.sum("n_b").alias("total")).where("nearest is not null and m > 1")
+    reach = F.col("nearest") - (1 - percent / 100) - 1e-9
+    d = d.join(star, "a").where(~F.col("linked") | (F.col("a") == F.col("b")) | (F.col("d") >= reach))
+    k = F.ceil(F.col("total") / star_shingles).cast("int")
+    mine = F.pmod(F.xxhash64("b"), k).cast("int")
+    every = F.sequence(F.lit(0), k - 1)
+    meets = F.transform(every, lambda i: F.struct(F.least(i, mine).alias("i"), F.greatest(i, mine).alias("j")))
+    all_ = F.flatten(F.transform(every, lambda i: F.transform(F.sequence(i, k - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    dealt = d.select("a", "b", "linked", "shingles", mine.alias("mine"), F.explode(F.when(F.col("a") == F.col("b"), all_).otherwise(meets)).alias("pair")).select("a", "pair.i", "pair.j", "b", "linked", "mine", "shingles")
+
+    def work(key: tuple, table: pa.Table) -> pa.Table:
+        a = key[0].as_py()
+        ids, linked, side = (table.column(c).to_numpy() for c in ("b", "linked", "mine"))
+        sets = [x.values.to_numpy().view(np.uint64) for x in table.column("shingles")]
+        own = ids == a
+        keep = np.flatnonzero(~own)
+        links = []
+        if len(keep) > 1 and not linked[keep].all():
+            pivot = sets[int(np.flatnonzero(own)[0])]
+            links = star_links(ids[keep], [sets[k] for k in keep.tolist()], linked[keep], side[keep], pivot, percent)
+        return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+    return dealt.groupBy("a", "i", "j").applyInArrow(work, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", percent: int = 85, side: int = 10, rows: int = 2, star_shingles: int = 1 << 22) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document; kept where it is its component's smallest id."""
     signed = written(signatures(docs, id_col, text, side, rows), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = written(full.groupBy("class").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys")), "classes")
-    buckets = tensor_buckets(classes.select("id", "keys"), side)
-    texts, edges, component = None, None, None
-    for level in range(levels + 1):
-        # the last level leaves nothing: members of different components are compared in every bucket
-        small = small if level < levels else 1 << 40
-        sized = written(_with_size(buckets.distinct()), "buckets")
-        if component is not None:  # only buckets that lie in several components are left to do
-            sized = written(_unsettled(sized, component), "buckets")
-        if sized.isEmpty():
-            break
-        if texts is None:  # whole texts are dealt once; later comparisons read those of nodes with company
-            texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-            texts = written(texts.join(sized.select("id").distinct(), "id", "left_semi"), "texts")
-        stars = written(_stars(sized), "stars")
-        pairs = stars.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        done = written(compare(pairs, texts), "compared")
-        edges = _more(edges, done.where(_linked(percent)).select("a", "b"))
-        component = written(connected_components(edges), "components")
-        # small buckets: members of different components
-        open_ = _open(stars.where(F.col("size") <= small), component)
-        other = open_.select("bucket", F.col("id").alias("b"), F.col("component").alias("component_b"))
-        rest = open_.select("bucket", F.col("id").alias("a"), "component").join(other, "bucket").where("a < b and component <> component_b").select("a", "b").distinct()
-        # large ones: the common part is within the pivot (an equi-join on the size), or they share a shingle that the pivot lacks
-        left = written(_reachable(_open(stars.where(F.col("size") > small), component), done, percent), "reachable")
-        more = not left.isEmpty()
-        if more:
-            wide = written(compare(left, texts, percent), "compared")
-            wide = wide.select(F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("n_b").alias("n"), "common", "n_a", "new").join(component.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-            unlinked = wide.where(100 * F.col("common") < percent * (F.col("n_a") + F.col("n") - F.col("common")))
-            lo, hi = F.ceil(F.col("n") * percent / 100), F.floor((100 + percent) * F.col("common") / percent) - F.col("n")
-            reach = unlinked.where(hi >= lo).select("pivot", F.col("id").alias("a"), F.col("n").alias("n_1"), F.col("common").alias("common_1"), F.col("c").alias("c_1"), F.explode(F.sequence(lo, hi)).alias("n"))
-            m = F.least("common", "common_1")
-            inside = reach.join(wide.drop("new", "n_a"), ["pivot", "n"]).where((F.col("a") != F.col("id")) & (F.col("c") != F.col("c_1")) & (100 * m >= percent * (F.col("n") + F.col("n_1") - m)))
-            rest = rest.unionByName(inside.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))).distinct()
-        rest = written(rest, "rest")
-        if not rest.isEmpty():
-            again = written(compare(rest, texts), "compared")
-            edges = _more(edges, again.where(_linked(percent)).select("a", "b"))
-            component = written(connected_components(edges), "components")
-        if not more:
-            break
-        buckets = wide.select(F.col("id"), F.explode("new").alias("shingle"), "pivot").select("id", F.xxhash64(F.lit(level), "pivot", "shingle").alias("bucket"))
-    out = signed.join(classes.select("class", "id"), "class", "left")
-    if component is not None:
-        out = out.join(component, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
-    else:
-        out = out.withColumn("component_id", F.col("id"))
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    stars = written(tensor_stars(classes.select("id", "keys"), side), "stars")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    done = written(compare(stars, texts), "compared")
+    edges = done.where(_linked(percent)).where("a <> b").select("a", "b").unionByName(rest_of_stars(done, percent, star_shingles))
+    component = connected_components(edges)
+    dropped(stars)
+    dropped(done)
+    out = signed.select("doc_id", "class", "n_shingles").join(classes.select("class", "id"), "class", "left").join(component, "id", "left")
+    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def _named(stars: DataFrame, component: DataFrame) -> DataFrame:
-    return stars.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-
-def _split(named: DataFrame) -> DataFrame:
-    """Buckets that lie in more than one component."""
-    return named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-
-
-def _open(stars: DataFrame, component: DataFrame) -> DataFrame:
-    """The members, without pivots, of buckets that lie in more than one component."""
-    named = _named(stars, component)
-    return named.join(_split(named), "bucket", "left_semi").where("id <> pivot")
-
-
-def _reachable(open_: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the members b of open large buckets that may still have a link which their pivot a doesn't explain.
-
-    Of two linked members one at least isn't linked to the pivot, else both are in its component. Jaccard distance is a
-    metric: a member within the threshold t of the pivot can reach one that isn't only if it is at least as far from the
-    pivot as the nearest of those, less t.
-    """
-    pairs = open_.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct().join(done.select("a", "b", "n_a", "n_b", "common"), ["a", "b"])
-    d = pairs.select("a", "b", (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("d"), _linked(percent).alias("linked"))
-    nearest = d.where("not linked").groupBy("a").agg(F.min("d").alias("nearest"))
-    return d.join(nearest, "a").where(~F.col("linked") | (F.col("d") >= F.col("nearest") - (1 - percent / 100) - 1e-9)).select("a", "b")
-
-
-def _unsettled(sized: DataFrame, component: DataFrame) -> DataFrame:
-    named = _named(sized, component)
-    return named.join(_split(named), "bucket", "left_semi").select("bucket", "id", "size")
-
-
-def _more(edges: DataFrame | None, new: DataFrame) -> DataFrame:
-    return new if edges is None else edges.unionByName(new)
-
-
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
     """The documents that are their component's smallest id, all columns as they are."""
     verdict = near_duplicates(docs, id_col=id_col, text=text, **parameters)

@@ -28,14 +28,14 @@ def corpus(seed):
     return [(k + 5, t) for k, t in enumerate(out)]
 
 
-@pytest.mark.parametrize(("seed", "small", "percent"), [(1, 24, 85), (2, 3, 80)])
-def test_components(spark, seed, small, percent):
+@pytest.mark.parametrize(("seed", "star", "percent"), [(1, 1 << 22, 85), (2, 500, 80), (3, 2000, 85)])
+def test_components(spark, seed, star, percent):
     docs = corpus(seed)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs] + [(docs[0][0], docs[0][1], "again", 2)], "doc_id long, text string, id string, keys int")
-    got = minhash.near_duplicates(df, small=small, percent=percent).collect()
+    got = minhash.near_duplicates(df, star_shingles=star, percent=percent).collect()
     assert len(got) == len(docs) + 1
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == exact.components(docs, percent)
-    kept = minhash.drop_near_duplicates(df, small=small, percent=percent)
+    kept = minhash.drop_near_duplicates(df, star_shingles=star, percent=percent)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, v in exact.components(docs, percent).items() if v[2]}
 
 
