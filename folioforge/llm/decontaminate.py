@@ -14,9 +14,10 @@ where they begin and end at word borders. Items with more than ``window_chars``
 found wherever it is cut. Windows of an item that meet in a document are one region, whose distance is the least of
 theirs; it is left out where it meets a place of the whole item.
 
-Scale: the documents are read once and not shuffled. The items' q-gram index is broadcast in blocks of items of at
-most ``block_chars`` characters (three times as many for items that have windows), a stated query set against all
-rows: a benchmark of any size makes more blocks.
+Scale: the documents are not shuffled. The items are a stated query set against all rows, searched in blocks of about
+``block_chars`` characters (an item with windows counts three times; some 24 bytes of index a character): a benchmark
+of one block is broadcast and the documents are read once; a larger one is searched block after block, each with a
+written result, so that one block is on the driver and in the executors at a time.
 A very long text is searched in segments that overlap by more than the longest region.
 
 Edge cases: null and empty texts have no leaks; null items are left out; items that repeat an id or a text are each
@@ -25,15 +26,18 @@ reported; a document's repeated rows are each reported; extra columns are left o
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import mix
+from folioforge.llm.common import dropped, mix, written
 
 LEAKS = "doc_id long, item_id long, start long, end long, distance long"
-_TABLE_BITS = 22
+_TABLE_BITS = 24
 _SPACES = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 _IS_SPACE = np.zeros(0x3001, bool)
 _IS_SPACE[_SPACES] = True
@@ -124,46 +128,69 @@ class Items:
         self.table[(self.hash >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
         self.longest = max((len(t) for t in self.text), default=0)
 
-    def candidates(self, a: np.ndarray) -> list[tuple[int, int]]:
-        """(item, first diagonal) of the bands of a text that reach the bound."""
+    def candidates(self, a: np.ndarray, at_once: int = 1 << 20) -> list[tuple[int, int]]:
+        """(item, first diagonal) of the bands of a text that reach the bound.
+
+        Shared q-grams are counted in cells of k + 1 diagonals, two neighbours making a band. A run of equal q-grams in
+        the text meets a place of an item on neighbouring diagonals, so it gives a weight to each cell instead of a
+        count for each diagonal; what is held at a time is bounded by ``at_once`` cells, however repetitive the text.
+        """
         h = gram_hashes(a, self.q)
         at = np.flatnonzero(self.table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
-        if not len(at):
-            return []
         h = h[at]
         lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-        n = hi - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+        hit = hi > lo
+        at, h, lo, n = at[hit], h[hit], lo[hit], (hi - lo)[hit]
         if not len(at):
             return []
-        entry = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        owner = self.owner[entry]
-        diagonal = np.repeat(at, n) - self.place[entry] + self.longest  # not negative
-        step = self.k[owner] + 1
-        band = diagonal // step
-        key = (owner.astype(np.int64) << 40) | band
-        found, count = np.unique(np.concatenate((key, key[band > 0] - 1)), return_counts=True)  # band b holds steps b and b + 1
-        owner, band = found >> 40, found & ((1 << 40) - 1)
-        good = count >= self.need[owner]
+        first = np.append(True, (at[1:] != at[:-1] + 1) | (h[1:] != h[:-1]) | (np.arange(1, len(at)) % 4096 == 0))
+        begin = np.flatnonzero(first)
+        length = np.diff(np.append(begin, len(at)))
+        at, lo, n = at[begin], lo[begin], n[begin]
+        before = np.append(0, np.cumsum(n))
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for x in range(0, int(before[-1]), at_once):
+            pair = np.arange(x, min(x + at_once, int(before[-1])))
+            run = np.searchsorted(before, pair, "right") - 1
+            entry = lo[run] + pair - before[run]
+            owner = self.owner[entry]
+            step = self.k[owner] + 1
+            d0 = at[run] - self.place[entry] + self.longest  # not negative
+            d1 = d0 + length[run] - 1
+            c0 = d0 // step
+            cells = d1 // step - c0 + 1
+            upto = np.append(0, np.cumsum(cells))
+            y = 0
+            while y < len(pair):
+                z = max(y + 1, int(np.searchsorted(upto, upto[y] + at_once, "right")) - 1)
+                part = np.repeat(np.arange(y, z), cells[y:z])
+                cell = c0[part] + np.arange(len(part)) - (upto[part] - upto[y])
+                weight = np.minimum(d1[part], (cell + 1) * step[part] - 1) - np.maximum(d0[part], cell * step[part]) + 1
+                keys, where = np.unique(np.concatenate((keys, (owner[part].astype(np.int64) << 40) | cell)), return_inverse=True)
+                counts = np.bincount(where, np.concatenate((counts, weight))).astype(np.int64)
+                y = z
+        band, where = np.unique(np.concatenate((keys, keys[(keys & ((1 << 40) - 1)) > 0] - 1)), return_inverse=True)
+        total = np.bincount(where, np.concatenate((counts, counts[(keys & ((1 << 40) - 1)) > 0]))).astype(np.int64)
+        owner, band = band >> 40, band & ((1 << 40) - 1)
+        good = total >= self.need[owner]
         return [(int(o), int(b * (self.k[o] + 1) - self.longest)) for o, b in zip(owner[good], band[good], strict=True)]
 
     def search(self, a: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, start, end, distance) of each region within its item's budget; overlapping ones of an item count once."""
         found: list[tuple[int, int, int, int]] = []
+        latest: dict[int, int] = {}  # of each item the place found last; bands come in the order of their diagonals
         for o, d in self.candidates(a):
-            k = int(self.k[o])
-            lo, hi = max(0, d - k), min(len(a), d + 2 * (k + 1) + len(self.text[o]) + k)
-            hit = align(self.text[o], a[lo:hi], k)
+            hit = align(self.text[o], a, d, int(self.k[o]))
             if hit:
-                s, e, dist = hit[0] + lo, hit[1] + lo, hit[2]
-                same = next((x for x in found if x[0] == o and x[1] < e and s < x[2]), None)
-                if same is None:
-                    found.append((o, s, e, dist))
-                elif dist < same[3]:
-                    found[found.index(same)] = (o, s, e, dist)
+                before = latest.get(o)
+                if before is not None and found[before][1] < hit[1] and hit[0] < found[before][2]:
+                    if hit[2] < found[before][3]:
+                        found[before] = (o, *hit)
+                elif before is None or found[before][1:] != hit:
+                    latest[o] = len(found)
+                    found.append((o, *hit))
         return found
 
-
     def search_short(self, a: np.ndarray, lo: int, hi: int) -> list[tuple[int, int, int, int]]:
         """(item number, item id, start, end) of each exact place of a short item that starts in a[lo:hi]."""
         out = []
@@ -187,56 +214,74 @@ def _border(a: np.ndarray, i: int) -> bool:
     return i == 0 or i == len(a) or not (chr(a[i - 1]).isalnum() and chr(a[i]).isalnum())
 
 
-def align(item: np.ndarray, region: np.ndarray, k: int) -> tuple[int, int, int] | None:
-    """(start, end, distance) of the best place of an item in a region, if within k edits."""
-    at = region.tobytes().find(item.tobytes())
-    while at % 4 and at >= 0:
-        at = region.tobytes().find(item.tobytes(), at + 1)
-    if at >= 0:
-        return at // 4, at // 4 + len(item), 0
-    last = _last_row(item, region, np.zeros(len(region) + 1, np.int64), k)
-    end = int(np.argmin(last)) if last is not None else 0
-    if last is None or last[end] > k:
+def align(item: np.ndarray, text: np.ndarray, d: int, k: int) -> tuple[int, int, int] | None:
+    """(start, end, distance) of the best place of an item whose matches lie on the diagonals d to d + 2k + 1, if within k edits.
+
+    Only diagonals that such a place can reach, k to either side, are computed.
+    """
+    m = len(item)
+    lo, hi = max(0, d - k), min(len(text), d + 3 * k + 2 + m)
+    at = _find(item, text[lo:hi])
+    if at is not None:
+        return lo + at, lo + at + m, 0
+    last = _band(item, text, d - k, 4 * k + 2, np.zeros(4 * k + 2, np.int64), k)
+    if last is None or last.min() > k:
         return None
-    first = np.arange(end + 1)
-    back = _last_row(item[::-1], region[:end][::-1], first, k)
-    return end - int(np.argmin(back)), end, int(last[end])
-
-
-def _last_row(item: np.ndarray, region: np.ndarray, row: np.ndarray, k: int) -> np.ndarray | None:
-    """The alignment's last row of costs, from its first; a row that is all beyond k ends it. The region is the band."""
-    step = np.arange(len(region) + 1)
-    for i, c in enumerate(item, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        np.minimum(row[:-1] + (region != c), row[1:] + 1, out=new[1:])
+    end = min(len(text), d - k + m + int(np.argmin(last)))
+    first = np.abs(np.arange(-k, k + 1))
+    first[:k] = 2 * k + 2  # the reversed item starts where the place ends
+    back = _band(item[::-1], text[:end][::-1], -k, 2 * k + 1, first, k)
+    return max(0, end - (m - k + int(np.argmin(back)))), end, int(last.min())
+
+
+def _find(item: np.ndarray, text: np.ndarray) -> int | None:
+    where, what = text.tobytes(), item.tobytes()
+    at = where.find(what)
+    while at % 4 and at >= 0:
+        at = where.find(what, at + 1)
+    return at // 4 if at >= 0 else None
+
+
+def _band(item: np.ndarray, text: np.ndarray, d: int, width: int, row: np.ndarray, k: int) -> np.ndarray | None:
+    """Costs at the item's end on the diagonals d to d + width - 1, from those at its start; a row that is all beyond k ends it.
+
+    Positions outside the text match nothing, which costs as much as leaving the item's character out.
+    """
+    m = len(item)
+    near = np.full(m + width, 0xFFFFFFFF, np.uint32)
+    lo, hi = max(0, d), min(len(text), d + m + width)
+    if hi > lo:
+        near[lo - d : hi - d] = text[lo:hi]
+    step, new = np.arange(width), np.empty(width, np.int64)
+    for i, c in enumerate(item):
+        np.add(row, near[i : i + width] != c, out=new)
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
         row = np.minimum.accumulate(new - step) + step
         if row.min() > k:
             return None
     return row
 
 
-def search_text(items: list[Items], text: str, segment: int) -> list[tuple[int, int, int, int]]:
-    """(item id, start, end, distance) over all blocks, in positions of the original text."""
+def search_text(block: Items, text: str, segment: int) -> list[tuple[int, int, int, int]]:
+    """(item id, start, end, distance) of a block of items, in positions of the original text."""
     a, at = normalise(text)
     out = []
-    for block in items:
-        overlap = 3 * block.longest + 64
-        found: dict = {}
-        for lo in range(0, max(1, len(a)), segment):
-            for o, s, e, dist in block.search(a[lo : lo + segment + overlap]):
-                found[(o, s + lo, e + lo)] = dist
-        taken: list = []
-        for (o, s, e), dist in sorted(found.items(), key=lambda x: (x[0][0], x[1], x[0][1])):
-            if not any(x[0] == o and x[1] < e and s < x[2] for x in taken):
-                taken.append((o, s, e, dist))
-        out += [(block.ids[o], int(at[s]), int(at[e - 1]) + 1, dist) for o, s, e, dist in _regions(block, taken)]
-        last: dict = {}
-        for lo in range(0, len(a), segment):
-            for number, item_id, s, e in block.search_short(a, lo, min(len(a), lo + segment)):
-                if s >= last.get(number, 0):
-                    last[number] = e
-                    out.append((item_id, int(at[s]), int(at[e - 1]) + 1, 0))
+    overlap = 3 * block.longest + 64
+    found: dict = {}
+    for lo in range(0, max(1, len(a)), segment):
+        for o, s, e, dist in block.search(a[lo : lo + segment + overlap]):
+            found[(o, s + lo, e + lo)] = dist
+    taken: list = []
+    for (o, s, e), dist in sorted(found.items(), key=lambda x: (x[0][0], x[1], x[0][1])):
+        if not taken or taken[-1][0] != o or s >= taken[-1][2]:
+            taken.append((o, s, e, dist))
+    out += [(block.ids[o], int(at[s]), int(at[e - 1]) + 1, dist) for o, s, e, dist in _regions(block, taken)]
+    last: dict = {}
+    for lo in range(0, len(a), segment):
+        for number, item_id, s, e in block.search_short(a, lo, min(len(a), lo + segment)):
+            if s >= last.get(number, 0):
+                last[number] = e
+                out.append((item_id, int(at[s]), int(at[e - 1]) + 1, 0))
     return out
 
 
@@ -250,46 +295,82 @@ def _regions(block: Items, taken: list) -> list:
             out[-1] = (before[0], before[1], max(e, before[2]), min(dist, before[3]))
         else:
             out.append((o, s, e, dist))
-    return whole + [x for x in out if not any(block.item[w[0]] == block.item[x[0]] and w[1] < x[2] and x[1] < w[2] for w in whole)]
-
-
-def _index(benchmark: DataFrame, item_id: str, text: str, q: int, edit_rate: float, min_chars: int, window_chars: int, block_chars: int):
-    """Broadcast q-gram indexes, one for each block of items."""
-    rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("text is not null")
-    total = rows.agg(F.sum(F.length("text") * F.when(F.length("text") > window_chars, 3).otherwise(1))).first()[0] or 0
-    n = max(1, -(-total // block_chars))
-    out = []
-    for k in range(n):  # one block of items on the driver at a time
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in part], q, edit_rate, min_chars, window_chars)))
-    return out
+    # the places of a whole item do not overlap each other, so the one that ends first after a window's start decides
+    by_item: dict[int, list] = {}
+    for x in whole:
+        by_item.setdefault(block.item[x[0]], []).append(x)
+    rest = []
+    for x in out:
+        places = by_item.get(block.item[x[0]], [])
+        at = bisect_right(places, x[1], key=lambda w: w[2])
+        if at == len(places) or places[at][1] >= x[2]:
+            rest.append(x)
+    return whole + rest
+
+
+@dataclass
+class _Blocks:
+    """The benchmark in blocks of items, of which one at a time is on the driver and broadcast."""
+
+    benchmark: DataFrame
+    item_id: str
+    text: str
+    q: int
+    edit_rate: float
+    min_chars: int
+    window_chars: int
+    block_chars: int
+
+    def __post_init__(self):
+        self.rows = self.benchmark.select(F.col(self.item_id).cast("long").alias("item_id"), F.col(self.text).alias("text")).where("text is not null")
+        total = self.rows.agg(F.sum(F.length("text") * F.when(F.length("text") > self.window_chars, 3).otherwise(1))).first()[0] or 0
+        self.n = max(1, -(-total // self.block_chars))
+
+    def broadcast(self, k: int):
+        part = self.rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(self.n)) == k).collect()
+        return self.benchmark.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in part], self.q, self.edit_rate, self.min_chars, self.window_chars))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 12, edit_rate: float = 0.06, min_chars: int = 40, window_chars: int = 160, block_chars: int = 2 << 20, segment: int = 1 << 18) -> DataFrame:
+    """(doc_id, item_id, start, end, distance) of every region of a document within the edit budget of an item."""
+    blocks = _Blocks(benchmark, item_id, item_text, q, edit_rate, min_chars, window_chars, block_chars)
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int64())])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
+    def found(items) -> DataFrame:
+        def find(batches):
+            for batch in batches:
+                out = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if t.as_py() for x in search_text(items.value, t.as_py(), segment)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
-def _searcher(blocks, segment: int):
-    return lambda text: search_text([b.value for b in blocks], text, segment) if text else []
+        return rows.mapInArrow(find, LEAKS)
 
+    return _each(blocks, lambda items, so_far: found(items) if so_far is None else so_far.unionByName(found(items)))
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 12, edit_rate: float = 0.06, min_chars: int = 40, window_chars: int = 160, block_chars: int = 8 << 20, segment: int = 1 << 18) -> DataFrame:
-    """(doc_id, item_id, start, end, distance) of every region of a document within the edit budget of an item."""
-    blocks = _index(benchmark, item_id, item_text, q, edit_rate, min_chars, window_chars, block_chars)
-    search = _searcher(blocks, segment)
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int64())])
 
-    def find(batches):
-        for batch in batches:
-            out = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in search(t.as_py())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 12, edit_rate: float = 0.06, min_chars: int = 40, window_chars: int = 160, block_chars: int = 2 << 20, segment: int = 1 << 18) -> DataFrame:
+    """The documents without those that have a leak, all columns as they are."""
+    blocks = _Blocks(benchmark, item_id, item_text, q, edit_rate, min_chars, window_chars, block_chars)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(find, LEAKS)
+    def left(items, so_far: DataFrame | None) -> DataFrame:
+        def keep(batches):
+            for batch in batches:
+                yield batch.filter(pa.array([not (t.as_py() and search_text(items.value, t.as_py(), segment)) for t in batch.column(batch.schema.get_field_index(text))], pa.bool_()))
 
+        return (docs if so_far is None else so_far).mapInArrow(keep, docs.schema)
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 12, edit_rate: float = 0.06, min_chars: int = 40, window_chars: int = 160, block_chars: int = 8 << 20, segment: int = 1 << 18) -> DataFrame:
-    """The documents without those that have a leak, all columns as they are."""
-    blocks = _index(benchmark, item_id, item_text, q, edit_rate, min_chars, window_chars, block_chars)
-    search = _searcher(blocks, segment)
+    return _each(blocks, left)
 
-    def keep(batches):
-        for batch in batches:
-            yield batch.filter(pa.array([not search(t.as_py()) for t in batch.column(text)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+def _each(blocks: _Blocks, step) -> DataFrame:
+    """The step for each block; between two blocks the result is written and the block's broadcast ends."""
+    out = None
+    for k in range(blocks.n):
+        items = blocks.broadcast(k)
+        before, out = out, step(items, out)
+        if blocks.n > 1:
+            out = written(out, "leaks")
+            items.unpersist()
+            if before is not None:
+                dropped(before)
+    return out
