@@ -24,7 +24,7 @@ Everything is DataFrame functions. Templates are a literal list, whose size is c
 joins on the terms of the distinct licence files.
 Edge cases: null texts and texts without a match have no licence; null paths have no directory and inherit
 nothing; a path given twice is judged per row; several licence files in a directory: the most common licence, then
-the name; empty tables give empty results.
+the name; empty tables give empty results; input columns named like one of the three that are added are replaced.
 """
 
 from __future__ import annotations
@@ -173,8 +173,11 @@ def scan_licences(files: DataFrame, *, path: str = "path", text: str = "text", t
     unknown = math.log(1 + n) + 1
     terms = heavy_terms(templates, idf, threshold)
     heavy = r"(?i)(?<![a-z0-9])(" + "|".join(terms) + r")(?![a-z0-9])"
-    lines = F.when(F.rlike(F.col(text), F.lit(heavy)), F.split(F.col(text), "\n"))
-    f = files.withColumn("__licence_file", F.coalesce(F.regexp_like(path, F.lit(r"(?i)(^|/)(licen[cs]e|copying)[^/]*$")) if is_licence_file is None else is_licence_file, F.lit(False)))
+    lines = F.when(F.rlike(F.col("__text"), F.lit(heavy)), F.split(F.col("__text"), "\n"))
+    kept = [F.col(c) for c in files.columns if c not in (text, "own_licence", "licence", "licence_from")]
+    named_so = F.regexp_like(F.col(path), F.lit(r"(?i)(^|/)(licen[cs]e|copying)[^/]*$")) if is_licence_file is None else is_licence_file
+    f = files.select(F.struct(*kept).alias("__in"), F.col(path).alias("__path"), F.col(text).alias("__text"), F.coalesce(named_so, F.lit(False)).alias("__licence_file"))
+    path, text = "__path", "__text"
     if full:
         whole = full_licences(f.where("__licence_file"), full, text, full_threshold)
         other = F.concat(F.lit("-"), F.xxhash64(path, text).cast("string"))  # meets nothing, and spreads the other files
@@ -187,17 +190,16 @@ def scan_licences(files: DataFrame, *, path: str = "path", text: str = "text", t
     f = f.drop(text, "__l")
     names = F.array(*[F.lit(k) for k, _ in sorted(templates)])
     counts = F.transform(names, lambda k: F.struct((-F.size(F.filter("__m", lambda x: x == k))).alias("n"), k.alias("k")))
-    f = f.withColumn("own_licence", F.when(F.size("__m") > 0, F.array_min(counts)["k"])).drop("__m")
+    f = f.withColumn("__own", F.when(F.size("__m") > 0, F.array_min(counts)["k"])).drop("__m")
     if full:
-        f = f.join(whole.withColumnRenamed("key", "__key"), "__key", "left").withColumn("own_licence", F.coalesce("full", "own_licence")).drop("__key", "full")
+        f = f.join(whole.select(F.col("key").alias("__key"), F.col("full").alias("__full")), "__key", "left").withColumn("__own", F.coalesce("__full", "__own")).drop("__key", "__full")
     directory = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
     f = f.withColumn("__dir", F.when(F.col(path).contains("/"), directory).otherwise(F.when(F.col(path).isNotNull(), "")))
-    given = f.where("__licence_file and own_licence is not null and __dir is not null").groupBy(F.col("__dir").alias("above"), "own_licence").count()
-    given = given.groupBy("above").agg(F.min(F.struct((-F.col("count")).alias("n"), "own_licence"))["own_licence"].alias("given"))
+    given = f.where("__licence_file and __own is not null and __dir is not null").groupBy(F.col("__dir").alias("above"), "__own").count()
+    given = given.groupBy("above").agg(F.min(F.struct((-F.col("count")).alias("n"), "__own"))["__own"].alias("given"))
     parts = F.split("__dir", "/")
-    up = f.where("own_licence is null and __dir is not null").select("__dir").distinct()
+    up = f.where("__own is null and __dir is not null").select("__dir").distinct()
     up = up.withColumn("above", F.explode(F.concat(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")), F.array(F.lit("")))))
-    near = up.distinct().join(given, "above").groupBy("__dir").agg(F.max_by(F.struct("above", "given"), F.length("above")).alias("near"))
+    near = up.distinct().join(given, "above").groupBy("__dir").agg(F.max_by(F.struct("above", "given"), F.length("above")).alias("__near"))
     out = f.join(near, "__dir", "left")
-    out = out.withColumn("licence", F.coalesce("own_licence", F.col("near.given"))).withColumn("licence_from", F.when(F.col("own_licence").isNull(), F.col("near.above")))
-    return out.drop("__dir", "__licence_file", "near")
+    return out.select("__in.*", F.col("__own").alias("own_licence"), F.coalesce("__own", "__near.given").alias("licence"), F.when(F.col("__own").isNull(), F.col("__near.above")).alias("licence_from"))

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from folioforge.llm import decontaminate, licence_scan
 
@@ -84,6 +85,19 @@ def test_short_items_and_excerpts_of_long_ones_are_found(spark):
     assert {r.doc_id for r in decontaminate.without_leaks(df, bench).collect()} == {2, 5, 9}
 
 
+def test_long_repetitive_texts_stay_in_bounds():
+    block = decontaminate.Items([(1, "a" * 700), (2, "ab" * 300)], 12, 0.06, 40, 4000)
+    assert {x[0] for x in decontaminate.search_text(block, "a" * 300_000, 1 << 18)} == {1}
+    assert {x[0] for x in decontaminate.search_text(block, "ab" * 50_000, 1 << 18)} == {2}
+
+
+def test_band_counts_do_not_depend_on_the_chunk():
+    rng = random.Random(8)
+    block = decontaminate.Items([(k, "".join(rng.choices("ab", k=90))) for k in range(5)], 6, 0.1, 40, 4000)
+    text, _ = decontaminate.normalise("".join(rng.choices("ab", k=2000)) + "a" * 500)
+    assert block.candidates(text) == block.candidates(text, 7) != []
+
+
 def test_verbatim_items_are_found(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     want = {(d.doc_id, b.item_id) for d in docs.collect() for b in bench.collect() if norm(b.text) in norm(d.text)}
@@ -96,13 +110,13 @@ def test_licences(spark):
         (1, "r/LICENSE", mit), (2, "r/a/b/x.txt", "text\nmore"), (3, "r/a/COPYING", f"{gpl}\n{gpl}\n{mit}"), (4, "r/a/c/y.txt", None), (5, "r/z.txt", f"head\n{mit.upper()}\nbody"),
         (6, "q/z.txt", "none"), (7, None, mit), (8, None, "none"), (9, "LICENSE", gpl), (10, "r/n.txt", "this is a long line that speaks of some license in passing and of a public version of it"), (10, "r/n.txt", "twice"),
     ]
-    df = spark.createDataFrame([(i, p, t, "mine") for i, p, t in rows], "doc_id long, path string, text string, near string")
-    got = {r.doc_id: (r.own_licence, r.licence, r.licence_from) for r in licence_scan.scan_licences(df.drop("near")).collect()}
+    df = spark.createDataFrame([(i, p, t, "mine") for i, p, t in rows], "doc_id long, path string, text string, near string").withColumns({c: F.lit("x") for c in ("above", "given", "full", "key", "licence", "own_licence")})
+    got = {r.doc_id: (r.own_licence, r.licence, r.licence_from) for r in licence_scan.scan_licences(df).collect()}
     assert got == {
         1: ("MIT", "MIT", None), 2: (None, "GPL-3.0", "r/a"), 3: ("GPL-3.0", "GPL-3.0", None), 4: (None, "GPL-3.0", "r/a"), 5: ("MIT", "MIT", None),
         6: (None, "GPL-3.0", ""), 7: ("MIT", "MIT", None), 8: (None, None, None), 9: ("GPL-3.0", "GPL-3.0", None), 10: (None, "MIT", "r"),
     }
-    assert licence_scan.scan_licences(df.drop("near").limit(0)).count() == 0
+    assert licence_scan.scan_licences(df.limit(0)).count() == 0
 
 
 def test_licences_of_wrapped_embedded_and_full_texts(spark):
