@@ -145,8 +145,8 @@ def compare(stars: DataFrame, docs: DataFrame) -> DataFrame:
     Where other members share a bucket (size over 2) the shingles of b follow, and once a task a row (a, a) those of a.
     docs: (id, text). They are dealt by their id once, for both sides. Rows come sorted by a, whose set is held.
     """
-    b = stars.join(docs.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    a = docs.join(stars.select(F.col("a").alias("id")).distinct(), "id").select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    b = stars.hint("merge").join(docs.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    a = docs.join(stars.select(F.col("a").alias("id")).distinct().hint("merge"), "id").select(F.col("id").alias("a"), F.col("text").alias("text_a"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, mine, told = None, None, None
