@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from folioforge.functions import numbers
 
-#: Typographic signs and what they become before comparison.
-QUOTES_FROM, QUOTES_TO = "“”„‟‘’‚‛", "\"\"\"\"''''"
 #: ASCII punctuation and the signs that count with it.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~…–—“”‘’"
 
 
+#: White space of all scripts, as the inside of a character class.
+SPACE = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: Words of punctuation that stay in a prompt, and the largest number that is spelled out there.
+PROMPT_SIGNS, MOST_SPELLED = ("...", "…", "—", "–", "-"), 999
+
+
 def regex_class(chars: str) -> str:
     """The inside of a character class that holds these characters."""
     return "".join("\\" + c if c in "\\]^-[&~" else c for c in chars)
@@ -18,7 +28,9 @@ def regex_class(chars: str) -> str:
 
 def clean_line_ends(c: Column) -> Column:
     """CRLF and CR to LF, no blanks before LF."""
-    return F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"[ \t]+\n", "\n")
+    lines = F.split(F.regexp_replace(c, r"\r\n?", "\n"), "\n")
+    last = F.size(lines) - 1
+    return F.array_join(F.transform(lines, lambda x, i: F.when(i < last, F.rtrim(x, F.lit(" \t"))).otherwise(x)), "\n")
 
 
 def collapse_space(c: Column) -> Column:
@@ -27,7 +39,21 @@ def collapse_space(c: Column) -> Column:
 
 def words_with_space(c: Column) -> Column:
     """Words with the white space that follows each; leading white space is dropped."""
-    return F.regexp_extract_all(F.regexp_replace(c, r"^[ \t\n\r\f]+", ""), F.lit(r"([^ \t\n\r\f]+[ \t\n\r\f]*)"), F.lit(1))
+    return F.regexp_extract_all(F.regexp_replace(c, f"^[{SPACE}]+", ""), F.lit(f"([^{SPACE}]+[{SPACE}]*)"), F.lit(1))
+
+
+def spoken_words(c: Column) -> Column:
+    """Words that are more than punctuation."""
+    return F.filter(words_with_space(c), lambda x: ~blank_or_punctuation(x))
+
+
+def word_parts(word: Column) -> Column:
+    """struct<before, core, after>: punctuation and white space around a word, and what is between."""
+    edge = SPACE + regex_class(PUNCTUATION)
+    before = F.regexp_extract(word, f"^[{edge}]*", 0)
+    rest = F.substring(word, F.length(before) + 1, F.length(word))
+    core = F.regexp_extract(rest, rf"^((?s:.)*[^{edge}])", 1)
+    return F.struct(before.alias("before"), core.alias("core"), F.substring(rest, F.length(core) + 1, F.length(rest)).alias("after"))
 
 
 def vocalizable(c: Column) -> Column:
@@ -37,32 +63,118 @@ def vocalizable(c: Column) -> Column:
 
 def blank_or_punctuation(c: Column) -> Column:
     """Only white space and punctuation; the empty string, too."""
-    return F.rlike(c, F.lit("^[\\s" + regex_class(PUNCTUATION) + "]*$"))
+    return F.rlike(c, F.lit(rf"^[{SPACE}" + regex_class(PUNCTUATION) + r"]*\z"))
+
+
+#: The signs of SPACE.
+_BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def trailing_line_breaks(c: Column) -> Column:
     """Line feeds in the white space at the end."""
-    return F.length(F.regexp_replace(F.regexp_extract(c, r"([ \t\n\r\f]*)$", 1), r"[^\n]", ""))
+    return F.length(F.regexp_replace(F.substring(c, F.length(F.rtrim(c, F.lit(_BLANKS))) + 1, F.length(c)), r"[^\n]", ""))
+
+
+@F.pandas_udf(StringType())
+def _compatible(c: pd.Series) -> pd.Series:
+    return c.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
+@F.pandas_udf(StringType())
+def _compatible_folded(c: pd.Series) -> pd.Series:
+    return c.map(lambda t: t if t is None else t.lower() if t.isascii() else unicodedata.normalize("NFKC", t).casefold())
+
+
+@F.pandas_udf(StringType())
+def _without_marks(c: pd.Series) -> pd.Series:
+    def bare(t: str) -> str:
+        kept = (x if x in "ñÑ" else unicodedata.normalize("NFC", "".join(y for y in unicodedata.normalize("NFD", x) if unicodedata.category(y) != "Mn")) for x in unicodedata.normalize("NFC", t))
+        return "".join(kept)
+
+    return c.map(lambda t: t if t is None or t.isascii() else bare(t))
+
 
+def general_form(c: Column) -> Column:
+    """Compatibility forms, plain quotes, no symbols or signs without a look of their own, one blank at a time."""
+    return _plain(_compatible(c))
 
-def compare_form(c: Column) -> Column:
-    """For comparison: plain quotes, lower case, no apostrophes inside words, other punctuation to blanks, one blank at a time."""
-    c = F.lower(F.translate(c, QUOTES_FROM, QUOTES_TO))
-    c = F.replace(c, F.lit("ß"), F.lit("ss"))
-    c = F.regexp_replace(c, r"([\p{L}\p{N}])'|'([\p{L}\p{N}])", "$1$2")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
+
+def _plain(c: Column) -> Column:
+    return collapse_space(F.regexp_replace(F.translate(c, "’“”", "'\"\""), r"[\p{So}\p{Sk}\p{Cf}\p{Cs}\p{Co}\p{Cn}]", ""))
+
+
+def without_marks(c: Column) -> Column:
+    """Letters without their diacritics, but for ñ."""
+    return _without_marks(c)
+
+
+def compare_form(c: Column, language: str = "") -> Column:
+    """For comparison: general form, case folded, no apostrophes beside word signs, the language's step, punctuation to blanks.
+
+    English: hyphens to blanks and number words to digits; Spanish: cardinals to digits and no diacritics.
+    """
+    c = _plain(_compatible_folded(c))
+    c = F.regexp_replace(c, r"(?<=[\p{L}\p{N}_])'|'(?=[\p{L}\p{N}_])", "")
+    if language == "en":
+        c = numbers.english_digits(collapse_space(F.replace(c, F.lit("-"), F.lit(" "))))
+    elif language == "es":
+        c = without_marks(numbers.spanish_digits(c))
+    c = F.regexp_replace(c, "[" + regex_class("".join(x for x in PUNCTUATION if x not in "“”‘’")) + "]", " ")
+    return collapse_space(F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}_{SPACE}]", ""))
+
+
+def light_form(c: Column) -> Column:
+    """For alignment: lower case, without all but word signs and white space."""
+    return F.regexp_replace(F.lower(c), rf"[^\p{{L}}\p{{N}}_{SPACE}]", "")
 
 
 def file_name_form(c: Column, max_length: int = 50) -> Column:
-    """Letters, digits, ``-`` and ``_`` only, cut to a length."""
-    c = F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9_-]+", "_"), r"_{2,}", "_")
-    return F.regexp_replace(F.substring(F.regexp_replace(c, r"^_+|_+$", ""), 1, max_length), r"_+$", "")
+    """The first ``max_length`` signs with ``_`` for all but letters and digits, once and not at the ends."""
+    return F.trim(F.regexp_replace(F.substring(c, 1, max_length), r"[^A-Za-z0-9]+", "_"), F.lit("_"))
+
+
+def prompt_form(c: Column, spell: bool = True, un_caps: bool = False) -> Column:
+    """A prompt: general form, runs of dots shortened, loose punctuation dropped but for ellipses and dashes, small numbers spelled (English)."""
+    c = F.replace(F.regexp_replace(F.regexp_replace(general_form(c), r"\.{3,}", "..."), "…+", "…"), F.lit(" . . . "), F.lit(" ... "))
+    c = F.array_join(F.filter(F.split(c, " "), lambda x: ~blank_or_punctuation(x) | x.isin(*PROMPT_SIGNS)), " ")
+    if un_caps:
+        c = lower_opening(c)
+    return collapse_space(numbers.spelled(c, MOST_SPELLED) if spell else c)
+
+
+def lower_opening(c: Column, least: int = 3) -> Column:
+    """If the first ``least`` words with letters are in capitals, all words before one with a small letter become small."""
+    words = words_with_space(c)
+    small = lambda x: F.rlike(x, F.lit(r"\p{Ll}"))
+    first = F.coalesce(F.nullif(F.array_position(F.transform(words, small), True), F.lit(0)) - 1, F.size(words).cast("long"))
+    capitals = F.size(F.filter(F.slice(words, 1, first.cast("int")), lambda x: F.rlike(x, F.lit(r"\p{L}"))))
+    return F.when((capitals < least) | (F.size(words) == 0), c).otherwise(F.array_join(F.transform(words, lambda x, i: F.when(i < first, F.lower(x)).otherwise(x)), ""))
+
+
+def replaced_in_order(c: Column, pairs: list[tuple[str, str]]) -> Column:
+    """Literal replacements, one after the other."""
+    for a, b in pairs:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
 
 
 def ellipsize(c: Column, length: int) -> Column:
     return F.when(F.length(c) > length, F.concat(F.rtrim(F.substring(c, 1, length - 3)), F.lit("..."))).otherwise(c)
 
 
+def ellipsize_middle(c: Column, length: int, mark: str = "…") -> Column:
+    """A text that is too long loses its middle."""
+    head = (length - len(mark) + 1) // 2
+    tail = length - len(mark) - head
+    return F.when(F.length(c) > length, F.concat(F.substring(c, 1, head), F.lit(mark), F.substring(c, -tail, tail) if tail else F.lit(""))).otherwise(c)
+
+
+def stamp(seconds: Column) -> Column:
+    """hh:mm:ss.mmm of seconds, tenths of milliseconds cut."""
+    ms = F.floor(seconds * 1000 + 1e-6).cast("long")
+    return F.when(ms.isNotNull(), F.format_string("%02d:%02d:%02d.%03d", F.floor(ms / 3600000), F.floor(ms % 3600000 / 60000), F.floor(ms % 60000 / 1000), ms % 1000))
+
+
 def clock(seconds: Column) -> Column:
     """h:mm:ss, or m:ss below an hour; null for null."""
     s = F.floor(seconds).cast("long")

@@ -1,8 +1,9 @@
 """Text to sentences, phrases with ordered boundary reasons, and groups bounded in words.
 
 Sentences follow a rule of this library: a break after ``.``, ``!``, ``?`` or ``…`` with closing quotes and white
-space, and after line feeds. Phrases are cut before ``(`` and after ``, `` ``; `` ``: `` ``" `` ``” `` ``–`` ``—`` ``)``.
-Pieces without a letter or digit join the one before.
+space, unless an abbreviation or an initial ends there or a small letter follows, and after line feeds. Phrases are cut
+before ``(`` and after ``, `` ``; `` ``: `` ``" `` ``” `` ``–`` ``—`` ``)``. Pieces of white space and punctuation join
+the one before.
 """
 
 from __future__ import annotations
@@ -11,10 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioforge.functions.text import clean_line_ends, trailing_line_breaks, vocalizable, words_with_space
+from folioforge.functions.text import _BLANKS, blank_or_punctuation, clean_line_ends, trailing_line_breaks, vocalizable, words_with_space
 
 #: Boundary reasons by level.
 REASONS = ("undefined", "w", "isqe", "is", "s", "p", "x", "xx")
+#: Words whose full stop ends no sentence.
+ABBREVIATIONS = "Mr Mrs Ms Dr Prof St Sr Jr vs Mt Capt Col Gen Lt Sgt Rev Hon No Vol Fig Sra Dra Ud Uds Herr Fr Nr bzw Mme Mlle".split()
+#: Words of a group that is short, by strategy, and the level that closes groups.
+STRATEGIES = {"sentence": (0, "s"), "normal": (2, "s"), "multi": (9999, "s"), "max_len": (0, "p")}
 _CUT = "\u0001"
 
 
@@ -23,23 +28,26 @@ def level(reason: Column) -> Column:
 
 
 def _pieces(marked: Column) -> Column:
-    """Split at the marks; what can't be spoken joins the piece before."""
+    """Split at the marks; white space and punctuation join the piece before."""
     parts = F.filter(F.split(marked, _CUT), lambda x: x != "")
-    return F.split(F.ltrim(F.array_join(F.transform(parts, lambda x, i: F.concat(F.when((i > 0) & vocalizable(x), _CUT).otherwise(""), x)), ""), F.lit(_CUT)), _CUT)
+    return F.split(F.ltrim(F.array_join(F.transform(parts, lambda x, i: F.concat(F.when((i > 0) & ~blank_or_punctuation(x), _CUT).otherwise(""), x)), ""), F.lit(_CUT)), _CUT)
 
 
 def sentences(text: Column) -> Column:
-    return _pieces(F.regexp_replace(clean_line_ends(text), r"([.!?…][\"”’)]*[ \t\n\r\f]+|\n[ \t\n\r\f]*)", "$1" + _CUT))
+    marked = F.regexp_replace(clean_line_ends(text), r"([.!?…][\"”’)]*[ \t\n\r\f]+|\n[ \t\n\r\f]*)", "$1" + _CUT)
+    marked = F.regexp_replace(marked, rf"((?:^|[^\p{{L}}])(?:{'|'.join(ABBREVIATIONS)}|\p{{Lu}})\.[ \t]+){_CUT}", "$1")
+    return _pieces(F.regexp_replace(marked, rf"([.…][\"”’)]*[ \t]+){_CUT}(\p{{Ll}})", "$1$2"))
 
 
 def phrase_texts(sentence: Column) -> Column:
-    return _pieces(F.regexp_replace(F.regexp_replace(sentence, r"([\"”,;:] |[–—)])", "$1" + _CUT), r"\(", _CUT + "("))
+    return _pieces(F.regexp_replace(F.regexp_replace(sentence, r"([\"”,;:] [ \t\n\r\f]*|[–—)][ \t\n\r\f]*)", "$1" + _CUT), r"\(", _CUT + "("))
 
 
 def phrases(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, sentence_index, phrase_index in the sentence, text, reason, n_words) of every phrase."""
     s = docs.where(F.col(text) != "").select(id_col, F.posexplode(sentences(F.col(text))).alias("sentence_index", "sentence"))
-    p = s.select(id_col, "sentence_index", F.size(phrase_texts(F.col("sentence"))).alias("n"), F.posexplode(phrase_texts(F.col("sentence"))).alias("phrase_index", "text"))
+    p = s.select(id_col, "sentence_index", phrase_texts(F.col("sentence")).alias("parts"))
+    p = p.select(id_col, "sentence_index", F.size("parts").alias("n"), F.posexplode("parts").alias("phrase_index", "text"))
     lf = trailing_line_breaks(F.col("text"))
     reason = F.when(F.col("phrase_index") < F.col("n") - 1, "is").when(lf == 0, "s").when(lf < 3, "p").otherwise("x")
     return p.select(id_col, "sentence_index", "phrase_index", "text", reason.alias("reason"), F.size(words_with_space(F.col("text"))).alias("n_words"))
@@ -75,6 +83,100 @@ def split_long(phrase_rows: DataFrame, max_words: int) -> DataFrame:
     return parts.withColumns({"text": F.array_join(piece, ""), "n_words": F.size(piece), "reason": F.when(F.col("part_index") < F.col("k") - 1, "w").otherwise(F.col("reason"))}).drop("words", "k", "stride")
 
 
+def merge_ornaments(parts: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Paragraph and break phrases without a letter or digit join the phrase before, which keeps its reason. Rows of ``split_long``."""
+    order = Window.partitionBy(id_col).orderBy("sentence_index", "phrase_index", "part_index")
+    ornament = F.col("reason").isin("p", "x") & ~vocalizable(F.col("text"))
+    own = (~ornament | (F.row_number().over(order) == 1)).cast("int")
+    p = parts.withColumn("__own", own).withColumn("position", F.sum("__own").over(order) - 1)
+    same = F.array_sort(F.collect_list(F.struct("sentence_index", "phrase_index", "part_index", "text", "reason")))
+    p = p.groupBy(id_col, "position").agg(same.alias("__m"))
+    text = F.array_join(F.transform("__m", lambda x: x["text"]), "")
+    return p.select(id_col, "position", text.alias("text"), F.col("__m")[0]["reason"].alias("reason"))
+
+
+def downgrade_breaks(phrase_rows: DataFrame, id_col: str = "doc_id", order: str = "position") -> DataFrame:
+    """An ``x`` right after an ``x`` becomes ``p`` and ends in two line feeds (judged on the reasons as given)."""
+    again = (F.col("reason") == "x") & (F.lag("reason").over(Window.partitionBy(id_col).orderBy(order)) == "x")
+    p = phrase_rows.withColumn("__again", F.coalesce(again, F.lit(False)))
+    text = F.when(F.col("__again"), F.concat(F.rtrim("text", F.lit(_BLANKS)), F.lit("\n\n"))).otherwise(F.col("text"))
+    return p.withColumns({"text": text, "reason": F.when(F.col("__again"), "p").otherwise(F.col("reason"))}).drop("__again")
+
+
+def segmented(docs: DataFrame, max_words: int = 40, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, position, text, reason, n_words): the phrases of each text, long ones split, ornaments merged, repeated breaks downgraded."""
+    p = downgrade_breaks(merge_ornaments(split_long(phrases(docs, id_col, text), max_words), id_col), id_col)
+    return p.withColumn("n_words", F.size(words_with_space(F.col("text"))))
+
+
+def _words(group: Column) -> Column:
+    return F.aggregate(group, F.lit(0), lambda a, p: a + p["n_words"])
+
+
+def groups(phrase_rows: DataFrame, strategy: str = "normal", max_words: int = 40, id_col: str = "doc_id") -> DataFrame:
+    """(id, group_index, phrases array<struct<position, text, reason, n_words>>): the phrases in prompts of a strategy.
+
+    Nothing crosses the end of a paragraph, so paragraphs are folded each on its own: close groups at the strategy's
+    level, merge short ones of one phrase into the one before or else the next, then split what is over ``max_words``.
+    """
+    short, closes = STRATEGIES[strategy]
+    end = REASONS.index("p")
+    before = Window.partitionBy(id_col).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    p = phrase_rows.withColumn("__par", F.coalesce(F.sum((level(F.col("reason")) >= end).cast("int")).over(before), F.lit(0)))
+    p = p.groupBy(id_col, "__par").agg(F.array_sort(F.collect_list(F.struct("position", "text", "reason", "n_words"))).alias("p"))
+    kind = "array<struct<position:bigint,text:string,reason:string,n_words:int>>"
+    p = p.withColumn("p", F.col("p").cast(kind))
+    none, no_groups = F.array().cast(kind), F.array().cast(f"array<{kind}>")
+
+    def closed(full):
+        """A fold that closes the current group after x where full(cur, x, 'after'), before x where full(cur, x, 'before')."""
+
+        def step(a, x):
+            ends = full(a["cur"], x, "before")
+            done = F.when(ends, F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"])
+            cur = F.when(ends, F.array(x)).otherwise(F.concat(a["cur"], F.array(x)))
+            after = full(cur, x, "after")
+            return F.struct(F.when(after, F.concat(done, F.array(cur))).otherwise(done).alias("done"), F.when(after, none).otherwise(cur).alias("cur"))
+
+        return lambda phr: F.aggregate(phr, F.struct(no_groups.alias("done"), none.alias("cur")), step, lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]))
+
+    by_reason = closed(lambda cur, x, when: F.lit(False) if when == "before" else level(x["reason"]) >= REASONS.index(closes))
+    by_words = closed(lambda cur, x, when: F.lit(False) if when == "after" else (F.size(cur) > 0) & (_words(cur) + x["n_words"] > max_words))
+    p = p.select(id_col, "__par", by_reason(F.col("p")).alias("g"))
+    if short:
+        single = lambda g: (F.size(g) == 1) & (_words(g) <= short)
+        last = lambda out: F.element_at(out, -1)
+
+        def back(out, g):
+            joins = single(g) & (F.size(out) > 0) & (_words(F.coalesce(F.try_element_at(out, F.lit(-1)), none)) + _words(g) <= max_words)
+            joins &= level(F.element_at(F.coalesce(F.try_element_at(out, F.lit(-1)), g), -1)["reason"]) < end
+            return F.when(joins, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat(last(out), g)))).otherwise(F.concat(out, F.array(g)))
+
+        p = p.select(id_col, "__par", F.aggregate("g", no_groups, back).alias("g"))
+
+        def forth(a, i):
+            g = F.concat(a["carry"], F.get(F.col("g"), i))
+            after = F.coalesce(F.get(F.col("g"), i + 1), none)
+            joins = single(g) & (level(F.element_at(g, -1)["reason"]) <= REASONS.index("s")) & (F.size(after) > 0) & (_words(after) + _words(g) <= max_words)
+            return F.struct(F.when(joins, a["out"]).otherwise(F.concat(a["out"], F.array(g))).alias("out"), F.when(joins, g).otherwise(none).alias("carry"))
+
+        p = p.select(id_col, "__par", F.aggregate(F.sequence(F.lit(0), F.size("g") - 1), F.struct(no_groups.alias("out"), none.alias("carry")), forth)["out"].alias("g"))
+    p = p.select(id_col, "__par", F.posexplode(F.flatten(F.transform("g", by_words))).alias("__k", "phrases"))
+    return p.select(id_col, (F.row_number().over(Window.partitionBy(id_col).orderBy("__par", "__k")) - 1).alias("group_index"), "phrases")
+
+
+def group_text(phrases_: Column) -> Column:
+    return F.array_join(F.transform(phrases_, lambda x: x["text"]), "")
+
+
+def end_chapters(group_rows: DataFrame, chapter: str, order: str, reason: str) -> DataFrame:
+    """The last group of each chapter ends it (``xx``); after a chapter's end the leading run of breaks (``x``) becomes paragraphs."""
+    w = Window.partitionBy(chapter).orderBy(order)
+    leading = F.min((F.col(reason) == "x").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1
+    last = F.lead(order).over(w).isNull()
+    return group_rows.withColumn(reason, F.when(last, "xx").when(leading, "p").otherwise(F.col(reason)))
+
+
 def downgrade_repeated_breaks(phrase_rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """An ``x`` right after an ``x`` becomes ``p`` (judged on the reasons as given)."""
     order = Window.partitionBy(id_col).orderBy("sentence_index", "phrase_index")

@@ -11,30 +11,36 @@ from folioforge.operators import pages as pg
 from folioforge.operators import segmentation as seg
 from folioforge.registry import register, table
 
-#: SQL for the phrases of every document: cleaned, marked, split; pieces that can't be spoken join the piece before.
+#: Inside a character class: white space, and punctuation as SQL text.
+WS = tx.SPACE
+PUNC = tx.regex_class(tx.PUNCTUATION).replace("'", "''")
+
+#: SQL for the phrases of every document: cleaned, marked, split; pieces of white space and punctuation join the piece before.
 PHRASES_SQL = r"""
 WITH clean AS (
   SELECT doc_id, lang, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g') AS t FROM documents WHERE text <> ''
+), marked AS (
+  SELECT doc_id, lang, regexp_replace(regexp_replace(regexp_replace(t, '([.!?…]["”’)]*[ \t\n\r\f]+|\n[ \t\n\r\f]*)', '\1' || chr(1), 'g'),
+    '((?:^|[^\p{L}])(?:ABBR|\p{Lu})\.[ \t]+)' || chr(1), '\1', 'g'), '([.…]["”’)]*[ \t]+)' || chr(1) || '(\p{Ll})', '\1\2', 'g') AS t FROM clean
 ), raw AS (
-  SELECT doc_id, lang, unnest(p) AS piece, unnest(range(len(p))) AS i
-  FROM (SELECT doc_id, lang, list_filter(string_split(regexp_replace(t, '([.!?…]["”’)]*[ \t\n\r\f]+|\n[ \t\n\r\f]*)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM clean)
+  SELECT doc_id, lang, unnest(p) AS piece, unnest(range(len(p))) AS i FROM (SELECT doc_id, lang, list_filter(string_split(t, chr(1)), lambda x: x <> '') AS p FROM marked)
 ), numbered AS (
-  SELECT *, sum(CASE WHEN i > 0 AND regexp_matches(piece, '[\p{L}\p{N}]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM raw
+  SELECT *, sum(CASE WHEN i > 0 AND NOT regexp_full_match(piece, '[EDGE]*') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM raw
 ), sentence AS (
   SELECT doc_id, lang, s, string_agg(piece, '' ORDER BY i) AS t FROM numbered GROUP BY ALL
 ), raw2 AS (
   SELECT doc_id, lang, s, unnest(p) AS piece, unnest(range(len(p))) AS i
-  FROM (SELECT doc_id, lang, s, list_filter(string_split(regexp_replace(regexp_replace(t, '(["”,;:] |[–—)])', '\1' || chr(1), 'g'), '\(', chr(1) || '(', 'g'), chr(1)), lambda x: x <> '') AS p FROM sentence)
+  FROM (SELECT doc_id, lang, s, list_filter(string_split(regexp_replace(regexp_replace(t, '(["”,;:] [ \t\n\r\f]*|[–—)][ \t\n\r\f]*)', '\1' || chr(1), 'g'), '\(', chr(1) || '(', 'g'), chr(1)), lambda x: x <> '') AS p FROM sentence)
 ), numbered2 AS (
-  SELECT *, sum(CASE WHEN i > 0 AND regexp_matches(piece, '[\p{L}\p{N}]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, s ORDER BY i) AS k FROM raw2
+  SELECT *, sum(CASE WHEN i > 0 AND NOT regexp_full_match(piece, '[EDGE]*') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, s ORDER BY i) AS k FROM raw2
 ), merged AS (
   SELECT doc_id, lang, s, k, string_agg(piece, '' ORDER BY i) AS t FROM numbered2 GROUP BY ALL
 ), counted AS (
-  SELECT *, max(k) OVER (PARTITION BY doc_id, s) AS last_k, len(regexp_replace(regexp_extract(t, '[ \t\n\r\f]*$'), '[^\n]', '', 'g')) AS lf, len(regexp_extract_all(t, '[^ \t\n\r\f]+')) AS n_words FROM merged
+  SELECT *, max(k) OVER (PARTITION BY doc_id, s) AS last_k, len(regexp_replace(regexp_extract(t, '[BLANK]*$'), '[^\n]', '', 'g')) AS lf, len(regexp_extract_all(t, '[^BLANK]+')) AS n_words FROM merged
 ), phrases AS (
   SELECT doc_id, lang, s, k, t, n_words, CASE WHEN k < last_k THEN 'is' WHEN lf = 0 THEN 's' WHEN lf < 3 THEN 'p' ELSE 'x' END AS reason FROM counted
 )
-"""
+""".replace("ABBR", "|".join(seg.ABBREVIATIONS)).replace("EDGE", WS + PUNC).replace("BLANK", WS)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,30 +85,46 @@ def long_phrase_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("word_tokens", r"""
 SELECT doc_id, len(w) AS n_words, len(list_filter(w, lambda x: regexp_matches(x, '[\p{L}\p{N}]'))) AS n_spoken, CAST(coalesce(list_max(list_transform(w, lambda x: len(x))), 0) AS BIGINT) AS longest
-FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f]+') AS w FROM documents)
-""")
+FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^BLANK]+') AS w FROM documents)
+""".replace("BLANK", WS))
 def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, words with a letter or digit, and the longest word of each document."""
     w = tx.words_with_space(F.coalesce("text", F.lit("")))
     d = documents(spark, sf_dir).select("doc_id", w.alias("w"))
-    bare = F.transform("w", lambda x: F.length(F.regexp_replace(x, r"[ \t\n\r\f]+$", "")))
+    bare = F.transform("w", lambda x: F.length(F.rtrim(x, F.lit(tx._BLANKS))))
     return d.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.filter("w", tx.vocalizable)).cast("long").alias("n_spoken"), F.coalesce(F.array_max(bare), F.lit(0)).cast("long").alias("longest"))
 
 
-COMPARE_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(translate({0}, '“”„‟‘’‚‛', repeat(chr(34), 4) || repeat(chr(39), 4))), 'ß', 'ss'), '([\p{{L}}\p{{N}}])''|''([\p{{L}}\p{{N}}])', '\1\2', 'g'), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"""
+_PUNC_BLANK = tx.regex_class("".join(x for x in tx.PUNCTUATION if x not in "“”‘’")).replace("'", "''")
+#: The steps of the comparison form, each around the one before. Compatibility forms are left out: the tables hold letters that have none.
+COMPARE_SQL = (
+    "lower(translate(@, '’“”', chr(39) || chr(34) || chr(34)))",
+    "replace(@, 'ß', 'ss')",
+    r"trim(regexp_replace(regexp_replace(@, '[\p{So}\p{Sk}\p{Cf}\p{Co}]', '', 'g'), '[BLANK]+', ' ', 'g'))",
+    r"regexp_replace(regexp_replace(@, '([\p{L}\p{N}_])' || chr(39), '\1', 'g'), chr(39) || '([\p{L}\p{N}_])', '\1', 'g')",
+    "regexp_replace(@, '[EDGE]', ' ', 'g')",
+    r"trim(regexp_replace(regexp_replace(@, '[^\p{L}\p{N}_BLANK]', '', 'g'), '[BLANK]+', ' ', 'g'))",
+)
+
+
+def compare_sql(text: str) -> str:
+    at = "\x00"
+    for step in COMPARE_SQL:
+        text = step.replace("@", at).replace("BLANK", WS).replace("EDGE", _PUNC_BLANK).replace(at, text)
+    return text
 
 
-@register("normalize_common", f"SELECT doc_id, sha256({COMPARE_SQL.format("coalesce(text, '')")}) AS compared, len({COMPARE_SQL.format("coalesce(text, '')")}) AS n_chars FROM documents")
+@register("normalize_common", f"SELECT doc_id, sha256(c) AS compared, len(c) AS n_chars FROM (SELECT doc_id, {compare_sql("coalesce(text, '')")} AS c FROM documents)")
 def normalize_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in the form in which they are compared."""
-    c = tx.compare_form(F.coalesce("text", F.lit("")))
-    return documents(spark, sf_dir).select("doc_id", F.sha2(c, 256).alias("compared"), F.length(c).cast("long").alias("n_chars"))
+    d = documents(spark, sf_dir).select("doc_id", tx.compare_form(F.coalesce("text", F.lit(""))).alias("c"))
+    return d.select("doc_id", F.sha2("c", 256).alias("compared"), F.length("c").cast("long").alias("n_chars"))
 
 
-@register("silent_lines", r"""
-SELECT doc_id, count(*) FILTER (WHERE regexp_full_match(line, '[\s!"#$%&''()*+,\-./:;<=>?@\[\\\]\^_`{|}~…–—“”‘’]*')) AS n_silent, count(*) AS n_lines
+@register("silent_lines", """
+SELECT doc_id, count(*) FILTER (WHERE regexp_full_match(line, '[EDGE]*')) AS n_silent, count(*) AS n_lines
 FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) GROUP BY doc_id
-""")
+""".replace("EDGE", WS + PUNC))
 def silent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of only white space and punctuation."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
@@ -112,7 +134,7 @@ def silent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEXICON_SQL = r"""
 WITH words AS (SELECT DISTINCT doc_id, lang, unnest(string_split({0}, ' ')) AS word FROM documents WHERE text IS NOT NULL),
 lexicon AS (SELECT lang, word, count(*) AS n_docs FROM words WHERE word <> '' GROUP BY lang, word HAVING count(*) >= 5)
-""".format(COMPARE_SQL.format("text"))
+""".replace("{0}", compare_sql("text"))
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,9 +159,9 @@ SELECT lang, word, count(*) AS n FROM words ANTI JOIN lexicon USING (lang, word)
 """)
 def uncommon_words_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of the 25 most frequent words that no lexicon has; its limit is the report's size."""
-    w = _words(spark, sf_dir)
-    counted = w.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    return counted.join(lexicon(w), ["lang", "word"], "left_anti").orderBy(F.desc("n"), "lang", "word").limit(25)
+    once = _words(spark, sf_dir).groupBy("lang", "word", "doc_id").agg(F.count("*").alias("k"))
+    counted = once.groupBy("lang", "word").agg(F.sum("k").alias("n"), F.count("*").alias("n_docs"))
+    return counted.where("n_docs < 5").orderBy(F.desc("n"), "lang", "word").limit(25).drop("n_docs")
 
 
 @register("stem_family_index", LEXICON_SQL + """
@@ -160,21 +182,11 @@ def previews(d: DataFrame) -> DataFrame:
 
 
 @register("text_previews", r"""
-SELECT doc_id, lower(trim(lang)) AS language, CASE WHEN len(t) > 60 THEN rtrim(t[1:57]) || '...' ELSE t END AS preview,
-  CAST(n_chars // 3600 AS VARCHAR) || ':' || lpad(CAST(n_chars % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(n_chars % 60 AS VARCHAR), 2, '0') AS length_clock
-FROM (SELECT *, trim(regexp_replace(coalesce(text, ''), '[\s ]+', ' ', 'g')) AS t FROM documents) WHERE n_chars >= 3600
-""")
-def text_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shortened texts of the long documents, and their length (a character a second) as a clock."""
-    return previews(documents(spark, sf_dir).where("n_chars >= 3600"))
-
-
-@register("text_previews_all", r"""
 SELECT doc_id, split_part(lower(trim(lang)), '-', 1) AS language, CASE WHEN len(t) > 60 THEN rtrim(t[1:57]) || '...' ELSE t END AS preview,
   CASE WHEN n_chars >= 3600 THEN CAST(n_chars // 3600 AS VARCHAR) || ':' || lpad(CAST(n_chars % 3600 // 60 AS VARCHAR), 2, '0') ELSE CAST(n_chars // 60 AS VARCHAR) END || ':' || lpad(CAST(n_chars % 60 AS VARCHAR), 2, '0') AS length_clock
-FROM (SELECT *, trim(regexp_replace(coalesce(text, ''), '[\s ]+', ' ', 'g')) AS t FROM documents)
-""")
-def text_previews_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+FROM (SELECT *, trim(regexp_replace(coalesce(text, ''), '[BLANK]+', ' ', 'g')) AS t FROM documents)
+""".replace("BLANK", WS))
+def text_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Previews and clocks of every document, those below an hour and without a length too."""
     return previews(documents(spark, sf_dir))
 
