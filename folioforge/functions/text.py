@@ -194,3 +194,13 @@ def natural_key(name: Column) -> Column:
 
 def without_ansi(c: Column) -> Column:
     return F.regexp_replace(c, "\u001b\\[[0-9;]*[A-Za-z]", "")
+
+
+def out_of_memory(message: Column) -> Column:
+    """Whether an error's message speaks of memory."""
+    return F.rlike(F.lower(message), F.lit("out of memory|outofmemory|cannot allocate|mps backend"))
+
+
+def transcript(words: Column, least: float = 0.0) -> Column:
+    """The words of array<struct<word, probability, ...>> that are probable enough, one blank between."""
+    return F.array_join(F.transform(F.filter(words, lambda w: w["probability"] >= least), lambda w: F.trim(w["word"])), " ")

@@ -45,10 +45,36 @@ def common_tag(takes: DataFrame, key: str, tag: str) -> DataFrame:
 
 
 def mode_of_tags(takes: DataFrame, key: str, tag: str) -> DataFrame:
-    """(key, tag, others): the most frequent tag (then the first by name; ``none`` only alone), and how many others there are."""
-    n = takes.groupBy(key, tag).agg(F.count("*").alias("n"))
-    top = n.groupBy(key).agg(F.min(F.struct((F.col(tag) == "none").alias("none"), (-F.col("n")).alias("n"), F.col(tag).alias("t"))).alias("top"), F.sum((F.col(tag) != "none").cast("int")).alias("named"))
-    return top.select(key, F.col("top.t").alias(tag), F.greatest(F.col("named") - 1, F.lit(0)).alias("others"))
+    """(key, tag, others): the most frequent tag (then the first by name), and how many others there are.
+
+    Takes without a tag don't count; ``none`` does only where there is no other; empty without any.
+    """
+    named = F.when((F.col(tag) != "") & (F.col(tag) != "none"), F.col(tag))
+    n = takes.groupBy(key, named.alias("__t")).agg(F.count("*").alias("n"), F.max((F.col(tag) == "none").cast("int")).alias("__none"))
+    top = n.groupBy(key).agg(F.min(F.when(F.col("__t").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("__t").alias("t")))).alias("top"), F.count("__t").alias("named"), F.max("__none").alias("__none"))
+    return top.select(key, F.coalesce("top.t", F.when(F.col("__none") == 1, "none").otherwise("")).alias(tag), F.greatest(F.col("named") - 1, F.lit(0)).alias("others"))
+
+
+def score_failed(score: Column, most: Column) -> Column:
+    """Whether the score in a take's name says failed: the invalid one, or more than the threshold."""
+    return (score == INVALID_SCORE) | (score > most)
+
+
+def last_errors(takes: DataFrame, index: str, order: str, errors: str) -> DataFrame:
+    """(index, errors, n_takes): the error count of each line's last take."""
+    return takes.groupBy(index).agg(F.max_by(errors, order).alias(errors), F.count("*").alias("n_takes"))
+
+
+def selection_sets(lines: DataFrame, takes: DataFrame, key: str, index: str, selected: str) -> DataFrame:
+    """(key, n_selected_done, n_selected_left, n_other_done) of lines by selection and takes."""
+    s = lines.join(takes.select(key, index).distinct().withColumn("__t", F.lit(True)), [key, index], "left")
+    done = F.col("__t").isNotNull()
+    return s.groupBy(key).agg(F.count_if(F.col(selected) & done).alias("n_selected_done"), F.count_if(F.col(selected) & ~done).alias("n_selected_left"), F.count_if(~F.col(selected) & done).alias("n_other_done"))
+
+
+def current_takes(takes: DataFrame, lines: DataFrame, index: str, digest: str) -> DataFrame:
+    """Takes whose digest is that of the line's present text; stale ones drop out."""
+    return takes.join(lines.select(index, digest), [index, digest], "left_semi")
 
 
 def line_status(lines: DataFrame, takes: DataFrame, index: str, errors: str, n_words: str, strictness: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,3 +37,22 @@ def retry_order(items: DataFrame, key: str, order: str, voice: str) -> DataFrame
 def rotate_voices(items: DataFrame, key: str, order: str, voices: int) -> DataFrame:
     """Adds voice: each item the next one, around."""
     return items.withColumn("voice", F.pmod(F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1, F.lit(voices)))
+
+
+def batches(items: DataFrame, key: str, order: str, batch: int) -> DataFrame:
+    """Adds batch: so many items each, in order."""
+    return items.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) / batch))
+
+
+def clamped_voice(voice: Column, voices: int) -> Column:
+    return F.least(F.greatest(voice, F.lit(0)), F.lit(voices - 1))
+
+
+def voice_of(items: DataFrame, voices: DataFrame, selection: str, position: str, count: int) -> DataFrame:
+    """Items with the values of the voice that their selection names, around the voices."""
+    return items.join(voices, F.pmod(F.col(selection), F.lit(count)) == F.col(position))
+
+
+def by_priority(requests: DataFrame, key: str, priority: str, arrival: str) -> DataFrame:
+    """Adds position: by priority, then by arrival."""
+    return requests.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(priority, arrival)) - 1)

@@ -87,3 +87,13 @@ def remaining_time(samples: DataFrame, key: str, order: str, seconds: str, windo
 def resets(items: DataFrame, key: str, order: str, is_reset: Column) -> DataFrame:
     """Adds session: the running count of resets before each item."""
     return items.withColumn("session", F.coalesce(F.sum(is_reset.cast("int")).over(_upto(key, order, -1)), F.lit(0)))
+
+
+def scaled(value: Column, low: float, high: float, to_low: float, to_high: float) -> Column:
+    """A value mapped from one range to another, clamped at its ends."""
+    return to_low + (to_high - to_low) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low)))
+
+
+def break_effect(reason: Column, first_in_section: Column) -> Column:
+    """Whether a break sounds: chapter ends always, others but for the first of a section."""
+    return (reason == "xx") | ((reason == "x") & ~first_in_section)

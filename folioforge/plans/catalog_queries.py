@@ -50,15 +50,6 @@ def redundant_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.rank_takes(takes(spark, sf_dir), "idx", "errors", "name").where("take_rank > 1").select("idx", "name", F.col("take_rank").cast("long").alias("take_rank"))
 
 
-@register("voice_tag_mode", TAKES_SQL + """
-, n AS (SELECT idx, voice, count(*) AS n FROM takes GROUP BY idx, voice), r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY voice = 'none', n DESC, voice) AS k, count(*) FILTER (WHERE voice <> 'none') OVER (PARTITION BY idx) AS named FROM n)
-SELECT idx, voice, greatest(named - 1, 0) AS others FROM r WHERE k = 1
-""")
-def voice_tag_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most frequent voice of each line and how many others there are; ``none`` only where it is alone."""
-    return cat.mode_of_tags(takes(spark, sf_dir), "idx", "voice")
-
-
 @register("common_model_tag", TAKES_SQL + "SELECT idx, CASE WHEN min(model) = max(model) THEN min(model) ELSE '' END AS model FROM takes GROUP BY idx")
 def common_model_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model that all takes of a line share, else empty."""
