@@ -246,6 +246,28 @@ def sidecar_json(language: Column, index: Column, source: Column, transcript: Co
     ), {"ignoreNullFields": "false"})
 
 
+# ---------------------------------------------------------------- settings
+
+
+def renamed(v: Column, name: str, old: str) -> Column:
+    """A value by its name, or by the one it had before."""
+    return F.coalesce(get(v, f"$.{name}"), get(v, f"$.{old}"))
+
+
+def clamped(v: Column, least: int, most: int, default: int) -> Column:
+    """A whole number within its limits; the default for anything else."""
+    return F.when(is_kind(v, "BIGINT"), F.least(F.greatest(get(v, "$", "bigint"), F.lit(least)), F.lit(most))).otherwise(default)
+
+
+def one_of(v: Column, allowed: list[str], default: str) -> Column:
+    return F.when(is_kind(v, "STRING") & get(v, "$", "string").isin(*allowed), get(v, "$", "string")).otherwise(default)
+
+
+def transferred(v: Column, fields: list[str]) -> Column:
+    """The settings that move from one project to another, as map<string, variant>; missing ones are left out."""
+    return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[get(v, f"$.{f}") for f in fields])), lambda _, x: x.isNotNull())
+
+
 # ---------------------------------------------------------------- identities and small values
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,27 +156,64 @@ def semantic_trim(words: Column, source: Column, duration: Column) -> Column:
 # ---------------------------------------------------------------- forced alignment
 
 
+class _Likeness:
+    """Likeness of a phrase to runs of words, with a bound for many runs at once: the characters that both have."""
+
+    def __init__(self, phrases: list[str], words: list[str]):
+        self.words, self.phrases = words, phrases
+        index = {c: k for k, c in enumerate(sorted({" ", *"".join(phrases), *"".join(words)}))}
+        self.space = index[" "]
+        count = lambda t: np.bincount([index[c] for c in t], minlength=len(index))
+        self.of_phrase = [count(p) for p in phrases]
+        self.upto = np.concatenate((np.zeros((1, len(index)), np.int64), np.cumsum([count(w) for w in words], axis=0))) if words else np.zeros((1, len(index)), np.int64)
+        self.count, self.memo = count, {}
+
+    def bounds(self, k: int, i: np.ndarray, j: np.ndarray, lead: tuple[str, str] | None = None) -> np.ndarray:
+        """No likeness of phrase k to words[i:j] is above these; lead: the words before both."""
+        runs = self.upto[j] - self.upto[i]
+        runs[:, self.space] += np.maximum(j - i - 1, 0)
+        own = self.of_phrase[k]
+        if lead:
+            runs, own = runs + self.count(lead[1] + " "), own + self.count(lead[0] + " ")
+        both = np.minimum(runs, own).sum(1)
+        return np.where(own.sum() + runs.sum(1) > 0, 2 * both / np.maximum(own.sum() + runs.sum(1), 1), 1.0)
+
+    def ratio(self, k: int, i: int, j: int, lead: tuple[str, str] | None = None) -> float:
+        key = (k, i, j, lead)
+        if key not in self.memo:
+            a, b = self.phrases[k], " ".join(self.words[i:j])
+            self.memo[key] = SequenceMatcher(None, f"{lead[0]} {a}" if lead else a, f"{lead[1]} {b}" if lead else b).ratio()
+        return self.memo[key]
+
+
+def _first_best(bounds: np.ndarray, value) -> tuple[float, int]:
+    """(the greatest value, the first place that has it); a place is looked at only if its bound allows it."""
+    best, where = -1.0, -1
+    for at in np.argsort(-bounds, kind="stable").tolist():
+        if bounds[at] < best - 1e-12:
+            break
+        v = value(at)
+        if v > best or (v == best and at < where):
+            best, where = v, at
+    return best, where
+
+
 def phrase_ends(phrases: list[str], words: list[str]) -> list[int]:
     """For all phrases but the last the index of its last word: the split with the greatest sum of likenesses (the first of equals)."""
     if len(phrases) < 2:
         return []
     if not words:
         return [0] * (len(phrases) - 1)
-    memo: dict[tuple[int, int, int], float] = {}
-
-    def like(k: int, i: int, j: int) -> float:
-        if (k, i, j) not in memo:
-            memo[k, i, j] = SequenceMatcher(None, phrases[k], " ".join(words[i:j])).ratio()
-        return memo[k, i, j]
-
-    w = len(words)
-    best = [like(0, 0, j + 1) for j in range(w)]
-    back = []
+    like, w = _Likeness(phrases, words), len(words)
+    best, back = np.array([like.ratio(0, 0, j + 1) for j in range(w)]), []
     for k in range(1, len(phrases)):
-        ends = range(w) if k < len(phrases) - 1 else [w - 1]
-        found = {j: max(range(j + 1), key=lambda i: best[i] + like(k, i + 1, j + 1)) for j in ends}  # the first of equals
+        found, now = {}, np.full(w, -1.0)
+        for j in range(w) if k < len(phrases) - 1 else [w - 1]:
+            i = np.arange(j + 1)
+            bounds = best[: j + 1] + like.bounds(k, i + 1, np.full(j + 1, j + 1))
+            now[j], found[j] = _first_best(bounds, lambda at, j=j, k=k: best[at] + like.ratio(k, at + 1, j + 1))
         back.append(found)
-        best = [best[found[j]] + like(k, found[j] + 1, j + 1) if j in found else -1.0 for j in range(w)]
+        best = now
     out, j = [], w - 1
     for found in reversed(back):
         j = found[j]
@@ -210,27 +248,20 @@ def follow(phrases: list[str], words: list[tuple[str, float, float]], cursor: in
     before both; the best counts from a likeness of 0.7 on, else the next phrase may skip more words.
     """
     out: list[tuple[float, float]] = []
+    like = _Likeness(phrases, [w for w, _, _ in words])
     for k, phrase in enumerate(phrases):
-        if k and cursor >= len(words) - 1:
-            out.append((0.0, 0.0))
-            continue
         n = len(phrase.split())
-        if not n:
+        if not n or (k and cursor >= len(words) - 1):
             out.append((0.0, 0.0))
             continue
-        best = (0.0, 0, 0)
-        for i in range(cursor, min(cursor + skip, len(words))):
-            lead = k > 0 and cursor > 0 and i > 0 and phrases[k - 1].split() and words[cursor - 1][0]
-            a = f"{phrases[k - 1].split()[-1]} {phrase}" if lead else phrase
-            for j in range(i + max(1, int(n * 0.75)), min(i + n + max(int(n * 0.25), 2), len(words)) + 1):
-                b = " ".join(w for w, _, _ in words[i:j])
-                m = SequenceMatcher(None, a, f"{words[cursor - 1][0]} {b}" if lead else b)
-                if m.real_quick_ratio() > best[0] and m.quick_ratio() > best[0]:  # upper bounds
-                    best = max(best, (m.ratio(), -i, -j)) if m.ratio() > best[0] else best
-        if best[0] >= LEAST_LIKENESS:
-            i, j = -best[1], -best[2]
-            out.append((words[i][1], words[j][1] if j < len(words) else words[j - 1][2]))
-            cursor, skip = j, SKIP
+        runs = [(i, j) for i in range(cursor, min(cursor + skip, len(words))) for j in range(i + max(1, int(n * 0.75)), min(i + n + max(int(n * 0.25), 2), len(words)) + 1)]
+        lead = (phrases[k - 1].split()[-1], words[cursor - 1][0]) if k and cursor and phrases[k - 1].split() and words[cursor - 1][0] else None
+        i, j = (np.array(x, np.int64) for x in zip(*runs, strict=True)) if runs else (np.zeros(0, np.int64),) * 2
+        best, at = _first_best(like.bounds(k, i, j, lead), lambda x, k=k, lead=lead, runs=runs: like.ratio(k, *runs[x], lead))
+        if best >= LEAST_LIKENESS:
+            first, last = runs[at]
+            out.append((words[first][1], words[last][1] if last < len(words) else words[last - 1][2]))
+            cursor, skip = last, SKIP
         else:
             out.append((0.0, 0.0))
             skip = min(skip + 2 * n, MOST_SKIP)

@@ -26,6 +26,11 @@ def too_long(duration: Column, n_words: Column, has_long_number: Column) -> Colu
     return ~has_long_number & (duration > 1.5 + 0.75 * n_words)
 
 
+def has_long_number(words: Column) -> Column:
+    """Whether a word has three digits or more: its spoken form is long."""
+    return F.exists(words, lambda w: F.length(F.regexp_replace(w, r"[^\p{Nd}]", "")) >= 3)
+
+
 def rank_takes(takes: DataFrame, index: str, errors: str, name: str) -> DataFrame:
     """Adds take_rank: 1 is the line's best take. Unknown counts rank as 9999; equals go by name."""
     score = F.when(F.col(errors) == -1, UNKNOWN_RANK).otherwise(F.col(errors))
