@@ -194,72 +194,125 @@ def text_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- pages
 
 
+#: Entities that the pages hold.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", chr(160)), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
+def _unescaped_sql(c: str) -> str:
+    for a, b in ENTITIES:
+        c = f"replace({c}, '{a}', '{b.replace("'", "''")}')"
+    return c
+
+
 def _preview_sql(html: str) -> str:
     c = html
     for tag in pg.SKIPPED:
-        c = f"regexp_replace({c}, '(?is)<{tag}[ >].*?</{tag}>', ' ', 'g')"
-    c = f"regexp_replace({c}, '(?s)<!--.*?-->', ' ', 'g')"
-    c = rf"regexp_replace({c}, '(?i)</?({'|'.join(pg.BLOCKS)})(\s[^>]*)?/?>', chr(10), 'g')"
-    c = f"regexp_replace({c}, '<[^>]*>', '', 'g')"
-    for a, b in pg.ENTITIES:
-        c = f"replace({c}, '{a}', '{b.replace("'", "''")}')"
-    c = rf"regexp_replace(regexp_replace({c}, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')"
-    return rf"trim(regexp_replace({c}, '\n{{3,}}', chr(10) || chr(10), 'g'))"
+        c = f"regexp_replace({c}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
+    c = rf"regexp_replace(regexp_replace({c}, '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</({'|'.join(pg.LINE_ENDS)})>', chr(10), 'g')"
+    c = f"replace({_unescaped_sql(f"regexp_replace({c}, '(?s)<[^>]+>', ' ', 'g')")}, chr(160), ' ')"
+    c = rf"regexp_replace(regexp_replace({c}, '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10) || chr(10), 'g')"
+    return f"trim({c}, ' ' || chr(10) || chr(9) || chr(11) || chr(12) || chr(13))"
+
 
+PAGES_SQL = f"""WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, {_preview_sql("coalesce(html, '')")} AS t FROM pages),
+named AS (SELECT *, regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) AS href FROM p) """
 
-PAGES_SQL = f"WITH p AS (SELECT page_id, html, {_preview_sql("coalesce(html, '')")} AS t FROM pages) "
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    return p.withColumn("href", F.regexp_extract("url", r"^[^:]*://[^/?#]*([^?#]*)", 1))
 
 
 @register("html_preview", PAGES_SQL + "SELECT page_id, len(t) AS n_chars, sha256(t) AS preview FROM p")
 def html_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reading text of pages, by rules."""
-    t = pg.preview(F.coalesce("html", F.lit("")))
-    return table(spark, sf_dir, "pages").select("page_id", F.length(t).cast("long").alias("n_chars"), F.sha2(t, 256).alias("preview"))
+    """Preview text of pages, by rules."""
+    p = pages(spark, sf_dir).select("page_id", pg.preview(F.col("html")).alias("t"))
+    return p.select("page_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("preview"))
+
 
+def _title_sql(tag: str) -> str:
+    inner = rf"regexp_replace(regexp_extract(html, '(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>', 1), '<[^>]*>', ' ', 'g')"
+    return f"nullif(trim(regexp_replace(replace({_unescaped_sql(inner)}, chr(160), ' '), '[{WS}]+', ' ', 'g')), '')"
 
-@register("page_skip_decision", PAGES_SQL + r"""
+
+TITLES_SQL = f"""coalesce({_title_sql("h1")}, {_title_sql("h2")}, {_title_sql("title")}, nullif(regexp_replace(regexp_extract(href, '([^/]*)$', 1), '\\.[^./]*$', ''), ''), href)"""
+
+
+@register("page_titles", PAGES_SQL + f"SELECT page_id, {TITLES_SQL} AS title FROM named")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first heading with text, else the title, else the name of the file."""
+    return pages(spark, sf_dir).select("page_id", pg.title(F.col("html"), F.col("href")).alias("title"))
+
+
+@register("page_skip_decision", PAGES_SQL + rf"""
 , q AS (
-  SELECT u.page_id, regexp_extract(coalesce(u.url, ''), '^.*?://([^/?#]*)', 1) AS book, len(regexp_extract_all(coalesce(u.html, ''), '(?i)<a[\s>]')) AS n_links,
-    len(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '' AND len(trim(x)) <= 80)) AS n_short FROM pages u JOIN p USING (page_id)
-), w AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page_id) - 1 AS position, count(*) OVER (PARTITION BY book) AS n FROM q)
-SELECT page_id, position, n_links, n_short, (position < 6 OR position >= greatest(0, n - 4)) AS in_window, (position < 6 OR position >= greatest(0, n - 4)) AND n_links >= 5 AND n_short >= 5 AS skip FROM w
+  SELECT page_id, regexp_extract(url, '^.*?://([^/?#]*)', 1) AS book, t, lower(regexp_replace(lower(href || ' ' || title), '[^a-z0-9]+', '', 'g')) AS key, len(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=')) AS n_links, len(regexp_extract_all(html, '(?is)<li\b')) AS n_items,
+    len(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '' AND len(trim(x)) <= 80)) AS n_short,
+    regexp_matches(regexp_replace(lower(regexp_replace(array_to_string((regexp_extract_all(html, '(?is)<(?:h1|h2|title|strong|b)[^>]*>(.*?)</(?:h1|h2|title|strong|b)>', 1))[:4], ' '), '(?s)<[^>]+>', ' ', 'g')), '[^a-z0-9]+', '', 'g'), '{"|".join(pg.CONTENTS_TERMS)}') AS heading,
+    trim(regexp_replace(replace(lower(t), '©', ' copyright '), '[{WS}]+', ' ', 'g')) AS content
+  FROM (SELECT *, {_unescaped_sql(TITLES_SQL)} AS title FROM named)
+), w AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page_id) - 1 AS position, count(*) OVER (PARTITION BY book) AS n FROM q
+), r AS (SELECT *, position < 6 AS front, position < 6 OR position >= greatest(0, n - 4) AS win, regexp_matches(key, '{"|".join(pg.PUBLICATION_TERMS)}') AS pub, n_links >= 5 OR n_items >= 5 AS linked FROM w)
+SELECT page_id, position, n_links, n_items, n_short, CASE WHEN pub AND win THEN 'publication name'
+  WHEN NOT pub AND front AND t <> '' AND (len(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+')) <= 700 OR len(t) <= 4000) AND len(list_filter({list(pg.PUBLICATION_PHRASES)}, lambda x: contains(content, x))) >= 2 THEN 'publication phrases'
+  WHEN win AND regexp_matches(key, '{"|".join(pg.CONTENTS_TERMS)}') AND linked THEN 'contents name' WHEN win AND heading AND linked THEN 'contents heading' WHEN front AND n_links >= 5 AND n_short >= 5 THEN 'contents links' END AS reason, regexp_matches(key, '{"|".join(pg.NON_READING_TERMS)}') AS likely_empty FROM r
 """)
 def page_skip_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of a site in order: the first six and last four with five links and five short lines are tables of contents."""
-    html = F.coalesce("html", F.lit(""))
-    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(F.coalesce("url", F.lit("")), r"^.*?://([^/?#]*)", 1).alias("book"), pg.count_tag(html, "a").cast("long").alias("n_links"), pg.short_lines(pg.preview(html)).cast("long").alias("n_short"))
-    p = pg.near_edges(p, "book", "page_id")
-    return p.select("page_id", F.col("position").cast("long").alias("position"), "n_links", "n_short", "in_window", pg.contents_page(F.col("n_links"), F.col("n_short"), F.col("in_window")).alias("skip"))
-
-
-@register("page_titles", r"""
-SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(h, '(?is)<h1(?:\s[^>]*)?>(.*?)</h1>', 1), '<[^>]*>', '', 'g')), ''), nullif(trim(regexp_replace(regexp_extract(h, '(?is)<title(?:\s[^>]*)?>(.*?)</title>', 1), '<[^>]*>', '', 'g')), '')) AS title
-FROM (SELECT page_id, coalesce(html, '') AS h FROM pages)
+    """Why a page of a site, in order, is no reading text: publication data, or a table of contents."""
+    p = pages(spark, sf_dir).withColumn("t", pg.preview(F.col("html")))
+    key = pg.key_form(F.concat("href", F.lit(" "), pg.title(F.col("html"), F.col("href"))))
+    p = p.select("page_id", F.regexp_extract("url", r"^.*?://([^/?#]*)", 1).alias("book"), "t", key.alias("key"), pg.count_links(F.col("html")).cast("long").alias("n_links"), pg.count_list_items(F.col("html")).cast("long").alias("n_items"), pg.contents_heading(F.col("html")).alias("heading"))
+    p = pg.near_edges(p.withColumn("n_short", pg.short_lines(F.col("t")).cast("long")), "book", "page_id")
+    reason = pg.skip_reason(F.col("key"), F.col("t"), F.col("n_links"), F.col("n_items"), F.col("n_short"), F.col("heading"), F.col("in_front"), F.col("in_window"))
+    return p.select("page_id", F.col("position").cast("long").alias("position"), "n_links", "n_items", "n_short", reason.alias("reason"), pg.likely_empty(F.col("key")).alias("likely_empty"))
+
+
+@register("reading_texts")
+def reading_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading text of pages by their elements (a parser; held against literal cases)."""
+    r = pg.reading_text(pages(spark, sf_dir), "html")
+    return r.select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text"), "repairs", "image_only")
+
+
+@register("contents_titles", """
+WITH c AS (SELECT page_id, 'book' || (page_id % 20) AS book, 'Text/ch ' || (page_id // 20) || '.xhtml' AS href FROM pages),
+e AS (SELECT page_id // 20 AS i, 'book' || (page_id % 20) AS book, page_id FROM pages WHERE page_id % 3 <> 0)
+SELECT c.page_id, CASE WHEN e.page_id IS NOT NULL THEN 'Part ' || e.i END AS contents_title FROM c LEFT JOIN e ON c.page_id = e.page_id
 """)
-def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first heading that is not blank, else the title."""
-    return table(spark, sf_dir, "pages").select("page_id", pg.title(F.coalesce("html", F.lit(""))).alias("title"))
+def contents_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of chapters from tables of contents, whose links are written otherwise and come twice."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("book"), (F.col("page_id") % 20).cast("string")).alias("book"), F.floor(F.col("page_id") / 20).cast("string").alias("i"))
+    chapters = p.select("page_id", "book", F.concat(F.lit("Text/ch "), "i", F.lit(".xhtml")).alias("href"))
+    entry = F.explode(F.array(F.struct(F.lit(0).alias("o"), F.concat(F.lit("./Text/ch%20"), "i", F.lit(".xhtml#top")).alias("h"), F.concat(F.lit(" Part&nbsp;"), "i").alias("t")), F.struct(F.lit(1).alias("o"), F.concat(F.lit("Text\\ch%20"), "i", F.lit(".xhtml")).alias("h"), F.lit("later").alias("t"))))
+    contents = p.where("page_id % 3 <> 0").select("book", entry.alias("e")).select("book", "e.o", "e.h", "e.t")
+    return pg.with_contents_titles(chapters, contents, "book", "href", "h", "t", "o").select("page_id", "contents_title")
 
 
 # ---------------------------------------------------------------- conversations
 
 
 @register("alternating_role_violations", """
-SELECT conv_id, turn, role FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations) WHERE role = next_role
+WITH t AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 7 = 0 THEN 'user' ELSE role END AS role FROM conversations)
+SELECT conv_id, min(turn) AS turn FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM t) WHERE role = next_role GROUP BY conv_id
 """)
 def alternating_role_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns that the next turn's role repeats."""
+    """The first turn of each conversation whose role the next one repeats (some turns are said by the user here)."""
+    role = F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, "user").otherwise(F.col("role"))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", role.alias("role"))
     after = F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", after.alias("next_role")).where("role = next_role").drop("next_role")
+    return t.withColumn("next_role", after).where("role = next_role").groupBy("conv_id").agg(F.min("turn").alias("turn"))
 
 
 @register("message_assembly", r"""
-SELECT conv_id, count(*) AS n_messages, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id
+WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS content FROM conversations UNION ALL SELECT DISTINCT conv_id, -1, 'system', 'Be brief.' FROM conversations WHERE conv_id % 2 = 0)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, role, content FROM m
 """)
 def message_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation as one prompt, in the order of turns."""
-    rows = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), F.coalesce("text", F.lit(""))).alias("m"))))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.array_join(F.transform(rows, lambda x: x["m"]), "\n").alias("prompt"))
+    """The messages of each request in order, every other one with a system message in front; a row a message."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("content"))
+    system = c.select("conv_id").distinct().where("conv_id % 2 = 0").select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit("system").alias("role"), F.lit("Be brief.").alias("content"))
+    position = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    return c.unionByName(system).select("conv_id", position.cast("long").alias("position"), "role", "content")
 
 
 @register("rolling_history", """
