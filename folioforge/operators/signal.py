@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -22,8 +25,16 @@ def peak_normalise(data: Column, headroom_db: float) -> Column:
 
 
 def pcm16(data: Column) -> Column:
-    """Clipped to -1..1, to 16-bit integers."""
-    return F.transform(data, lambda x: F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x.cast("double"))) * 32767).cast("int"))
+    """Clipped to -1..1, to 16-bit integers, cut towards zero."""
+    return F.transform(data, lambda x: (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x.cast("double"))) * 32767).cast("int"))
+
+
+def mono(channels: Column) -> Column:
+    """The mean of channels, array<array<double>> with one array a channel."""
+    n = F.size(channels)
+    zero = F.transform(channels[0], lambda x: F.lit(0.0))
+    total = F.aggregate(channels, zero, lambda a, c: F.zip_with(a, c, lambda x, y: x + y.cast("double")))
+    return F.transform(total, lambda x: x / n)
 
 
 def cut_tail(data: Column, samples: int, db: float = -20.0) -> Column:
@@ -44,3 +55,208 @@ def noise_floor(frames: DataFrame, key: str, order: str, level: str, history: in
     """Adds floor: the 20th percentile of the frames before, at most ``history`` (null at the first)."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(-history, -1)
     return frames.withColumn("floor", F.percentile(level, 0.2).over(w))
+
+
+# ---------------------------------------------------------------- clips
+
+
+def invalid_reasons(data: Column) -> Column:
+    """array<string>: why samples can't be used."""
+    x = F.transform(data, lambda v: v.cast("double"))
+    finite = F.filter(x, lambda v: ~F.isnan(v))
+    reasons = F.array(
+        F.when(F.exists(x, F.isnan), "nan"), F.when(F.exists(finite, lambda v: F.abs(v) == float("inf")), "infinite"), F.when(F.coalesce(F.array_max(F.transform(finite, F.abs)) > 1.0, F.lit(False)), "out of range")
+    )
+    return F.when(F.coalesce(F.size(data) <= 0, F.lit(True)), F.array(F.lit("empty"))).otherwise(F.array_compact(reasons))
+
+
+def discarded(data: Column, silent_peak: float = 1e-4) -> Column:
+    """Why a new clip is thrown away: empty, not a number, or silent; null if it is kept."""
+    top = peak(F.filter(data, lambda x: ~F.isnan(x)))
+    return F.when(F.coalesce(F.size(data) <= 0, F.lit(True)), "empty").when(F.exists(data, lambda x: F.isnan(x.cast("double"))), "nan").when(top < silent_peak, "silent")
+
+
+def cleaned(data: Column) -> Column:
+    """For a recogniser: what is no number becomes 0, the rest is clipped to -1..1."""
+    return F.transform(data, lambda x: F.when(F.isnan(x.cast("double")), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x.cast("double")))))
+
+
+def attenuated(data: Column, ceiling_db: float) -> Column:
+    """Scaled down to a peak of ``ceiling_db`` if it is above, else as it is."""
+    top, most = peak(data), 10 ** (ceiling_db / 20)
+    return F.transform(data, lambda x: F.when(top > most, x.cast("double") / top * most).otherwise(x.cast("double")))
+
+
+def trimmed(data: Column, start: Column, end: Column, rate: int) -> Column:
+    """The samples from a time to another; null times are the ends."""
+    a = F.greatest(F.coalesce((start * rate).cast("int"), F.lit(0)), F.lit(0))
+    b = F.least(F.coalesce((end * rate).cast("int"), F.size(data)), F.size(data))
+    return F.when(b > a, F.slice(data, a + 1, b - a)).otherwise(F.slice(data, 1, 0))
+
+
+def with_silence(data: Column, seconds: Column, rate: int) -> Column:
+    return F.concat(data, F.array_repeat(F.lit(0.0), F.greatest((seconds * rate).cast("int"), F.lit(0))))
+
+
+def cross_faded(a: Column, b: Column, overlap: int) -> Column:
+    """Two clips that overlap: the end of one fades into the start of the other, linearly."""
+    n = F.least(F.lit(overlap), F.size(a), F.size(b))
+    tail, head = F.slice(a, F.size(a) - n + 1, n), F.slice(b, F.lit(1), n)
+    ramp = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: i / (n + 1))
+    mixed = F.transform(F.arrays_zip(tail.alias("t"), head.alias("h"), F.slice(ramp, F.lit(1), n).alias("r")), lambda x: x["t"] * (1 - x["r"]) + x["h"] * x["r"])
+    return F.when(n > 0, F.concat(F.slice(a, F.lit(1), F.size(a) - n), mixed, F.slice(b, n + 1, F.size(b)))).otherwise(F.concat(a, b))
+
+
+def resampled(data: Column, rate: int, to: int) -> Column:
+    """Samples at another rate, by straight lines between neighbours."""
+    n = F.floor(F.size(data) * to / rate).cast("int")
+    at = lambda i: F.least(i * rate / to, (F.size(data) - 1).cast("double"))
+    value = lambda p: F.get(data, F.floor(p).cast("int")) + (F.get(data, F.least(F.floor(p).cast("int") + 1, F.size(data) - 1)) - F.get(data, F.floor(p).cast("int"))) * (p - F.floor(p))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: value(at(i)))).otherwise(F.slice(data, 1, 0))
+
+
+def frames(clips: DataFrame, key: str, data: str, length: int, hop: int) -> DataFrame:
+    """(key, frame, rms) of centred frames: the clip has half a frame of zeros around it."""
+    half = length // 2
+    zeros = F.array_repeat(F.lit(0.0), half)
+    c = clips.where(F.size(data) > 0).select(key, F.concat(zeros, F.transform(data, lambda x: x.cast("double")), zeros).alias("__d"), F.size(data).alias("__n"))
+    c = c.select(key, "__d", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") + 2 * half - length) / hop).cast("int"))).alias("frame"))
+    return c.select(key, "frame", rms(F.slice("__d", F.col("frame") * hop + 1, F.lit(length))).alias("rms"))
+
+
+def silent_intervals(frame_rows: DataFrame, clips: DataFrame, key: str, hop: int, rate: int, duration: str, db: float = -42.0, least: int = 10) -> DataFrame:
+    """(key, start, end) of runs of quiet frames in seconds, ended by the clip; a clip of silence is one."""
+    top = frame_rows.groupBy(key).agg(F.max("rms").alias("__top"))
+    w = Window.partitionBy(key).orderBy("frame")
+    f = frame_rows.join(top, key).where((F.col("rms") < F.col("__top") * 10 ** (db / 20)) | (F.col("__top") == 0))
+    f = f.withColumn("__run", F.col("frame") - F.row_number().over(w))
+    runs = f.groupBy(key, "__run").agg(F.min("frame").alias("a"), (F.max("frame") + 1).alias("b"), F.count("*").alias("n"), F.max("__top").alias("__top")).where((F.col("n") >= least) | (F.col("__top") == 0))
+    out = runs.join(clips.select(key, duration), key)
+    whole = F.col("__top") == 0
+    out = out.select(key, F.when(whole, 0.0).otherwise(F.col("a") * hop / rate).alias("start"), F.when(whole, F.col(duration)).otherwise(F.least(F.col("b") * hop / rate, F.col(duration))).alias("end"))
+    return out.where("start < end")
+
+
+def capped_gaps(intervals: DataFrame, clips: DataFrame, key: str, duration: str, most: float) -> DataFrame:
+    """(key, start, end) of the parts of a clip that stay: all that sounds, and of each silence the middle ``most`` seconds."""
+    w = Window.partitionBy(key).orderBy("start")
+    s = intervals.withColumn("__last", F.coalesce(F.lag("end").over(w), F.lit(0.0)))
+    mid = (F.col("start") + F.col("end")) / 2
+    long = F.col("end") - F.col("start") > most
+    kept = F.struct(F.when(long, mid - most / 2).otherwise(F.col("start")).alias("a"), F.when(long, mid + most / 2).otherwise(F.col("end")).alias("b"))
+    parts = s.select(key, F.explode(F.array(F.struct(F.col("__last").alias("a"), F.col("start").alias("b")), kept)).alias("p"))
+    tails = clips.select(key, duration).join(intervals.groupBy(key).agg(F.max("end").alias("__e")), key, "left").select(key, F.struct(F.coalesce("__e", F.lit(0.0)).alias("a"), F.col(duration).alias("b")).alias("p"))
+    return parts.unionByName(tails).select(key, F.col("p.a").alias("start"), F.col("p.b").alias("end")).where("end > start")
+
+
+def end_silences(frame_rows: DataFrame, clips: DataFrame, key: str, hop: int, rate: int, duration: str, db: float = -42.0, least: int = 10) -> DataFrame:
+    """(key, lead, tail): seconds of silence at the start, and when that at the end begins; null where there is none."""
+    s = silent_intervals(frame_rows, clips, key, hop, rate, duration, db, least)
+    lead = F.max(F.when(F.col("start") == 0, F.col("end"))).alias("lead")
+    tail = F.max(F.when(F.col("end") >= F.col(duration), F.col("start"))).alias("tail")
+    return clips.select(key, duration).join(s, key, "left").groupBy(key).agg(lead, tail)
+
+
+@F.pandas_udf(T.DoubleType())
+def quietest_near(data: pd.Series, at: pd.Series, rate: pd.Series) -> pd.Series:
+    """The time of least energy (over 20 ms) within 250 ms of a time; the time itself if that is outside of the clip."""
+
+    def one(x, t: float, sr: int) -> float:
+        x = np.asarray(x, np.float64)
+        lo, hi = max(0, int(t * sr) - int(0.25 * sr)), min(len(x), int(t * sr) + int(0.25 * sr))
+        if lo >= hi:
+            return t
+        n = max(1, int(0.02 * sr)) | 1
+        sums = np.concatenate(([0.0], np.cumsum(np.pad(x[lo:hi], n // 2) ** 2)))
+        return (lo + int(np.argmin(np.round(sums[n:] - sums[:-n], 12)))) / sr
+
+    return pd.Series([one(x, t, r) for x, t, r in zip(data, at, rate, strict=True)])
+
+
+def high_shelf(data: Column, rate: int, strength: float, start_hz: float, q: float) -> Column:
+    """Frequencies above a start lifted by a smooth step in the spectrum; the peak stays within full scale."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def lift(s: pd.Series) -> pd.Series:
+        def one(x):
+            x = np.asarray(x, np.float64)
+            f = np.fft.rfftfreq(len(x), 1 / rate)
+            begin = min(max(20.0, start_hz), max(25.0, rate / 2 * 0.98))
+            width = max(1.0, (rate / 2 - begin) / max(0.1, q))
+            t = np.clip((f - begin) / width, 0, 1)
+            y = np.fft.irfft(np.fft.rfft(x) * (1 + strength * t * t * (3 - 2 * t)), len(x))
+            return y / max(1.0, np.abs(y).max())
+
+        return s.map(lambda x: x if x is None or not len(x) or strength <= 0 else one(x))
+
+    return lift(data)
+
+
+def integrated_loudness(data: Column, rate: int) -> Column:
+    """Gated loudness (BS.1770: two filters, blocks of 0.4 s with 75 % overlap, an absolute and a relative gate); null below 0.4 s."""
+
+    def biquad(gain: float, q: float, fc: float, high_pass: bool) -> tuple[np.ndarray, np.ndarray]:
+        w = 2 * np.pi * fc / rate
+        alpha, c, a = np.sin(w) / (2 * q), np.cos(w), 10 ** (gain / 40)
+        if high_pass:
+            return np.array([(1 + c) / 2, -(1 + c), (1 + c) / 2]) / (1 + alpha), np.array([1 + alpha, -2 * c, 1 - alpha]) / (1 + alpha)
+        r = 2 * np.sqrt(a) * alpha
+        b = a * np.array([(a + 1) + (a - 1) * c + r, -2 * ((a - 1) + (a + 1) * c), (a + 1) + (a - 1) * c - r])
+        d = np.array([(a + 1) - (a - 1) * c + r, 2 * ((a - 1) - (a + 1) * c), (a + 1) - (a - 1) * c - r])
+        return b / d[0], d / d[0]
+
+    def filtered(x: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+        f = np.fft.rfft(x, 2 * len(x))
+        z = np.exp(-2j * np.pi * np.fft.rfftfreq(2 * len(x)))
+        return np.fft.irfft(f * (b[0] + b[1] * z + b[2] * z * z) / (d[0] + d[1] * z + d[2] * z * z), 2 * len(x))[: len(x)]
+
+    def one(x) -> float | None:
+        if x is None or len(x) < 0.4 * rate:
+            return None
+        y = filtered(filtered(np.asarray(x, np.float64), *biquad(4.0, 1 / np.sqrt(2), 1500.0, False)), *biquad(0.0, 0.5, 38.0, True))
+        block, step = int(0.4 * rate), int(0.1 * rate)
+        power = np.array([np.mean(y[i : i + block] ** 2) for i in range(0, len(y) - block + 1, step)])
+        level = -0.691 + 10 * np.log10(np.maximum(power, 1e-20))
+        loud = power[level >= -70]
+        if not len(loud):
+            return float("-inf")
+        relative = -0.691 + 10 * np.log10(loud.mean()) - 10
+        both = power[(level >= -70) & (level > relative)]
+        return float(-0.691 + 10 * np.log10(both.mean())) if len(both) else float("-inf")
+
+    @F.pandas_udf(T.DoubleType())
+    def loudness(s: pd.Series) -> pd.Series:
+        return pd.Series([one(x) for x in s], dtype="float64").where(lambda v: v.notna(), None)
+
+    return loudness(data)
+
+
+def loudness_report(log: Column) -> Column:
+    """map<string, string> of the last JSON object in an encoder's log; null without one."""
+    last = F.element_at(F.regexp_extract_all(log, F.lit(r"(?s)(\{[^{}]*\})"), F.lit(1)), -1)
+    return F.when(F.rlike(log, F.lit(r"(?s)\{[^{}]*\}")), F.from_json(last, "map<string,string>"))
+
+
+def pcm_samples(chunks: DataFrame, key: str, order: str, data: str) -> DataFrame:
+    """(key, n_samples, checksum) of 16-bit streams in chunks: an odd byte goes to the next chunk, a last one is dropped.
+
+    Each chunk begins with the byte left over if an odd number of bytes came before, by a running sum.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    n = F.octet_length(data)
+    c = chunks.withColumn("__before", F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    c = c.withColumn("__carry", F.when(F.col("__before") % 2 == 1, F.last(F.when(n > 0, F.substring(data, -1, 1)), True).over(w.rowsBetween(Window.unboundedPreceding, -1))))
+    whole = F.concat(F.coalesce("__carry", F.lit(b"")), F.col(data))
+    even = F.floor(F.octet_length(whole) / 2).cast("int")
+    return c.select(key, order, F.substring(whole, F.lit(1), even * 2).alias(data), even.alias("n_samples"))
+
+
+def top_classes(scores: DataFrame, key: str, data: str, most: int, least: float) -> DataFrame:
+    """(key, class, score) of each frame's best classes, ``most`` at most and from a least score on."""
+    s = scores.select(key, F.slice(F.array_sort(F.transform(data, lambda x, i: F.struct((-x).alias("s"), i.alias("c")))), 1, most).alias("t"))
+    return s.select(key, F.explode("t").alias("t")).select(key, F.col("t.c").alias("class"), (-F.col("t.s")).alias("score")).where(F.col("score") >= least)
+
+
+def has_class(top: DataFrame, clip: str, wanted: int) -> DataFrame:
+    """(clip, found): whether a clip's frames show a class among their best."""
+    return top.groupBy(clip).agg(F.max((F.col("class") == wanted).cast("int")).alias("__f")).select(clip, (F.col("__f") == 1).alias("found"))

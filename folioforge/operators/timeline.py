@@ -60,9 +60,18 @@ def as_of(queries: DataFrame, segments: DataFrame, key: str, at: str, start: str
     return both.select("__row.*", F.when(F.col("__t") < F.col("__last.e"), F.col("__last.v")).alias(value))
 
 
-def overlaps(sections: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
-    """Sections (half-open start_index, end_index) that touch a range (inclusive start, end) of their key."""
-    return sections.join(ranges, key).where("start_index <= end and end_index > start")
+def overlaps(sections: DataFrame, ranges: DataFrame, key: str, width: int = 64) -> DataFrame:
+    """Sections (half-open start_index, end_index) that touch a range (inclusive start, end) of their key.
+
+    Both sides are dealt to bins of ``width`` indices that they touch; a pair counts in the first bin that
+    both have. An empty section counts at its place.
+    """
+    first = lambda c: F.floor(F.col(c) / width)
+    last = F.floor(F.greatest(F.col("end_index") - 1, F.col("start_index")) / width)
+    s = sections.withColumn("__bin", F.explode(F.sequence(first("start_index"), last)))
+    r = ranges.withColumn("__bin", F.explode(F.sequence(first("start"), first("end"))))
+    both = s.join(r, [key, "__bin"]).where("start_index <= end and end_index > start")
+    return both.where(F.col("__bin") == F.greatest(first("start_index"), first("start"))).drop("__bin")
 
 
 def last_audio(items: DataFrame, key: str, order: str, has_audio: Column) -> DataFrame:

@@ -126,15 +126,105 @@ def eta_moving_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.remaining_time(e, "user_id", "event_id", "value").select("user_id", "event_id", F.round("mean_seconds", 6).alias("mean_seconds"))
 
 
-@register("silence_runs", """
-WITH f AS (SELECT user_id, event_id, value < max(value) OVER (PARTITION BY user_id) * pow(10, -12 / 20.0) AS quiet, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
-g AS (SELECT user_id, rn, rn - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM f WHERE quiet)
-SELECT user_id, min(rn) AS first, max(rn) AS last, count(*) AS n FROM g GROUP BY user_id, run HAVING count(*) >= 2
-""")
+FRAMES_SQL = """
+WITH x AS (SELECT vec_id, label, embedding::DOUBLE[] AS x, len(embedding) AS n FROM embeddings), f AS (SELECT vec_id, x, n, unnest(range(CAST(floor((n + 8 - 8) / 4) AS BIGINT) + 1)) AS frame FROM x),
+r AS (SELECT vec_id, frame, n, sqrt(list_sum(list_transform(x[greatest(frame * 4 - 3, 1):least(frame * 4 + 4, n)], lambda v: v * v)) / 8) AS rms FROM f),
+q AS (SELECT *, rms < max(rms) OVER (PARTITION BY vec_id) * pow(10, -3 / 20.0) AS quiet FROM r), g AS (SELECT *, frame - row_number() OVER (PARTITION BY vec_id ORDER BY frame) AS run FROM q WHERE quiet),
+s AS (SELECT vec_id, min(frame) * 4 / 16.0 AS start, least((max(frame) + 1) * 4 / 16.0, any_value(n) / 16.0) AS "end" FROM g GROUP BY vec_id, run HAVING count(*) >= 2), i AS (SELECT * FROM s WHERE start < "end")
+"""
+
+
+def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"), (F.size("embedding") / 16).alias("duration"))
+
+
+def _intervals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = _clips(spark, sf_dir)
+    return sig.silent_intervals(sig.frames(c, "vec_id", "x", 8, 4), c, "vec_id", 4, 16, "duration", -3.0, 2), c
+
+
+@register("framed_rms", FRAMES_SQL + "SELECT vec_id, frame, round(rms, 9) AS rms FROM r")
+def framed_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energy of centred frames of eight samples, four apart."""
+    f = sig.frames(_clips(spark, sf_dir), "vec_id", "x", 8, 4)
+    return f.select("vec_id", F.col("frame").cast("long").alias("frame"), F.round("rms", 9).alias("rms"))
+
+
+@register("silence_runs", FRAMES_SQL + "SELECT vec_id, start, \"end\" FROM i")
 def silence_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of two or more frames that are 12 dB below their clip's peak."""
-    s = sig.silences(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value", -12.0, 2)
-    return s.select("user_id", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "n")
+    """Silences of each clip: two frames and more that are 3 dB below the loudest (16 samples a second)."""
+    return _intervals(spark, sf_dir)[0]
+
+
+@register("end_silences", FRAMES_SQL + "SELECT x.vec_id, max(CASE WHEN start = 0 THEN \"end\" END) AS lead, max(CASE WHEN \"end\" >= x.n / 16.0 THEN start END) AS tail FROM x LEFT JOIN i ON x.vec_id = i.vec_id GROUP BY x.vec_id")
+def end_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silence at the start and at the end of each clip."""
+    c = _clips(spark, sf_dir)
+    return sig.end_silences(sig.frames(c, "vec_id", "x", 8, 4), c, "vec_id", 4, 16, "duration", -3.0, 2)
+
+
+@register("capped_gaps", FRAMES_SQL + """
+, l AS (SELECT *, coalesce(lag("end") OVER (PARTITION BY vec_id ORDER BY start), 0) AS before FROM i),
+k AS (SELECT vec_id, before AS a, start AS b FROM l UNION ALL SELECT vec_id, CASE WHEN "end" - start > 0.3 THEN (start + "end") / 2 - 0.15 ELSE start END, CASE WHEN "end" - start > 0.3 THEN (start + "end") / 2 + 0.15 ELSE "end" END FROM l
+  UNION ALL SELECT x.vec_id, coalesce(max("end"), 0), any_value(n) / 16.0 FROM x LEFT JOIN i ON x.vec_id = i.vec_id GROUP BY x.vec_id)
+SELECT vec_id, round(a, 6) AS start, round(b, 6) AS "end" FROM k WHERE b > a
+""")
+def capped_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of each clip that stay when silences are cut to their middle 0.3 seconds."""
+    i, c = _intervals(spark, sf_dir)
+    return sig.capped_gaps(i, c, "vec_id", "duration", 0.3).select("vec_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+@register("clip_edits", """
+WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), p AS (SELECT vec_id, x, list_max(list_transform(x, lambda v: abs(v))) AS peak FROM x)
+SELECT vec_id, len(x) AS n, len(x) + 8 AS n_longer, round(list_sum(x[5:16]), 6) AS cut_sum, round(CASE WHEN peak > pow(10, -6 / 20.0) THEN pow(10, -6 / 20.0) ELSE peak END, 6) AS soft_peak, len(x) * 2 AS n_double, round(list_sum(list_transform(x, lambda v: greatest(-1, least(1, v)))), 6) AS clean_sum,
+  CASE WHEN peak > 1 THEN 'out of range' ELSE '' END AS reasons, round(list_sum(list_transform(x, lambda v: (v + 2 * v) / 2)), 5) AS mono_sum FROM p
+""")
+def clip_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips with silence behind, cut, softened, at twice the rate, cleaned, checked, mixed to one channel."""
+    x = F.col("x")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    return _clips(spark, sf_dir).withColumn("x", F.transform("x", lambda v: v.cast("double"))).select(
+        "vec_id", F.size(x).cast("long").alias("n"), F.size(sig.with_silence(x, F.lit(0.5), 16)).cast("long").alias("n_longer"), F.round(total(sig.trimmed(x, F.lit(0.25), F.lit(1.0), 16)), 6).alias("cut_sum"), F.round(sig.peak(sig.attenuated(x, -6.0)), 6).alias("soft_peak"),
+        F.size(sig.resampled(x, 16, 32)).cast("long").alias("n_double"), F.round(total(sig.cleaned(x)), 6).alias("clean_sum"), F.array_join(sig.invalid_reasons(x), " ").alias("reasons"), F.round(total(sig.mono(F.array(x, F.transform(x, lambda v: v * 2)))), 5).alias("mono_sum"),
+    )
+
+
+@register("top_classes", """
+WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS score, unnest(range(len(embedding))) AS class FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, class) AS k FROM x)
+SELECT vec_id, class, round(score, 6) AS score FROM r WHERE k <= 5 AND score >= 0.2
+""")
+def top_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best classes of each frame with a score of 0.2 or more."""
+    t = sig.top_classes(table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("s")), "vec_id", "s", 5, 0.2)
+    return t.select("vec_id", F.col("class").cast("long").alias("class"), F.round("score", 6).alias("score"))
+
+
+@register("music_clips", """
+WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS score, unnest(range(len(embedding))) AS class FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, class) AS k FROM x)
+SELECT label, bool_or(class = 3) AS found FROM r WHERE k <= 10 AND score >= 0.1 GROUP BY label
+""")
+def music_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a clip (a label) has a frame that shows class 3 among its ten best."""
+    e = table(spark, sf_dir, "embeddings").select(F.struct("vec_id", "label").alias("k"), F.transform("embedding", lambda v: v.cast("double")).alias("s"))
+    return sig.has_class(sig.top_classes(e, "k", "s", 10, 0.1).select(F.col("k.label").alias("label"), "class"), "label", 3)
+
+
+@register("pcm_streams", """
+SELECT conv_id, turn, CAST((octet_length(encode(coalesce(text, ''))) + coalesce(b, 0) % 2) // 2 AS BIGINT) AS n_samples FROM (SELECT *, sum(octet_length(encode(coalesce(text, '')))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM conversations)
+""")
+def pcm_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams of bytes in chunks as 16-bit samples: an odd byte goes on to the next chunk."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"))
+    return sig.pcm_samples(c, "conv_id", "turn", "b").select("conv_id", "turn", F.col("n_samples").cast("long").alias("n_samples"))
+
+
+@register("playback_log", "SELECT user_id, event_id, CAST(sum(event_id % 50) OVER (PARTITION BY user_id ORDER BY event_id) - event_id % 50 AS BIGINT) AS sample_start, CAST(sum(event_id % 50) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS sample_end FROM events")
+def playback_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of a stream's samples that enqueued pieces take."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 50).alias("n"))
+    s = tl.section_ranges(e, "user_id", "event_id", "n")
+    return s.select("user_id", "event_id", F.col("start_index").alias("sample_start"), F.col("end_index").alias("sample_end"))
 
 
 @register("noise_floor_p20", """
@@ -149,7 +239,7 @@ def noise_floor_p20(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("clip_levels", """
 WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i, len(embedding) AS n FROM embeddings)
 SELECT vec_id, round(sqrt(sum(x * x) / count(*)), 6) AS rms, round(max(abs(x)), 6) AS peak, sqrt(sum(x * x) FILTER (WHERE i >= n - 8) / 8) > pow(10, -1) + 1e-8 AS cut_off,
-  CAST(sum(floor(greatest(-1, least(1, x)) * 32767)) AS BIGINT) AS pcm_sum FROM x GROUP BY vec_id
+  CAST(sum(trunc(greatest(-1, least(1, x)) * 32767)) AS BIGINT) AS pcm_sum FROM x GROUP BY vec_id
 """)
 def clip_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loudness, peak, a tail that is still loud, and the sum of the 16-bit samples of each clip."""
