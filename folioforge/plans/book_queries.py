@@ -167,10 +167,14 @@ def semantic_trims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", "line", F.round("t.start", 3).alias("start"), F.round("t.end", 3).alias("end"))
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").where("text <> ''").select(F.col("item_id").alias("doc_id"), "text")
+
+
 @register("forced_alignment")
 def forced_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Times of the phrases of each sentence within its clip (dynamic program; held against brute force)."""
-    p = seg.phrases(documents(spark, sf_dir).where("text <> ''")).where("sentence_index < 5000")
+    """Times of the phrases of each item's sentences within their clip (dynamic program; held against brute force)."""
+    p = seg.phrases(_items(spark, sf_dir))
     s = p.groupBy("doc_id", "sentence_index").agg(F.array_sort(F.collect_list(F.struct("phrase_index", "text"))).alias("p")).where(F.size("p").between(2, 6))
     s = s.select("doc_id", "sentence_index", F.transform("p", lambda x: tx.collapse_space(tx.light_form(x["text"]))).alias("phrases"))
     heard = F.filter(F.split(F.array_join("phrases", " "), " "), lambda w: w != "")
@@ -181,9 +185,9 @@ def forced_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("transcript_alignment")
 def transcript_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Times of a document's sentences in a transcript of it that begins late and lacks each ninth word (held against literal cases)."""
+    """Times of an item's sentences in a transcript of it that begins late and lacks each ninth word (held against literal cases)."""
     s = seg.sentences(F.col("text"))
-    d = documents(spark, sf_dir).where("text <> ''").select("doc_id", F.transform(s, lambda x: tx.collapse_space(tx.light_form(x))).alias("phrases"))
+    d = _items(spark, sf_dir).select("doc_id", F.transform(s, lambda x: tx.collapse_space(tx.light_form(x))).alias("phrases"))
     heard = F.filter(F.split(F.array_join("phrases", " "), " "), lambda w, i: (w != "") & (i % 9 != 8))
     words = F.transform(heard, lambda w, i: F.struct(w.alias("word"), (3 + i * 0.5).alias("start"), (3 + i * 0.5 + 0.4).alias("end")))
     books = d.select("doc_id", F.array("phrases").alias("sections"), words.alias("words"))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from folioforge.functions import text as tx
 from folioforge.operators import pages as pg
 from folioforge.operators import segmentation as seg
-from folioforge.registry import register, table
+from folioforge.registry import register, spread, table
 
 #: Inside a character class: white space, and punctuation as SQL text.
 WS = tx.SPACE
@@ -44,7 +44,7 @@ WITH clean AS (
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 @register("phrase_split_counts", PHRASES_SQL + "SELECT doc_id, reason, count(*) AS n, CAST(sum(n_words) AS BIGINT) AS words FROM phrases GROUP BY doc_id, reason")
