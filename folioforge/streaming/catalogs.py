@@ -10,5 +10,5 @@ from folioforge.functions.names import take_fields
 
 def live_takes(spark: SparkSession, folder: str, models: list[str]) -> DataFrame:
     """(file, index, hash, model, voice, errors) of takes as they appear in a folder; other files are passed over."""
-    found = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.flac").load(folder).where("length > 0").select(F.regexp_extract(F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"([^/]*)$", 1).alias("file"))
-    return found.select("file", take_fields(F.col("file"), models).alias("t")).where("t is not null").select("file", "t.*")
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.flac").load(folder).where("length > 0").select(F.regexp_extract(F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"([^/]*)$", 1).alias("file"))
+    return found.select("file", take_fields(F.col("file"), models).alias("t")).where("t is not null").select("file", "t.*").dropDuplicates(["file"])
