@@ -21,11 +21,13 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the cluster names none (tests on one machine), a local temporary folder is made and set.
+    On one machine (tests) a temporary folder is made and set where none is named; on a cluster that is an error.
     """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.folioforge.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folioforge-")
         spark.conf.set("spark.folioforge.shared.dir", found)
         spark.sparkContext.setCheckpointDir(found)

@@ -179,14 +179,60 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END)) AS x FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)
+), both_ways AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), reached(id, root) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT o.b, r.root FROM reached r JOIN both_ways o ON o.a = r.id
+)
+SELECT r.id AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id, r.id = min(root) AS kept FROM reached r LEFT JOIN n ON r.id = n.doc_id GROUP BY r.id
+"""
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_merge.remove_repeated_bytes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP10_SQL = """
+WITH h AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), bytes AS (
+  SELECT doc_id, unnest(regexp_extract_all(h, '..')) AS b, unnest(range(0, len(h) // 2)) AS i FROM h
+), w2 AS (
+  SELECT doc_id, i, b || lead(b, 1) OVER w AS t2 FROM bytes WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), w4 AS (
+  SELECT doc_id, i, t2, t2 || lead(t2, 2) OVER w AS t4 FROM w2 WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), w16 AS (
+  SELECT doc_id, i, t2, t4 || lead(t4, 4) OVER w || lead(t4, 8) OVER w || lead(t4, 12) OVER w AS t16 FROM w4 WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), win AS (
+  SELECT doc_id, i, t FROM (SELECT doc_id, i, t16 || lead(t16, 16) OVER w || lead(t16, 32) OVER w || lead(t2, 48) OVER w AS t FROM w16 WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE t IS NOT NULL
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY t) AS first_doc FROM win) WHERE first_doc < doc_id
+), marked AS (
+  SELECT b.doc_id, b.b, b.i, coalesce(b.i - max(l.i) OVER (PARTITION BY b.doc_id ORDER BY b.i) < 50, false) AS gone FROM bytes b LEFT JOIN later l ON b.doc_id = l.doc_id AND b.i = l.i
+), runs AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM marked
+), kept AS (
+  SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans, coalesce(string_agg(CASE WHEN NOT gone THEN b END, '' ORDER BY i), '') AS kept FROM runs GROUP BY doc_id
+)
+SELECT h.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM h LEFT JOIN kept ON h.doc_id = kept.doc_id
+"""
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op4_licence_scan": OP4_SQL, "op2_url_filter": OP2_SQL, "op5_warc": OP5_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op4_licence_scan": OP4_SQL, "op2_url_filter": OP2_SQL, "op5_warc": OP5_SQL, "op9_minhash_dedup": OP9_SQL, "op10_suffix_array_dedup": OP10_SQL}
