@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 SPECIAL = "<|endoftext|>"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -98,11 +100,11 @@ def encode_texts(docs: DataFrame, ranks_file: str, *, id_col: str = "doc_id", te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = "doc_id long, " + (digest_schema if digest else "ids binary")
     done = digest or (lambda _, ids: {"ids": pack(ids)})
-    types = pa.schema([("doc_id", pa.int64())]).append(pa.field("ids", pa.binary()))
+    types = to_arrow_schema(_parse_datatype_string(schema))
 
     def finish(rows: list[tuple[int, list[int]]], bpe: Bpe) -> pa.RecordBatch:
         out = [{"doc_id": d} | done(bpe, ids) for d, ids in rows]
-        return pa.RecordBatch.from_pylist(out, schema=types) if digest is None else pa.RecordBatch.from_pandas(_frame(out), preserve_index=False)
+        return pa.RecordBatch.from_pylist(out, schema=types)
 
     def whole(batches):
         bpe = vocabulary(ranks_file)
@@ -158,12 +160,6 @@ def encode_texts(docs: DataFrame, ranks_file: str, *, id_col: str = "doc_id", te
     return short.unionByName(tree.mapInArrow(top, schema))
 
 
-def _frame(rows: list[dict]):
-    import pandas as pd
-
-    return pd.DataFrame(rows)
-
-
 def decode_ids(encoded: DataFrame, ranks_file: str, *, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, text) of (doc_id, ids binary)."""
 
