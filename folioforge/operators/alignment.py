@@ -29,28 +29,24 @@ def align_words(source: list[str], heard: list[str], uncommon: set[str], same) -
     A source word of ``uncommon`` may stand for any one or two words at no cost.
     """
     n, m = len(source), len(heard)
-    cost = [[0.0] * (m + 1) for _ in range(n + 1)]
-    move = [[""] * (m + 1) for _ in range(n + 1)]
-    for i in range(n + 1):
-        free = i > 0 and source[i - 1] in uncommon
-        for j in range(m + 1):
-            if not i and not j:
-                continue
-            options = []
-            if i and j:
-                a, b = source[i - 1], heard[j - 1]
-                kind = "match" if a == b else "homophone" if same(a, b) else "uncommon" if free else "substitute"
-                options.append((cost[i - 1][j - 1] + (kind == "substitute"), kind))
-            if j > 1 and free:
-                options.append((cost[i - 1][j - 2], "uncommon_two"))
-            if i:
-                options.append((cost[i - 1][j] + 1, "delete"))
-            if j:
-                options.append((cost[i][j - 1] + 1, "insert"))
-            cost[i][j], move[i][j] = min(options, key=lambda x: x[0])  # the first of equals
+    row, moves = list(range(m + 1)), [["insert"] * (m + 1)]
+    for a in source:
+        free, above, row, move = a in uncommon, row, [row[0] + 1], ["delete"]
+        for j, b in enumerate(heard, 1):
+            kind = "match" if a == b else "homophone" if same(a, b) else "uncommon" if free else "substitute"
+            best = above[j - 1] + (kind == "substitute")
+            if free and j > 1 and above[j - 2] < best:
+                best, kind = above[j - 2], "uncommon_two"
+            if above[j] + 1 < best:
+                best, kind = above[j] + 1, "delete"
+            if row[j - 1] + 1 < best:
+                best, kind = row[j - 1] + 1, "insert"
+            row.append(best)
+            move.append(kind)
+        moves.append(move)
     steps, i, j = [], n, m
     while i or j:
-        kind = move[i][j]
+        kind = moves[i][j]
         di, dj = {"delete": (1, 0), "insert": (0, 1), "uncommon_two": (1, 2)}.get(kind, (1, 1))
         steps.append((kind, " ".join(source[i - di : i]) or "-", " ".join(heard[j - dj : j]) or "-"))
         i, j = i - di, j - dj
