@@ -94,10 +94,11 @@ def with_extra(df: DataFrame, schema: dict[str, str]) -> T.StructType:
     return T.StructType(fields + [T.StructField(k, T._parse_datatype_string(v)) for k, v in schema.items()])
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame | Iterable[UrlRule], *, url: str = "url", default: str = "allow", max_broadcast_bytes: int = 64 << 20) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame | Iterable[UrlRule], *, url: str = "url", default: str = "allow", max_broadcast_bytes: int = 8 << 20) -> DataFrame:
     """The pages with host, path, rule and verdict.
 
-    ``rules``: a list, or a table (verdict, host, path) of any size. Columns of the input that carry one of the
+    ``rules``: a list, or a table (verdict, host, path) of any size; its trie takes some ten times its text's bytes in
+    each worker, so beyond ``max_broadcast_bytes`` of text the rules are joined. Columns of the input that carry one of the
     four names are replaced.
     """
     spark = pages.sparkSession
@@ -124,12 +125,18 @@ def _by_trie(pages: DataFrame, rules: DataFrame, default: str) -> DataFrame:
 
 
 def _by_join(pages: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """For rule tables beyond the broadcast bound. Equal urls are judged once."""
+    """For rule tables beyond the broadcast bound. Equal urls are judged once.
+
+    Each url is joined by the pairs of a suffix of its host and a prefix of its path as long as some rule's, so that a
+    common suffix such as a top-level domain is split by paths and only rules that fit meet it.
+    """
     urls = pages.select("host", "path").distinct().where("host <> ''")
+    lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect()]  # one integer for each length of a rule's path
     labels = F.split("host", r"\.")
     suffixes = urls.withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
+    starts = F.transform(F.filter(F.array(*map(F.lit, sorted(lengths))), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     r = rules.select(F.col("host").alias("suffix"), F.col("path").alias("start"), F.col("verdict").alias("v"))
-    fits = suffixes.join(r, "suffix").where(F.col("path").startswith(F.col("start")))
+    fits = suffixes.withColumn("start", F.explode(starts)).join(r, ["suffix", "start"])
     name = F.concat("suffix", "start")
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length(name), F.length("suffix"), F.col("v") == "block", name.alias("rule"), F.col("v").alias("verdict"))).alias("best"))
     out = pages.drop("rule", "verdict").join(best, ["host", "path"], "left")
