@@ -123,6 +123,11 @@ def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+def same_edges(a: Column, b: Column) -> Column:
+    """Whether two arrays of words begin and end with the same word."""
+    return (F.get(a, F.lit(0)) == F.get(b, F.lit(0))) & (F.element_at(a, -1) == F.element_at(b, -1))
+
+
 def window_without_errors(source: list[str], heard: list[str], uncommon: set[str], same) -> int:
     """Where the first window of as many heard words as the source has begins that aligns without error; -1: none."""
     n = len(source)

@@ -266,3 +266,19 @@ def break_downgrades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A break right after a break becomes a paragraph's end."""
     p = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("sentence_index"), F.lit(0).alias("phrase_index"), F.when(F.col("event_type").isin("view", "error"), "x").otherwise("s").alias("reason"))
     return seg.downgrade_repeated_breaks(p, "user_id").select("user_id", F.col("sentence_index").alias("event_id"), "reason")
+
+
+@register("clip_sound")
+def clip_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loudness (of the clip sixty times over), the quietest point near the middle, lifted treble and a cross-fade of each clip (signals; held against literal cases)."""
+    c = _clips(spark, sf_dir).withColumn("x", F.transform("x", lambda v: v.cast("double")))
+    return c.select(
+        "vec_id", F.round(sig.integrated_loudness(F.flatten(F.array_repeat("x", 60)), 8000), 4).alias("loudness"), sig.quietest_near(F.col("x"), F.lit(0.3), F.lit(100)).alias("quiet"), F.round(sig.peak(sig.high_shelf(F.col("x"), 100, 0.6, 20.0, 1.1)), 6).alias("peak"), F.size(sig.cross_faded(F.col("x"), F.col("x"), 8)).alias("n_faded"),
+    )
+
+
+@register("mean_loudness")
+def mean_loudness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean loudness of the clips of each label, each sixty times over."""
+    c = table(spark, sf_dir, "embeddings").select("label", sig.integrated_loudness(F.flatten(F.array_repeat(F.transform("embedding", lambda v: v.cast("double")), 60)), 8000).alias("l"))
+    return c.where("l is not null and l > -1000").groupBy("label").agg(F.round(F.avg("l"), 4).alias("loudness"), F.count("*").alias("n"))

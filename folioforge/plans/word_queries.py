@@ -9,6 +9,7 @@ from folioforge.functions import contracts as ct
 from folioforge.functions import names
 from folioforge.functions import numbers
 from folioforge.functions import text as tx
+from folioforge.operators import alignment as al
 from folioforge.operators import lexicon as lx
 from folioforge.operators import prompts as pr
 from folioforge.operators import timeline as tl
@@ -321,3 +322,41 @@ def probable_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcripts of the words that are probable enough."""
     w = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.col("event_type").alias("word"), F.col("value").alias("probability")))).alias("words"))
     return w.select("user_id", tx.transcript(F.col("words"), 5.0).alias("transcript")).where("transcript <> ''")
+
+
+# ---------------------------------------------------------------- letters, sounds and numbers in words
+
+
+@register("plain_letters", "SELECT doc_id, sha256(replace(replace(strip_accents(replace(replace(coalesce(text, ''), 'ñ', chr(1)), 'Ñ', chr(2))), chr(1), 'ñ'), chr(2), 'Ñ')) AS plain FROM documents")
+def plain_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without diacritics, but for ñ."""
+    d = documents(spark, sf_dir).select("doc_id", tx.without_marks(F.coalesce("text", F.lit(""))).alias("t"))
+    return d.select("doc_id", F.sha2("t", 256).alias("plain"))
+
+
+@register("spanish_numbers")
+def spanish_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number words among others, to digits, with the runs they were found in (a parser; held against literal cases)."""
+    small = F.array(*map(F.lit, ("dos", "treinta y uno", "cien", "mil quinientos", "uno", "segundo", "veintidós", "dos coma cinco")))
+    k = F.col("o_orderkey") % 8
+    text = F.concat(F.lit("hay "), F.get(small, k.cast("int")), F.lit(" de ellos, número "), F.get(small, ((k + 3) % 8).cast("int")), F.lit("."))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t"))
+    return o.select("o_orderkey", "t", numbers.spanish_digits(F.col("t")).alias("digits"), F.size(numbers.number_runs(F.split("t", " "))).alias("n_runs"))
+
+
+@register("edge_words", """
+WITH w AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), ' ') AS w FROM documents) SELECT a.doc_id, a.w[1] = b.w[1] AND a.w[-1] = b.w[-1] AS same FROM w a JOIN w b ON b.doc_id = a.doc_id + 1
+""".replace("\\\\", "\\"))
+def edge_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a text begins and ends with the same words as the next document."""
+    w = documents(spark, sf_dir).select("doc_id", F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\t\n\f\r ]+", " "), " ").alias("w"))
+    after = w.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("x"))
+    return w.join(after, "doc_id").select("doc_id", al.same_edges(F.col("w"), F.col("x")).alias("same"))
+
+
+@register("spacing_repair", "SELECT item_id, sha256(t) AS repaired FROM (SELECT item_id, trim(regexp_replace(coalesce(text, ''), '[WS]+', ' ', 'g')) AS t FROM benchmark)".replace("WS", WS))
+def spacing_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts that lack each fifth blank get their source's blanks back."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", tx.collapse_space(F.coalesce("text", F.lit(""))).alias("t"))
+    merged = F.array_join(F.transform(F.split("t", " "), lambda w, i: F.when(i == 0, w).when(i % 5 == 4, w).otherwise(F.concat(F.lit(" "), w))), "")
+    return b.select("item_id", F.sha2(al.respaced(F.col("t"), merged), 256).alias("repaired"))
