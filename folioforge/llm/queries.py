@@ -7,10 +7,12 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, chat_format, decontaminate, licence_scan, minhash, quality_rules, suffix_merge, suffix_tree, url_filter, warc
+from folioforge.llm import bpe, chat_format, decontaminate, lexical, licence_scan, merkle, minhash, packing, quality_rules, suffix_merge, suffix_tree, url_filter, warc
 
 #: Vocabulary file of the BPE queries; a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.tiktoken"
+#: Vocabulary file of the packing query.
+WORD_TOKENIZER = "word_bpe_49k.json"
 URL_RULES = [
     url_filter.UrlRule("block", "com", "/en/"),
     url_filter.UrlRule("allow", "example.com", "/en/7"),
@@ -230,9 +232,103 @@ SELECT h.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_re
 """
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merkle.manifest(table(spark, sf_dir, "documents"), claimed=merkle.tampered())
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _merkle_sql(levels: int = 7, top_levels: int = 3) -> str:
+    """Level by level for trees of up to 8**levels leaves, and 8**top_levels trees."""
+
+    def climbs(a: str, key: str, n: int) -> str:
+        """Runs (kids) of each level: a level has rows only where the one below has more than one node."""
+        out = ""
+        for k in range(n):
+            out += f"""
+{a}r{k} AS (SELECT {key}, pos // 8 AS pos, list(h ORDER BY pos) AS kids FROM {a}{k} WHERE n > 1 GROUP BY {key}, pos // 8),
+{a}{k + 1} AS (SELECT {key}, pos, sha256(array_to_string(kids, '')) AS h, count(*) OVER (PARTITION BY {key}) AS n FROM {a}r{k}),"""
+        return out
+
+    def steps(a: str, key: str, before: str, place: str, n: int) -> str:
+        """Proof and fold through the runs of each level."""
+        out, last = "", before
+        for k in range(n):
+            run, own = "r.kids", f"(p.{place} // {8**k}) % 8"
+            out += f"""
+{a}s{k} AS (SELECT p.* EXCLUDE (proof, f), proof || coalesce(array_to_string(list_concat({run}[:{own}], {run}[{own} + 2:]), ''), '') AS proof,
+  CASE WHEN {run} IS NULL THEN f ELSE sha256(array_to_string(list_concat(list_concat({run}[:{own}], [f]), {run}[{own} + 2:]), '')) END AS f
+  FROM {last} p LEFT JOIN {a}r{k} r ON p.{key} = r.{key} AND p.{place} // {8 ** (k + 1)} = r.pos),"""
+            last = f"{a}s{k}"
+        return out
+
+    value = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
+    before = " || ".join(value.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    roots = " UNION ALL ".join(f"SELECT tree, h FROM a{k} WHERE n = 1" for k in range(levels + 1))
+    tops = " UNION ALL ".join(f"SELECT h FROM b{k} WHERE n = 1" for k in range(top_levels + 1))
+    return f"""
+WITH RECURSIVE bits(doc_id, c, s, k) AS (
+  SELECT doc_id, 4294967295, CAST(doc_id AS VARCHAR), 0 FROM documents
+  UNION ALL
+  SELECT doc_id, list_reduce(list_prepend(xor(c, ascii(s[k + 1])::BIGINT), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END), s, k + 1 FROM bits WHERE k < length(s)
+), crc AS (
+  SELECT DISTINCT doc_id AS crc_id, xor(c, 4294967295) AS crc FROM bits WHERE k = length(s)
+), d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({before} || {value.format("text")}) AS h,
+    sha256({before} || CASE WHEN crc % 3 = 0 THEN {value.format(lower)} ELSE {value.format("text")} END) AS f
+  FROM documents LEFT JOIN crc ON doc_id = crc_id
+), a0 AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, h) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d
+),{climbs("a", "tree", levels)}
+subroots AS ({roots}), b0 AS (
+  SELECT tree AS name, 1 AS one, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM subroots
+),{climbs("b", "one", top_levels)}
+root AS ({tops}), p AS (
+  SELECT a0.doc_id, a0.tree, a0.pos, a0.h AS leaf, b0.h AS subroot, b0.pos AS place, 1 AS one, '' AS proof, f FROM a0 JOIN b0 ON a0.tree = b0.name
+),{steps("a", "tree", "p", "pos", levels)}{steps("b", "one", f"as{levels - 1}", "place", top_levels)}
+done AS (SELECT * FROM bs{top_levels - 1})
+SELECT doc_id, leaf, subroot, root.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = root.h AS verified FROM done CROSS JOIN root
+"""
+
+
+OP11_SQL = _merkle_sql()
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(WORD_TOKENIZER))
+    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH q AS (
+  SELECT item_id, row_number() OVER () AS q, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), TERM) AS w FROM benchmark
+), qt AS (
+  SELECT item_id, q, t, count(*) AS qtf FROM (SELECT item_id, q, unnest(w) AS t FROM q) GROUP BY ALL
+), d AS (
+  SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), TERM) AS w FROM documents
+), total AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0
+), tf AS (
+  SELECT doc_id, d, n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, d, len(w)::BIGINT AS n, unnest(w) AS t FROM d) GROUP BY ALL
+), w AS (
+  SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf CROSS JOIN total GROUP BY t
+), scores AS (
+  SELECT item_id, q, doc_id, d, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM qt JOIN tf ON qt.t = tf.t JOIN w ON qt.t = w.t CROSS JOIN total GROUP BY item_id, q, doc_id, d
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id, d) AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+""".replace("TERM", r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op4_licence_scan": OP4_SQL, "op2_url_filter": OP2_SQL, "op5_warc": OP5_SQL, "op9_minhash_dedup": OP9_SQL, "op10_suffix_array_dedup": OP10_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op4_licence_scan": OP4_SQL, "op2_url_filter": OP2_SQL, "op5_warc": OP5_SQL, "op9_minhash_dedup": OP9_SQL, "op10_suffix_array_dedup": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op13_ranked_search": OP13_SQL}
