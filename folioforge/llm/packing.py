@@ -12,8 +12,10 @@ partly empty. On the share of them that is left: one group of 2**24 tokens fills
 ``open_bins`` open ones.
 
 Only documents longer than ``room`` are cut, into pieces of ``room`` ids with a shorter last one. ``end_id`` follows
-each document. Words between blanks are encoded once and looked up afterwards: the vocabulary's normaliser and its
-splitting never reach across white space, and tests hold the ids against those of whole texts.
+each document. Words between blanks are looked up, as the vocabulary's normaliser and its splitting never reach across
+white space. A word not seen before is split into the vocabulary's pieces, which are looked up, too, and else tokenised
+by the library's model; a word with other signs than Latin letters, digits and punctuation goes to the library whole.
+Tests hold the ids against those of whole texts.
 
 Edge cases: a null or empty text is the end id alone; a null id stays null; rows may repeat, each is packed; very long
 texts are tokenised in slices cut at blanks; extra columns are left out of the result.
@@ -22,9 +24,9 @@ texts are tokenised in slices cut at blanks; extra columns are left out of the r
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,41 +79,59 @@ class OpenBins:
         return [b for bins in self.with_free for b in bins]
 
 
-class _Words(dict):
-    """Ids of words; those not seen yet are encoded by the library."""
+#: Words of these signs need no normal form but small letters, and are split by ``_PIECE``; others go to the library whole.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ‘’“”…–—]*")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Bytes as the signs of a byte-level vocabulary: those that print stand for themselves, the others follow from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SIGNS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
-    def __init__(self, tokenizer, most: int = 1 << 18):
-        self.tokenizer, self.most = tokenizer, most
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        if len(word) <= 64:
+class _Cache(dict):
+    """Ids of words or of their pieces as bytes; what is not there is made, and all is forgotten at ``most`` entries."""
+
+    def __init__(self, make, most: int = 1 << 19, longest: int = 64):
+        self.make, self.most, self.longest = make, most, longest
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.make(key)
+        if len(key) <= self.longest:
             if len(self) >= self.most:
                 self.clear()
-            self[word] = ids
+            self[key] = ids
         return ids
 
 
 @lru_cache(maxsize=2)
-def words_of(tokenizer_file: str) -> _Words:
+def words_of(tokenizer_file: str) -> _Cache:
+    """The ids of a word without blanks: by the library, or piece by piece by the library's model."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return _Words(tokenizer)
+    model, special = tokenizer.model, re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+    pack = lambda ids: np.array(ids, "<u4").tobytes()
+    pieces = _Cache(lambda piece: pack([t.id for t in model.tokenize("".join(map(_SIGNS.__getitem__, piece.encode())))]))
+
+    def make(word: str) -> bytes:
+        if len(word) <= 64 and _PLAIN.fullmatch(word) and not special.search(word):
+            return b"".join(map(pieces.__getitem__, _PIECE.findall(word.lower())))
+        return pack(tokenizer.encode(word, add_special_tokens=False).ids)
+
+    return _Cache(make)
 
 
-def token_ids(words: _Words, text: str, at_once: int = 1 << 20) -> np.ndarray:
+def token_ids(words: _Cache, text: str, at_once: int = 1 << 20) -> np.ndarray:
     """The ids of a text, slice by slice; a slice ends at a blank."""
     parts, k = [], 0
     while k < len(text):
         end = len(text) if len(text) - k <= at_once else text.find(" ", k + at_once)
         end = len(text) if end < 0 else end
-        parts.append(np.fromiter(chain.from_iterable(map(words.__getitem__, text[k:end].replace("\n", " ").split(" "))), "<u4"))
+        parts.append(b"".join(map(words.__getitem__, text[k:end].replace("\n", " ").split(" "))))
         k = end
-    return np.concatenate([np.zeros(0, "<u4"), *parts])
+    return np.frombuffer(b"".join(parts), "<u4")
 
 
 def _packed(pieces: Iterator[tuple], room: int, open_bins: int, first_id: int, marks_open: bool, at_once: int = 1 << 19) -> Iterator[pa.RecordBatch]:
