@@ -13,6 +13,7 @@ from functools import lru_cache
 RULES = [
     (r"^(?:gn|kn|pn|ps|wr)", None, None, lambda m: {"gn": "N", "kn": "N", "pn": "N", "ps": "S", "wr": "R"}[m]),
     (r"^x", None, None, "S"),
+    (r"^wh?[aeiouy]+", None, None, "A"),
     (r"^wh", None, None, "A"),
     (r"^[aeiouy]+", None, None, "A"),
     (r"[aeiouy]+", None, None, ""),

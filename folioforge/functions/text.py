@@ -26,6 +26,11 @@ def regex_class(chars: str) -> str:
     return "".join("\\" + c if c in "\\]^-[&~" else c for c in chars)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def clean_line_ends(c: Column) -> Column:
     """CRLF and CR to LF, no blanks before LF."""
     lines = F.split(F.regexp_replace(c, r"\r\n?", "\n"), "\n")
@@ -34,7 +39,7 @@ def clean_line_ends(c: Column) -> Column:
 
 
 def collapse_space(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
 
 
 def words_with_space(c: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from folioforge.functions.phonetics import primary_code
+from folioforge.functions.text import let
 from folioforge.operators.catalog import threshold
 
 STEP = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("action", "source", "transcript")]))
@@ -128,30 +129,27 @@ def same_edges(a: Column, b: Column) -> Column:
     return (F.get(a, F.lit(0)) == F.get(b, F.lit(0))) & (F.element_at(a, -1) == F.element_at(b, -1))
 
 
-def window_without_errors(source: list[str], heard: list[str], uncommon: set[str], same) -> int:
-    """Where the first window of as many heard words as the source has begins that aligns without error; -1: none."""
-    n = len(source)
-    for i in range(len(heard) - n + 1):
-        if all(k not in ("substitute", "delete", "insert") for k, _, _ in align_words(source, heard[i : i + n], uncommon, same)):
-            return i
-    return -1
-
-
 def semantic_trim(words: Column, source: Column, duration: Column) -> Column:
     """struct<start, end> of the part of a clip that says the source and nothing else, cut half-way between words; null: none.
 
-    words: array<struct<word, start, end>>, words normalised.
+    words: array<struct<word, start, end>>, words normalised. The first run of as many words as the source has that says it.
     """
+    heard, said = F.transform(words, lambda w: w["word"]), F.split(source, " ")
+
+    def cut(s: Column) -> Column:
+        n = F.size(s)
+        places = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+        first = let(heard, lambda h: F.get(F.filter(places, lambda i: (F.get(h, i) == F.get(s, F.lit(0))) & (F.slice(h, i + 1, n) == s)), F.lit(0)))
+
+        def times(i: Column) -> Column:
+            at = lambda k: F.get(words, k)
+            start = F.when(i > 0, (at(i - 1)["end"] + at(i)["start"]) / 2).otherwise(0.0)
+            end = F.when(i + n >= F.size(words), duration).otherwise(F.least((at(i + n)["start"] + at(i + n - 1)["end"]) / 2, duration))
+            return F.when(i.isNotNull() & (start != end), F.struct(start.alias("start"), end.alias("end")))
 
-    @F.pandas_udf(T.IntegerType())
-    def find(s: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([window_without_errors((x or "").split(), [] if y is None else list(y), set(), lambda a, b: False) for x, y in zip(s, t, strict=True)])
+        return let(first, times)
 
-    i, n = find(source, F.transform(words, lambda w: w["word"])), F.size(F.split(source, " "))
-    at = lambda k: F.get(words, k)
-    start = F.when(i > 0, (at(i - 1)["end"] + at(i)["start"]) / 2).otherwise(0.0)
-    end = F.when(i + n >= F.size(words), duration).otherwise(F.least((at(i + n)["start"] + at(i + n - 1)["end"]) / 2, duration))
-    return F.when((i >= 0) & (start != end), F.struct(start.alias("start"), end.alias("end")))
+    return let(said, cut)
 
 
 # ---------------------------------------------------------------- forced alignment

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+from bisect import bisect_right
+
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
-from pyspark.sql.window import Window
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
 from folioforge.functions.text import spoken_words, vocalizable
-from folioforge.operators.segmentation import group_text
 
 #: Fixed value: the voice of dialog, counted from 0.
 DIALOG_VOICE = 1
@@ -21,99 +23,152 @@ ATTRIBUTION_VERBS = (
     "warn warns warned promise promises promised suggest suggests suggested repeat repeats repeated"
 ).split()
 _QUOTES = "\"“”"
-PAIR = ArrayType(StructType([StructField("open", IntegerType()), StructField("close", IntegerType()), StructField("content", StringType()), StructField("before", StringType())]))
+PAIRS = ArrayType(StructType().add("open", IntegerType()).add("close", IntegerType()).add("stop", IntegerType()).add("content", StringType()).add("before", StringType()).add("across", BooleanType()).add("after", StringType()))
+PARTS = ArrayType(StructType().add("group_index", IntegerType()).add("part_index", IntegerType()).add("text", StringType()).add("phrase", IntegerType()).add("said", BooleanType()).add("inside", BooleanType()))
+#: Signs after a quote that an attribution is looked for in.
+AFTER = 1000
+_TAIL = regex.compile(r"(?:(?![\"“”])\p{P})*[ \t-\r]*")
 
 
 def line_pairs(line: str) -> list[tuple[int, int]]:
     """Quote signs of a line that belong together, innermost first."""
-    stack, out, n = [], [], len(line)
+    bare = line.strip()
+    if not bare:
+        return []
+    first = line.index(bare[0])
+    last = first + len(bare) - 1
+    stack, out = [], []
     for i, c in enumerate(line):
         if c not in _QUOTES:
             continue
         ahead, behind = line[i + 1 : i + 2], line[i - 1 : i] if i else ""
-        closes = c == "”" or (bool(line[:i].strip()) and (not ahead or ahead.isspace() or _punctuation(ahead)))
+        closes = c == "”" or (first < i and (not ahead or ahead.isspace() or _punctuation(ahead)))
         if stack and closes:
             out.append((stack.pop(), i))
-        elif c == "“" or (bool(line[i + 1 : n].strip()) and (not behind or behind.isspace() or behind in "([{<:;,—–-")):
+        elif c == "“" or (i < last and (not behind or behind.isspace() or behind in "([{<:;,—–-")):
             stack.append(i)
     return out
 
 
 def _punctuation(c: str) -> bool:
-    import unicodedata
-
     return unicodedata.category(c).startswith("P")
 
 
-@F.pandas_udf(PAIR)
-def quote_pairs(text: pd.Series) -> pd.Series:
-    """array<struct<open, close, content, before>> of a text; before: the last sign in front of the quote in its line."""
-
-    def pairs(t: str | None) -> list[dict]:
-        out, at = [], 0
-        for line in (t or "").splitlines(keepends=True):
-            if any(q in line for q in _QUOTES):
-                body = line.rstrip("\r\n")
-                out += [{"open": at + i, "close": at + j, "content": body[i + 1 : j], "before": body[:i].rstrip()[-1:]} for i, j in line_pairs(body)]
-            at += len(line)
-        return out
-
-    return text.map(pairs)
+def _pairs(text: str, ends: list[int]) -> list[dict]:
+    """The pairs of a text, whose groups end at ``ends``."""
+    out, at = [], 0
+    for line in text.splitlines(keepends=True):
+        if any(q in line for q in _QUOTES):
+            body = line.rstrip("\r\n")
+            for i, j in line_pairs(body):
+                k = i - 1
+                while k >= 0 and body[k].isspace():
+                    k -= 1
+                group = bisect_right(ends, at + j)
+                stop = _TAIL.match(text, at + j + 1, ends[group]).end()
+                across = group != bisect_right(ends, at + i)
+                out.append({"open": at + i, "close": at + j, "stop": stop, "content": body[i + 1 : j], "before": body[k : k + 1] if k >= 0 else "", "across": across, "after": text[stop : stop + AFTER]})
+        at += len(line)
+    return sorted(out, key=lambda p: (p["open"], -p["close"]))
+
+
+@F.pandas_udf(PAIRS)
+def quote_pairs(text: pd.Series, ends: pd.Series) -> pd.Series:
+    """The quotes of a text by their place.
+
+    before: the last sign in front of the quote in its line; across: whether it crosses the end of a group; stop: where the
+    punctuation and white space after it end within the group; after: the text from there on.
+    """
+    return pd.Series([_pairs(t or "", e.tolist()) for t, e in zip(text, ends, strict=True)])
 
 
-def _is_dialog(pair: Column, ends: Column) -> Column:
+def _is_dialog(pair: Column) -> Column:
     content = pair["content"]
     first = F.regexp_extract(content, r"[\p{L}\p{N}]", 0)
-    group = lambda at: F.size(F.filter(ends, lambda e: e <= at))
-    likely = (F.size(spoken_words(content)) > 3) | (group(pair["open"]) != group(pair["close"])) | (pair["before"] == "") | pair["before"].isin(",", ":", "—", "–")
+    likely = (F.size(spoken_words(content)) > 3) | pair["across"] | (pair["before"] == "") | pair["before"].isin(",", ":", "—", "–")
     return vocalizable(content) & (F.rlike(first, F.lit(r"\p{Lu}")) | likely | F.rlike(content, F.lit(r"^\s*[—–]|[?!]")))
 
 
-def spans(books: DataFrame, text: str = "text", ends: str = "ends") -> DataFrame:
-    """Adds spans array<struct<start, end>>: accepted quotes with their trailing punctuation and white space; ends: where the text's groups end."""
-    accepted = F.array_sort(F.transform(F.filter(quote_pairs(F.col(text)), lambda p: _is_dialog(p, F.col(ends))), lambda p: F.struct(p["open"].alias("open"), (-p["close"]).alias("close"))))
-    none = F.array().cast("array<struct<start:int,close:int>>")
-    outer = F.aggregate(accepted, none, lambda a, p: F.when((F.size(a) > 0) & (p["open"] < F.coalesce(F.try_element_at(a, F.lit(-1))["close"], F.lit(-1))), a).otherwise(F.concat(a, F.array(F.struct(p["open"].alias("start"), (-p["close"]).alias("close"))))))
-    b = books.withColumn("__outer", outer)
-    limit = lambda p: F.filter(F.col(ends), lambda e: e > p["close"])[0]
-    tail = lambda p: F.regexp_extract(F.substring(F.col(text), p["close"] + 2, limit(p) - p["close"] - 1), r"^(?:(?![\"“”])\p{P})*[ \t-\r]*", 0)
-    return b.withColumn("spans", F.transform("__outer", lambda p: F.struct(p["start"].alias("start"), (p["close"] + 1 + F.length(tail(p))).cast("int").alias("end")))).drop("__outer")
-
-
 def attribution(after: Column, language: Column) -> Column:
     """Whether a text goes on in small letters or, in English, with a name and a verb of speaking."""
     verbs = "|".join(ATTRIBUTION_VERBS)
     return F.rlike(after, F.lit(r"^\s*\p{Ll}")) | ((language == "en") & F.rlike(after, F.lit(rf"^\s*\p{{Lu}}\S*[ \t]+(?i:{verbs})(?!\p{{L}})")))
 
 
-def dialog_groups(group_rows: DataFrame, language: str = "lang", id_col: str = "doc_id") -> DataFrame:
+def _parts(text: str, lengths: list[list[int]], spans: list[tuple[int, int, int, bool]]) -> list[dict]:
+    """The groups of a text cut where spans (open, close, stop, said) begin and stop; of spans inside each other the outer counts.
+
+    lengths: those of the phrases of each group. A part names the phrase that ends with it, if one does.
+    """
+    outer, last = [], -1
+    for first, close, stop, said in spans:
+        if first >= last:
+            outer.append((first, stop, said))
+            last = max(last, close)
+    cuts = {}
+    for first, stop, said in outer:
+        cuts.setdefault(first, False)
+        cuts[stop] = cuts.get(stop, False) or said
+    places = sorted(cuts)
+    out, at, phrase, c, o = [], 0, 0, 0, 0
+    for g, group in enumerate(lengths):
+        ends = {}
+        start = at
+        for n in group:
+            at += n
+            ends[at] = phrase
+            phrase += 1
+        k, begin = 0, start
+        while c < len(places) and places[c] <= start:
+            c += 1
+        while begin < at or k == 0:
+            end = min(places[c], at) if c < len(places) else at
+            while o < len(outer) and outer[o][1] < end:
+                o += 1
+            inside = o < len(outer) and outer[o][0] <= begin and end <= outer[o][1]
+            out.append({"group_index": g, "part_index": k, "text": text[begin:end], "phrase": ends.get(end, -1), "said": cuts.get(end, False), "inside": inside})
+            begin, k = end, k + 1
+            c += c < len(places) and places[c] <= end
+    return out
+
+
+@F.pandas_udf(PARTS)
+def _cut(text: pd.Series, lengths: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([_parts(t, [g.tolist() for g in n], [(x["open"], x["close"], x["stop"], x["said"]) for x in s]) for t, n, s in zip(text, lengths, spans, strict=True)])
+
+
+def dialog_arrays(rows: DataFrame, language: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """(id, group_index, part_index, text, reason, voice): groups cut where dialog begins and ends; voice 1 inside dialog, else -1.
 
-    group_rows: (id, language, group_index, phrases). A piece that ends a quote before an attribution has reason ``isqe``.
+    rows: (id, language, groups array<array<struct<text, reason, ...>>>), a text each. A part that ends a quote before an
+    attribution has reason ``isqe``. Quotes are paired and groups are cut in time that is linear in the text.
     """
-    g = group_rows.withColumn("__t", group_text(F.col("phrases")))
-    ordered = F.array_sort(F.collect_list(F.struct("group_index", "__t")))
-    books = g.groupBy(id_col, language).agg(ordered.alias("__g")).withColumn("text", F.array_join(F.transform("__g", lambda x: x["__t"]), ""))
-    zero = F.array().cast("array<int>")
-    ends = F.aggregate("__g", zero, lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(x["__t"]))))
-    books = spans(books.withColumn("ends", ends)).select(id_col, "text", "ends", "spans").withColumn("ends_of_spans", F.transform("spans", lambda s: s["end"]))
-    books = books.withColumn("cuts", F.array_sort(F.array_distinct(F.concat(F.transform("spans", lambda s: s["start"]), "ends_of_spans"))))
-    p = g.select(id_col, language, "group_index", F.posexplode("phrases").alias("phrase", "p"))
-    upto = Window.partitionBy(id_col).orderBy("group_index", "phrase")
-    p = p.withColumn("stop", F.sum(F.length("p.text")).over(upto).cast("int")).withColumn("begin", (F.col("stop") - F.length("p.text")).cast("int"))
-    p = p.join(books, id_col)
-    points = F.concat(F.array("begin"), F.filter("cuts", lambda c: (c > F.col("begin")) & (c < F.col("stop"))), F.array("stop"))
-    p = p.withColumn("points", points).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("points") - 2)))
-    p = p.withColumns({"a": F.get("points", F.col("i")), "b": F.get("points", F.col("i") + 1)}).where("b > a or size(points) = 2")
-    quote_end = F.array_contains("ends_of_spans", F.col("b")) & attribution(F.substring(F.col("text"), F.col("b") + 1, F.lit(1000)), F.col(language))
-    p = p.select(
-        id_col, "group_index", "phrase", "a", "b", F.substring(F.col("p.text"), F.col("a") - F.col("begin") + 1, F.col("b") - F.col("a")).alias("t"),
-        F.when(quote_end, "isqe").when(F.col("b") == F.col("stop"), F.col("p.reason")).otherwise("is").alias("reason"),
-        F.array_contains("cuts", F.col("b")).cast("int").alias("closes"), "spans",
-    )
-    w = Window.partitionBy(id_col, "group_index").orderBy("phrase", "a")
-    p = p.withColumn("part_index", F.coalesce(F.sum("closes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    parts = F.array_sort(F.collect_list(F.struct("phrase", "a", "b", "t", "reason")))
-    out = p.groupBy(id_col, "group_index", "part_index").agg(parts.alias("m"), F.any_value("spans").alias("spans"))
-    inside = F.exists("spans", lambda s: (s["start"] <= F.col("m")[0]["a"]) & (F.element_at("m", -1)["b"] <= s["end"]))
-    return out.select(id_col, "group_index", "part_index", F.array_join(F.transform("m", lambda x: x["t"]), "").alias("text"), F.element_at("m", -1)["reason"].alias("reason"), F.when(inside, DIALOG_VOICE).otherwise(-1).alias("voice"))
+    r = rows.select(id_col, language, F.transform("groups", lambda g: F.transform(g, lambda x: x["text"])).alias("__t"), F.flatten(F.transform("groups", lambda g: F.transform(g, lambda x: x["reason"]))).alias("__r"))
+    lengths = F.transform("__t", lambda g: F.transform(g, lambda x: F.length(x)))
+    r = r.select("*", F.array_join(F.flatten("__t"), "").alias("__text"), lengths.alias("__n")).drop("__t")
+    r = r.withColumn("__pairs", quote_pairs(F.col("__text"), _ends(F.col("__n"))))
+    spans = F.transform(F.filter("__pairs", _is_dialog), lambda p: F.struct(p["open"].alias("open"), p["close"].alias("close"), p["stop"].alias("stop"), attribution(p["after"], F.col(language)).alias("said")))
+    r = r.withColumn("__parts", _cut(F.col("__text"), F.col("__n"), spans)).select(id_col, "__r", F.explode("__parts").alias("p"))
+    reason = F.when(F.col("p.said"), "isqe").when(F.col("p.phrase") >= 0, F.get("__r", F.col("p.phrase"))).otherwise("is")
+    return r.select(id_col, "p.group_index", "p.part_index", "p.text", reason.alias("reason"), F.when(F.col("p.inside"), DIALOG_VOICE).otherwise(-1).alias("voice"))
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _ends(lengths: pd.Series) -> pd.Series:
+    """Where groups end, from the lengths of their phrases."""
+
+    def sums(groups) -> list[int]:
+        out, at = [], 0
+        for g in groups:
+            at += int(g.sum())
+            out.append(at)
+        return out
+
+    return lengths.map(sums)
+
+
+def dialog_groups(group_rows: DataFrame, language: str = "lang", id_col: str = "doc_id") -> DataFrame:
+    """``dialog_arrays`` of rows (id, language, group_index, phrases)."""
+    ordered = F.array_sort(F.collect_list(F.struct("group_index", F.transform("phrases", lambda x: F.struct(x["text"].alias("text"), x["reason"].alias("reason"))).alias("g"))))
+    books = group_rows.groupBy(id_col, language).agg(F.transform(ordered, lambda x: x["g"]).alias("groups"))
+    return dialog_arrays(books, language, id_col)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as html_lib
+from functools import partial
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -41,10 +42,31 @@ def unescaped(c: pd.Series) -> pd.Series:
     return c.map(lambda t: html_lib.unescape(t) if t and "&" in t else t)
 
 
+def _unclosed_aside(html: Column) -> Column:
+    """Puts a mark into the skipped tags that no end follows: they are no pair, and need not be tried.
+
+    One step after the other on an array of one value, so that a step may name its value more than once.
+    """
+    step = F.array(html)
+    for tag in SKIPPED:
+        parts = F.transform(step, partial(_split_at_last, tag))
+        step = F.transform(parts, partial(_mark_rest, tag))
+    return F.get(step, F.lit(0))
+
+
+def _split_at_last(tag: str, x: Column) -> Column:
+    return F.struct(x.alias("t"), F.length(F.regexp_extract(x, rf"(?is)^(.*</{tag}>)", 1)).alias("n"))
+
+
+def _mark_rest(tag: str, x: Column) -> Column:
+    return F.concat(F.substring(x["t"], F.lit(1), x["n"]), F.regexp_replace(F.substring(x["t"], x["n"] + 1, F.length(x["t"])), f"(?i)<(?={tag})", "<\u0001"))
+
+
 def preview(html: Column) -> Column:
     """Reading text by rules: skipped tags with their content go, ends of blocks and links end lines, other tags become blanks."""
     pair = rf"(?is)<({'|'.join(SKIPPED)})[^>]*>.*?</\1>"
-    c = F.when(F.rlike(html, F.lit(rf"(?i)</({'|'.join(SKIPPED)})>")), F.regexp_replace(html, pair, " ")).otherwise(html)
+    c = _unclosed_aside(html)
+    c = F.when(F.rlike(html, F.lit(rf"(?i)</({'|'.join(SKIPPED)})>")), F.replace(F.regexp_replace(c, pair, " "), F.lit("<\u0001"), F.lit("<"))).otherwise(html)
     c = F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?>", "\n"), rf"(?i)</({'|'.join(LINE_ENDS)})>", "\n")
     c = F.replace(unescaped(F.regexp_replace(c, r"(?s)<[^>]+>", " ")), F.lit(" "), F.lit(" "))
     c = F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n\s*\n+", "\n\n")

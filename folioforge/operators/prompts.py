@@ -75,9 +75,15 @@ def without_markup(text: Column) -> Column:
 
 def first_difference(a: Column, b: Column) -> Column:
     """The first position at which two texts differ, from 0; -1 if they don't."""
-    x, y = F.split(a, ""), F.split(b, "")
-    at = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False).cast("int") - 1
-    return F.when(a == b, -1).otherwise(at)
+    both = F.struct(F.lit(0).alias("lo"), F.least(F.length(a), F.length(b)).alias("hi"))
+
+    def halve(r: Column, _: Column) -> Column:  # the longest prefix that both have lies between lo and hi
+        mid = F.ceil((r["lo"] + r["hi"]) / 2).cast("int")
+        same = F.substring(a, F.lit(1), mid) == F.substring(b, F.lit(1), mid)
+        return F.struct(F.when(same, mid).otherwise(r["lo"]).alias("lo"), F.when(same, r["hi"]).otherwise(mid - 1).alias("hi"))
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.least(F.length(a), F.length(b)) + 2)).cast("int"))
+    return F.when(a == b, -1).otherwise(F.aggregate(rounds, both, halve)["lo"])
 
 
 def model_type(models: DataFrame, catalog: DataFrame, model_id: str, part: str, order: str) -> DataFrame:

@@ -30,7 +30,7 @@ CHAIN_SQL = PHRASES_SQL + r"""
 @register("segmented_phrases", CHAIN_SQL + "SELECT doc_id, position, reason, sha256(t) AS t FROM chain")
 def segmented_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every phrase of every document after the full chain (no phrase is long enough to be split)."""
-    p = seg.segmented(documents(spark, sf_dir), 1_000_000)
+    p = seg.segmented(documents(spark, sf_dir), 1_000_000, language="lang")
     return p.select("doc_id", "position", "reason", F.sha2("text", 256).alias("t"))
 
 
@@ -40,40 +40,54 @@ SELECT doc_id, CAST(g AS BIGINT) AS group_index, sha256(string_agg(t, '' ORDER B
 """
 
 
-def _digested(g: DataFrame) -> DataFrame:
+def _digested(spark: SparkSession, sf_dir: str, strategy: str, max_words: int) -> DataFrame:
+    g = seg.grouped(seg.phrase_arrays(documents(spark, sf_dir), max_words, language="lang"), strategy, max_words)
+    g = g.select("doc_id", F.posexplode_outer("groups").alias("group_index", "phrases")).where("group_index is not null")
     return g.select("doc_id", F.col("group_index").cast("long").alias("group_index"), F.sha2(seg.group_text(F.col("phrases")), 256).alias("t"), F.size("phrases").cast("long").alias("n_phrases"))
 
 
 @register("sentence_groups", GROUPS_SQL.replace("CLOSERS", "'s', 'p', 'x'"))
 def sentence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts of one sentence (none is too long here)."""
-    return _digested(seg.groups(seg.segmented(documents(spark, sf_dir), 1_000_000), "sentence", 1_000_000))
+    return _digested(spark, sf_dir, "sentence", 1_000_000)
 
 
 @register("paragraph_groups", GROUPS_SQL.replace("CLOSERS", "'p', 'x'"))
 def paragraph_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts of one paragraph (none is too long here)."""
-    return _digested(seg.groups(seg.segmented(documents(spark, sf_dir), 1_000_000), "max_len", 1_000_000))
+    return _digested(spark, sf_dir, "max_len", 1_000_000)
 
 
 @register("normal_groups")
 def normal_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts of the normal strategy, 40 words at most (folds; held against brute force)."""
-    return _digested(seg.groups(seg.segmented(documents(spark, sf_dir), 40), "normal", 40))
+    """Prompts of the normal strategy, 40 words at most (a fold; held against brute force)."""
+    return _digested(spark, sf_dir, "normal", 40)
 
 
 @register("multi_sentence_groups")
 def multi_sentence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts of several sentences, 40 words at most (folds; held against brute force)."""
-    return _digested(seg.groups(seg.segmented(documents(spark, sf_dir), 40), "multi", 40))
+    """Prompts of several sentences, 40 words at most (a fold; held against brute force)."""
+    return _digested(spark, sf_dir, "multi", 40)
+
+
+#: Two of three sentences, with what stands between them, in quotes.
+_IN_QUOTES = r"(\p{Lu}[^“”\"\n.!?]*[.!?] \p{Lu}[^“”\"\n.!?]*[.!?])( \p{Lu}[^“”\"\n.!?]*[.!?])"
+
+
+@register("quoted_sentences", PHRASES_SQL.replace("FROM documents", rf"FROM (SELECT doc_id, lang, regexp_replace(text, '{_IN_QUOTES}', CASE WHEN doc_id % 2 = 0 THEN '“\1”\2' ELSE '\"\1\"' || chr(10) || '\2' END, 'g') AS text FROM documents)") + "SELECT doc_id, s, sha256(t) AS t FROM sentence")
+def quoted_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of documents put in quotes: beside others they stay whole, on a line of their own they are told apart."""
+    text = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", _IN_QUOTES, "“$1”$2")).otherwise(F.regexp_replace("text", _IN_QUOTES, '"$1"\n$2'))
+    d = documents(spark, sf_dir).where("text <> ''").select("doc_id", F.posexplode(seg.sentences(text, F.col("lang"))).alias("s", "t"))
+    return d.select("doc_id", F.col("s").cast("long").alias("s"), F.sha2("t", 256).alias("t"))
 
 
 @register("dialog_groups")
 def dialog_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts cut at dialog, every third sentence of a document put in quotes (held against literal cases)."""
+    """Prompts cut at dialog, every third sentence of a document put in quotes (held against brute force)."""
     d = documents(spark, sf_dir).select("doc_id", "lang", F.regexp_replace("text", r"(\p{Lu}[^.!?\n]*)([.!?]) (?=\p{Lu}\p{Ll}+ )", "“$1,” $2").alias("text"))
-    g = seg.groups(seg.segmented(d, 40), "normal", 40).join(d.select("doc_id", "lang"), "doc_id")
-    out = dg.dialog_groups(g)
+    g = seg.grouped(seg.phrase_arrays(d, 40, language="lang"), "normal", 40)
+    out = dg.dialog_arrays(g.join(d.select("doc_id", "lang"), "doc_id"))
     return out.select("doc_id", F.col("group_index").cast("long").alias("group_index"), F.col("part_index").cast("long").alias("part_index"), F.sha2("text", 256).alias("text"), "reason", "voice")
 
 
@@ -83,7 +97,7 @@ SELECT doc_id, position, CASE WHEN position = last THEN 'xx' WHEN run = 1 THEN '
 """)
 def chapter_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chapters: the last phrase ends them, leading breaks become paragraphs (half of them have such)."""
-    p = seg.segmented(documents(spark, sf_dir), 1_000_000).select("doc_id", "position", F.when((F.col("position") < 2) & (F.col("doc_id") % 2 == 0), "x").otherwise(F.col("reason")).alias("reason"))
+    p = seg.segmented(documents(spark, sf_dir), 1_000_000, language="lang").select("doc_id", "position", F.when((F.col("position") < 2) & (F.col("doc_id") % 2 == 0), "x").otherwise(F.col("reason")).alias("reason"))
     return seg.end_chapters(p, "doc_id", "position", "reason")
 
 
@@ -93,7 +107,7 @@ SELECT doc_id, g, trim(regexp_replace(t, '[BLANK]+', ' ', 'g')) AS t, reason, mo
 """.replace("BLANK", tx.SPACE))
 def presentable_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of three phrases as one line, with the last reason and the words of the longest phrase."""
-    p = seg.segmented(documents(spark, sf_dir), 1_000_000)
+    p = seg.segmented(documents(spark, sf_dir), 1_000_000, language="lang")
     g = p.groupBy("doc_id", F.floor(F.col("position") / 3).alias("g")).agg(F.array_sort(F.collect_list(F.struct("position", "text", "reason", "n_words"))).alias("p"))
     text = F.concat(F.array_join(F.transform("p", lambda x: x["text"]), " "), F.lit(" "))
     return g.select("doc_id", "g", tx.collapse_space(text).alias("t"), F.element_at("p", -1)["reason"].alias("reason"), F.array_max(F.transform("p", lambda x: x["n_words"])).cast("long").alias("most"))
@@ -104,7 +118,7 @@ def presentable_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences as sources, and transcripts in which each seventh word is missing, each eleventh doubled and each thirteenth another."""
-    s = documents(spark, sf_dir).where("text <> ''").select("doc_id", "lang", F.posexplode(seg.sentences(F.col("text"))).alias("line", "sentence"))
+    s = documents(spark, sf_dir).where("text <> ''").select("doc_id", "lang", F.posexplode(seg.sentences(F.col("text"), F.col("lang"))).alias("line", "sentence"))
     s = s.select("doc_id", "lang", "line", tx.collapse_space(tx.light_form(F.col("sentence"))).alias("source")).where("source <> ''")
     words = F.transform(F.split("source", " "), lambda w, i: F.when(i % 7 == 6, "").when(i % 11 == 10, F.concat(w, F.lit(" "), w)).when(i % 13 == 12, F.lit("other")).otherwise(w))
     return s.withColumn("transcript", F.array_join(F.filter(words, lambda w: w != ""), " "))
@@ -157,10 +171,15 @@ def clip_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(skipped).alias("n_skipped"), F.count_if(~skipped & failed).alias("n_failed"), F.count_if(~skipped & ~failed).alias("n_passed"))
 
 
-@register("semantic_trims")
+@register("semantic_trims", PHRASES_SQL + r"""
+, w AS (SELECT doc_id, s AS line, string_split(trim(regexp_replace(regexp_replace(lower(t), '[^\p{L}\p{N}_BLANK]', '', 'g'), '[BLANK]+', ' ', 'g')), ' ') AS src FROM sentence),
+h AS (SELECT doc_id, line, src, list_concat(list_concat(['well', 'so'], src), ['uh', 'ok']) AS heard FROM w WHERE src <> ['']),
+f AS (SELECT doc_id, line, len(src) AS n, len(heard) AS m, list_filter(range(len(heard) - len(src) + 1), lambda i: heard[i + 1:i + len(src)] = src)[1] AS i FROM h)
+SELECT doc_id, line, CASE WHEN i > 0 THEN round(i * 0.5 - 0.05, 3) ELSE 0 END AS start, CASE WHEN i + n >= m THEN m * 0.5 ELSE round((i + n) * 0.5 - 0.05, 3) END AS "end" FROM f
+""".replace("BLANK", tx.SPACE))
 def semantic_trims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where clips that say more than their line are cut: two words too many before and after (held against literal cases)."""
-    s = _pairs(spark, sf_dir).where(F.size(F.split("source", " ")) <= 12)
+    """Where clips that say more than their line are cut: two words too many before and after."""
+    s = _pairs(spark, sf_dir)
     heard = F.concat(F.array(F.lit("well"), F.lit("so")), F.split("source", " "), F.array(F.lit("uh"), F.lit("ok")))
     words = F.transform(heard, lambda w, i: F.struct(w.alias("word"), (i * 0.5).alias("start"), (i * 0.5 + 0.4).alias("end")))
     t = s.select("doc_id", "line", al.semantic_trim(words, F.col("source"), F.size(words) * 0.5).alias("t"))
@@ -175,7 +194,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forced_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times of the phrases of each item's sentences within their clip (dynamic program; held against brute force)."""
     p = seg.phrases(_items(spark, sf_dir))
-    s = p.groupBy("doc_id", "sentence_index").agg(F.array_sort(F.collect_list(F.struct("phrase_index", "text"))).alias("p")).where(F.size("p").between(2, 6))
+    s = p.groupBy("doc_id", "sentence_index").agg(F.array_sort(F.collect_list(F.struct("phrase_index", "text"))).alias("p"))
     s = s.select("doc_id", "sentence_index", F.transform("p", lambda x: tx.collapse_space(tx.light_form(x["text"]))).alias("phrases"))
     heard = F.filter(F.split(F.array_join("phrases", " "), " "), lambda w: w != "")
     words = F.transform(heard, lambda w, i: F.struct(w.alias("word"), (i * 0.5).alias("start"), (i * 0.5 + 0.4).alias("end")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.functions import text as tx
 from folioforge.operators import pages as pg
 from folioforge.plans.text_queries import PHRASES_SQL, documents
 from folioforge.registry import register, table
@@ -13,23 +14,28 @@ from folioforge.streaming import deltas, utterances
 
 
 @register("sample_blocks", """
-WITH s AS (SELECT CAST(user_id AS VARCHAR) AS key, CAST(sum(event_id % 500 + 1) AS BIGINT) AS n FROM events GROUP BY 1)
-SELECT key, unnest(range(n // 1000)) AS sequence, unnest(range(n // 1000)) * 1000 AS start_sample, 1000 AS n_samples, 16000 AS rate FROM s
+WITH s AS (SELECT CAST(user_id AS VARCHAR) AS key, CAST(sum(event_id % 500 + 1) AS BIGINT) AS n FROM events GROUP BY 1), b AS (SELECT key, n, unnest(range(CAST(ceil(n / 1000.0) AS BIGINT))) AS sequence FROM s)
+SELECT key, sequence, sequence * 1000 AS start_sample, least(1000, n - sequence * 1000) AS n_samples, 16000 AS rate FROM b
 """)
 def sample_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of a stream's samples in blocks of a thousand."""
+    """Pieces of a stream's samples in blocks of a thousand, the last one shorter."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("ord"), (F.col("event_id") % 500 + 1).alias("n_samples"), F.lit(16000).cast("long").alias("rate"))
     return deltas.blocks(e, 1000)
 
 
-@register("folded_deltas", "SELECT conv_id || '-' || turn AS key, sha256(coalesce(text, '')) AS whole FROM conversations WHERE coalesce(text, '') <> ''")
+#: A line of five words comes first, so that it is the first piece.
+OPENING = "One two three four five.\n"
+
+
+@register("folded_deltas", PHRASES_SQL.replace("FROM documents", "FROM (SELECT conv_id || '-' || turn AS doc_id, 'en' AS lang, 'One two three four five.' || chr(10) || coalesce(text, '') AS text FROM conversations)").replace("regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g') AS t", "text AS t") + """
+SELECT doc_id AS key, CAST(s AS BIGINT) AS sequence, sha256(t) AS piece, CASE WHEN contains(regexp_extract(t, '[BLANK]*$'), chr(10)) THEN 'p' WHEN regexp_matches(rtrim(t), '[.!?…]["”’)]*$') THEN 's' ELSE 'is' END AS reason FROM sentence
+""".replace("BLANK", tx.SPACE))
 def folded_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that come word by word, handed out in sentences: nothing is lost and nothing said twice."""
-    c = table(spark, sf_dir, "conversations").where("text <> ''").select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("key"), F.split("text", r"(?<= )").alias("w"))
-    d = c.select("key", F.size("w").alias("n"), F.posexplode("w").alias("ord", "text")).select("key", "ord", "text", F.lit(1).alias("generation"), (F.col("ord") == F.col("n") - 1).alias("last"))
-    pieces = deltas.folded(d).withColumn("i", F.monotonically_increasing_id())  # a key's pieces come from one task, in order
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "piece"))), lambda x: x["piece"]), "")
-    return pieces.groupBy("key").agg(F.sha2(whole, 256).alias("whole"))
+    """Texts that come word by word, handed out sentence by sentence; what an older generation said is dropped."""
+    c = table(spark, sf_dir, "conversations").select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("key"), F.split(F.concat(F.lit(OPENING), F.coalesce("text", F.lit(""))), r"(?<= )").alias("w"))
+    d = c.select("key", F.size("w").alias("n"), F.posexplode("w").alias("ord", "text")).select("key", "ord", "text", F.lit(2).alias("generation"), (F.col("ord") == F.col("n") - 1).alias("last"))
+    stale = c.select("key", F.explode(F.array(F.lit(-1), F.lit(3))).alias("ord"), F.lit("Stale words. Gone ").alias("text"), F.lit(1).alias("generation"), F.lit(False).alias("last"))
+    return deltas.folded(d.unionByName(stale)).withColumn("piece", F.sha2("piece", 256))
 
 
 @register("stable_previews", PHRASES_SQL + """
@@ -38,12 +44,12 @@ def folded_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stable_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sentences of a growing text but the last."""
     d = documents(spark, sf_dir).where("text <> ''")
-    return d.select("doc_id", F.size(deltas.complete_sentences(F.col("text"))).cast("long").alias("n_complete"), F.sha2(deltas.stable_preview(F.col("text")), 256).alias("preview"))
+    return d.select("doc_id", F.size(deltas.complete_sentences(F.col("text"), F.col("lang"))).cast("long").alias("n_complete"), F.sha2(deltas.stable_preview(F.col("text"), F.col("lang")), 256).alias("preview"))
 
 
 @register("utterance_chunks")
 def utterance_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Utterances in blocks of a microphone's samples, one block an event (a state machine; held against literal cases)."""
+    """Utterances in blocks of a microphone's samples, one block an event, the open one at the end (a state machine; held against a plain loop)."""
     level = F.when(F.col("event_type").isin("view", "click"), F.col("value") / 50).otherwise(0.001)
     b = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("stream"), F.col("event_id").alias("number"), F.array_repeat(level, 100).alias("samples"), F.lit(None).cast("string").alias("control"))
     return utterances.utterances(b, 1000, 100)

@@ -15,19 +15,41 @@ from folioforge.registry import register, spread, table
 WS = tx.SPACE
 PUNC = tx.regex_class(tx.PUNCTUATION).replace("'", "''")
 
-#: SQL for the phrases of every document: cleaned, marked, split; pieces of white space and punctuation join the piece before.
+def _ends_sql(column: str) -> str:
+    """SQL for the cuts that abbreviations, initials and small letters take back."""
+    kept = lambda x: rf"regexp_replace({column}, '((?:^|[^\p{{L}}])(?:{'|'.join(seg.ABBREVIATIONS[x])}|\p{{Lu}})\.[ \t]+)' || chr(1), '\1', 'g')"
+    cases = " ".join(f"WHEN '{x}' THEN {kept(x)}" for x in seg.ABBREVIATIONS if x != "en")
+    return rf"regexp_replace(CASE lang {cases} ELSE {kept('en')} END, '([.…][\"”’)]*[ \t]+)' || chr(1) || '(\p{{Ll}})', '\1\2', 'g')"
+
+
+#: SQL for the phrases of every document: cleaned, breaks in quotes held back, marked, split; pieces of white space and
+#: punctuation join the piece before; sentences that quotes hold are split once more.
 PHRASES_SQL = r"""
 WITH clean AS (
   SELECT doc_id, lang, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g') AS t FROM documents WHERE text <> ''
+), held AS (
+  SELECT doc_id, lang, CASE WHEN regexp_matches(t, '[“"]') THEN array_to_string(list_transform(regexp_extract_all(t, '“[^”\n]*”|"[^"\n]*"|[^“"]+|[“"]'),
+    lambda x: CASE WHEN len(x) > 1 AND (starts_with(x, '“') OR starts_with(x, '"')) THEN regexp_replace(x, '([.!?…][’)]*)([ \t\r\f]+)', '\1' || chr(2) || '\2', 'g') ELSE x END), '') ELSE t END AS t FROM clean
+), cut AS (
+  SELECT doc_id, lang, regexp_replace(t, '([.!?…]["”’)]*[ \t\n\r\f]+|\n[ \t\n\r\f]*)', '\1' || chr(1), 'g') AS m FROM held
 ), marked AS (
-  SELECT doc_id, lang, regexp_replace(regexp_replace(regexp_replace(t, '([.!?…]["”’)]*[ \t\n\r\f]+|\n[ \t\n\r\f]*)', '\1' || chr(1), 'g'),
-    '((?:^|[^\p{L}])(?:ABBR|\p{Lu})\.[ \t]+)' || chr(1), '\1', 'g'), '([.…]["”’)]*[ \t]+)' || chr(1) || '(\p{Ll})', '\1\2', 'g') AS t FROM clean
+  SELECT doc_id, lang, ENDS AS t FROM cut
 ), raw AS (
   SELECT doc_id, lang, unnest(p) AS piece, unnest(range(len(p))) AS i FROM (SELECT doc_id, lang, list_filter(string_split(t, chr(1)), lambda x: x <> '') AS p FROM marked)
 ), numbered AS (
-  SELECT *, sum(CASE WHEN i > 0 AND NOT regexp_full_match(piece, '[EDGE]*') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM raw
-), sentence AS (
+  SELECT *, sum(CASE WHEN i > 0 AND NOT regexp_full_match(replace(piece, chr(2), ''), '[EDGE]*') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM raw
+), outer_sentence AS (
   SELECT doc_id, lang, s, string_agg(piece, '' ORDER BY i) AS t FROM numbered GROUP BY ALL
+), again AS (
+  SELECT doc_id, lang, s, CASE WHEN contains(t, chr(2)) AND regexp_full_match(t, '(?s)\s*["“].*["”]\s*') THEN regexp_replace(t, chr(2) || '([ \t\r\f]+)', '\1' || chr(1), 'g') ELSE replace(t, chr(2), '') END AS m FROM outer_sentence
+), marked_again AS (
+  SELECT doc_id, lang, s, CASE WHEN contains(m, chr(1)) THEN ENDS ELSE m END AS t FROM again
+), raw_again AS (
+  SELECT doc_id, lang, s, unnest(p) AS piece, unnest(range(len(p))) AS i FROM (SELECT doc_id, lang, s, list_filter(string_split(t, chr(1)), lambda x: x <> '') AS p FROM marked_again)
+), numbered_again AS (
+  SELECT *, sum(CASE WHEN i > 0 AND NOT regexp_full_match(piece, '[EDGE]*') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, s ORDER BY i) AS k FROM raw_again
+), sentence AS (
+  SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY s, k) - 1 AS s, t FROM (SELECT doc_id, lang, s, k, string_agg(piece, '' ORDER BY i) AS t FROM numbered_again GROUP BY ALL)
 ), raw2 AS (
   SELECT doc_id, lang, s, unnest(p) AS piece, unnest(range(len(p))) AS i
   FROM (SELECT doc_id, lang, s, list_filter(string_split(regexp_replace(regexp_replace(t, '(["”,;:] [ \t\n\r\f]*|[–—)][ \t\n\r\f]*)', '\1' || chr(1), 'g'), '\(', chr(1) || '(', 'g'), chr(1)), lambda x: x <> '') AS p FROM sentence)
@@ -40,7 +62,7 @@ WITH clean AS (
 ), phrases AS (
   SELECT doc_id, lang, s, k, t, n_words, CASE WHEN k < last_k THEN 'is' WHEN lf = 0 THEN 's' WHEN lf < 3 THEN 'p' ELSE 'x' END AS reason FROM counted
 )
-""".replace("ABBR", "|".join(seg.ABBREVIATIONS)).replace("EDGE", WS + PUNC).replace("BLANK", WS)
+""".replace("ENDS", _ends_sql("m")).replace("EDGE", WS + PUNC).replace("BLANK", WS)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +72,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("phrase_split_counts", PHRASES_SQL + "SELECT doc_id, reason, count(*) AS n, CAST(sum(n_words) AS BIGINT) AS words FROM phrases GROUP BY doc_id, reason")
 def phrase_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases and words by document and boundary reason."""
-    p = seg.phrases(documents(spark, sf_dir))
+    p = seg.phrases(documents(spark, sf_dir), language="lang")
     return p.groupBy("doc_id", "reason").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"))
 
 
@@ -62,14 +84,14 @@ SELECT doc_id, count(*) AS n_groups, CAST(max(w) AS BIGINT) AS most_words FROM s
 """)
 def reason_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups that close after a phrase of at least sentence level: how many, and the largest in words."""
-    g = seg.group_by_reason(seg.phrases(documents(spark, sf_dir)), "s")
+    g = seg.group_by_reason(seg.phrases(documents(spark, sf_dir), language="lang"), "s")
     return g.groupBy("doc_id", "group_index").agg(F.sum("n_words").alias("w")).groupBy("doc_id").agg(F.count("*").alias("n_groups"), F.max("w").alias("most_words"))
 
 
 @register("packed_groups")
 def packed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups filled with phrases up to 40 words: how many, and the largest in words (a fold; held against brute force)."""
-    g = seg.pack_words(seg.phrases(documents(spark, sf_dir)), 40)
+    g = seg.pack_words(seg.phrases(documents(spark, sf_dir), language="lang"), 40)
     return g.select("doc_id", F.size("groups").alias("n_groups"), F.array_max("groups").alias("most_words"))
 
 
@@ -79,7 +101,7 @@ SELECT doc_id, CAST(sum(parts) AS BIGINT) AS n_parts, CAST(sum(n_words) AS BIGIN
 """)
 def long_phrase_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases of more than 4 words in equal strides: parts, words, and parts that a cut ends."""
-    parts = seg.split_long(seg.phrases(documents(spark, sf_dir)), 4)
+    parts = seg.split_long(seg.phrases(documents(spark, sf_dir), language="lang"), 4)
     return parts.groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.sum("n_words").cast("long").alias("n_words"), F.count_if(F.col("reason") == "w").alias("n_cut"))
 
 

@@ -88,13 +88,18 @@ def trusted_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lx.trusted(w, known_words(spark, sf_dir), None, "en")
 
 
-@register("trusted_spanish", RAW_SQL + """
-, d AS (SELECT DISTINCT lower(core) AS word FROM core WHERE core <> ''), e(fam, ending) AS (VALUES (1, 'o'), (1, 'a'), (1, 'os'), (1, 'as'), (2, 'e'), (2, 'es')),
-sib AS (SELECT DISTINCT d.word FROM d JOIN e a ON ends_with(d.word, a.ending) AND len(d.word) - len(a.ending) >= 4 JOIN e b ON a.fam = b.fam JOIN known k ON k.word = left(d.word, len(d.word) - len(a.ending)) || b.ending),
-v AS (SELECT unnest(ENDINGS) AS ending, unnest(range(34)) AS o), stems AS (SELECT left(word, k) AS stem, count(*) AS n FROM (SELECT word, unnest(range(5, len(word) + 1)) AS k FROM known) WHERE len(word) <= k + 12 GROUP BY stem HAVING count(*) >= 2),
-t AS (SELECT d.word, o, left(d.word, len(d.word) - len(ending)) AS stem FROM d JOIN v ON ends_with(d.word, ending) WHERE len(d.word) >= 7), u AS (SELECT *, min(len(stem)) OVER (PARTITION BY word ORDER BY o) >= 5 AS usable FROM t)
-SELECT word FROM d WHERE word IN (SELECT word FROM known) OR word IN (SELECT word FROM sib) OR word IN (SELECT word FROM u WHERE usable AND stem IN (SELECT stem FROM stems))
-""".replace("ENDINGS", str(lx.ES_ENDINGS)))
+#: Endings of a family, one for another.
+_SIBLINGS = [(a, b) for family in lx.ES_FAMILIES for a in family for b in family]
+
+
+@register("trusted_spanish", RAW_SQL.replace("known AS (", "known AS MATERIALIZED (") + """
+, d AS MATERIALIZED (SELECT DISTINCT lower(core) AS word FROM core WHERE core <> ''),
+sib AS (SELECT DISTINCT c.word FROM (SELECT word, unnest(list_transform(list_filter(SIBLINGS, lambda p: ends_with(word, p[1]) AND len(word) - len(p[1]) >= 4), lambda p: left(word, len(word) - len(p[1])) || p[2])) AS k FROM d) c JOIN known ON c.k = known.word),
+stems AS (SELECT left(word, k) AS stem FROM (SELECT word, unnest(range(5, len(word) + 1)) AS k FROM known) WHERE len(word) <= k + 12 GROUP BY stem HAVING count(*) >= 2),
+t AS (SELECT word, list_transform(list_filter(ENDINGS, lambda e: ends_with(word, e)), lambda e: left(word, len(word) - len(e))) AS s FROM d WHERE len(word) >= 7),
+u AS (SELECT word, unnest(list_filter(s, lambda x, i: list_min(list_transform(s[1:i], lambda y: len(y))) >= 5)) AS stem FROM t)
+SELECT d.word FROM known JOIN d ON known.word = d.word UNION SELECT word FROM sib UNION SELECT u.word FROM u JOIN stems ON u.stem = stems.stem
+""".replace("ENDINGS", str(lx.ES_ENDINGS)).replace("SIBLINGS", str([list(p) for p in _SIBLINGS])))
 def trusted_spanish(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the lexicon has, or siblings or verb forms of such words."""
     w = raw_words(spark, sf_dir).select(F.lower(tx.word_parts(F.col("word"))["core"]).alias("word")).where("word <> ''")
@@ -112,14 +117,14 @@ def bracketed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("lowered_capitals", RAW_SQL + """
-, d AS (SELECT DISTINCT doc_id, upper(replace(list_aggregate(w[1:6], 'string_agg', ' '), 'ß', 's')) AS t FROM w WHERE len(w) > 0), e AS (SELECT doc_id, t, unnest(string_split(t, ' ')) AS word, unnest(range(len(string_split(t, ' ')))) AS i FROM d)
-SELECT doc_id, CASE WHEN regexp_matches(any_value(t), '[A-Z]') AND NOT regexp_matches(any_value(t), '[a-z]') THEN string_agg(CASE WHEN k.word IS NULL THEN e.word ELSE k.word END, ' ' ORDER BY i) ELSE any_value(t) END AS t FROM e LEFT JOIN known k ON lower(e.word) = k.word GROUP BY doc_id
+, d AS (SELECT DISTINCT doc_id, upper(replace(list_aggregate(w, 'string_agg', ' '), 'ß', 's')) AS t FROM w WHERE len(w) > 0), e AS (SELECT doc_id, t, unnest(string_split(t, ' ')) AS word, unnest(range(len(string_split(t, ' ')))) AS i FROM d)
+SELECT doc_id, sha256(CASE WHEN regexp_matches(any_value(t), '[A-Z]') AND NOT regexp_matches(any_value(t), '[a-z]') THEN string_agg(CASE WHEN k.word IS NULL THEN e.word ELSE k.word END, ' ' ORDER BY i) ELSE any_value(t) END) AS t FROM e LEFT JOIN known k ON lower(e.word) = k.word GROUP BY doc_id
 """)
 def lowered_capitals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings in capitals: known words become small (the first six words of each text in capitals stand for a heading)."""
-    w = F.transform(F.slice(tx.words_with_space(F.coalesce("text", F.lit(""))), 1, 6), lambda x: F.rtrim(x, F.lit(tx._BLANKS)))
+    """Texts in capitals: known words become small."""
+    w = F.transform(tx.words_with_space(F.coalesce("text", F.lit(""))), lambda x: F.rtrim(x, F.lit(tx._BLANKS)))
     d = documents(spark, sf_dir).select("doc_id", F.upper(F.replace(F.array_join(w, " "), F.lit("ß"), F.lit("s"))).alias("t")).where("t <> ''")
-    return lx.lower_known_capitals(d, "doc_id", "t", known_words(spark, sf_dir))
+    return lx.lower_known_capitals(d, "doc_id", "t", known_words(spark, sf_dir)).select("doc_id", F.sha2("t", 256).alias("t"))
 
 
 @register("word_substitutions", RAW_SQL + """
@@ -292,13 +297,16 @@ def word_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("annotation_checks", r"""
-SELECT doc_id, doc_id % 3 <> 0 AS same, CASE WHEN doc_id % 3 <> 0 THEN -1 ELSE least(3, len(t)) END AS differs_at FROM (SELECT doc_id, left(regexp_replace(coalesce(text, ''), '[<>]', '', 'g'), 200) AS t FROM documents)
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[<>]', '', 'g') AS t FROM documents), p AS (SELECT doc_id, t, doc_id * 7919 % (len(t) + 1) AS k FROM d),
+c AS (SELECT doc_id, t, t[:k] || CASE WHEN doc_id % 3 = 0 THEN '#' ELSE '' END || t[k + 1:] AS p FROM p)
+SELECT doc_id, t = p AS same, CASE WHEN t = p THEN -1 ELSE list_position(list_transform(list_zip(string_split(t, ''), string_split(p, '')), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false) - 1 END AS differs_at FROM c
 """)
 def annotation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annotated text against the text (the first 200 characters of each document, one in three changed)."""
-    t = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[<>]", ""), 1, 200)
-    annotated = F.concat(F.lit("<b>"), F.substring(t, 1, 3), F.lit("</b><pause s=1>"), F.when(F.col("doc_id") % 3 == 0, "#").otherwise(""), F.substring(t, 4, 200))
-    d = documents(spark, sf_dir).select("doc_id", t.alias("t"), pr.without_markup(annotated).alias("p"))
+    """Annotated text against the text, one in three with a sign too many somewhere."""
+    d = documents(spark, sf_dir).select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[<>]", "").alias("t"))
+    at = (F.col("doc_id") * 7919 % (F.length("t") + 1)).cast("int")
+    annotated = F.concat(F.lit("<b>"), F.substring(F.col("t"), F.lit(1), at), F.lit("</b><pause s=1>"), F.when(F.col("doc_id") % 3 == 0, "#").otherwise(""), F.substring(F.col("t"), at + 1, F.length("t")))
+    d = d.select("doc_id", "t", pr.without_markup(annotated).alias("p"))
     return d.select("doc_id", (F.col("t") == F.col("p")).alias("same"), pr.first_difference(F.col("t"), F.col("p")).alias("differs_at"))
 
 

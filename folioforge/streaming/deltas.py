@@ -2,103 +2,101 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
+import regex
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StringType, StructType
 
-from folioforge.operators.segmentation import sentences
+from folioforge.operators.segmentation import sentences, split_sentences
+from folioforge.streaming import stateful
 
 #: Fixed value: words that the first piece handed out must have.
 FIRST_WORDS = 5
-_END = re.compile(r"[.!?…][\"”’)]*\s+|\n\s*")
-_PHRASE = re.compile(r"[\"”,;:] \s*|[–—)]\s*")
+_PHRASE = regex.compile(r"[\"”,;:] \s*|[–—)]\s*")
 
 
-def complete_sentences(text: Column) -> Column:
+def complete_sentences(text: Column, language: Column | None = None) -> Column:
     """All sentences of a text but the last, which may go on."""
-    s = sentences(text)
+    s = sentences(text, language)
     return F.when(F.size(s) > 1, F.slice(s, F.lit(1), F.size(s) - 1)).otherwise(F.slice(s, 1, 0))
 
 
-def stable_preview(text: Column) -> Column:
+def stable_preview(text: Column, language: Column | None = None) -> Column:
     """What a growing text shows before its last sentence is over."""
-    return F.array_join(complete_sentences(text), "")
+    return F.array_join(complete_sentences(text, language), "")
 
 
-def take_complete(buffer: str, first: bool) -> tuple[str, str, str]:
-    """(text to hand out, its boundary reason, what is held).
+def take_complete(buffer: str, first: bool, language: str = "en") -> tuple[list[str], str]:
+    """(pieces to hand out, what is held).
 
-    All complete sentences go; as the very first piece only with five words, else the shortest run of phrases that has
-    them and leaves something.
+    All complete sentences go, each a piece, told apart by the rule of ``sentences``; as the very first piece only as many
+    together as have five words, else the shortest run of phrases that has them and leaves something.
     """
-    ends = [m.end() for m in _END.finditer(buffer) if m.end() < len(buffer)]
-    if ends and not (first and len(buffer[: ends[-1]].split()) < FIRST_WORDS):
-        return buffer[: ends[-1]], "p" if "\n" in buffer[ends[-1] - 1 : ends[-1]] else "s", buffer[ends[-1] :]
+    found = split_sentences(buffer, language)
+    if len(found) > 1 and not first:
+        return found[:-1], found[-1]
     if first:
+        for k in range(1, len(found)):
+            if len("".join(found[:k]).split()) >= FIRST_WORDS:
+                return ["".join(found[:k]), *found[k:-1]], found[-1]
         for m in _PHRASE.finditer(buffer):
             if len(buffer[: m.end()].split()) >= FIRST_WORDS and buffer[m.end() :].strip():
-                return buffer[: m.end()], "is", buffer[m.end() :]
-    return "", "", buffer
+                return [buffer[: m.end()]], buffer[m.end() :]
+    return [], buffer
+
+
+def _reason(piece: str) -> str:
+    """Phrase, sentence or paragraph, by how a piece ends."""
+    bare = piece.rstrip()
+    return "p" if "\n" in piece[len(bare) :] else "s" if regex.search(r"[.!?…][\"”’)]*$", bare) else "is"
 
 
-PIECES = "key string, piece string, reason string"
+PIECES = StructType().add("key", StringType()).add("sequence", LongType()).add("piece", StringType()).add("reason", StringType())
 
 
-def folded(deltas: DataFrame, key: str = "key", order: str = "ord", text: str = "text", generation: str = "generation") -> DataFrame:
-    """(key, piece, reason) of growing texts (key, ord, text, generation, last boolean), in a batch or a stream.
+def folded(deltas: DataFrame, key: str = "key", order: str = "ord", text: str = "text", generation: str = "generation", language: str = "en", idle_seconds: float = 30.0) -> DataFrame:
+    """(key, sequence, piece, reason) of growing texts (key, ord, text, generation, last boolean), in a batch or a stream.
 
     Rows of an older generation than the latest seen are dropped, and a newer one drops what is held; the last delta
-    hands out the rest.
+    hands out the rest, as does the end of the batch or a stream that rests for ``idle_seconds``.
     """
 
-    def step(state: tuple[str, bool, int], rows: pd.DataFrame) -> tuple[list[tuple[str, str]], tuple[str, bool, int]]:
-        held, first, now = state
-        out = []
+    def step(state: tuple, rows: pd.DataFrame) -> tuple[list[tuple], tuple]:
+        held, first, now, n = state
+        out: list[tuple] = []
         for t, g, last in rows.sort_values(order)[[text, generation, "last"]].itertuples(index=False):
             if g < now:
                 continue
             if g > now:
                 held, first, now = "", True, int(g)
             held += t or ""
-            piece, reason, held = take_complete(held, first)
-            if piece:
-                out.append((piece, reason))
-                first = False
+            pieces, held = take_complete(held, first, language)
             if last and held:
-                out.append((held, "s"))
-                held, first = "", True
-        return out, (held, first, now)
-
-    def frame(k, out) -> pd.DataFrame:
-        return pd.DataFrame([(k, *x) for x in out], columns=["key", "piece", "reason"])
-
-    if not deltas.isStreaming:
-        return deltas.groupBy(key).applyInPandas(lambda k, rows: frame(k[0], step(("", True, 0), rows)[0]), PIECES)
+                pieces, held = [*pieces, held], ""
+            out += [(n + k, p, _reason(p)) for k, p in enumerate(pieces)]
+            n, first = n + len(pieces), bool(last) or (first and not pieces)
+        return out, (held, bool(first), now, n)
 
-    def live(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out, now = step(tuple(state.get) if state.exists else ("", True, 0), pd.concat(list(batches)))
-        state.update(now)
-        yield frame(k[0], out)
+    end = lambda state: [(state[3], state[0], _reason(state[0]))] if state[0] else []
+    return stateful.folded(deltas.withColumnRenamed(key, "key"), "key", PIECES, "held string, first boolean, generation long, n long", ("", True, 0, 0), step, end, idle_seconds)
 
-    return deltas.groupBy(key).applyInPandasWithState(live, PIECES, "held string, first boolean, generation long", "append", GroupStateTimeout.NoTimeout)
 
+BLOCKS = StructType().add("key", StringType()).add("sequence", LongType()).add("start_sample", LongType()).add("n_samples", LongType()).add("rate", LongType())
+#: Fixed value: seconds without samples after which a short block goes out.
+IDLE_S = 0.2
 
-BLOCKS = "key string, sequence long, start_sample long, n_samples long, rate long"
 
-
-def blocks(pieces: DataFrame, size: int = 24000) -> DataFrame:
+def blocks(pieces: DataFrame, size: int = 24000, idle_seconds: float = IDLE_S) -> DataFrame:
     """(key, sequence, start_sample, n_samples, rate) of streams of (key, ord, n_samples, rate), handed out by ``size`` samples.
 
-    A change of the rate hands out what is there first; a row without samples (an idle mark) does, too.
+    What is there goes out, too, before another rate, at a row without samples (an idle mark), at the end of a batch, and
+    when a stream rests for ``idle_seconds``.
     """
 
-    def step(state: tuple[int, int, int, int], rows: pd.DataFrame) -> tuple[list[tuple], tuple[int, int, int, int]]:
+    def step(state: tuple, rows: pd.DataFrame) -> tuple[list[tuple], tuple]:
         held, rate, sequence, at = state
-        out = []
+        out: list[tuple] = []
         for n, r in rows.sort_values("ord")[["n_samples", "rate"]].itertuples(index=False):
             if held and (n == 0 or r != rate):
                 out.append((sequence, at, held, rate))
@@ -110,15 +108,5 @@ def blocks(pieces: DataFrame, size: int = 24000) -> DataFrame:
                 sequence, at, held = sequence + 1, at + size, held - size
         return out, (held, rate, sequence, at)
 
-    def frame(k, out) -> pd.DataFrame:
-        return pd.DataFrame([(k, *x) for x in out], columns=["key", "sequence", "start_sample", "n_samples", "rate"])
-
-    if not pieces.isStreaming:
-        return pieces.groupBy("key").applyInPandas(lambda k, rows: frame(k[0], step((0, 0, 0, 0), rows)[0]), BLOCKS)
-
-    def live(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out, now = step(tuple(state.get) if state.exists else (0, 0, 0, 0), pd.concat(list(batches)))
-        state.update(now)
-        yield frame(k[0], out)
-
-    return pieces.groupBy("key").applyInPandasWithState(live, BLOCKS, "held long, rate long, sequence long, at long", "append", GroupStateTimeout.NoTimeout)
+    end = lambda state: [(state[2], state[3], state[0], state[1])] if state[0] else []
+    return stateful.folded(pieces, "key", BLOCKS, "held long, rate long, sequence long, at long", (0, 0, 0, 0), step, end, idle_seconds)

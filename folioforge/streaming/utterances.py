@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-#: Levels, and seconds of silence, of chunks, of the noise window and before speech.
-QUIET, SILENCE_S, MOST_S, LEAST_S, NOISE_S, START_RATIO, SILENCE_RATIO, PEAK_RATIO, PAD_S, HISTORY_S = 0.01, 0.5, 8.0, 1.5, 6.0, 1.25, 1.4, 0.6, 0.5, 0.3
-OUT = "stream string, first_block long, last_block long, n_samples long, flushed boolean"
+from pyspark.sql.types import BooleanType, LongType, StringType, StructType
+
+from folioforge.streaming import stateful
+
+#: The least level of speech, and how far above the noise it begins, above it and below its own peak it ends.
+QUIET = 0.01
+START_RATIO = 1.25
+SILENCE_RATIO = 1.4
+PEAK_RATIO = 0.6
+#: Fixed values in seconds: silence that ends an utterance, its longest and least length, the noise window, what is kept
+#: before speech, and the history that a quiet start needs.
+SILENCE_S = 0.5
+MOST_S = 8.0
+LEAST_S = 1.5
+NOISE_S = 6.0
+PAD_S = 0.5
+HISTORY_S = 0.3
+OUT = StructType().add("stream", StringType()).add("first_block", LongType()).add("last_block", LongType()).add("n_samples", LongType()).add("flushed", BooleanType())
 
 
 class Chunker:
@@ -65,16 +76,16 @@ class Chunker:
         return done
 
 
-def utterances(blocks: DataFrame, rate: int = 16000, block: int = 1024) -> DataFrame:
+def utterances(blocks: DataFrame, rate: int = 16000, block: int = 1024, idle_seconds: float = 2.0) -> DataFrame:
     """(stream, first_block, last_block, n_samples, flushed) of each utterance of blocks (stream, number, samples, control).
 
-    control: null for sound; ``flush`` and ``pause`` drop the buffer and the noise history, ``end`` hands out what is left.
-    Blocks of a stream are taken by number within a trigger. The state is the buffer's block numbers and six seconds of
-    levels, never the samples. Works on a batch as on a stream.
+    control: null for sound; ``flush`` and ``pause`` drop the buffer and the noise history, ``end`` hands out what is left,
+    as do the end of a batch and a stream that rests for ``idle_seconds``. Blocks of a stream are taken by number within a
+    trigger. The state is the buffer's block numbers and six seconds of levels, never the samples.
     """
 
-    def step(chunker: Chunker, rows: pd.DataFrame) -> list[tuple]:
-        out = []
+    def step(state: tuple, rows: pd.DataFrame) -> tuple[list[tuple], tuple]:
+        chunker, out = Chunker(rate, block, state[0] or None), []
         for number, samples, control in rows.sort_values("number")[["number", "samples", "control"]].itertuples(index=False):
             if control in ("flush", "pause"):
                 chunker.clear()
@@ -83,20 +94,10 @@ def utterances(blocks: DataFrame, rate: int = 16000, block: int = 1024) -> DataF
             found = chunker.flush() if control == "end" else chunker.add(int(number), float(np.sqrt(np.mean(np.square(samples)))) if len(samples) else 0.0, len(samples))
             if found:
                 out.append((*found, control == "end"))
-        return out
-
-    if not blocks.isStreaming:
-
-        def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame([(key[0], *x) for x in step(Chunker(rate, block), rows)], columns=["stream", "first_block", "last_block", "n_samples", "flushed"])
-
-        return blocks.groupBy("stream").applyInPandas(whole, OUT)
+        return out, (json.dumps(chunker.s),)
 
-    def live(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        chunker = Chunker(rate, block, state.get[0] if state.exists else None)
-        rows = pd.concat(list(batches))
-        out = step(chunker, rows)
-        state.update((json.dumps(chunker.s),))
-        yield pd.DataFrame([(key[0], *x) for x in out], columns=["stream", "first_block", "last_block", "n_samples", "flushed"])
+    def end(state: tuple) -> list[tuple]:
+        found = Chunker(rate, block, state[0] or None).flush()
+        return [(*found, True)] if found else []
 
-    return blocks.groupBy("stream").applyInPandasWithState(live, OUT, "saved string", "append", GroupStateTimeout.NoTimeout)
+    return stateful.folded(blocks, "stream", OUT, "saved string", ("",), step, end, idle_seconds)
