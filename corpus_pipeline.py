@@ -7,6 +7,7 @@ as Parquet and read again as the next one's documents. All but the last return t
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioforge.llm import bpe, decontaminate, minhash, quality_rules, suffix_tree
 from folioforge.llm.common import written
@@ -15,8 +16,9 @@ from folioforge.llm.queries import BPE_DIGEST, bpe_digest, table, tokenizer_file
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule, or that the list learned from the labels rejects, go."""
-    judged, _ = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
-    return judged.where("kept").select(*docs.columns)
+    whole = docs.select("doc_id", "text", F.struct("*").alias("document"))  # a document may have columns named as the verdict's
+    judged, _ = quality_rules.judge(whole, table(spark, sf_dir, "labels"), keep=["doc_id", "document"])
+    return judged.where("kept").select("document.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
