@@ -31,6 +31,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
 
 
+def settled(value: Column) -> Column:
+    """A value that the optimizer does not copy into the expressions that name it: one exploded element (one a select)."""
+    return F.explode(F.array(value))
+
+
 def clean_line_ends(c: Column) -> Column:
     """CRLF and CR to LF, no blanks before LF."""
     lines = F.split(F.regexp_replace(c, r"\r\n?", "\n"), "\n")

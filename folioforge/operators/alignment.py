@@ -24,30 +24,46 @@ STEP = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("act
 LEAST_LIKENESS, SKIP, MOST_SKIP = 0.7, 45, 250
 
 
-def align_words(source: list[str], heard: list[str], uncommon: set[str], same) -> list[tuple[str, str, str]]:
-    """The cheapest steps from source to heard words; of equal cost the first of: both, one for two, source, heard.
+def _costs(source: np.ndarray, heard: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """The least costs of all beginnings, source by heard, a row at a time; words are numbers, equal ones match at no cost.
 
-    A source word of ``uncommon`` may stand for any one or two words at no cost.
+    A row takes the least of the moves from above, then the moves along it as a running minimum. A source word that is
+    ``free`` stands for any one or two words.
     """
     n, m = len(source), len(heard)
-    row, moves = list(range(m + 1)), [["insert"] * (m + 1)]
-    for a in source:
-        free, above, row, move = a in uncommon, row, [row[0] + 1], ["delete"]
-        for j, b in enumerate(heard, 1):
-            kind = "match" if a == b else "homophone" if same(a, b) else "uncommon" if free else "substitute"
-            best = above[j - 1] + (kind == "substitute")
-            if free and j > 1 and above[j - 2] < best:
-                best, kind = above[j - 2], "uncommon_two"
-            if above[j] + 1 < best:
-                best, kind = above[j] + 1, "delete"
-            if row[j - 1] + 1 < best:
-                best, kind = row[j - 1] + 1, "insert"
-            row.append(best)
-            move.append(kind)
-        moves.append(move)
-    steps, i, j = [], n, m
+    cost, along = np.empty((n + 1, m + 1), np.int32), np.arange(m + 1, dtype=np.int32)
+    cost[0] = along
+    for i in range(n):
+        above, row = cost[i], cost[i] + 1
+        np.minimum(row[1:], above[:-1] + (0 if free[i] else heard != source[i]), out=row[1:])
+        if free[i]:
+            np.minimum(row[2:], above[:-2], out=row[2:])
+        cost[i + 1] = np.minimum.accumulate(row - along) + along
+    return cost
+
+
+def align_words(source: list[str], heard: list[str], uncommon: set[str], sound=None) -> list[tuple[str, str, str]]:
+    """The cheapest steps from source to heard words; of equal cost the first of: both, one for two, source, heard.
+
+    A source word of ``uncommon`` may stand for any one or two words at no cost. Words of the same ``sound`` match.
+    """
+    numbers: dict[str, int] = {}
+    name = sound or (lambda w: w)
+    number = lambda words: np.array([numbers.setdefault(name(w), len(numbers)) for w in words], np.int64)
+    a, b, free = number(source), number(heard), np.array([w in uncommon for w in source], bool)
+    cost = _costs(a, b, free).tolist() if len(a) * len(b) < 1 << 16 else _costs(a, b, free)
+    steps, i, j = [], len(a), len(b)
     while i or j:
-        kind = moves[i][j]
+        kind = "insert" if not i else "delete"
+        if i and j:
+            kind = "match" if source[i - 1] == heard[j - 1] else "homophone" if a[i - 1] == b[j - 1] else "uncommon" if free[i - 1] else "substitute"
+            best = cost[i - 1][j - 1] + (kind == "substitute")
+            if free[i - 1] and j > 1 and cost[i - 1][j - 2] < best:
+                best, kind = cost[i - 1][j - 2], "uncommon_two"
+            if cost[i - 1][j] + 1 < best:
+                best, kind = cost[i - 1][j] + 1, "delete"
+            if cost[i][j - 1] + 1 < best:
+                kind = "insert"
         di, dj = {"delete": (1, 0), "insert": (0, 1), "uncommon_two": (1, 2)}.get(kind, (1, 1))
         steps.append((kind, " ".join(source[i - di : i]) or "-", " ".join(heard[j - dj : j]) or "-"))
         i, j = i - di, j - dj
@@ -59,12 +75,12 @@ def word_alignment(source: Column, transcript: Column, language: str = "", uncom
 
     ``uncommon``: the source words that no lexicon has (array<string>).
     """
-    same = (lambda a, b: primary_code(a) == primary_code(b)) if language == "en" else (lambda a, b: False)
+    sound = primary_code if language == "en" else None
 
     @F.pandas_udf(STEP)
     def align(s: pd.Series, t: pd.Series, u: pd.Series) -> pd.Series:
         rows = zip(s, t, u, strict=True)
-        return pd.Series([[{"action": k, "source": a, "transcript": b} for k, a, b in align_words((x or "").split(), (y or "").split(), set() if z is None else set(z), same)] for x, y, z in rows])
+        return pd.Series([[{"action": k, "source": a, "transcript": b} for k, a, b in align_words((x or "").split(), (y or "").split(), set() if z is None else set(z), sound)] for x, y, z in rows])
 
     return align(source, transcript, F.array().cast("array<string>") if uncommon is None else uncommon)
 

@@ -77,6 +77,64 @@ def selection_sets(lines: DataFrame, takes: DataFrame, key: str, index: str, sel
     return s.groupBy(key).agg(F.count_if(F.col(selected) & done).alias("n_selected_done"), F.count_if(F.col(selected) & ~done).alias("n_selected_left"), F.count_if(~F.col(selected) & done).alias("n_other_done"))
 
 
+def line_classes(lines: DataFrame, takes: DataFrame, index: str, errors: str, n_words: str, strictness: str) -> DataFrame:
+    """Lines with the classes that they are in: generated, ungenerated, with_errors, failed (each a column), and n_takes.
+
+    With errors: its best take has some; failed: any of its takes has more than the line's words allow.
+    """
+    s = line_status(lines, takes, index, errors, n_words, strictness)
+    least = takes.groupBy(index).agg(F.min(F.when(F.col(errors) >= 0, F.col(errors))).alias("__least"))
+    s = s.join(least, index, "left")
+    done = F.col("n_takes") > 0
+    return s.withColumns({"generated": done, "ungenerated": ~done, "with_errors": done & F.coalesce(F.col("__least") > 0, F.lit(False)), "failed": done & (F.col("status") == "failed")}).drop("__least", "status")
+
+
+def visible_lines(classes: DataFrame, kind: str, book: str, section: str) -> tuple[DataFrame, DataFrame]:
+    """The lines of a filter (``all`` or a class) and the headings of the sections that show some: (book, section, n_visible)."""
+    shown = classes if kind == "all" else classes.where(F.col(kind))
+    return shown, shown.groupBy(book, section).agg(F.count("*").alias("n_visible"))
+
+
+def known_tags(models: DataFrame, tag: str) -> DataFrame:
+    """(tag): the tags that files of any model may have, once each."""
+    return models.where(F.trim(tag) != "").select(F.trim(tag).alias("tag")).distinct()
+
+
+def output_choice(outputs: DataFrame, choice: DataFrame, key: str) -> DataFrame:
+    """(key, output, error) of outputs (key, output, n_exist) chosen by (key, value): numbers from 1, ``all`` or ``a``.
+
+    ``all`` takes those with audio. A choice that has an item that is none, or an output without audio, has no outputs but
+    an error that names them.
+    """
+    value = F.lower(F.trim("value"))
+    c = choice.select(key, value.alias("__v"), value.isin("all", "a").alias("__all"))
+    every = outputs.join(c.where("__all"), key).where("n_exist > 0").select(key, "output", F.lit(None).cast("string").alias("error"))
+    token = c.where(~F.col("__all")).select(key, F.explode(F.split("__v", ",")).alias("t")).select(key, F.regexp_extract_all(F.trim("t"), F.lit(r"(\d+|-|\S)"), F.lit(1)).alias("p"), F.trim("t").alias("t"))
+    first, last = F.get("p", F.lit(0)).try_cast("int"), F.element_at("p", -1).try_cast("int")
+    good = F.rlike("t", F.lit(r"^\d+$|^\d+\s*-\s*\d+$"))
+    n = outputs.groupBy(key).agg(F.max("output").alias("__n"))
+    token = token.where("t <> ''").join(n, key).select(key, "t", (good & (first >= 1) & (last <= F.col("__n") + 1) & (first <= last)).alias("ok"), (first - 1).alias("a"), (last - 1).alias("b"))
+    wanted = token.where("ok").select(key, F.explode(F.sequence("a", "b")).alias("output")).distinct().join(outputs, [key, "output"])
+    bad = token.where("not ok").groupBy(key).agg(F.array_join(F.sort_array(F.collect_set("t")), ", ").alias("__bad"))
+    silent = wanted.where("n_exist = 0").groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_set("output")), lambda x: (x + 1).cast("string")), ", ").alias("__silent"))
+    verdict = c.where(~F.col("__all")).select(key).join(bad, key, "left").join(silent, key, "left")
+    error = F.when(F.col("__bad").isNotNull(), F.concat(F.lit("no such output: "), "__bad")).when(F.col("__silent").isNotNull(), F.concat(F.lit("no audio: "), "__silent"))
+    verdict = verdict.select(key, error.alias("error"))
+    fine = wanted.join(verdict.where("error is null"), key).select(key, "output", "error")
+    return every.unionByName(fine).unionByName(verdict.where("error is not null").select(key, F.lit(None).cast("int").alias("output"), "error"))
+
+
+def missing_settings(settings: DataFrame, key: str, rules: list[tuple[str, Column, str]]) -> DataFrame:
+    """(key, position, part, message): what keeps a project from starting, in the order of the rules (part, is in order, message)."""
+    found = F.array_compact(F.array(*[F.when(~F.coalesce(good, F.lit(False)), F.struct(F.lit(part).alias("part"), F.lit(message).alias("message"))) for part, good, message in rules]))
+    return settings.select(key, F.posexplode(found).alias("position", "x")).select(key, "position", "x.part", "x.message")
+
+
+def voice_pairs(voices: Column, transcripts: Column) -> Column:
+    """array<struct<voice, transcript>> by place; a voice without a transcript has an empty one."""
+    return F.transform(voices, lambda v, i: F.struct(v.alias("voice"), F.coalesce(F.get(transcripts, i), F.lit("")).alias("transcript")))
+
+
 def current_takes(takes: DataFrame, lines: DataFrame, index: str, digest: str) -> DataFrame:
     """Takes whose digest is that of the line's present text; stale ones drop out."""
     return takes.join(lines.select(index, digest), [index, digest], "left_semi")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
-from folioforge.functions.text import spoken_words, vocalizable
+from folioforge.functions.text import settled, spoken_words, vocalizable
 
 #: Fixed value: the voice of dialog, counted from 0.
 DIALOG_VOICE = 1
@@ -143,12 +143,14 @@ def dialog_arrays(rows: DataFrame, language: str = "lang", id_col: str = "doc_id
     rows: (id, language, groups array<array<struct<text, reason, ...>>>), a text each. A part that ends a quote before an
     attribution has reason ``isqe``. Quotes are paired and groups are cut in time that is linear in the text.
     """
-    r = rows.select(id_col, language, F.transform("groups", lambda g: F.transform(g, lambda x: x["text"])).alias("__t"), F.flatten(F.transform("groups", lambda g: F.transform(g, lambda x: x["reason"]))).alias("__r"))
-    lengths = F.transform("__t", lambda g: F.transform(g, lambda x: F.length(x)))
-    r = r.select("*", F.array_join(F.flatten("__t"), "").alias("__text"), lengths.alias("__n")).drop("__t")
-    r = r.withColumn("__pairs", quote_pairs(F.col("__text"), _ends(F.col("__n"))))
+    texts = F.transform("groups", lambda g: F.transform(g, lambda x: x["text"]))
+    lengths = F.transform("groups", lambda g: F.transform(g, lambda x: F.length(x["text"])))
+    reasons = F.flatten(F.transform("groups", lambda g: F.transform(g, lambda x: x["reason"])))
+    book = F.struct(F.array_join(F.flatten(texts), "").alias("text"), lengths.alias("n"), reasons.alias("r"))
+    r = rows.select(id_col, language, settled(book).alias("__b")).withColumn("__pairs", quote_pairs(F.col("__b.text"), _ends(F.col("__b.n"))))
     spans = F.transform(F.filter("__pairs", _is_dialog), lambda p: F.struct(p["open"].alias("open"), p["close"].alias("close"), p["stop"].alias("stop"), attribution(p["after"], F.col(language)).alias("said")))
-    r = r.withColumn("__parts", _cut(F.col("__text"), F.col("__n"), spans)).select(id_col, "__r", F.explode("__parts").alias("p"))
+    r = r.select(id_col, "__b", settled(spans).alias("__spans"))
+    r = r.withColumn("__parts", _cut(F.col("__b.text"), F.col("__b.n"), F.col("__spans"))).select(id_col, F.col("__b.r").alias("__r"), F.explode("__parts").alias("p"))
     reason = F.when(F.col("p.said"), "isqe").when(F.col("p.phrase") >= 0, F.get("__r", F.col("p.phrase"))).otherwise("is")
     return r.select(id_col, "p.group_index", "p.part_index", "p.text", reason.alias("reason"), F.when(F.col("p.inside"), DIALOG_VOICE).otherwise(-1).alias("voice"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 from pyspark.sql.window import Window
 
-from folioforge.functions.text import _BLANKS, blank_or_punctuation, clean_line_ends, let, trailing_line_breaks, vocalizable, words_with_space
+from folioforge.functions.text import _BLANKS, blank_or_punctuation, clean_line_ends, let, settled, trailing_line_breaks, vocalizable, words_with_space
 
 #: Boundary reasons by level.
 REASONS = ("undefined", "w", "isqe", "is", "s", "p", "x", "xx")
@@ -50,7 +50,7 @@ def _no_breaks(marked: Column, language: Column | None) -> Column:
     """Cuts after abbreviations and initials, and before small letters, are none."""
 
     def without(c: Column, language: str) -> Column:
-        return F.regexp_replace(c, rf"((?:^|[^\p{{L}}])(?:{'|'.join(ABBREVIATIONS[language])}|\p{{Lu}})\.[ \t]+){_CUT}", "$1")
+        return F.regexp_replace(c, rf"(?<!\p{{L}})((?:{'|'.join(ABBREVIATIONS[language])}|\p{{Lu}})\.[ \t]+){_CUT}", "$1")
 
     def by_language(c: Column) -> Column:
         out = without(c, "en")
@@ -93,7 +93,7 @@ _BLANK = regex.compile(r"[\s\p{P}$+<=>^`|~]*")
 def split_sentences(text: str, language: str = "en") -> list[str]:
     """The sentences of a text by the same rule, for text that grows; the text is taken as it is."""
     words = "|".join(ABBREVIATIONS.get(language, ABBREVIATIONS["en"]))
-    no_end = regex.compile(rf"(?:^|[^\p{{L}}])(?:{words}|\p{{Lu}})\.[ \t]+\Z")
+    no_end = regex.compile(rf"(?<!\p{{L}})(?:{words}|\p{{Lu}})\.[ \t]+\Z")
 
     def cut(t: str, inner: bool) -> list[str]:
         quotes = [] if inner else [m.span() for m in _QUOTED.finditer(t)]
@@ -104,7 +104,7 @@ def split_sentences(text: str, language: str = "en") -> list[str]:
             inside = q < len(quotes) and quotes[q][0] <= m.start() and m.end() <= quotes[q][1]
             blanks = "\n" not in m.group()
             lower = blanks and m.group()[0] in ".…" and regex.match(r"\p{Ll}", t[m.end() : m.end() + 1])
-            if inside or (blanks and m.group()[0] == "." and no_end.search(t, max(start, m.end() - 64), m.end())) or lower:
+            if inside or (blanks and m.group()[0] == "." and no_end.search(t, max(0, m.start() - 64), m.end())) or lower:
                 continue
             out.append(t[start : m.end()])
             start = m.end()
@@ -167,8 +167,8 @@ def split_long(phrase_rows: DataFrame, max_words: int) -> DataFrame:
     return parts.withColumns({"text": F.array_join(piece, ""), "n_words": F.size(piece), "reason": F.when(F.col("part_index") < F.col("k") - 1, "w").otherwise(F.col("reason"))}).drop("words", "k", "stride")
 
 
-def phrase_arrays(docs: DataFrame, max_words: int = 40, id_col: str = "doc_id", text: str = "text", language: str | None = None) -> DataFrame:
-    """(id, phrases array<struct<text, reason, n_words>>) of each text that is not empty.
+def phrase_arrays(docs: DataFrame, max_words: int = 40, id_col: str = "doc_id", text: str = "text", language: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(id, the columns ``keep``, phrases array<struct<text, reason, n_words>>) of each text that is not empty.
 
     Long phrases are split. Paragraph and break phrases without a letter or digit join the phrase before, which keeps its
     reason. An ``x`` right after an ``x`` becomes ``p`` and ends in two line feeds (judged on the reasons as given).
@@ -202,7 +202,7 @@ def phrase_arrays(docs: DataFrame, max_words: int = 40, id_col: str = "doc_id",
         return F.transform(p, lambda x, i: F.when(again(x, i), shorter(x)).otherwise(x))
 
     chain = let(let(F.flatten(F.transform(p, parts)), merged), downgraded)
-    return docs.where(F.col(text) != "").select(id_col, chain.alias("phrases"))
+    return docs.where(F.col(text) != "").select(id_col, *(keep or []), settled(chain).alias("phrases"))
 
 
 def segmented(docs: DataFrame, max_words: int = 40, id_col: str = "doc_id", text: str = "text", language: str | None = None) -> DataFrame:
@@ -272,7 +272,8 @@ def grouped(arrays: DataFrame, strategy: str = "normal", max_words: int = 40) ->
     """
     numbered = lambda r: lambda x, i: F.struct((r["first"] + i).cast("long").alias("position"), x["text"].alias("text"), x["reason"].alias("reason"), x["n_words"].alias("n_words"))
     a = arrays.withColumn("__runs", group_runs(F.col("phrases"), strategy, max_words))
-    return a.withColumn("groups", F.transform("__runs", lambda r: F.transform(F.slice("phrases", r["first"] + 1, r["n"]), numbered(r)))).drop("phrases", "__runs")
+    found = F.transform("__runs", lambda r: F.transform(F.slice("phrases", r["first"] + 1, r["n"]), numbered(r)))
+    return a.select(*[c for c in arrays.columns if c != "phrases"], settled(found).alias("groups"))
 
 
 def groups(phrase_rows: DataFrame, strategy: str = "normal", max_words: int = 40, id_col: str = "doc_id") -> DataFrame:

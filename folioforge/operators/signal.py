@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from folioforge.functions.text import let
+
 
 def rms(data: Column) -> Column:
     return F.sqrt(F.aggregate(data, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) / F.size(data))
@@ -21,7 +25,7 @@ def peak(data: Column) -> Column:
 def peak_normalise(data: Column, headroom_db: float) -> Column:
     """Scaled to a peak of ``-headroom_db`` dB; silence stays."""
     gain = 10 ** (-headroom_db / 20)
-    return F.transform(data, lambda x: F.when(peak(data) > 0, x.cast("double") / peak(data) * gain).otherwise(0.0))
+    return let(peak(data), lambda top: F.transform(data, lambda x: F.when(top > 0, x.cast("double") / top * gain).otherwise(0.0)))
 
 
 def pcm16(data: Column) -> Column:
@@ -83,8 +87,8 @@ def cleaned(data: Column) -> Column:
 
 def attenuated(data: Column, ceiling_db: float) -> Column:
     """Scaled down to a peak of ``ceiling_db`` if it is above, else as it is."""
-    top, most = peak(data), 10 ** (ceiling_db / 20)
-    return F.transform(data, lambda x: F.when(top > most, x.cast("double") / top * most).otherwise(x.cast("double")))
+    most = 10 ** (ceiling_db / 20)
+    return let(peak(data), lambda top: F.transform(data, lambda x: F.when(top > most, x.cast("double") / top * most).otherwise(x.cast("double"))))
 
 
 def trimmed(data: Column, start: Column, end: Column, rate: int) -> Column:
@@ -107,21 +111,133 @@ def cross_faded(a: Column, b: Column, overlap: int) -> Column:
     return F.when(n > 0, F.concat(F.slice(a, F.lit(1), F.size(a) - n), mixed, F.slice(b, n + 1, F.size(b)))).otherwise(F.concat(a, b))
 
 
+#: Zero crossings of the resampling filter to each side, and where it ends of the lower Nyquist frequency.
+CROSSINGS, PASSED = 24, 0.94
+
+
+def band_limited(data: Column, rate: int, to: int, crossings: int = CROSSINGS, passed: float = PASSED) -> Column:
+    """Samples at another rate through a bank of windowed sinc filters, one a phase; what the new rate cannot hold is gone.
+
+    A sample of the result is the product of the filter of its phase with the samples around its time (zeros outside of
+    the clip). Clips are worked in runs of the result, so memory is bounded by the filter, not by the clip.
+    """
+    g = math.gcd(rate, to)
+    up, down = to // g, rate // g
+    cut = passed * min(1.0, to / rate)
+    half = math.ceil(crossings / cut)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(clips: pd.Series) -> pd.Series:
+        taps = np.arange(-half, half + 1)
+        t = np.arange(up)[:, None] / up - taps[None, :]  # time of each phase from each sample
+        bank = np.where(np.abs(t) <= half, cut * np.sinc(cut * t) * (0.5 + 0.5 * np.cos(np.pi * t / half)), 0.0)
+
+        def one(x) -> np.ndarray:
+            x = np.asarray(x, np.float64)
+            n = len(x) * to // rate
+            padded, out = np.pad(x, half + 1), np.empty(n)
+            for a in range(0, n, 1 << 14):
+                k = np.arange(a, min(a + (1 << 14), n)) * down
+                windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1)[k // up + 1]
+                out[a : a + len(k)] = np.einsum("ij,ij->i", windows, bank[k % up])
+            return out
+
+        return clips.map(lambda x: None if x is None else one(x))
+
+    return run(data)
+
+
 def resampled(data: Column, rate: int, to: int) -> Column:
-    """Samples at another rate, by straight lines between neighbours."""
+    """Samples at another rate, by straight lines between neighbours; see ``band_limited`` for a rate that is lower."""
     n = F.floor(F.size(data) * to / rate).cast("int")
     at = lambda i: F.least(i * rate / to, (F.size(data) - 1).cast("double"))
     value = lambda p: F.get(data, F.floor(p).cast("int")) + (F.get(data, F.least(F.floor(p).cast("int") + 1, F.size(data) - 1)) - F.get(data, F.floor(p).cast("int"))) * (p - F.floor(p))
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: value(at(i)))).otherwise(F.slice(data, 1, 0))
 
 
+def overlap_added(chunks: DataFrame, key: str, start: str, data: str, overlap: int) -> DataFrame:
+    """(key, start, data): processed chunks of clips as one sound, in pieces that follow each other.
+
+    Each chunk but the first begins ``overlap`` samples before the end of the one before; there one fades into the other,
+    linearly. A chunk takes its seam from the next chunk's head by a second pass over the seams alone, so any number of
+    chunks is joined and no row holds a clip.
+    """
+    w = Window.partitionBy(key).orderBy(start)
+    c = chunks.withColumns({"__head": F.lead(F.slice(data, 1, overlap)).over(w), "__first": F.lag(start).over(w).isNull()})
+    n = F.size(data)
+    tail = F.least(F.when(F.col("__head").isNull(), 0).otherwise(F.size("__head")), n)
+    ramp = lambda i, m: (i + 1) / (m + 1)
+    mixed = F.transform(F.slice(data, n - F.col("__m") + 1, F.col("__m")), lambda x, i: x * (1 - ramp(i, F.col("__m"))) + F.get("__head", i) * ramp(i, F.col("__m")))
+    skip = F.when(F.col("__first"), 0).otherwise(F.least(F.lit(overlap), n))
+    c = c.withColumn("__m", tail).withColumn("__skip", skip)
+    body = F.slice(data, F.col("__skip") + 1, F.greatest(n - F.col("__m") - F.col("__skip"), F.lit(0)))
+    return c.select(key, (F.col(start) + F.col("__skip")).alias(start), F.concat(body, F.when(F.col("__m") > 0, mixed).otherwise(F.slice(data, 1, 0))).alias(data))
+
+
+#: Milliseconds of a burst, of silence after it, of the stretch before it, of a frame, and of quiet needed.
+BURST_MS, AFTER_MS, LEAD_MS, FRAME_MS, QUIET_MS = 65, 10, 120, 5, 25
+#: Fixed values, as shares of the peak: what is quiet, a burst's energy and its peak; and the rise from one to the other.
+QUIET_SHARE, BURST_SHARE, BURST_PEAK, RISE = 0.06, 0.045, 0.07, 2.0
+
+
+def _energies(x: np.ndarray, n: int) -> np.ndarray:
+    """Root mean squares of frames of n samples, the last one shorter."""
+    at = np.arange(0, len(x), n)
+    return np.sqrt(np.add.reduceat(x * x, at) / np.diff(np.append(at, len(x)))) if len(x) else np.zeros(0)
+
+
+def burst_start(x: np.ndarray, rate: int) -> int | None:
+    """Where a short burst at a clip's end begins that stands alone after quiet; null where there is none."""
+    most, after, lead, frame, quiet = (int(rate * ms / 1000) for ms in (BURST_MS, AFTER_MS, LEAD_MS, FRAME_MS, QUIET_MS))
+    top = np.abs(x).max() if len(x) else 0.0
+    if min(most, lead, frame) <= 0 or len(x) <= most + quiet or top <= 0:
+        return None
+    base = len(x) - most
+    loud = _energies(x[base:], frame) >= BURST_SHARE * top
+    if not loud.any():
+        return None
+    last = int(np.flatnonzero(loud)[-1])
+    silent = np.flatnonzero(~loud[: last + 1])
+    begin, end = base + (int(silent[-1]) + 1 if len(silent) else 0) * frame, min(len(x), base + (last + 1) * frame)
+    burst, before = x[begin:end], x[max(0, begin - lead) : begin]
+    energy = np.sqrt(np.mean(burst * burst))
+    if len(x) - end > after or energy < BURST_SHARE * top or np.abs(burst).max() < BURST_PEAK * top or len(before) < max(quiet, 1):
+        return None
+    levels = _energies(before, frame)
+    still = levels <= QUIET_SHARE * top
+    run = len(still) if still.all() else int(np.argmin(still[::-1]))
+    if run < max(1, -(-quiet // frame)) or energy < RISE * max(float(np.median(levels[-run:])), 1e-5 * top):
+        return None
+    return begin
+
+
+def without_burst(data: Column, rate: int) -> Column:
+    """Clips without a short burst at their end that stands alone after quiet, as models of tokens make them."""
+
+    @F.pandas_udf(T.IntegerType())
+    def begin(s: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else burst_start(np.asarray(x, np.float64), rate) for x in s], dtype="Int32")
+
+    return F.slice(data, F.lit(1), F.coalesce(begin(data), F.size(data)))
+
+
+def saved_take(data: Column, lead: Column, tail: Column, rate: int, headroom_db: float = 3.0) -> Column:
+    """struct<data, removed, reason>: what is kept of a generated clip, as one expression.
+
+    reason: why it is discarded, else null; its silent ends go (``lead`` seconds, and from ``tail`` on) and its peak is
+    brought to the headroom; removed: the seconds that went.
+    """
+    part = trimmed(data, lead, tail, rate)
+    return F.struct(peak_normalise(part, headroom_db).alias("data"), ((F.size(data) - F.size(part)) / rate).alias("removed"), discarded(data).alias("reason"))
+
+
 def frames(clips: DataFrame, key: str, data: str, length: int, hop: int) -> DataFrame:
     """(key, frame, rms) of centred frames: the clip has half a frame of zeros around it."""
     half = length // 2
     zeros = F.array_repeat(F.lit(0.0), half)
-    c = clips.where(F.size(data) > 0).select(key, F.concat(zeros, F.transform(data, lambda x: x.cast("double")), zeros).alias("__d"), F.size(data).alias("__n"))
-    c = c.select(key, "__d", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") + 2 * half - length) / hop).cast("int"))).alias("frame"))
-    return c.select(key, "frame", rms(F.slice("__d", F.col("frame") * hop + 1, F.lit(length))).alias("rms"))
+    padded = F.concat(zeros, F.transform(data, lambda x: x.cast("double")), zeros)
+    levels = let(padded, lambda d: F.transform(F.sequence(F.lit(0), F.floor((F.size(d) - length) / hop).cast("int")), lambda i: rms(F.slice(d, i * hop + 1, F.lit(length)))))
+    return clips.where(F.size(data) > 0).select(key, F.posexplode(levels).alias("frame", "rms"))  # numbers, never the clip once a frame
 
 
 def silent_intervals(frame_rows: DataFrame, clips: DataFrame, key: str, hop: int, rate: int, duration: str, db: float = -42.0, least: int = 10) -> DataFrame:

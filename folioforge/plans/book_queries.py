@@ -71,10 +71,10 @@ def multi_sentence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Two of three sentences, with what stands between them, in quotes.
-_IN_QUOTES = r"(\p{Lu}[^“”\"\n.!?]*[.!?] \p{Lu}[^“”\"\n.!?]*[.!?])( \p{Lu}[^“”\"\n.!?]*[.!?])"
+_IN_QUOTES = r'(\p{Lu}[^“”"\n.!?]*[.!?] \p{Lu}[^“”"\n.!?]*[.!?])( \p{Lu}[^“”"\n.!?]*[.!?])'
 
 
-@register("quoted_sentences", PHRASES_SQL.replace("FROM documents", rf"FROM (SELECT doc_id, lang, regexp_replace(text, '{_IN_QUOTES}', CASE WHEN doc_id % 2 = 0 THEN '“\1”\2' ELSE '\"\1\"' || chr(10) || '\2' END, 'g') AS text FROM documents)") + "SELECT doc_id, s, sha256(t) AS t FROM sentence")
+@register("quoted_sentences", PHRASES_SQL.replace("FROM documents", rf"FROM (SELECT doc_id, lang, regexp_replace(text, '{_IN_QUOTES}', CASE WHEN doc_id % 2 = 0 THEN '“\1”\2' ELSE chr(34) || '\1' || chr(34) || chr(10) || '\2' END, 'g') AS text FROM documents)") + "SELECT doc_id, s, sha256(t) AS t FROM sentence")
 def quoted_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of documents put in quotes: beside others they stay whole, on a line of their own they are told apart."""
     text = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", _IN_QUOTES, "“$1”$2")).otherwise(F.regexp_replace("text", _IN_QUOTES, '"$1"\n$2'))
@@ -86,8 +86,7 @@ def quoted_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dialog_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts cut at dialog, every third sentence of a document put in quotes (held against brute force)."""
     d = documents(spark, sf_dir).select("doc_id", "lang", F.regexp_replace("text", r"(\p{Lu}[^.!?\n]*)([.!?]) (?=\p{Lu}\p{Ll}+ )", "“$1,” $2").alias("text"))
-    g = seg.grouped(seg.phrase_arrays(d, 40, language="lang"), "normal", 40)
-    out = dg.dialog_arrays(g.join(d.select("doc_id", "lang"), "doc_id"))
+    out = dg.dialog_arrays(seg.grouped(seg.phrase_arrays(d, 40, language="lang", keep=["lang"]), "normal", 40))
     return out.select("doc_id", F.col("group_index").cast("long").alias("group_index"), F.col("part_index").cast("long").alias("part_index"), F.sha2("text", 256).alias("text"), "reason", "voice")
 
 

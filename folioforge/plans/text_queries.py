@@ -17,7 +17,9 @@ PUNC = tx.regex_class(tx.PUNCTUATION).replace("'", "''")
 
 def _ends_sql(column: str) -> str:
     """SQL for the cuts that abbreviations, initials and small letters take back."""
-    kept = lambda x: rf"regexp_replace({column}, '((?:^|[^\p{{L}}])(?:{'|'.join(seg.ABBREVIATIONS[x])}|\p{{Lu}})\.[ \t]+)' || chr(1), '\1', 'g')"
+    # an initial takes the sign before it, so of two in a row the second is found in a second pass
+    once = lambda x, c: rf"regexp_replace({c}, '((?:^|[^\p{{L}}])(?:{'|'.join(seg.ABBREVIATIONS[x])}|\p{{Lu}})\.[ \t]+)' || chr(1), '\1', 'g')"
+    kept = lambda x: once(x, once(x, column))
     cases = " ".join(f"WHEN '{x}' THEN {kept(x)}" for x in seg.ABBREVIATIONS if x != "en")
     return rf"regexp_replace(CASE lang {cases} ELSE {kept('en')} END, '([.…][\"”’)]*[ \t]+)' || chr(1) || '(\p{{Ll}})', '\1\2', 'g')"
 

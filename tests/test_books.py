@@ -3,14 +3,17 @@
 import itertools
 import json
 import random
+import time
+import unicodedata
 from difflib import SequenceMatcher
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from folioforge import queries
 from folioforge.functions import contracts, names, numbers, phonetics, text
-from folioforge.operators import alignment, dialog, lexicon, prompts, segmentation
+from folioforge.operators import alignment, books, catalog, dialog, lexicon, pages, prompts, segmentation
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,6 +101,114 @@ def test_dialog(spark):
     assert "".join(t for t, _, _ in said(spark, "A “b c d e” f. “Open it is never closed. Then “So it is.” End.")) == "A “b c d e” f. “Open it is never closed. Then “So it is.” End."
 
 
+def test_sentences_in_quotes(spark):
+    cut = lambda t, lang="en": spark.createDataFrame([(t, lang)], "t string, l string").select(segmentation.sentences(F.col("t"), F.col("l")).alias("s")).first().s
+    cases = {
+        "“Come in. Sit down.” He left.": ["“Come in. ", "Sit down.” ", "He left."],
+        "“Come in. Sit down. Now!”\nHe left.": ["“Come in. ", "Sit down. ", "Now!”\n", "He left."],
+        '  "Mr. Hill came. He sat. . . It rained."  ': ['  "Mr. Hill came. ', "He sat. . . ", 'It rained."  '],
+        'She said "Go. Run." and went. Then "a lone quote. Stays': ['She said "Go. Run." and went. ', 'Then "a lone quote. ', "Stays"],
+        "“": ["“"], "“”": ["“”"], "": [], "A. B": ["A. B"],
+    }
+    for t, want in cases.items():
+        assert (cut(t) if t else []) == want and segmentation.split_sentences(t) == want, t
+    assert cut("Um 3 Uhr bzw. Vier. Gut.", "de") == ["Um 3 Uhr bzw. Vier. ", "Gut."] and cut("Um bzw. Vier.", "en") == ["Um bzw. ", "Vier."]
+    assert cut("J. R. R. T. Poe left. So.") == ["J. R. R. T. Poe left. ", "So."]
+    assert segmentation.split_sentences("La Sra. Paz vino. Ya.", "es") == ["La Sra. Paz vino. ", "Ya."]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text <> ''").select("lang", text.clean_line_ends(F.col("text")).alias("t"))
+    for r in docs.select("lang", "t", segmentation.sentences(F.col("t"), F.col("lang")).alias("s")).collect():
+        assert segmentation.split_sentences(r.t, r.lang) == list(r.s)
+
+
+def dialog_by_hand(t, groups):
+    """Voice and quote ends of a text of one language (en), sign by sign; groups: (text, reason) of the phrases of each group."""
+    flat, ends, at = [], [], 0
+    for g in groups:
+        for x, reason in g:
+            at += len(x)
+            flat.append((at, reason))
+        ends.append(at)
+    group_of = lambda k: sum(e <= k for e in ends)
+    pairs, at = [], 0
+    for line in t.splitlines(keepends=True):
+        pairs += [(at + i, at + j, line[:i].rstrip()[-1:]) for i, j in dialog.line_pairs(line.rstrip("\r\n"))]
+        at += len(line)
+    taken = []
+    for i, j, before in sorted(pairs, key=lambda p: (p[0], -p[1])):
+        content = t[i + 1 : j]
+        letters = [c for c in content if c.isalnum()]
+        spoken = [w for w in content.split() if any(c.isalnum() for c in w)]
+        if letters and (letters[0].isupper() or len(spoken) > 3 or group_of(i) != group_of(j) or before in ("", ",", ":", "—", "–") or content.lstrip()[:1] in ("—", "–") or "?" in content or "!" in content):
+            if not any(a < i and j < b for a, b, _ in taken):
+                stop = j + 1
+                while stop < ends[group_of(j)] and unicodedata.category(t[stop]).startswith("P") and t[stop] not in '"“”':
+                    stop += 1
+                while stop < ends[group_of(j)] and t[stop] in " \t\n\r\x0b\x0c":
+                    stop += 1
+                taken.append((i, j, stop))
+    cuts = sorted({c for i, _, stop in taken for c in (i, stop)})
+    out, begin = [], 0
+    for g, end in enumerate(ends):
+        edges = [begin, *[c for c in cuts if begin < c < end], end]
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            after = t[b : b + 1000]
+            said = any(stop == b for _, _, stop in taken) and (bool(regex.match(r"\s*\p{Ll}", after)) or bool(regex.match(rf"\s*\p{{Lu}}\S*[ \t]+(?:{'|'.join(dialog.ATTRIBUTION_VERBS)})(?!\p{{L}})", after, regex.I)) and bool(regex.match(r"\s*\p{Lu}", after)))
+            reason = "isqe" if said else dict(flat).get(b, "is")
+            out.append((g, k, t[a:b], reason, 1 if any(i <= a and b <= stop for i, _, stop in taken) else -1))
+        begin = end
+    return out
+
+
+def test_dialog_against_brute_force(spark):
+    rng = random.Random(9)
+    bits = ["“Come in,", '"Go!', "he said. ", "Anna said again. ", "the cat sat", "Rain fell. ", "”", '"', " ", ", ", ".\n", "\n\n", "“Who?” ", "“a b” ", '"So it was here now." ', "– ", "and then. "]
+    docs = [(k, "en", "".join(rng.choice(bits) for _ in range(rng.randint(5, 60)))) for k in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, lang string, text string")
+    g = segmentation.grouped(segmentation.phrase_arrays(df, 40, keep=["lang"]), "normal", 40)
+    want = {}
+    for r in g.collect():
+        groups = [[(p.text, p.reason) for p in x] for x in r.groups]
+        want[r.doc_id] = dialog_by_hand("".join(t for x in groups for t, _ in x), groups)
+    got = {}
+    for r in dialog.dialog_arrays(g).orderBy("doc_id", "group_index", "part_index").collect():
+        got.setdefault(r.doc_id, []).append((r.group_index, r.part_index, r.text, r.reason, r.voice))
+    assert got == want and any(x[4] == 1 for v in want.values() for x in v) and any(x[3] == "isqe" for v in want.values() for x in v)
+
+
+def test_very_long_texts(spark):
+    one = " ".join(f"Word{k % 97} goes here, then there." if k % 3 else "“Come here now,” she said." for k in range(40_000))
+    df = spark.createDataFrame([(1, "en", one)], "doc_id long, lang string, text string")
+    began = time.time()
+    g = segmentation.grouped(segmentation.phrase_arrays(df, 40, keep=["lang"]), "normal", 40)
+    assert g.select(F.size("groups")).first()[0] > 20_000 and time.time() - began < 60
+    began = time.time()
+    assert dialog.dialog_arrays(g).where("voice = 1").count() > 10_000 and time.time() - began < 90
+    page = "<script>" * 20_000 + "<p>Text</p></nav>" + "<nav>x</nav>end"
+    began = time.time()
+    shown = spark.createDataFrame([(page,), ("<nav>a<script>b</script>c</nav>d<script>e",), ("<NAV>a</nav><nav>b",)], "h string").select(pages.preview(F.col("h")).alias("t")).collect()
+    assert shown[0].t.endswith("end") and "Text" in shown[0].t and [r.t for r in shown[1:]] == ["d e", "b"] and time.time() - began < 20
+
+
+def test_choices_and_lists(spark):
+    v = spark.range(1).select(catalog.voice_pairs(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("x"))).alias("p")).first().p
+    assert [tuple(x) for x in v] == [("a", "x"), ("b", "")]
+    tags = spark.createDataFrame([("m1",), (" m1",), ("m2",), ("",), (None,)], "t string")
+    assert sorted(r.tag for r in catalog.known_tags(tags, "t").collect()) == ["m1", "m2"]
+    lines = spark.createDataFrame([("b", 0, 0, 5), ("b", 0, 1, 5), ("b", 1, 2, 30)], "book string, section int, idx int, n_words int")
+    takes = spark.createDataFrame([(0, 0), (0, 9), (2, 1), (2, -1)], "idx int, errors int")
+    c = catalog.line_classes(lines, takes, "idx", "errors", "n_words", "moderate")
+    assert {r.idx: (r.generated, r.with_errors, r.failed) for r in c.collect()} == {0: (True, False, True), 1: (False, False, False), 2: (True, True, False)}
+    shown, headings = catalog.visible_lines(c, "failed", "book", "section")
+    assert [r.idx for r in shown.collect()] == [0] and [(r.section, r.n_visible) for r in headings.collect()] == [(0, 1)] and catalog.visible_lines(c, "all", "book", "section")[0].count() == 3
+    rules = [("text", F.col("n") > 0, "no text"), ("voice", F.col("voice").isNotNull(), "no voice")]
+    s = spark.createDataFrame([("a", 1, "v"), ("b", 0, None), ("c", None, "v")], "k string, n int, voice string")
+    assert sorted((r.k, r.position, r.part) for r in catalog.missing_settings(s, "k", rules).collect()) == [("b", 0, "text"), ("b", 1, "voice"), ("c", 0, "text")]
+    flat = spark.createDataFrame([("b", i, [(f"g{i}",)]) for i in range(5)], "book string, group_index int, phrases array<struct<text string>>".replace("text string", "text: string"))
+    starts = spark.createDataFrame([("b", 0, 0, "One"), ("b", 1, 2, "Two"), ("b", 2, 5, "End"), ("b", 3, 9, "Gone")], "book string, ord int, start int, title string")
+    out = [(r.section, r.title, r.start_index, r.end_index, len(r.groups)) for r in books.sectioned(flat, starts).orderBy("section").collect()]
+    assert out == [(0, "One", 0, 2, 2), (1, "Two", 2, 5, 3), (2, "End", 5, 5, 0)]
+
+
 def test_normal_forms(spark):
     rows = ["Ninety-nine ‘red’ ﬁsh… don't STOP! 👍 it's three", "Straße", "", "  "]
     df = spark.createDataFrame([(t,) for t in rows], "t string")
@@ -146,9 +257,13 @@ def test_word_errors(spark):
     for _ in range(60):
         s, t = ([rng.choice("abcd") for _ in range(rng.randint(0, 5))] for _ in range(2))
         uncommon = {"d"} if rng.random() < 0.5 else set()
-        steps = alignment.align_words(s, t, uncommon, lambda a, b: False)
+        steps = alignment.align_words(s, t, uncommon)
         assert sum(k in ("substitute", "delete", "insert") for k, _, _ in steps) == least_cost(s, t, uncommon)
         assert " ".join(a for _, a, _ in steps if a != "-").split() == s and " ".join(b for _, _, b in steps if b != "-").split() == t
+    long = [rng.choice("abcdefgh") for _ in range(3000)]
+    heard = [w for k, w in enumerate(long) if k % 50]
+    assert sum(k != "match" for k, _, _ in alignment.align_words(long, heard, set())) == 60
+    assert [k for k, _, _ in alignment.align_words(["one", "wise"], ["won", "whys"], set(), phonetics.primary_code)] == ["homophone", "homophone"]
     df = spark.createDataFrame([("the knight rode on", "the night rode"), ("a b c", "a x b c"), ("a b", "a y"), ("", "u"), ("zyx two", "one more two")], "s string, t string")
     e = df.select(alignment.word_errors(alignment.word_alignment(F.col("s"), F.col("t"), "en", F.array(F.lit("zyx")))).alias("e"), alignment.rendered(alignment.word_alignment(F.col("s"), F.col("t"), "en")).alias("r")).collect()
     assert [r.e for r in e] == [["d:on"], ["i:x"], ["s:b/y"], ["i:u"], []] and e[0].r == "the knight rode [-on-]"
