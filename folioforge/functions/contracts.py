@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from folioforge.functions.text import let
 from folioforge.operators.segmentation import REASONS, STRATEGIES
 
 #: Names in the formats, versions and reasons for which a clip is invalid.
@@ -273,7 +274,7 @@ def transferred(v: Column, fields: list[str]) -> Column:
 
 def fnv1a(text: Column) -> Column:
     """FNV-1a of 32 bits over UTF-16 units, as hexadecimal without leading zeros."""
-    units = F.transform(F.sequence(F.lit(1), F.octet_length(F.encode(text, "UTF-16BE")), F.lit(2)), lambda i: F.conv(F.hex(F.substring(F.encode(text, "UTF-16BE"), i, F.lit(2))), 16, 10).cast("long"))
+    units = let(F.encode(text, "UTF-16BE"), lambda b: F.transform(F.sequence(F.lit(1), F.octet_length(b), F.lit(2)), lambda i: F.conv(F.hex(F.substring(b, i, F.lit(2))), 16, 10).cast("long")))
     mixed = F.aggregate(units, F.lit(2166136261), lambda h, u: ((h.bitwiseXOR(u)) * 403 + F.shiftleft((h.bitwiseXOR(u)), 24)).bitwiseAND(F.lit(0xFFFFFFFF)))
     return F.lower(F.hex(F.when(F.length(text) > 0, mixed).otherwise(F.lit(2166136261))))
 

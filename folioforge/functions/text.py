@@ -39,8 +39,7 @@ def settled(value: Column) -> Column:
 def clean_line_ends(c: Column) -> Column:
     """CRLF and CR to LF, no blanks before LF."""
     lines = F.split(F.regexp_replace(c, r"\r\n?", "\n"), "\n")
-    last = F.size(lines) - 1
-    return F.array_join(F.transform(lines, lambda x, i: F.when(i < last, F.rtrim(x, F.lit(" \t"))).otherwise(x)), "\n")
+    return F.array_join(let(lines, lambda v: F.transform(v, lambda x, i: F.when(i < F.size(v) - 1, F.rtrim(x, F.lit(" \t"))).otherwise(x))), "\n")
 
 
 def collapse_space(c: Column) -> Column:
@@ -154,11 +153,16 @@ def prompt_form(c: Column, spell: bool = True, un_caps: bool = False) -> Column:
 
 def lower_opening(c: Column, least: int = 3) -> Column:
     """If the first ``least`` words with letters are in capitals, all words before one with a small letter become small."""
-    words = words_with_space(c)
     small = lambda x: F.rlike(x, F.lit(r"\p{Ll}"))
-    first = F.coalesce(F.nullif(F.array_position(F.transform(words, small), True), F.lit(0)) - 1, F.size(words).cast("long"))
-    capitals = F.size(F.filter(F.slice(words, 1, first.cast("int")), lambda x: F.rlike(x, F.lit(r"\p{L}"))))
-    return F.when((capitals < least) | (F.size(words) == 0), c).otherwise(F.array_join(F.transform(words, lambda x, i: F.when(i < first, F.lower(x)).otherwise(x)), ""))
+
+    def lowered(words: Column, first: Column) -> Column:
+        opening = F.slice(words, F.lit(1), first)
+        capitals = F.size(F.filter(opening, lambda x: F.rlike(x, F.lit(r"\p{L}"))))
+        rest = F.array_join(F.slice(words, first + 1, F.size(words)), "")
+        return F.when((capitals < least) | (F.size(words) == 0), c).otherwise(F.concat(F.lower(F.array_join(opening, "")), rest))
+
+    first = lambda words: F.coalesce(F.nullif(F.array_position(F.transform(words, small), True), F.lit(0)) - 1, F.size(words).cast("long")).cast("int")
+    return let(words_with_space(c), lambda w: let(first(w), lambda k: lowered(w, k)))
 
 
 def replaced_in_order(c: Column, pairs: list[tuple[str, str]]) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioforge.functions.text import let
+
 #: Paragraphs and words of a window.
 WINDOW_PARAGRAPHS, WINDOW_WORDS = 3, 160
 
@@ -55,18 +57,18 @@ def speaker_chunks(text: Column, turns: int = 1) -> Column:
     starts = lambda x: x.startswith("[SPEAKER") | x.startswith("<|speaker_id_start|>")
     marked = F.array_join(F.transform(lines, lambda x: F.concat(F.when(starts(x), "\u0001").otherwise(""), x)), "\n")
     found = F.filter(F.transform(F.split(marked, "\u0001"), lambda x: F.trim(x, F.lit(" \n"))), lambda x: x != "")
-    return F.when(F.size(found) == 0, found).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / turns).cast("int")), lambda i: F.array_join(F.slice(found, i * turns + 1, turns), "\n")))
+    chunks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / turns).cast("int")), lambda i: F.array_join(F.slice(v, i * turns + 1, turns), "\n"))
+    return let(found, lambda v: F.when(F.size(v) == 0, v).otherwise(chunks(v)))
 
 
 def word_chunks(text: Column, most: int) -> Column:
     """A text's paragraphs in chunks of so many words; the last one of a paragraph ends in its blank line."""
 
-    def of(paragraph: Column) -> Column:
-        words = F.split(paragraph, " ")
+    def of(words: Column) -> Column:
         last = F.floor((F.size(words) - 1) / most).cast("int")
         return F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(F.array_join(F.slice(words, i * most + 1, most), " "), F.when(i == last, "\n\n").otherwise("")))
 
-    return F.flatten(F.transform(F.split(text, "\n\n"), of))
+    return F.flatten(F.transform(F.split(text, "\n\n"), lambda p: let(F.split(p, " "), of)))
 
 
 def without_markup(text: Column) -> Column:

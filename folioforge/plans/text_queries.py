@@ -32,10 +32,10 @@ WITH clean AS (
 ), held AS (
   SELECT doc_id, lang, CASE WHEN regexp_matches(t, '[“"]') THEN array_to_string(list_transform(regexp_extract_all(t, '“[^”\n]*”|"[^"\n]*"|[^“"]+|[“"]'),
     lambda x: CASE WHEN len(x) > 1 AND (starts_with(x, '“') OR starts_with(x, '"')) THEN regexp_replace(x, '([.!?…][’)]*)([ \t\r\f]+)', '\1' || chr(2) || '\2', 'g') ELSE x END), '') ELSE t END AS t FROM clean
-), cut AS (
+), first_cuts AS (
   SELECT doc_id, lang, regexp_replace(t, '([.!?…]["”’)]*[ \t\n\r\f]+|\n[ \t\n\r\f]*)', '\1' || chr(1), 'g') AS m FROM held
 ), marked AS (
-  SELECT doc_id, lang, ENDS AS t FROM cut
+  SELECT doc_id, lang, ENDS AS t FROM first_cuts
 ), raw AS (
   SELECT doc_id, lang, unnest(p) AS piece, unnest(range(len(p))) AS i FROM (SELECT doc_id, lang, list_filter(string_split(t, chr(1)), lambda x: x <> '') AS p FROM marked)
 ), numbered AS (

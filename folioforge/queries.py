@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioforge.plans import audio_queries, book_queries, catalog_queries, import_queries, player_queries, stream_queries, text_queries, timeline_queries, word_queries  # noqa: F401  they register themselves
+from folioforge.plans import audio_queries, book_queries, catalog_queries, file_queries, import_queries, player_queries, stream_queries, text_queries, timeline_queries, word_queries  # noqa: F401  they register themselves
 from folioforge.registry import QUERIES, SQL, Query
 
 

@@ -427,6 +427,7 @@ class FileWriter(DataSourceWriter):
         file_system, _ = opened(self.folder)
         for m in messages:
             for hidden, final in m.files if m else []:
+                file_system.create_dir(final.rsplit("/", 1)[0], recursive=True)
                 file_system.move(hidden, final)
 
     def abort(self, messages: list[_Written | None]) -> None:
@@ -437,7 +438,7 @@ class FileWriter(DataSourceWriter):
 
 
 class NamedFiles(DataSource):
-    """A sink of rows (file, content): a file each in the folder ``path``."""
+    """A sink of rows (file, content): a file each in the folder ``path``, or in folders below it that its name has."""
 
     @classmethod
     def name(cls) -> str:
