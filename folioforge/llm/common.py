@@ -137,20 +137,3 @@ class Ranges:
 SYMBOL = mix(np.arange(256, dtype=np.uint64), 7)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
-
-
-def window_minima(h: np.ndarray, w: int) -> np.ndarray:
-    """For each i, the position of the least of h[i:i+w], the leftmost of equals."""
-    n = len(h) - w + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    best, at = h.copy(), np.arange(len(h))
-    span = 1
-    while span < w:  # doubling: best[i] covers h[i:i+span]
-        step = min(span, w - span)
-        left, right = best[:-step], best[step:]
-        take = right < left
-        at = np.where(take, at[step:], at[: len(at) - step])
-        best = np.where(take, right, left)
-        span += step
-    return at[:n]

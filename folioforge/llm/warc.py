@@ -2,8 +2,8 @@
 
 Writing: records are range-sorted by id, each task streams its range into gzip members (one per record) and rolls
 a file when its compressed size passes ``roll_bytes``. Headers are made anew, with SHA-256 digests of block and
-payload. A file is written under a temporary name that no other attempt uses and renamed when it is whole; then
-its line enters the manifest, a Parquet table that Spark commits after all tasks. A reader takes what the
+payload. A file is written under a temporary name that no other attempt uses and renamed when it is whole, to a name
+with its content's digest, so that no attempt ever removes or changes another one's file; then its line enters the manifest, a Parquet table that Spark commits after all tasks. A reader takes what the
 manifest names, so files of lost or repeated attempts don't count, and a repeated task writes the same bytes.
 
 Of records with equal payloads of at least ``revisit_bytes``, the one with the smallest id is a ``response`` and
@@ -18,7 +18,6 @@ Memory: one record, one compressed member.
 
 from __future__ import annotations
 
-import contextlib
 import hashlib
 import re
 import uuid
@@ -78,7 +77,7 @@ def write_warc(records: DataFrame, folder: str, *, partitions: int, roll_bytes:
     marks = revisits(records, revisit_bytes).select("id", F.col("digest").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
     rows = records.withColumn("refers_to", F.lit(None).cast("long")).unionByName(marks)
     # a mark has no payload, and its digest in place of a url; it sorts before the records of its id
-    rows = rows.repartitionByRange(partitions, "id").sortWithinPartitions("id", F.col("payload").isNotNull(), "url", F.length("payload"))
+    rows = rows.repartitionByRange(partitions, "id").sortWithinPartitions("id", F.col("payload").isNotNull(), "url", F.sha2("payload", 256))
 
     def write(batches):
         task = TaskContext.get()
@@ -115,8 +114,7 @@ class _Shard:
 
     def add(self, i: int | None, record: bytes) -> None:
         if self.file is None:
-            self.name = f"part-{self.shard:06d}-{len(self.lines):04d}.warc.gz"
-            self.temporary = f"{self.base}/.{self.name}.{self.attempt}.{uuid.uuid4().hex}"
+            self.temporary = f"{self.base}/.part-{self.shard:06d}-{len(self.lines):04d}.{self.attempt}.{uuid.uuid4().hex}"
             self.file, self.size, self.records, self.first, self.digest = self.fs.open_output_stream(self.temporary, compression=None), 0, 0, i, hashlib.sha256()
         gz = zlib.compressobj(self.level, zlib.DEFLATED, 31)
         member = gz.compress(record) + gz.flush()
@@ -130,12 +128,19 @@ class _Shard:
         if self.file is None:
             return
         self.file.close()
-        final = f"{self.base}/{self.name}"
-        with contextlib.suppress(FileNotFoundError, OSError):
-            if self.fs.get_file_info(final).type.name != "NotFound":
-                self.fs.delete_file(final)  # of an attempt that was lost before its manifest line
-        self.fs.move(self.temporary, final)
-        self.lines.append({"shard": self.shard, "seq": len(self.lines), "file": self.name, "file_bytes": self.size, "records": self.records, "first_id": self.first, "last_id": self.last, "sha256": self.digest.hexdigest()})
+        # the name holds the content's digest: what an earlier or a late attempt wrote under it is the same file, and stays
+        name = f"part-{self.shard:06d}-{len(self.lines):04d}-{self.digest.hexdigest()[:16]}.warc.gz"
+        there = lambda: self.fs.get_file_info(f"{self.base}/{name}").type.name != "NotFound"
+        if there():
+            self.fs.delete_file(self.temporary)
+        else:
+            try:
+                self.fs.move(self.temporary, f"{self.base}/{name}")
+            except OSError:  # another attempt came first
+                if not there():
+                    raise
+                self.fs.delete_file(self.temporary)
+        self.lines.append({"shard": self.shard, "seq": len(self.lines), "file": name, "file_bytes": self.size, "records": self.records, "first_id": self.first, "last_id": self.last, "sha256": self.digest.hexdigest()})
         self.file = None
 
 

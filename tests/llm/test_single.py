@@ -70,6 +70,20 @@ def test_archive_is_the_same_twice(spark, tmp_path):
     assert a == b and a
 
 
+def test_archive_of_ties_and_of_a_late_attempt(spark, tmp_path):
+    rows = [(1, "http://a", f"page {k:03} " * 20) for k in range(40)]  # equal in id, url and length
+    found = []
+    for x, parts in (("a", 1), ("b", 3)):
+        df = spark.createDataFrame(rows if x == "a" else rows[::-1], "page_id long, url string, html string").repartition(parts)
+        folder, manifest = warc.archive_pages(df, folder=f"file://{tmp_path}/{x}", roll_bytes=1500)
+        found.append([(r.file, r.sha256) for r in manifest.orderBy("shard", "seq").collect()])
+    assert found[0] == found[1] and len(found[0]) > 1
+    before = {f.name: f.read_bytes() for f in (tmp_path / "a").glob("*.gz")}
+    warc.archive_pages(df, folder=f"file://{tmp_path}/a", roll_bytes=1500)  # all tasks once more, in the same folder
+    assert {f.name: f.read_bytes() for f in (tmp_path / "a").glob("*.gz")} == before
+    assert warc.read_warc(spark, f"file://{tmp_path}/a").where("block_ok").count() == len(rows)
+
+
 # ------------------------------------------------------------------ tokens
 
 
