@@ -13,6 +13,7 @@ from folioforge.operators import alignment as al
 from folioforge.operators import catalog as cat
 from folioforge.operators import dialog as dg
 from folioforge.operators import segmentation as seg
+from folioforge.operators import timeline as tl
 from folioforge.plans.text_queries import PHRASES_SQL, documents
 from folioforge.registry import register, table
 
@@ -112,6 +113,15 @@ def presentable_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", "g", tx.collapse_space(text).alias("t"), F.element_at("p", -1)["reason"].alias("reason"), F.array_max(F.transform("p", lambda x: x["n_words"])).cast("long").alias("most"))
 
 
+@register("pause_totals", CHAIN_SQL + """
+SELECT doc_id, round(sum(CASE reason WHEN 'w' THEN 0.1 WHEN 'is' THEN 0.5 WHEN 's' THEN 0.9 WHEN 'p' THEN 1.2 ELSE 2.0 END), 3) AS usual, round(sum(CASE reason WHEN 'w' THEN 0.1 WHEN 'is' THEN 0.3 WHEN 's' THEN 0.6 WHEN 'p' THEN 0.9 ELSE 1.5 END), 3) AS short FROM chain GROUP BY doc_id
+""")
+def pause_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds of pause in a told text, by each of the two policies."""
+    p = seg.segmented(documents(spark, sf_dir), 1_000_000, language="lang")
+    return p.groupBy("doc_id").agg(F.round(F.sum(tl.pause_of(F.col("reason"))), 3).alias("usual"), F.round(F.sum(tl.pause_of(F.col("reason"), tl.SHORT_PAUSES)), 3).alias("short"))
+
+
 # ---------------------------------------------------------------- word errors
 
 
