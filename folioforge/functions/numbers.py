@@ -166,7 +166,7 @@ def english_digits(c: Column) -> Column:
 
 
 def spanish_digits(c: Column) -> Column:
-    """Spanish cardinals from 0 to 9999 to digits."""
+    """Spanish cardinals from 1 to 9999 to digits; zero stays a word."""
     return _spanish(c)
 
 

@@ -32,7 +32,7 @@ def spanish(n):
 
 
 def test_spanish_numbers_up_to_ten_thousand():
-    assert all(numbers.spanish_value(spanish(n).split()) == n for n in range(10_000))
+    assert all(numbers.spanish_value(spanish(n).split()) == n for n in range(1, 10_000)) and numbers.spanish_value(["cero"]) is None
 
 
 def test_spanish_numbers_of_the_query(spark):
