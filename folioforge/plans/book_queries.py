@@ -59,15 +59,41 @@ def paragraph_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digested(spark, sf_dir, "max_len", 1_000_000)
 
 
-@register("normal_groups")
+def _merged_groups_sql(short: int, most: int) -> str:
+    """Long phrases split, groups by sentence, short ones merged back and then forth, and split again: a recursion for each fold."""
+    parts = """
+, worded AS (SELECT *, regexp_extract_all(t, '[^BLANK]+[BLANK]*') AS ws, greatest(CAST(ceil(n_words / MOST.0) AS BIGINT), 1) AS m FROM phrases), strides AS (SELECT *, greatest(CAST(ceil(n_words / CAST(m AS DOUBLE)) AS BIGINT), 1) AS stride, unnest(range(m)) AS part FROM worded),
+parts AS (SELECT doc_id, lang, s, k * 100000 + part AS k, array_to_string(ws[part * stride + 1:part * stride + stride], '') AS t, n_words, CASE WHEN part < m - 1 THEN 'w' ELSE reason END AS reason FROM strides), lead AS ("""
+    chain = CHAIN_SQL.replace("WITH clean", "WITH RECURSIVE clean", 1).replace("\n, lead AS (", parts, 1).replace("n_words, reason FROM phrases)", "n_words, reason FROM parts)", 1)
+    return (chain + """
+, x AS MATERIALIZED (SELECT doc_id, position, t, CASE reason WHEN 'w' THEN 1 WHEN 'isqe' THEN 2 WHEN 'is' THEN 3 WHEN 's' THEN 4 WHEN 'p' THEN 5 WHEN 'x' THEN 6 ELSE 7 END AS lv, len(regexp_extract_all(t, '[^BLANK]+')) AS n FROM chain),
+y AS (SELECT *, coalesce(sum(CASE WHEN lv >= 4 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM x),
+a AS MATERIALIZED (SELECT doc_id, g, count(*) AS c, sum(n) AS w, arg_max(lv, position) AS lv FROM y GROUP BY doc_id, g),
+back(doc_id, g, b, w, lv) AS (
+  SELECT doc_id, g, 0, w, lv FROM a WHERE g = 0 UNION ALL
+  SELECT a.doc_id, a.g, CASE WHEN a.c = 1 AND a.w <= SHORT AND k.lv < 5 AND k.w + a.w <= MOST THEN b ELSE b + 1 END, CASE WHEN a.c = 1 AND a.w <= SHORT AND k.lv < 5 AND k.w + a.w <= MOST THEN k.w + a.w ELSE a.w END, a.lv FROM back k JOIN a ON a.doc_id = k.doc_id AND a.g = k.g + 1
+), b AS MATERIALIZED (SELECT doc_id, b, c, w, lv, lead(w) OVER (PARTITION BY doc_id ORDER BY b) AS after FROM (SELECT k.doc_id, b, sum(a.c) AS c, sum(a.w) AS w, arg_max(a.lv, a.g) AS lv FROM back k JOIN a ON a.doc_id = k.doc_id AND a.g = k.g GROUP BY k.doc_id, b)),
+forth(doc_id, b, o, c, w, on_) AS (
+  SELECT doc_id, b, 0, c, w, coalesce(c = 1 AND w <= SHORT AND lv <= 4 AND after + w <= MOST, false) FROM b WHERE b = 0 UNION ALL
+  SELECT doc_id, b, o, c, w, coalesce(c = 1 AND w <= SHORT AND lv <= 4 AND after + w <= MOST, false) FROM (SELECT b.doc_id, b.b, CASE WHEN on_ THEN o ELSE o + 1 END AS o, CASE WHEN on_ THEN f.c + b.c ELSE b.c END AS c, CASE WHEN on_ THEN f.w + b.w ELSE b.w END AS w, b.lv, b.after FROM forth f JOIN b ON b.doc_id = f.doc_id AND b.b = f.b + 1)
+), z AS MATERIALIZED (SELECT y.doc_id, y.position, y.t, y.n, f.o FROM y JOIN back k ON k.doc_id = y.doc_id AND k.g = y.g JOIN forth f ON f.doc_id = k.doc_id AND f.b = k.b),
+cut(doc_id, position, o, cur, group_index) AS (
+  SELECT doc_id, position, o, n, 0 FROM z WHERE position = 0 UNION ALL
+  SELECT z.doc_id, z.position, z.o, CASE WHEN z.o <> c.o OR cur + n > MOST THEN n ELSE cur + n END, CASE WHEN z.o <> c.o OR cur + n > MOST THEN group_index + 1 ELSE group_index END FROM cut c JOIN z ON z.doc_id = c.doc_id AND z.position = c.position + 1
+)
+SELECT z.doc_id, CAST(group_index AS BIGINT) AS group_index, sha256(string_agg(t, '' ORDER BY z.position)) AS t, count(*) AS n_phrases FROM z JOIN cut ON cut.doc_id = z.doc_id AND cut.position = z.position GROUP BY z.doc_id, group_index
+""").replace("BLANK", tx.SPACE).replace("SHORT", str(short)).replace("MOST", str(most))
+
+
+@register("normal_groups", _merged_groups_sql(2, 40))
 def normal_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts of the normal strategy, 40 words at most (a fold; held against brute force)."""
+    """Prompts of the normal strategy, 40 words at most."""
     return _digested(spark, sf_dir, "normal", 40)
 
 
-@register("multi_sentence_groups")
+@register("multi_sentence_groups", _merged_groups_sql(9999, 40))
 def multi_sentence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts of several sentences, 40 words at most (a fold; held against brute force)."""
+    """Prompts of several sentences, 40 words at most."""
     return _digested(spark, sf_dir, "multi", 40)
 
 
@@ -357,9 +383,11 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", names.content_hash(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("digest"))
 
 
-@register("text_identities")
+@register("text_identities", """
+SELECT c_custkey, format('{:x}', list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(c_name, ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda h, u: xor(h, u) * 16777619 % 4294967296)) AS identity FROM customer
+""")
 def text_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FNV-1a identities of names (SQL lacks a fold of 32 bits; held against Python)."""
+    """FNV-1a identities of names."""
     return table(spark, sf_dir, "customer").select("c_custkey", ct.fnv1a(F.col("c_name")).alias("identity"))
 
 

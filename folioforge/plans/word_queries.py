@@ -171,7 +171,15 @@ def prompt_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.sha2(tx.prompt_form(F.coalesce("text", F.lit("")), spell=False), 256).alias("prompt"))
 
 
-@register("spelled_numbers")
+_SMALL = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+_TENS = "- - twenty thirty forty fifty sixty seventy eighty ninety".split()
+
+
+@register("spelled_numbers", """
+WITH o AS (SELECT o_orderkey, o_orderkey % 1200 AS v, o_orderkey % 1200 % 100 AS r FROM orders),
+w AS (SELECT o_orderkey, v, r, CASE WHEN r < 20 THEN SMALL[r + 1] ELSE TENS[r // 10 + 1] || CASE WHEN r % 10 > 0 THEN '-' || SMALL[r % 10 + 1] ELSE '' END END AS below FROM o)
+SELECT o_orderkey, CAST(v AS VARCHAR) AS n, CASE WHEN v > 999 THEN CAST(v AS VARCHAR) WHEN v < 100 THEN below ELSE SMALL[v // 100 + 1] || ' hundred' || CASE WHEN r > 0 THEN ' and ' || below ELSE '' END END AS words, CAST(v AS VARCHAR) AS digits FROM w
+""".replace("SMALL", str(_SMALL)).replace("TENS", str(_TENS)))
 def spelled_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small numbers of labels spelled, and back to digits."""
     n = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 1200).cast("string").alias("n"))
@@ -262,9 +270,14 @@ def paragraph_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "n", F.sha2(F.array_join(F.transform("p", lambda x: x["t"]), ""), 256).alias("whole"), F.sha2(F.array_join(F.transform("p", lambda x: x["c"]), "|"), 256).alias("cores"))
 
 
-@register("forward_windows")
+@register("forward_windows", PARAGRAPHS_SQL.replace("WITH p", "WITH RECURSIVE p", 1) + """
+, m AS MATERIALIZED (SELECT doc_id, i, n FROM r), fill(doc_id, i, w, k, n) AS (
+  SELECT doc_id, i, 0, 1, n FROM m WHERE i = 0 UNION ALL
+  SELECT m.doc_id, m.i, CASE WHEN k >= 3 OR f.n + m.n > 160 THEN w + 1 ELSE w END, CASE WHEN k >= 3 OR f.n + m.n > 160 THEN 1 ELSE k + 1 END, CASE WHEN k >= 3 OR f.n + m.n > 160 THEN m.n ELSE f.n + m.n END FROM fill f JOIN m ON m.doc_id = f.doc_id AND m.i = f.i + 1
+) SELECT doc_id, w AS "window", min(i) AS first, max(i) AS last, max(n) AS n_words FROM fill GROUP BY doc_id, w
+""")
 def forward_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs in windows of three and 160 words at most (a fold; held against brute force)."""
+    """Paragraphs in windows of three and 160 words at most."""
     return pr.forward_windows(paragraph_rows(spark, sf_dir), "doc_id", "i", "n")
 
 
