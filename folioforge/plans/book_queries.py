@@ -140,7 +140,7 @@ def presentable_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("pause_totals", CHAIN_SQL + """
-SELECT doc_id, round(sum(CASE reason WHEN 'w' THEN 0.1 WHEN 'is' THEN 0.5 WHEN 's' THEN 0.9 WHEN 'p' THEN 1.2 ELSE 2.0 END), 3) AS usual, round(sum(CASE reason WHEN 'w' THEN 0.1 WHEN 'is' THEN 0.3 WHEN 's' THEN 0.6 WHEN 'p' THEN 0.9 ELSE 1.5 END), 3) AS short FROM chain GROUP BY doc_id
+SELECT doc_id, CAST(sum(CASE reason WHEN 'w' THEN 0.1 WHEN 'is' THEN 0.5 WHEN 's' THEN 0.9 WHEN 'p' THEN 1.2 ELSE 2.0 END) AS DOUBLE) AS usual, CAST(sum(CASE reason WHEN 'w' THEN 0.1 WHEN 'is' THEN 0.3 WHEN 's' THEN 0.6 WHEN 'p' THEN 0.9 ELSE 1.5 END) AS DOUBLE) AS short FROM chain GROUP BY doc_id
 """)
 def pause_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds of pause in a told text, by each of the two policies."""
@@ -210,7 +210,7 @@ def clip_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 , w AS (SELECT doc_id, s AS line, string_split(trim(regexp_replace(regexp_replace(lower(t), '[^\p{L}\p{N}_BLANK]', '', 'g'), '[BLANK]+', ' ', 'g')), ' ') AS src FROM sentence),
 h AS (SELECT doc_id, line, src, list_concat(list_concat(['well', 'so'], src), ['uh', 'ok']) AS heard FROM w WHERE src <> ['']),
 f AS (SELECT doc_id, line, len(src) AS n, len(heard) AS m, list_filter(range(len(heard) - len(src) + 1), lambda i: heard[i + 1:i + len(src)] = src)[1] AS i FROM h)
-SELECT doc_id, line, CASE WHEN i > 0 THEN round(i * 0.5 - 0.05, 3) ELSE 0 END AS start, CASE WHEN i + n >= m THEN m * 0.5 ELSE round((i + n) * 0.5 - 0.05, 3) END AS "end" FROM f
+SELECT doc_id, line, CAST(CASE WHEN i > 0 THEN i * 0.5 - 0.05 ELSE 0 END AS DOUBLE) AS start, CAST(CASE WHEN i + n >= m THEN m * 0.5 ELSE (i + n) * 0.5 - 0.05 END AS DOUBLE) AS "end" FROM f
 """.replace("BLANK", tx.SPACE))
 def semantic_trims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where clips that say more than their line are cut: two words too many before and after."""
