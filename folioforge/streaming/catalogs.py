@@ -15,7 +15,8 @@ TAKES = ("file", "modified", "bytes", "index", "hash", "model", "voice", "errors
 def snapshot(spark: SparkSession, folder: str, models: list[str]) -> DataFrame:
     """(file, modified, bytes, index, hash, model, voice, errors) of the takes that a folder has now; other files are passed over."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    found = spark.read.format("binaryFile").schema(schema).option("pathGlobFilter", "*.flac").load(folder).where("length > 0")
+    # a file that goes between the listing and the reading is one that the folder has no more
+    found = spark.read.format("binaryFile").schema(schema).option("pathGlobFilter", "*.flac").option("ignoreMissingFiles", "true").load(folder).where("length > 0")
     f = found.select(file_name(F.col("path")).alias("file"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
     return f.withColumn("t", take_fields(F.col("file"), models)).where("t is not null").select("file", "modified", "bytes", "t.*").select(*TAKES)
 

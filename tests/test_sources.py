@@ -182,8 +182,12 @@ def test_a_catalog_loses_what_its_folder_loses(spark, tmp_path):
     q = catalogs.follow(spark, str(folder), live, ["m1"], str(tmp_path / "cp-live"))
     try:
         assert until(lambda: catalogs._versions(spark, live) and catalogs.current(spark, live).count() == 3, 90)
+        for k in (7, 8, 9):  # at any time of its work
+            (folder / name(k)).write_bytes(b"x")
+            time.sleep(0.4)
+            (folder / name(k)).unlink()
         (folder / name(1)).unlink()
-        assert until(lambda: catalogs.current(spark, live).count() == 2, 90)
+        assert until(lambda: q.exception() is not None or catalogs.current(spark, live).count() == 2, 90) and q.exception() is None, q.exception()
     finally:
         q.stop()
 
