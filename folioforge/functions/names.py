@@ -40,7 +40,7 @@ def take_fields(name: Column, models: list[str]) -> Column:
 def take_name(index: Column, digest: Column, model: Column, voice: Column, errors: Column, text: Column) -> Column:
     """The file name of a take; an error count of 0 has no tag."""
     return F.concat(
-        F.lit("["), F.lpad((index + 1).cast("string"), 5, "0"), F.lit("] ["), digest, F.lit("] ["), model, F.lit("] ["), voice, F.lit("] "),
+        F.lit("["), F.format_string("%05d", (index + 1).cast("long")), F.lit("] ["), digest, F.lit("] ["), model, F.lit("] ["), voice, F.lit("] "),
         F.when(errors > 0, F.concat(F.lit("["), errors.cast("string"), F.lit("] "))).otherwise(""), file_name_form(text), F.lit(".flac"),
     )
 
