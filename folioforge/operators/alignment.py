@@ -6,6 +6,7 @@ everything around them, thresholds, precedence and times, is column expressions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -289,19 +290,21 @@ def follow_transcript(books: DataFrame, key: str, phrases: str, words: str) -> D
     phrases: array<array<string>> by section, words: array<struct<word, start, end>>; the sections follow each other.
     """
 
-    @F.pandas_udf(TIMED)
-    def run(p: pd.Series, w: pd.Series) -> pd.Series:
-        out = []
-        for sections, heard in zip(p, w, strict=True):
-            rows, cursor, skip = [], 0, SKIP
-            heard = [(x["word"], x["start"], x["end"]) for x in heard]
-            for section in sections:
-                times, cursor, skip = follow(list(section), heard, cursor, skip)
-                rows += times
-            out.append([{"start": a, "end": b} for a, b in rows])
-        return pd.Series(out)
-
-    return books.select(key, run(F.col(phrases), F.col(words)).alias("times"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for sections, heard in zip(batch["p"], batch["w"], strict=True):
+                rows, cursor, skip = [], 0, SKIP
+                heard = [(x["word"], x["start"], x["end"]) for x in heard]
+                for section in sections:
+                    times, cursor, skip = follow(list(section), heard, cursor, skip)
+                    rows += times
+                out.append([{"start": a, "end": b} for a, b in rows])
+            yield pd.DataFrame({key: batch[key], "times": out})
+
+    # a step of its own: as an expression within an exploded array it would not be evaluated
+    b = books.select(key, F.col(phrases).alias("p"), F.col(words).alias("w"))
+    return b.mapInPandas(run, T.StructType([books.schema[key], T.StructField("times", TIMED)]))
 
 
 def stitched(chunks: DataFrame, key: str, order: str, words: str, tolerance: float = 0.01) -> DataFrame:
