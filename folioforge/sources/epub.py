@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from folioforge.operators import pages as pg
 from folioforge.sources.files import file_name
+from folioforge.sources.listing import found as found_files
 
 PARTS = "book string, kind string, ord int, item_id string, href string, properties string, title string, html string"
 
@@ -60,7 +61,7 @@ def parts(spark: SparkSession, folder: str) -> DataFrame:
                     rows = [("error", 0, None, None, None, f"{type(e).__name__}: {e}", None)]
                 yield pd.DataFrame([(book, *r) for r in rows], columns=["book", "kind", "ord", "item_id", "href", "properties", "title", "html"])
 
-    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(folder)
+    f = found_files(spark, folder, "*.epub")
     return f.select(file_name(F.col("path")).alias("book"), "content").mapInPandas(unpack, PARTS)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import contracts as ct
 from folioforge.functions.names import content_hash, take_fields
 from folioforge.sources.files import file_name, files
+from folioforge.sources.listing import found
 
 
 def catalog(spark: SparkSession, folder: str, lines: DataFrame, models: list[str]) -> DataFrame:
@@ -15,7 +16,7 @@ def catalog(spark: SparkSession, folder: str, lines: DataFrame, models: list[str
 
     Files must not be empty, their name must be a take's, and its digest that of the line's text.
     """
-    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.flac").load(folder).where("length > 0").select(file_name(F.col("path")).alias("file"))
+    f = found(spark, folder, "*.flac", content=False).select(file_name(F.col("path")).alias("file"))
     f = f.select("file", take_fields(F.col("file"), models).alias("t")).where("t is not null").select("file", "t.*").withColumn("hash", F.lower("hash"))
     present = lines.select(F.col("index").cast("int").alias("index"), content_hash(F.col("index").cast("long"), F.col("text")).alias("hash"))
     return f.join(present, ["index", "hash"], "left_semi")
@@ -35,7 +36,7 @@ def with_sidecars(takes: DataFrame, side: DataFrame) -> DataFrame:
 
 def projects(spark: SparkSession, folder: str) -> DataFrame:
     """(project, settings variant, book struct, error): each sub-folder's project.json with the text beside it."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(folder)
+    f = found(spark, folder, "*.json", recursive=True)
     f = f.select(F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("project"), file_name(F.col("path")).alias("file"), F.try_parse_json(F.decode("content", "UTF-8")).alias("v"))
     settings = f.where("file = 'project.json'").select("project", F.col("v").alias("settings"))
     text = f.where("file = 'project_text.json'").select("project", ct.book_error(F.col("v")).alias("error"), ct.book(F.col("v")).alias("book"))
