@@ -104,9 +104,10 @@ _IN_QUOTES = r'(\p{Lu}[^“”"\n.!?]*[.!?] \p{Lu}[^“”"\n.!?]*[.!?])( \p{Lu}
 @register("quoted_sentences", PHRASES_SQL.replace("FROM documents", rf"FROM (SELECT doc_id, lang, regexp_replace(text, '{_IN_QUOTES}', CASE WHEN doc_id % 2 = 0 THEN '“\1”\2' ELSE chr(34) || '\1' || chr(34) || chr(10) || '\2' END, 'g') AS text FROM documents)") + "SELECT doc_id, s, sha256(t) AS t FROM sentence")
 def quoted_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of documents put in quotes: beside others they stay whole, on a line of their own they are told apart."""
-    text = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", _IN_QUOTES, "“$1”$2")).otherwise(F.regexp_replace("text", _IN_QUOTES, '"$1"\n$2'))
-    d = documents(spark, sf_dir).where("text <> ''").select("doc_id", F.posexplode(seg.sentences(text, F.col("lang"))).alias("s", "t"))
-    return d.select("doc_id", F.col("s").cast("long").alias("s"), F.sha2("t", 256).alias("t"))
+    quoted = _IN_QUOTES.replace(r'[^“”"\n.!?]*', r'[ a-z[^“”"\n.!?]]*+')
+    text = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", quoted, "“$1”$2")).otherwise(F.regexp_replace("text", quoted, '"$1"\n$2'))
+    d = seg.sentence_rows(documents(spark, sf_dir).where("text <> ''"), text, F.col("lang"), ["doc_id"])
+    return d.select("doc_id", F.col("sentence_index").cast("long").alias("s"), F.sha2("sentence", 256).alias("t"))
 
 
 @register("dialog_groups")
@@ -153,8 +154,8 @@ def pause_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences as sources, and transcripts in which each seventh word is missing, each eleventh doubled and each thirteenth another."""
-    s = documents(spark, sf_dir).where("text <> ''").select("doc_id", "lang", F.posexplode(seg.sentences(F.col("text"), F.col("lang"))).alias("line", "sentence"))
-    s = s.select("doc_id", "lang", "line", tx.collapse_space(tx.light_form(F.col("sentence"))).alias("source")).where("source <> ''")
+    s = seg.sentence_rows(documents(spark, sf_dir).where("text <> ''"), F.col("text"), F.col("lang"), ["doc_id", "lang"])
+    s = s.select("doc_id", "lang", F.col("sentence_index").alias("line"), tx.settled(tx.collapse_space(tx.light_form(F.col("sentence")))).alias("source")).where("source <> ''")
     words = F.transform(F.split("source", " "), lambda w, i: F.when(i % 7 == 6, "").when(i % 11 == 10, F.concat(w, F.lit(" "), w)).when(i % 13 == 12, F.lit("other")).otherwise(w))
     return s.withColumn("transcript", F.array_join(F.filter(words, lambda w: w != ""), " "))
 
