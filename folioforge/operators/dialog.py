@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from bisect import bisect_right
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +25,13 @@ ATTRIBUTION_VERBS = (
 _QUOTES = "\"“”"
 PAIRS = ArrayType(StructType().add("open", IntegerType()).add("close", IntegerType()).add("stop", IntegerType()).add("content", StringType()).add("before", StringType()).add("across", BooleanType()).add("after", StringType()))
 PARTS = ArrayType(StructType().add("group_index", IntegerType()).add("part_index", IntegerType()).add("text", StringType()).add("phrase", IntegerType()).add("said", BooleanType()).add("inside", BooleanType()))
+#: The same as Arrow has them.
+_PAIRS = pa.list_(pa.struct([("open", pa.int32()), ("close", pa.int32()), ("stop", pa.int32()), ("content", pa.string()), ("before", pa.string()), ("across", pa.bool_()), ("after", pa.string())]))
+_PARTS = pa.list_(pa.struct([("group_index", pa.int32()), ("part_index", pa.int32()), ("text", pa.string()), ("phrase", pa.int32()), ("said", pa.bool_()), ("inside", pa.bool_())]))
 #: Signs after a quote that an attribution is looked for in.
 AFTER = 1000
+#: As much of it as an attribution can be told by: a word, and the next one as long as a verb and a sign more.
+_AHEAD = regex.compile(rf"[ \t-\r]*[^ \t-\r]*[ \t]*[^ \t-\r]{{0,{max(map(len, ATTRIBUTION_VERBS)) + 2}}}")
 _TAIL = regex.compile(r"(?:(?![\"“”])\p{P})*[ \t-\r]*")
 
 
@@ -67,19 +72,27 @@ def _pairs(text: str, ends: list[int]) -> list[dict]:
                 group = bisect_right(ends, at + j)
                 stop = _TAIL.match(text, at + j + 1, ends[group]).end()
                 across = group != bisect_right(ends, at + i)
-                out.append({"open": at + i, "close": at + j, "stop": stop, "content": body[i + 1 : j], "before": body[k : k + 1] if k >= 0 else "", "across": across, "after": text[stop : stop + AFTER]})
+                out.append({"open": at + i, "close": at + j, "stop": stop, "content": body[i + 1 : j], "before": body[k : k + 1] if k >= 0 else "", "across": across, "after": _AHEAD.match(text, stop, min(stop + AFTER, len(text))).group()})
         at += len(line)
     return sorted(out, key=lambda p: (p["open"], -p["close"]))
 
 
-@F.pandas_udf(PAIRS)
-def quote_pairs(text: pd.Series, ends: pd.Series) -> pd.Series:
+def _in_pieces(columns: tuple[pa.Array, ...], kind: pa.DataType, one) -> pa.Array:
+    """``one`` of each row, some hundred rows at a time: as Python objects a batch would take many times its size."""
+    out = [pa.array([], kind)]
+    for lo in range(0, len(columns[0]), 200):
+        out.append(pa.array([one(*row) for row in zip(*(c.slice(lo, 200).to_pylist() for c in columns), strict=True)], kind))
+    return pa.concat_arrays(out)
+
+
+@F.arrow_udf(PAIRS)
+def quote_pairs(text: pa.Array, ends: pa.Array) -> pa.Array:
     """The quotes of a text by their place.
 
     before: the last sign in front of the quote in its line; across: whether it crosses the end of a group; stop: where the
     punctuation and white space after it end within the group; after: the text from there on.
     """
-    return pd.Series([_pairs(t or "", e.tolist()) for t, e in zip(text, ends, strict=True)])
+    return _in_pieces((text, ends), _PAIRS, lambda t, e: _pairs(t or "", e))
 
 
 def _is_dialog(pair: Column) -> Column:
@@ -132,9 +145,9 @@ def _parts(text: str, lengths: list[list[int]], spans: list[tuple[int, int, int,
     return out
 
 
-@F.pandas_udf(PARTS)
-def _cut(text: pd.Series, lengths: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([_parts(t, [g.tolist() for g in n], [(x["open"], x["close"], x["stop"], x["said"]) for x in s]) for t, n, s in zip(text, lengths, spans, strict=True)])
+@F.arrow_udf(PARTS)
+def _cut(text: pa.Array, lengths: pa.Array, spans: pa.Array) -> pa.Array:
+    return _in_pieces((text, lengths, spans), _PARTS, lambda t, n, s: _parts(t, n, [(x["open"], x["close"], x["stop"], x["said"]) for x in s]))
 
 
 def dialog_arrays(rows: DataFrame, language: str = "lang", id_col: str = "doc_id") -> DataFrame:
@@ -155,18 +168,18 @@ def dialog_arrays(rows: DataFrame, language: str = "lang", id_col: str = "doc_id
     return r.select(id_col, "p.group_index", "p.part_index", "p.text", reason.alias("reason"), F.when(F.col("p.inside"), DIALOG_VOICE).otherwise(-1).alias("voice"))
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _ends(lengths: pd.Series) -> pd.Series:
+@F.arrow_udf(ArrayType(IntegerType()))
+def _ends(lengths: pa.Array) -> pa.Array:
     """Where groups end, from the lengths of their phrases."""
 
     def sums(groups) -> list[int]:
         out, at = [], 0
         for g in groups:
-            at += int(g.sum())
+            at += sum(g)
             out.append(at)
         return out
 
-    return lengths.map(sums)
+    return _in_pieces((lengths,), pa.list_(pa.int32()), sums)
 
 
 def dialog_groups(group_rows: DataFrame, language: str = "lang", id_col: str = "doc_id") -> DataFrame:
