@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,35 +26,75 @@ STEP = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("act
 LEAST_LIKENESS, SKIP, MOST_SKIP = 0.7, 45, 250
 
 
-def _costs(source: np.ndarray, heard: np.ndarray, free: np.ndarray) -> np.ndarray:
-    """The least costs of all beginnings, source by heard, a row at a time; words are numbers, equal ones match at no cost.
+def _costs(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The least costs of all beginnings of pairs (source, heard, free): source by pair by heard, a source word at a time.
 
-    A row takes the least of the moves from above, then the moves along it as a running minimum. A source word that is
-    ``free`` stands for any one or two words.
+    Words are numbers, equal ones match at no cost. A row takes the least of the moves from above, then the moves along it
+    as a running minimum. A source word that is ``free`` stands for any one or two words. Shorter pairs are filled up; no
+    beginning depends on what follows.
     """
-    n, m = len(source), len(heard)
-    cost, along = np.empty((n + 1, m + 1), np.int32), np.arange(m + 1, dtype=np.int32)
+    n, m = max(len(a) for a, _, _ in pairs), max(len(b) for _, b, _ in pairs)
+    source, heard, free = np.full((len(pairs), n), -1, np.int64), np.full((len(pairs), m), -2, np.int64), np.zeros((len(pairs), n), bool)
+    for k, (a, b, f) in enumerate(pairs):
+        source[k, : len(a)], heard[k, : len(b)], free[k, : len(a)] = a, b, f
+    cost, along = np.empty((n + 1, len(pairs), m + 1), np.int32), np.arange(m + 1, dtype=np.int32)
     cost[0] = along
     for i in range(n):
-        above, row = cost[i], cost[i] + 1
-        np.minimum(row[1:], above[:-1] + (0 if free[i] else heard != source[i]), out=row[1:])
-        if free[i]:
-            np.minimum(row[2:], above[:-2], out=row[2:])
-        cost[i + 1] = np.minimum.accumulate(row - along) + along
+        above, row, any_word = cost[i], cost[i] + 1, free[:, i : i + 1]
+        np.minimum(row[:, 1:], above[:, :-1] + ((heard != source[:, i : i + 1]) & ~any_word), out=row[:, 1:])
+        if any_word.any():
+            np.minimum(row[:, 2:], above[:, :-2] + np.where(any_word, 0, 3).astype(np.int32), out=row[:, 2:])
+        cost[i + 1] = np.minimum.accumulate(row - along, axis=1) + along
     return cost
 
 
+#: Cells of costs that are worked on together.
+_CELLS = 1 << 20
+
+
 def align_words(source: list[str], heard: list[str], uncommon: set[str], sound=None) -> list[tuple[str, str, str]]:
     """The cheapest steps from source to heard words; of equal cost the first of: both, one for two, source, heard.
 
     A source word of ``uncommon`` may stand for any one or two words at no cost. Words of the same ``sound`` match.
     """
+    return align_many([(source, heard, uncommon)], sound)[0]
+
+
+def align_many(pairs: list[tuple[list[str], list[str], set[str]]], sound=None) -> list[list[tuple[str, str, str]]]:
+    """``align_words`` of many pairs, whose costs are computed side by side; the longest common end is no part of them."""
     numbers: dict[str, int] = {}
     name = sound or (lambda w: w)
     number = lambda words: np.array([numbers.setdefault(name(w), len(numbers)) for w in words], np.int64)
-    a, b, free = number(source), number(heard), np.array([w in uncommon for w in source], bool)
-    cost = _costs(a, b, free).tolist() if len(a) * len(b) < 1 << 16 else _costs(a, b, free)
-    steps, i, j = [], len(a), len(b)
+    rows = []
+    for source, heard, uncommon in pairs:
+        a, b, free = number(source), number(heard), np.array([w in uncommon for w in source], bool)
+        most = min(len(a), len(b))
+        # from the end on, equal words that are not free can only match
+        differ = np.flatnonzero((a[len(a) - most :] != b[len(b) - most :]) | free[len(a) - most :])
+        end = most - 1 - int(differ[-1]) if len(differ) else most
+        rows.append((a, b, free, end))
+    out: list[list[tuple[str, str, str]]] = [[] for _ in pairs]
+    size = [(len(a) - end, len(b) - end) for a, b, _, end in rows]
+    todo = sorted(range(len(pairs)), key=lambda k: size[k])
+    while todo:
+        chunk, n, m = [], 0, 0
+        while todo and (not chunk or (max(n, size[todo[-1]][0]) + 1) * (max(m, size[todo[-1]][1]) + 1) * (len(chunk) + 1) <= _CELLS):
+            k = todo.pop()
+            n, m = max(n, size[k][0]), max(m, size[k][1])
+            chunk.append(k)
+        cost = _costs([(a[: len(a) - end], b[: len(b) - end], f[: len(a) - end]) for a, b, f, end in (rows[k] for k in chunk)])
+        for at, k in enumerate(chunk):
+            mine = cost[: size[k][0] + 1, at, : size[k][1] + 1]
+            out[k] = _steps(mine.tolist() if mine.size < 1 << 16 else mine, pairs[k][0], pairs[k][1], *rows[k])
+    return out
+
+
+def _steps(cost, source: list[str], heard: list[str], a: np.ndarray, b: np.ndarray, free: np.ndarray, end: int) -> list[tuple[str, str, str]]:
+    """The steps, from the end on."""
+    a, b, free = a.tolist(), b.tolist(), free.tolist()
+    i, j = len(a), len(b)
+    steps = [("match" if source[i - 1 - k] == heard[j - 1 - k] else "homophone", source[i - 1 - k], heard[j - 1 - k]) for k in range(end)]
+    i, j = i - end, j - end
     while i or j:
         kind = "insert" if not i else "delete"
         if i and j:
@@ -78,10 +119,18 @@ def word_alignment(source: Column, transcript: Column, language: str = "", uncom
     """
     sound = primary_code if language == "en" else None
 
-    @F.pandas_udf(STEP)
-    def align(s: pd.Series, t: pd.Series, u: pd.Series) -> pd.Series:
-        rows = zip(s, t, u, strict=True)
-        return pd.Series([[{"action": k, "source": a, "transcript": b} for k, a, b in align_words((x or "").split(), (y or "").split(), set() if z is None else set(z), sound)] for x, y, z in rows])
+    @F.arrow_udf(STEP)
+    def align(s: pa.Array, t: pa.Array, u: pa.Array) -> pa.Array:
+        out = []
+        for lo in range(0, len(s), 1000):
+            part = [x.slice(lo, 1000).to_pylist() for x in (s, t, u)]
+            pairs = [((x or "").split(), (y or "").split(), set() if z is None else set(z)) for x, y, z in zip(*part, strict=True)]
+            found = align_many(pairs, sound)
+            steps = [x for row in found for x in row]
+            columns = [pa.array([x[k] for x in steps], pa.string()) for k in range(3)]
+            ends = np.append(0, np.cumsum([len(row) for row in found])).astype(np.int32)
+            out.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, names=["action", "source", "transcript"])))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.struct([(c, pa.string()) for c in ("action", "source", "transcript")])))
 
     return align(source, transcript, F.array().cast("array<string>") if uncommon is None else uncommon)
 
