@@ -11,8 +11,9 @@ from folioforge.llm.common import dropped, written
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) of every node of (a, b); the component is its least node.
 
-    Each step is a grouped minimum and a join on the node, so a node with very many neighbours is pre-aggregated and
-    its join is split by skew handling; nothing gathers a neighbourhood. Rounds end when all edges form stars.
+    Each step is a grouped minimum and a merge join on the node (the files of edges are small beside their rows), so a
+    node with very many neighbours is pre-aggregated and its join is split by skew handling; nothing gathers a
+    neighbourhood. Rounds end when all edges form stars.
     """
     e = written(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct(), "edges")
     for _ in range(max_rounds):
@@ -21,10 +22,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large star: neighbours above a node go to the least of its neighbourhood
         both = e.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(e.select(F.col("u").alias("x"), F.col("v").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("u <> v")
+        large = both.where("y > x").join(least.hint("merge"), "x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("u <> v")
         # small star: a node and its neighbours below go to the least of these
         least = large.groupBy(F.col("v").alias("x")).agg(F.min("u").alias("m"))
-        down = large.select(F.col("v").alias("x"), F.col("u").alias("y")).join(least, "x")
+        down = large.select(F.col("v").alias("x"), F.col("u").alias("y")).join(least.hint("merge"), "x")
         small = down.select(F.col("y").alias("v"), F.col("m").alias("u")).unionByName(least.select(F.col("x").alias("v"), F.col("m").alias("u"))).where("u <> v").distinct()
         before, e = e, written(small, "edges")
         dropped(before)

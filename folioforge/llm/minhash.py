@@ -25,7 +25,9 @@ Edge cases: null and blank texts have an empty set, no links and their own id; f
 shingle; a document id that occurs with several texts is one node; a null id is left out of groups (its component is
 null); input columns beside id and text are passed over; an empty table gives an empty result.
 Jobs run while the frame is built: signatures, classes, comparisons and rounds of components are written tables.
-Memory: a batch of texts, or two blocks of a star; nothing is collected but counts.
+Memory: a batch of texts, or two blocks of a star; nothing is collected but counts. Joins with written tables are merged
+by hint: their compressed files are small beside their rows, and by the files' size Spark would gather a million rows of
+keys on the driver to broadcast them.
 """
 
 from __future__ import annotations
@@ -128,12 +130,12 @@ def tensor_stars(nodes: DataFrame, side: int) -> DataFrame:
     """(a, b, size) of distinct pivots a and members b of the tables' buckets, size that of their largest; nodes: (id, keys)."""
     keys = nodes.select("id", F.posexplode("keys").alias("k", "key"))
     shared = keys.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1")
-    kept = keys.join(shared, ["k", "key"]).groupBy("id").agg(F.collect_list(F.struct("k", "key")).alias("keys"), F.sum("n").alias("company"))  # 2 * side keys at most
+    kept = keys.join(shared.hint("merge"), ["k", "key"]).groupBy("id").agg(F.collect_list(F.struct("k", "key")).alias("keys"), F.sum("n").alias("company"))  # 2 * side keys at most
     first, second = F.filter("keys", lambda x: x["k"] < side), F.filter("keys", lambda x: x["k"] >= side)
     tables = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.xxhash64(a["k"], b["k"], a["key"], b["key"]))))
     rows = kept.select("id", "company", F.explode(tables).alias("bucket"))
     pivots = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct((-F.col("company")).alias("c"), "id"))["id"].alias("pivot")).where("size > 1")
-    return rows.join(pivots, "bucket").where("id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.max("size").alias("size"))
+    return rows.join(pivots.hint("merge"), "bucket").where("id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.max("size").alias("size"))
 
 
 MEMBER = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("common", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -165,7 +167,7 @@ def compare(stars: DataFrame, docs: DataFrame) -> DataFrame:
                     rows.append((x, y, len(mine[1]), len(s), len(np.intersect1d(mine[1], s, True)), s.view(np.int64) if size > 2 else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), MEMBER, strict=True)], schema=MEMBER)
 
-    return b.join(a, "a").select("a", "b", "size", "text_a", "text_b").mapInArrow(work, "a long, b long, n_a long, n_b long, common long, shingles array<long>")
+    return b.join(a.hint("merge"), "a").select("a", "b", "size", "text_a", "text_b").mapInArrow(work, "a long, b long, n_a long, n_b long, common long, shingles array<long>")
 
 
 def _linked(percent: int):
@@ -293,7 +295,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     component = connected_components(edges)
     dropped(stars)
     dropped(done)
-    out = signed.select("doc_id", "class", "n_shingles").join(classes.select("class", "id"), "class", "left").join(component, "id", "left")
+    out = signed.select("doc_id", "class", "n_shingles").join(classes.select("class", "id").hint("merge"), "class", "left").join(component.hint("merge"), "id", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 

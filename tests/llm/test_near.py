@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioforge.llm import components, minhash
@@ -83,3 +84,14 @@ def test_pipeline_stages(spark):
         before = rows
     out = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in out} == set(before)
+
+
+def test_no_join_with_a_written_table_is_broadcast(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{k // 2}x{j}" for j in range(30)) + f" {k}") for k in range(40)], "doc_id long, text string")
+    found = minhash.near_duplicates(docs)
+    assert [r.component_id for r in found.orderBy("doc_id").collect()] == [k - k % 2 for k in range(40)]
+    nodes = minhash.written(minhash.signatures(docs, "doc_id", "text", 10, 2), "nodes").select(F.col("doc_id").alias("id"), "keys")
+    stars = minhash.tensor_stars(nodes, 10)
+    compared = minhash.compare(stars, docs.withColumnRenamed("doc_id", "id"))
+    for d in (found, stars, compared):
+        assert "BroadcastHashJoin" not in d._jdf.queryExecution().sparkPlan().toString()
