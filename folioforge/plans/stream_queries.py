@@ -32,8 +32,9 @@ SELECT doc_id AS key, CAST(s AS BIGINT) AS sequence, sha256(t) AS piece, CASE WH
 """.replace("BLANK", tx.SPACE))
 def folded_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that come word by word, handed out sentence by sentence; what an older generation said is dropped."""
-    c = table(spark, sf_dir, "conversations").select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("key"), F.split(F.concat(F.lit(OPENING), F.coalesce("text", F.lit(""))), r"(?<= )").alias("w"))
-    d = c.select("key", F.size("w").alias("n"), F.posexplode("w").alias("ord", "text")).select("key", "ord", "text", F.lit(2).alias("generation"), (F.col("ord") == F.col("n") - 1).alias("last"))
+    c = table(spark, sf_dir, "conversations").select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("key"), "text")
+    w = c.select("key", tx.settled(F.split(F.concat(F.lit(OPENING), F.coalesce("text", F.lit(""))), r"(?<= )")).alias("w"))
+    d = w.select("key", F.size("w").alias("n"), F.posexplode("w").alias("ord", "text")).select("key", "ord", "text", F.lit(2).alias("generation"), (F.col("ord") == F.col("n") - 1).alias("last"))
     stale = c.select("key", F.explode(F.array(F.lit(-1), F.lit(3))).alias("ord"), F.lit("Stale words. Gone ").alias("text"), F.lit(1).alias("generation"), F.lit(False).alias("last"))
     return deltas.folded(d.unionByName(stale)).withColumn("piece", F.sha2("piece", 256))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 import regex
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
@@ -13,6 +15,9 @@ from folioforge.streaming import stateful
 
 #: Fixed value: words that the first piece handed out must have.
 FIRST_WORDS = 5
+#: Signs at which a sentence, and a phrase, may end or be held; what is more than blanks and punctuation.
+_SENTENCE_SIGN, _PHRASE_SIGN = re.compile(r"[.!?…\n\"“”]"), re.compile(r"[.!?…\n\"“”,;:–—)]")
+_SOLID = regex.compile(r"[^\s\p{P}$+<=>^`|~]")
 _PHRASE = regex.compile(r"[\"”,;:] \s*|[–—)]\s*")
 
 
@@ -62,24 +67,33 @@ def folded(deltas: DataFrame, key: str = "key", order: str = "ord", text: str =
     hands out the rest, as does the end of the batch or a stream that rests for ``idle_seconds``.
     """
 
-    def step(state: tuple, rows: pd.DataFrame) -> tuple[list[tuple], tuple]:
+    signed = lambda t, first: bool((_PHRASE_SIGN if first else _SENTENCE_SIGN).search(t))
+
+    def step(state: tuple, rows: Iterable[tuple]) -> tuple[list[tuple], tuple]:
         held, first, now, n = state
         out: list[tuple] = []
-        for t, g, last in rows.sort_values(order)[[text, generation, "last"]].itertuples(index=False):
+        may_end = signed(held, first)
+        for t, g, last in rows:
             if g < now:
                 continue
             if g > now:
-                held, first, now = "", True, int(g)
+                held, first, now, may_end = "", True, int(g), False
             held += t or ""
+            may_end = may_end or signed(t or "", first)
+            if not (may_end or last):
+                continue
             pieces, held = take_complete(held, first, language)
+            before = first
             if last and held:
                 pieces, held = [*pieces, held], ""
             out += [(n + k, p, _reason(p)) for k, p in enumerate(pieces)]
             n, first = n + len(pieces), bool(last) or (first and not pieces)
+            # what was searched in vain ends at no later word, once one follows its last sign
+            may_end = signed(held, first) and (bool(pieces) or first != before or not _SOLID.search(_PHRASE_SIGN.split(held)[-1]))
         return out, (held, bool(first), now, n)
 
     end = lambda state: [(state[3], state[0], _reason(state[0]))] if state[0] else []
-    return stateful.folded(deltas.withColumnRenamed(key, "key"), "key", PIECES, "held string, first boolean, generation long, n long", ("", True, 0, 0), step, end, idle_seconds)
+    return stateful.folded(deltas.withColumnRenamed(key, "key"), "key", order, [text, generation, "last"], PIECES, "held string, first boolean, generation long, n long", ("", True, 0, 0), step, end, idle_seconds)
 
 
 BLOCKS = StructType().add("key", StringType()).add("sequence", LongType()).add("start_sample", LongType()).add("n_samples", LongType()).add("rate", LongType())
@@ -94,10 +108,10 @@ def blocks(pieces: DataFrame, size: int = 24000, idle_seconds: float = IDLE_S) -
     when a stream rests for ``idle_seconds``.
     """
 
-    def step(state: tuple, rows: pd.DataFrame) -> tuple[list[tuple], tuple]:
+    def step(state: tuple, rows: Iterable[tuple]) -> tuple[list[tuple], tuple]:
         held, rate, sequence, at = state
         out: list[tuple] = []
-        for n, r in rows.sort_values("ord")[["n_samples", "rate"]].itertuples(index=False):
+        for n, r in rows:
             if held and (n == 0 or r != rate):
                 out.append((sequence, at, held, rate))
                 sequence, at, held = sequence + 1, at + held, 0
@@ -109,4 +123,4 @@ def blocks(pieces: DataFrame, size: int = 24000, idle_seconds: float = IDLE_S) -
         return out, (held, rate, sequence, at)
 
     end = lambda state: [(state[2], state[3], state[0], state[1])] if state[0] else []
-    return stateful.folded(pieces, "key", BLOCKS, "held long, rate long, sequence long, at long", (0, 0, 0, 0), step, end, idle_seconds)
+    return stateful.folded(pieces, "key", "ord", ["n_samples", "rate"], BLOCKS, "held long, rate long, sequence long, at long", (0, 0, 0, 0), step, end, idle_seconds)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructType
 
@@ -35,10 +35,10 @@ def assembled(log: DataFrame, idle_seconds: float = 600.0, immediate: bool = Fal
     is not entered at the end of a batch, or when a stream rests, is dropped.
     """
 
-    def step(state: tuple, rows: pd.DataFrame) -> tuple[list[tuple], tuple]:
+    def step(state: tuple, rows: Iterable[tuple]) -> tuple[list[tuple], tuple]:
         saved = json.loads(state[0]) if state[0] else {"pieces": [], "selected": None, "last": -1, "n": 0}
         out = []
-        for order, action, text in rows.sort_values("ord")[["ord", "action", "text"]].itertuples(index=False):
+        for order, action, text in rows:
             if order <= saved["last"]:
                 continue
             saved["last"] = int(order)
@@ -50,4 +50,4 @@ def assembled(log: DataFrame, idle_seconds: float = 600.0, immediate: bool = Fal
                 saved |= {"pieces": [], "selected": None, "n": saved["n"] + 1}
         return out, (json.dumps(saved),)
 
-    return stateful.folded(log, "key", OUT, "saved string", ("",), step, lambda state: [], idle_seconds)
+    return stateful.folded(log, "key", "ord", ["ord", "action", "text"], OUT, "saved string", ("",), step, lambda state: [], idle_seconds)

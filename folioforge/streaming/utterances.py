@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, LongType, StringType, StructType
 
@@ -84,9 +85,9 @@ def utterances(blocks: DataFrame, rate: int = 16000, block: int = 1024, idle_sec
     trigger. The state is the buffer's block numbers and six seconds of levels, never the samples.
     """
 
-    def step(state: tuple, rows: pd.DataFrame) -> tuple[list[tuple], tuple]:
+    def step(state: tuple, rows: Iterable[tuple]) -> tuple[list[tuple], tuple]:
         chunker, out = Chunker(rate, block, state[0] or None), []
-        for number, samples, control in rows.sort_values("number")[["number", "samples", "control"]].itertuples(index=False):
+        for number, samples, control in rows:
             if control in ("flush", "pause"):
                 chunker.clear()
                 chunker.s["levels"] = []
@@ -100,4 +101,4 @@ def utterances(blocks: DataFrame, rate: int = 16000, block: int = 1024, idle_sec
         found = Chunker(rate, block, state[0] or None).flush()
         return [(*found, True)] if found else []
 
-    return stateful.folded(blocks, "stream", OUT, "saved string", ("",), step, end, idle_seconds)
+    return stateful.folded(blocks, "stream", "number", ["number", "samples", "control"], OUT, "saved string", ("",), step, end, idle_seconds)
