@@ -218,7 +218,8 @@ def semantic_trims(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _pairs(spark, sf_dir)
     heard = F.concat(F.array(F.lit("well"), F.lit("so")), F.split("source", " "), F.array(F.lit("uh"), F.lit("ok")))
     words = F.transform(heard, lambda w, i: F.struct(w.alias("word"), (i * 0.5).alias("start"), (i * 0.5 + 0.4).alias("end")))
-    t = s.select("doc_id", "line", al.semantic_trim(words, F.col("source"), F.size(words) * 0.5).alias("t"))
+    w = s.select("doc_id", "line", "source", tx.settled(words).alias("words"))
+    t = w.select("doc_id", "line", tx.settled(al.semantic_trim(F.col("words"), F.col("source"), F.size("words") * 0.5)).alias("t"))
     return t.select("doc_id", "line", F.round("t.start", 3).alias("start"), F.round("t.end", 3).alias("end"))
 
 
