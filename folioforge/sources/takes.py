@@ -36,8 +36,13 @@ def with_sidecars(takes: DataFrame, side: DataFrame) -> DataFrame:
 
 def projects(spark: SparkSession, folder: str) -> DataFrame:
     """(project, settings variant, book struct, error): each sub-folder's project.json with the text beside it."""
-    f = found(spark, folder, "*.json", recursive=True)
-    f = f.select(F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("project"), file_name(F.col("path")).alias("file"), F.try_parse_json(F.decode("content", "UTF-8")).alias("v"))
-    settings = f.where("file = 'project.json'").select("project", F.col("v").alias("settings"))
-    text = f.where("file = 'project_text.json'").select("project", ct.book_error(F.col("v")).alias("error"), ct.book(F.col("v")).alias("book"))
-    return settings.join(text, "project", "left").withColumn("error", F.when(F.col("settings").isNull(), "settings").otherwise(F.when(F.col("book").isNull(), F.coalesce("error", F.lit("text missing")))))
+    # both kinds of files meet in a group: a join would list and read the folder once for each of its sides
+    f = found(spark, folder, "project*.json", recursive=True)
+    f = f.select(F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("project"), file_name(F.col("path")).alias("file"), "content").where("file in ('project.json', 'project_text.json')")
+    of = lambda name: F.collect_list(F.when(F.col("file") == name, F.col("content")))
+    f = f.groupBy("project").agg(of("project.json").alias("s"), of("project_text.json").alias("t"))
+    f = f.select("project", F.explode("s").alias("s"), "t").select("project", "s", F.explode_outer("t").alias("t"))
+    parsed = lambda c: F.try_parse_json(F.decode(c, "UTF-8"))
+    f = f.select("project", parsed("s").alias("settings"), F.col("t").isNull().alias("bare"), parsed("t").alias("v"))
+    f = f.select("project", "settings", F.when(~F.col("bare"), ct.book_error(F.col("v"))).alias("error"), F.when(~F.col("bare"), ct.book(F.col("v"))).alias("book"))
+    return f.withColumn("error", F.when(F.col("settings").isNull(), "settings").otherwise(F.when(F.col("book").isNull(), F.coalesce("error", F.lit("text missing")))))
