@@ -26,8 +26,8 @@ STEP = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("act
 LEAST_LIKENESS, SKIP, MOST_SKIP = 0.7, 45, 250
 
 
-def _costs(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The least costs of all beginnings of pairs (source, heard, free): source by pair by heard, a source word at a time.
+def _costs(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+    """The least costs of all beginnings of pairs (source, heard, free): pair by heard, for one source word more at a time.
 
     Words are numbers, equal ones match at no cost. A row takes the least of the moves from above, then the moves along it
     as a running minimum. A source word that is ``free`` stands for any one or two words. Shorter pairs are filled up; no
@@ -37,15 +37,16 @@ def _costs(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray
     source, heard, free = np.full((len(pairs), n), -1, np.int64), np.full((len(pairs), m), -2, np.int64), np.zeros((len(pairs), n), bool)
     for k, (a, b, f) in enumerate(pairs):
         source[k, : len(a)], heard[k, : len(b)], free[k, : len(a)] = a, b, f
-    cost, along = np.empty((n + 1, len(pairs), m + 1), np.int32), np.arange(m + 1, dtype=np.int32)
-    cost[0] = along
+    along = np.arange(m + 1, dtype=np.int32)
+    above = np.tile(along, (len(pairs), 1))
+    yield above
     for i in range(n):
-        above, row, any_word = cost[i], cost[i] + 1, free[:, i : i + 1]
+        row, any_word = above + 1, free[:, i : i + 1]
         np.minimum(row[:, 1:], above[:, :-1] + ((heard != source[:, i : i + 1]) & ~any_word), out=row[:, 1:])
         if any_word.any():
             np.minimum(row[:, 2:], above[:, :-2] + np.where(any_word, 0, 3).astype(np.int32), out=row[:, 2:])
-        cost[i + 1] = np.minimum.accumulate(row - along, axis=1) + along
-    return cost
+        above = np.minimum.accumulate(row - along, axis=1) + along
+        yield above
 
 
 #: Cells of costs that are worked on together.
@@ -60,8 +61,8 @@ def align_words(source: list[str], heard: list[str], uncommon: set[str], sound=N
     return align_many([(source, heard, uncommon)], sound)[0]
 
 
-def align_many(pairs: list[tuple[list[str], list[str], set[str]]], sound=None) -> list[list[tuple[str, str, str]]]:
-    """``align_words`` of many pairs, whose costs are computed side by side; the longest common end is no part of them."""
+def _numbered(pairs: list[tuple[list[str], list[str], set[str]]], sound) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Pairs as (source, heard, free, length of the longest common end) with numbers for words."""
     numbers: dict[str, int] = {}
     name = sound or (lambda w: w)
     number = lambda words: np.array([numbers.setdefault(name(w), len(numbers)) for w in words], np.int64)
@@ -73,16 +74,44 @@ def align_many(pairs: list[tuple[list[str], list[str], set[str]]], sound=None) -
         differ = np.flatnonzero((a[len(a) - most :] != b[len(b) - most :]) | free[len(a) - most :])
         end = most - 1 - int(differ[-1]) if len(differ) else most
         rows.append((a, b, free, end))
-    out: list[list[tuple[str, str, str]]] = [[] for _ in pairs]
-    size = [(len(a) - end, len(b) - end) for a, b, _, end in rows]
-    todo = sorted(range(len(pairs)), key=lambda k: size[k])
+    return rows
+
+
+def _together(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], size: list[tuple[int, int]]) -> Iterator[tuple[list[int], Iterator[np.ndarray]]]:
+    """Pairs of about one size, and their costs without the common end."""
+    todo = sorted(range(len(rows)), key=lambda k: size[k])
     while todo:
         chunk, n, m = [], 0, 0
         while todo and (not chunk or (max(n, size[todo[-1]][0]) + 1) * (max(m, size[todo[-1]][1]) + 1) * (len(chunk) + 1) <= _CELLS):
             k = todo.pop()
             n, m = max(n, size[k][0]), max(m, size[k][1])
             chunk.append(k)
-        cost = _costs([(a[: len(a) - end], b[: len(b) - end], f[: len(a) - end]) for a, b, f, end in (rows[k] for k in chunk)])
+        yield chunk, _costs([(a[: len(a) - end], b[: len(b) - end], f[: len(a) - end]) for a, b, f, end in (rows[k] for k in chunk)])
+
+
+def count_many(pairs: list[tuple[list[str], list[str], set[str]]], sound=None) -> list[int]:
+    """The errors of each pair: the cost of its cheapest steps, which are not traced back and of which no table is kept."""
+    rows = _numbered(pairs, sound)
+    size, out = [(len(a) - end, len(b) - end) for a, b, _, end in rows], [0] * len(rows)
+    for chunk, costs in _together(rows, size):
+        done: dict[int, list[tuple[int, int]]] = {}
+        for at, k in enumerate(chunk):
+            done.setdefault(size[k][0], []).append((at, k))
+        for i, row in enumerate(costs):
+            for at, k in done.get(i, ()):
+                out[k] = int(row[at, size[k][1]])
+    return out
+
+
+def align_many(pairs: list[tuple[list[str], list[str], set[str]]], sound=None) -> list[list[tuple[str, str, str]]]:
+    """``align_words`` of many pairs, whose costs are computed side by side; the longest common end is no part of them."""
+    rows = _numbered(pairs, sound)
+    out: list[list[tuple[str, str, str]]] = [[] for _ in pairs]
+    size = [(len(a) - end, len(b) - end) for a, b, _, end in rows]
+    for chunk, costs in _together(rows, size):
+        cost = np.empty((max(size[k][0] for k in chunk) + 1, len(chunk), max(size[k][1] for k in chunk) + 1), np.int32)
+        for i, row in enumerate(costs):
+            cost[i] = row
         for at, k in enumerate(chunk):
             mine = cost[: size[k][0] + 1, at, : size[k][1] + 1]
             out[k] = _steps(mine.tolist() if mine.size < 1 << 16 else mine, pairs[k][0], pairs[k][1], *rows[k])
@@ -135,6 +164,21 @@ def word_alignment(source: Column, transcript: Column, language: str = "", uncom
     return align(source, transcript, F.array().cast("array<string>") if uncommon is None else uncommon)
 
 
+def error_count(source: Column, transcript: Column, language: str = "", uncommon: Column | None = None) -> Column:
+    """The number of ``word_errors`` of ``word_alignment``, without its steps."""
+    sound = primary_code if language == "en" else None
+
+    @F.arrow_udf(T.IntegerType())
+    def count(s: pa.Array, t: pa.Array, u: pa.Array) -> pa.Array:
+        out = []
+        for lo in range(0, len(s), 1000):
+            part = [x.slice(lo, 1000).to_pylist() for x in (s, t, u)]
+            out += count_many([((x or "").split(), (y or "").split(), set() if z is None else set(z)) for x, y, z in zip(*part, strict=True)], sound)
+        return pa.array(out, pa.int32())
+
+    return count(source, transcript, F.array().cast("array<string>") if uncommon is None else uncommon)
+
+
 def word_errors(steps: Column) -> Column:
     """Codes of the errors: ``d:word`` missing, ``i:word`` too many, ``s:word/word`` another."""
     code = lambda x: F.when(x["action"] == "delete", F.concat(F.lit("d:"), x["source"])).when(x["action"] == "insert", F.concat(F.lit("i:"), x["transcript"])).when(x["action"] == "substitute", F.concat(F.lit("s:"), x["source"], F.lit("/"), x["transcript"]))

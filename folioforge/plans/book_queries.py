@@ -16,6 +16,7 @@ from folioforge.operators import segmentation as seg
 from folioforge.operators import timeline as tl
 from folioforge.plans.text_queries import PHRASES_SQL, documents
 from folioforge.registry import register, table
+from folioforge.sources.shared import written
 
 #: The full chain on phrases of one part: ornaments join the phrase before, a break after a break becomes a paragraph.
 CHAIN_SQL = PHRASES_SQL + r"""
@@ -152,14 +153,23 @@ def pause_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- word errors
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences as sources, and transcripts in which each seventh word is missing, each eleventh doubled and each thirteenth another."""
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, line, source): sentences of documents as they are compared."""
     s = seg.sentence_rows(documents(spark, sf_dir).where("text <> ''"), F.col("text"), F.col("lang"), ["doc_id", "lang"])
-    s = s.select("doc_id", "lang", F.col("sentence_index").alias("line"), tx.settled(tx.collapse_space(tx.light_form(F.col("sentence")))).alias("source")).where("source <> ''")
+    return s.select("doc_id", "lang", F.col("sentence_index").alias("line"), tx.settled(tx.collapse_space(tx.light_form(F.col("sentence")))).alias("source")).where("source <> ''")
+
+
+def _heard(s: DataFrame) -> DataFrame:
+    """Adds the transcript, in which each seventh word is missing, each eleventh doubled and each thirteenth another."""
     words = F.transform(F.split("source", " "), lambda w, i: F.when(i % 7 == 6, "").when(i % 11 == 10, F.concat(w, F.lit(" "), w)).when(i % 13 == 12, F.lit("other")).otherwise(w))
     return s.withColumn("transcript", F.array_join(F.filter(words, lambda w: w != ""), " "))
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences as sources, and their transcripts."""
+    return _heard(_sources(spark, sf_dir))
+
+
 @register("word_error_codes")
 def word_error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word errors of every sentence, and whether they fail it (dynamic program; held against brute force)."""
@@ -173,11 +183,12 @@ def word_error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("word_error_totals")
 def word_error_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word errors of each document, where words that the lexicon lacks stand for any one or two."""
-    p = _pairs(spark, sf_dir).withColumn("key", F.struct("doc_id", "line"))
+    # the sentences are needed three times: made once; the transcripts follow after the join, which need not carry them
+    p = written(_sources(spark, sf_dir), "sentences").withColumn("key", F.struct("doc_id", "line"))
     words = p.select("lang", "doc_id", F.explode(F.split("source", " ")).alias("word")).distinct()
     lexicon = words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 5")
-    p = al.uncommon_words(p, "key", "source", lexicon)
-    p = p.withColumn("n", F.size(al.word_errors(al.word_alignment(F.col("source"), F.col("transcript"), "", F.col("uncommon")))))
+    p = _heard(al.uncommon_words(p, "key", "source", lexicon))
+    p = p.withColumn("n", al.error_count(F.col("source"), F.col("transcript"), "", F.col("uncommon")))
     return p.groupBy("doc_id").agg(F.sum("n").alias("n_errors"), F.count("*").alias("n_lines"))
 
 
